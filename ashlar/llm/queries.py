@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality
+from . import bpe, chat, linededup, mixing, quality
 from ._common import table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -41,5 +44,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op6_byte_bpe, op9_quality_rules)}
-ORACLES: dict[str, str] = {}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(docs).drop("rate")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_chat_formatting, op6_byte_bpe, op9_quality_rules, op10_line_dedup)}
