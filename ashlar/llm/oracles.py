@@ -107,3 +107,23 @@ FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 ORACLES = {"op3_mixing": OP3, "op4_chat_formatting": OP4, "op9_quality_rules": OP9, "op10_line_dedup": OP10}
+
+#: Shared shingles are counted for every pair that has any; components by the least id reachable.
+OP8 = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 3 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 2], ' ') END AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs p JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
+reach AS (
+  WITH RECURSIVE r(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.root, l.b FROM r JOIN links l ON r.node = l.a)
+  SELECT node, min(root) AS component_id FROM r GROUP BY node
+)
+SELECT d.doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN reach ON reach.node = d.doc_id
+"""
+
+ORACLES |= {"op8_minhash_near_dedup": OP8}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, mixing, quality
+from . import bpe, chat, linededup, mixing, neardup, quality
 from ._common import table
 from .oracles import ORACLES
 
@@ -53,4 +53,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_chat_formatting, op6_byte_bpe, op9_quality_rules, op10_line_dedup)}
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, words=3, percent=85).drop("text_hash")
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_chat_formatting, op6_byte_bpe, op8_minhash_near_dedup, op9_quality_rules, op10_line_dedup)}
