@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import lm
 from .linededup import RUN_UNITS, UNIT_WORDS
 from .mixing import ALPHA, SEED
 from .quality import MAX_HOST_RATE, MAX_REPEAT_PERCENT, MIN_WORDS
@@ -127,3 +128,31 @@ FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN reach ON reach.no
 """
 
 ORACLES |= {"op8_minhash_near_dedup": OP8}
+
+#: crc32 is computed bit by bit over the digits of the id.
+OP1 = rf"""
+WITH RECURSIVE crc(doc_id, digits, k, c) AS (
+  SELECT doc_id, doc_id::varchar, 1, 4294967295::ubigint FROM documents
+  UNION ALL
+  SELECT doc_id, digits, k + 1, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::ubigint) ELSE a >> 1 END, xor(c, ord(digits[k])::ubigint))
+  FROM crc WHERE k <= length(digits)
+),
+held AS (SELECT doc_id, xor(c, 4294967295::ubigint) % 5 = 1 AS held_out FROM crc WHERE k = length(digits) + 1),
+w AS (SELECT d.doc_id, held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') || [' end'] AS words
+  FROM documents d JOIN held ON d.doc_id = held.doc_id),
+t AS (SELECT doc_id, held_out, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+p AS (SELECT *, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY i), ' begin') AS h FROM t),
+uni AS (SELECT word, count(*) AS c FROM p WHERE NOT held_out GROUP BY word),
+bi AS (SELECT h, word, count(*) AS c FROM p WHERE NOT held_out GROUP BY h, word),
+context AS (SELECT h, count(*) AS c FROM p WHERE NOT held_out GROUP BY h),
+total AS (SELECT sum(c)::bigint AS n, count(*) AS v FROM uni),
+tok AS (
+  SELECT p.doc_id, p.held_out, uni.c AS c, (coalesce(uni.c, 0) + 0.5::double) / (n + 0.5::double * (v + 1)) AS p1, coalesce(bi.c, 0) AS c2, coalesce(context.c, 0) AS ch, n
+  FROM p CROSS JOIN total LEFT JOIN uni ON p.word = uni.word LEFT JOIN bi ON p.word = bi.word AND p.h = bi.h LEFT JOIN context ON p.h = context.h
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(fsum(log10(p1)), 6) AS base_score,
+  round(fsum(log10((c2 + {lm.STRENGTH}::double * p1) / (ch + {lm.STRENGTH}::double))), 6) AS score
+FROM tok GROUP BY doc_id, held_out
+"""
+
+ORACLES |= {"op1_lm_scoring": OP1}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, mixing, neardup, quality
+from . import bpe, chat, linededup, lm, mixing, neardup, quality
 from ._common import table
 from .oracles import ORACLES
 
@@ -44,6 +44,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).drop("rate")
@@ -58,4 +64,4 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, words=3, percent=85).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_chat_formatting, op6_byte_bpe, op8_minhash_near_dedup, op9_quality_rules, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_mixing, op4_chat_formatting, op6_byte_bpe, op8_minhash_near_dedup, op9_quality_rules, op10_line_dedup)}
