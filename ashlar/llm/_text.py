@@ -16,6 +16,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: All bytes but ASCII letters, digits and those of other characters: punctuation parts words too.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _MUL_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -69,11 +72,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, byte after the last, count per row) of the words, in order."""
     if not len(data):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(len(offsets) - 1, dtype=np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -85,9 +88,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.flatnonzero(ends) + 1, np.diff(np.searchsorted(first, offsets))
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of a column and how many words each row has.
 
+    Words are runs of bytes for which ``space`` is false.
+
     The words' bytes are laid out back to back and each is reduced to a polynomial in an odd
     multiplier modulo 2**64, then finalised; the same word has the same hash on every machine.
     """
@@ -97,9 +102,9 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while row < size:  # about 4 MB at a time keeps the work inside the cache
         upto = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (4 << 20), side="right")) - 1)
         part = data[offsets[row] : offsets[upto]]
-        first, last, counts[row:upto] = words(part, offsets[row : upto + 1] - offsets[row])
+        first, last, counts[row:upto] = words(part, offsets[row : upto + 1] - offsets[row], space)
         if len(first):
-            body = _LOWER[part[~_SPACE[part]]].astype(np.uint64) + np.uint64(1)
+            body = _LOWER[part[~space[part]]].astype(np.uint64) + np.uint64(1)
             length = last - first
             starts = np.cumsum(length) - length
             place = np.arange(len(body), dtype=np.int64) - np.repeat(starts, length)

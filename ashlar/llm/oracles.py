@@ -156,3 +156,33 @@ FROM tok GROUP BY doc_id, held_out
 """
 
 ORACLES |= {"op1_lm_scoring": OP1}
+
+OP5 = r"""
+WITH captures AS (
+  SELECT page_id, url, (DATE '2024-01-01' + (page_id * 37 % 730)::int)::timestamp AS t,
+    regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.$', '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+),
+hosts AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 7))::bigint AS h FROM captures WHERE host <> ''),
+entries AS (
+  SELECT host AS pattern, ['adult', 'malware', 'phishing', 'spam'][h % 4 + 1] AS category, h % 400 + d AS day, act FROM hosts, (VALUES (0, 'add'), (120, 'remove'), (240, 'add')) AS v(d, act) WHERE h % 3 = 0
+  UNION ALL SELECT host || '/en', ['adult', 'malware', 'phishing', 'spam'][h % 4 + 1], h % 600, 'add' FROM hosts WHERE h % 5 = 1
+),
+dated AS (
+  SELECT pattern, category, (DATE '2024-01-01' + day::int)::timestamp AS since, act FROM entries
+  UNION ALL VALUES ('example.org', 'parked', TIMESTAMP '2025-06-01', 'add'), ('example.org', 'parked', TIMESTAMP '2025-07-01', 'remove'),
+    ('example.net', 'parked', TIMESTAMP '2024-03-01', 'add'), ('example.net', 'parked', TIMESTAMP '2024-03-15', 'remove')
+),
+valid AS (SELECT pattern, category, since AS f, lead(since) OVER (PARTITION BY pattern, category ORDER BY since) AS e, act FROM dated),
+hits AS (
+  SELECT page_id, count(*) AS n, string_agg(pattern || ' ' || category, ',' ORDER BY pattern || ' ' || category) AS matched
+  FROM captures JOIN valid ON act = 'add' AND f <= t AND (e IS NULL OR t < e)
+    AND (host = pattern OR ends_with(host, '.' || pattern) OR starts_with(host || path || '/', pattern || '/'))
+  GROUP BY page_id
+)
+SELECT c.page_id, url, n IS NOT NULL AS blocked, coalesce(n, 0)::bigint AS n_matches, coalesce(matched, '') AS matched
+FROM captures c LEFT JOIN hits ON c.page_id = hits.page_id
+"""
+
+ORACLES |= {"op5_url_filters": OP5}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, lm, mixing, neardup, quality
+from . import ann, bpe, chat, licenses, linededup, lm, mixing, neardup, quality, urlfilter
 from ._common import table
 from .oracles import ORACLES
 
@@ -32,6 +32,34 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def url_list(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """Dated entries for the pages' own hosts, by rule: a third of the hosts is listed, taken off 120 days later and
+    listed again after as many; a fifth has one section listed for good; two domains are listed for a while."""
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    h = F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 7), 16, 10).cast("long")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")).cast("timestamp_ntz")
+    category = F.element_at(F.array(*[F.lit(x) for x in ("adult", "malware", "phishing", "spam")]), (h % 4 + 1).cast("int"))
+    entry = lambda pattern, at, action: F.struct(pattern.alias("pattern"), category.alias("category"), day(at).alias("at"), F.lit(action).alias("action"))
+    rows = F.when(h % 3 == 0, F.array(entry(F.col("host"), h % 400, "add"), entry(F.col("host"), h % 400 + 120, "remove"), entry(F.col("host"), h % 400 + 240, "add")))
+    section = F.when(h % 5 == 1, F.array(entry(F.concat("host", F.lit("/en")), h % 600, "add")))
+    none = F.array().cast("array<struct<pattern:string,category:string,at:timestamp_ntz,action:string>>")
+    own = hosts.select(F.inline(F.concat(F.coalesce(rows, none), F.coalesce(section, none))))
+    fixed = spark.sql(
+        "SELECT pattern, category, CAST(at AS TIMESTAMP_NTZ) AS at, action FROM VALUES ('example.org', 'parked', '2025-06-01', 'add'), ('example.org', 'parked', '2025-07-01', 'remove'), "
+        "('example.net', 'parked', '2024-03-01', 'add'), ('example.net', 'parked', '2024-03-15', 'remove') AS t(pattern, category, at, action)"
+    )
+    return own.unionByName(fixed)
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # the table has no fetch time: captures are dated over two years by their id
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 730).cast("int")).cast("timestamp_ntz")
+    judged = urlfilter.filter_urls(pages.withColumn("fetched", fetched), url_list(spark, pages))
+    named = F.transform("matches", lambda m: F.concat_ws(" ", m["pattern"], m["category"]))
+    return judged.select("page_id", "url", "blocked", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(named), ",").alias("matched"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.roundtrip_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
@@ -50,6 +78,19 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs).withColumn("__best", F.array_max(F.transform("licenses", lambda x: F.struct(x["coverage"], x["last_word"] - x["first_word"], x["license"]))))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("license_names"),
+        F.col("__best.license").alias("best_license"),
+        F.col("__best.coverage").alias("best_coverage"),
+        F.array_join(F.transform("licenses", lambda x: F.concat_ws("-", x["first_word"], x["last_word"])), ",").alias("word_spans"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).drop("rate")
@@ -59,9 +100,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, words=3, percent=85).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_mixing, op4_chat_formatting, op6_byte_bpe, op8_minhash_near_dedup, op9_quality_rules, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scans, op3_mixing, op4_chat_formatting, op5_url_filters, op6_byte_bpe, op7_nearest_neighbours, op8_minhash_near_dedup, op9_quality_rules, op10_line_dedup)}
