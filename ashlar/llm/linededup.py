@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
 A text's lines (split on ``\\n``, white space at their ends aside; blank lines hold no unit) are laid out as units: one for every
-``UNIT_WORDS`` words begun, each carrying the hash of its whole line and its place in it.  A *run* is a
+``UNIT_BYTES`` bytes begun, each carrying the hash of its whole line and its place in it.  A *run* is a
 window of ``run_units`` consecutive units, so a few short lines or one long line make a run alike.
 A line is deleted if it lies, with any unit, in a run that occurs earlier in the table (by document id, then
 by place).
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from . import _common as C
 from .quality import _with
 
-UNIT_WORDS = 8
-#: A run of 6 units holds over 40 words or is 6 short lines.
+UNIT_BYTES = 48
+#: A run of 6 units is 6 short lines, or fewer with over 240 bytes: about 40 words.
 RUN_UNITS = 6
+#: Units that a text has at most, as a power of two: more than a string's 2 GB hold.
+PLACE_BITS = 26
 
 _SPACES = " \t\r\x0b\x0c"
 
@@ -36,47 +38,59 @@ def _lines(text: Column) -> Column:
 
 
 def _units(lines: Column) -> Column:
-    """Array of (line, h): the units of a text's lines."""
+    """Hashes of the units of a text's lines, in order."""
 
-    def of_line(line: Column, at: Column) -> Column:
+    def of_line(line: Column) -> Column:
         bare = F.btrim(line, F.lit(_SPACES))
-        spaces = F.length(bare) - F.length(F.translate(bare, _SPACES, ""))
-        n = F.when(F.length(bare) == 0, 0).otherwise(F.floor(spaces / UNIT_WORDS).cast("int") + 1)
-        empty = F.array().cast("array<struct<line:int,h:bigint>>")
-        each = lambda h: F.transform(F.sequence(F.lit(1), n), lambda j: F.struct(at.alias("line"), F.xxhash64(h, j).alias("h")))
-        return F.when(n > 0, _with(F.xxhash64(bare), each)).otherwise(empty)
+        each = lambda h: F.transform(F.sequence(F.lit(1), _count(bare)), lambda j: F.xxhash64(h, j))
+        return F.when(F.octet_length(bare) > 0, _with(F.xxhash64(bare), each)).otherwise(F.array().cast("array<bigint>"))
 
     return F.flatten(F.transform(lines, of_line))
 
 
+def _count(bare: Column) -> Column:
+    return F.floor(F.octet_length(bare) / UNIT_BYTES).cast("int") + 1
+
+
+def _line_of_units(lines: Column) -> Column:
+    """Per unit the place of its line."""
+    none = F.array().cast("array<int>")
+    return F.flatten(F.transform(lines, lambda line, at: _with(F.btrim(line, F.lit(_SPACES)), lambda bare: F.when(F.octet_length(bare) > 0, F.array_repeat(at, _count(bare))).otherwise(none))))
+
+
 def _chosen(hashes: Column, run: int) -> Column:
-    """Array of (fingerprint, first, last): the windows first..last chose that fingerprint."""
-    last = F.size(hashes) - run
+    """Array of (fp, first, last): the windows first..last chose the fingerprint fp.
 
-    def place(s: Column) -> Column:
-        window = F.slice(hashes, s + 1, run)
-        return (s + _with(window, lambda x: F.array_position(x, F.array_min(x))) - 1).cast("int")
+    Hash and place are packed into one number, so the least of a window is the leftmost least hash and tells its
+    place.  (Elements are read one by one: slice() would copy the whole array for every window.)
+    """
+    last = F.size(hashes) - run
 
-    def runs(places: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), last), lambda s: (s == 0) | (places[s] != places[F.greatest(s - 1, F.lit(0))]))
-        ranges = lambda b: F.transform(b, lambda s, i: F.struct(hashes[places[s]].alias("fp"), s.alias("first"), (F.when(i < F.size(b) - 1, b[F.least(i + 1, F.size(b) - 1)]).otherwise(last + 1) - 1).alias("last")))
-        return _with(starts, ranges)
+    def runs(least: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), last), lambda s: (s == 0) | (least[s] != least[F.greatest(s - 1, F.lit(0))]))
+        ends = lambda b, i: F.when(i < F.size(b) - 1, b[F.least(i + 1, F.size(b) - 1)]).otherwise(last + 1) - 1
+        fp = lambda s: hashes[least[s].bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")]
+        return _with(starts, lambda b: F.transform(b, lambda s, i: F.struct(fp(s).alias("fp"), s.alias("first"), ends(b, i).alias("last"))))
 
-    return _with(F.transform(F.sequence(F.lit(0), last), place), runs)
+    packed = F.transform(hashes, lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long")))
+    least = lambda v: F.transform(F.sequence(F.lit(0), last), lambda s: F.least(*[v[s + k] for k in range(run)]))
+    return _with(_with(packed, least), runs)
 
 
 def later_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", run_units: int = RUN_UNITS) -> DataFrame:
     """Per document (``__key``: hash of id and text) the starts (``__starts``) of its runs that occur earlier."""
     key = F.xxhash64(F.col(doc_id), F.col(text))
-    units = df.select(F.col(doc_id).alias("id"), key.alias("key"), F.transform(_units(_lines(F.col(text))), lambda u: u["h"]).alias("h"))
+    units = df.select(F.col(doc_id).alias("id"), key.alias("key"), _units(_lines(F.col(text))).alias("h"))
     units = C.written(units.where(F.size("h") >= run_units), "units")
 
     marks = units.select("key", F.inline(_with(F.col("h"), lambda h: _chosen(h, run_units))))
     repeated = marks.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     ranges = marks.join(repeated, "fp", "left_semi").groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
-    starts = F.explode(F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"]))))
-    runs = units.join(ranges, "key").select("id", "key", "h", starts.alias("s")).select("id", "key", "s", F.xxhash64(F.slice("h", F.col("s") + 1, run_units)).alias("content"))
+    # hashed before they are exploded, so that no row carries its text's whole array
+    starts = F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"])))
+    content = lambda s: F.struct(s.alias("s"), F.xxhash64(*[F.col("h")[s + k] for k in range(run_units)]).alias("content"))
+    runs = units.join(ranges, "key").select("id", "key", F.inline(F.transform(starts, content)))
     runs = C.written(runs, "runs")
     firsts = runs.groupBy("content").agg(F.min(F.struct("id", "key", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = runs.join(firsts.select("content", "first"), "content").where(F.struct("id", "key", "s") != F.col("first"))
@@ -95,10 +109,10 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", run_u
     rows = df.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text))).join(later, "__key", "left")
 
     def gone(lines: Column) -> Column:
-        covered = _with(_units(lines), lambda u: F.array_distinct(F.flatten(F.transform(F.col("__starts"), lambda s: F.transform(F.slice(u, s + 1, run_units), lambda x: x["line"])))))
+        covered = _with(_line_of_units(lines), lambda u: F.array_distinct(F.flatten(F.transform(F.col("__starts"), lambda s: F.array(*[u[s + k] for k in range(run_units)])))))
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
         body = F.array_join(F.transform(left, lambda i: lines[i]), "\n")
-        blank = F.length(F.translate(body, _SPACES + "\n", "")) == 0
+        blank = F.btrim(body, F.lit(_SPACES + "\n")) == ""
         return F.struct(F.when(blank, F.lit("")).otherwise(body).alias("text"), (F.size(lines) - F.size(left)).cast("long").alias("n"))
 
     result = F.when(F.col("__starts").isNull(), F.struct(F.col(text).alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(_with(_lines(F.col(text)), gone))

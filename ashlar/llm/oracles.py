@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import lm
-from .linededup import RUN_UNITS, UNIT_WORDS
+from .linededup import RUN_UNITS, UNIT_BYTES
 from .mixing import ALPHA, SEED
 from .quality import MAX_HOST_RATE, MAX_REPEAT_PERCENT, MIN_WORDS
 
@@ -84,7 +84,7 @@ WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS line FROM split),
 bare AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM lines),
 units AS (
-  SELECT doc_id, line, t, unnest(range(1, (length(t) - length(regexp_replace(t, '[ \\t\\r\\x0b\\x0c]', '', 'g'))) // {UNIT_WORDS} + 2)) AS j
+  SELECT doc_id, line, t, unnest(range(1, strlen(t) // {UNIT_BYTES} + 2)) AS j
   FROM bare WHERE length(t) > 0
 ),
 placed AS (SELECT doc_id, line, md5(t || '/' || j) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY line, j) AS u FROM units),
