@@ -176,7 +176,9 @@ class Automaton:
     """
 
     def __init__(self, block: Block, counts: list[np.ndarray], n_tokens: int, n_types: int, strength: float):
-        self.block, self.counts, self.order = block, counts, len(counts) - 1
+        self.block, self.order = block, len(counts) - 1
+        # near a text's start there are no tokens enough for the longer n-grams
+        self.counts = counts = [c if k < 3 else np.where(block.at < k - 2, 0, c) for k, c in enumerate(counts)]
         self.arc = [np.log10((counts[1] + 0.5) / (n_tokens + 0.5 * (n_types + 1)))]
         self.fail: list[np.ndarray] = []
         p = 10.0 ** self.arc[0]
@@ -190,7 +192,7 @@ class Automaton:
         """How often each token's history of k-1 tokens was seen, from the counts of what ends one token earlier."""
         history = np.empty_like(ending)
         history[1:] = ending[:-1]
-        history[self.block.starts] = self.counts[0]
+        history[self.block.starts] = self.counts[0] if k == 2 else 0
         return history
 
     def traverse(self) -> np.ndarray:
