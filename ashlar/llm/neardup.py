@@ -146,23 +146,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     some = sketched.where("n > 0")
     sets = C.written(some.groupBy("k1", "k2").agg(F.min("th").alias("node"), F.min("id").alias("rep"), F.first("n").alias("n")), "sets")
 
-    # a bucket is counted with partial aggregation, then its members are joined with that one row
-    firsts = some.join(sets.select(F.col("node").alias("th"), "k1", "k2"), ["th", "k1", "k2"], "left_semi")
+    # a bucket's first member is found with partial aggregation, then the members are joined with that one row
+    firsts = some.join(sets.select(F.col("node").alias("th"), "k1", "k2"), ["th", "k1", "k2"], "left_semi").dropDuplicates(["th", "k1", "k2"])
     exploded = firsts.select(F.col("th").alias("node"), "n", F.explode("bands").alias("band"))
-    buckets = exploded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").drop("last")
-    members = C.written(exploded.join(buckets, "band").distinct(), "members")
+    buckets = exploded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("last")).where("pivot.node <> last").drop("last")
+    members = C.written(exploded.join(buckets, "band"), "members")
 
-    nodes = members.select("node").distinct()
-    wanted = df.select(F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi")
+    wanted = df.select(F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text")).join(members.select("node").distinct(), "node", "left_semi")
     texts = C.written(wanted.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    sizes = members.select("node", "n").distinct()
-    first_pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
-    first_pairs = first_pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").where(close).select("a", "b")
-    tested = C.written(first_pairs, "pairs")
-    links = C.written(_verified(tested, texts, words, percent), "verified")
-    labels = components(links)
+    pairs = members.where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("pivot.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b"))
+    tested = C.written(pairs.where(close).select("a", "b").distinct(), "pairs")
+    labels = components(C.written(_verified(tested, texts, words, percent), "verified"))
 
     done, step = 1, 4
     while True:
@@ -174,11 +170,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             break
         pivots = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + step)).select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("rank").alias("r_a"))
         rest = ranked.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("rank").alias("r_b"))
-        more = pivots.join(rest, "band").where((F.col("r_b") > F.col("r_a")) & (F.col("c_a") != F.col("c_b")) & close).select("a", "b").distinct()
+        more = pivots.join(rest, "band").where((F.col("r_b") > F.col("r_a")) & (F.col("c_a") != F.col("c_b")) & close).select("a", "c_a", "b", "c_b").distinct()
         more = C.written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(more)
-        links = links.union(C.written(_verified(more, texts, words, percent), "verified"))
-        labels = components(links)
+        tested = tested.union(more.select("a", "b"))
+        found = C.written(_verified(more, texts, words, percent), "verified")
+        if not found.isEmpty():
+            # new links join whole components, so only those are looked at again
+            between = components(found.join(more, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+            alone = between.where("node <> component").select(F.col("node").alias("old"), F.col("component").alias("new"))
+            known = labels.union(between.select("node", F.col("node").alias("component"))).distinct()
+            labels = C.written(known.join(alone, known["component"] == alone["old"], "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
         done, step = done + step, step * 4
 
     joined = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
