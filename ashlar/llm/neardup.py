@@ -8,9 +8,10 @@
 3. Sketches are cut into ``BANDS`` bands of ``ROWS`` bins; nodes with an equal band share a bucket.  At similarity 0.85 a pair
    shares none of the 40 bands with probability 6e-9.
 4. Buckets are searched from pivots: first every member is held against the bucket's first, on full
-   sets.  Verified links make components; a bucket whose members are in one component is settled.  In those that are not, further pivots
-   (4, 16, 64 ... more) are held against the members of other components after them, until every
-   pair of different components in it was held.  So a group of m near copies costs about m pairs, and no pair that could still join two components is left out.
+   sets.  Verified links make components; a bucket whose members are in one component is settled.  In those that are not, the
+   ``CENTRAL`` members with most links are held against the members of other components, and in those still not settled
+   every member outside the largest component is.  Before that, profiles of their sets (how many
+   shingles fall into each class of hashes) bound every pair's similarity from above, and only pairs whose bound reaches the threshold are verified.  So a group of m near copies costs about m pairs, and no pair that could still join two components is left out.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from .graphs import components
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
+#: Classes of a set's profile.
+PROFILE = 64
+#: Members with most links that are pivots in the second turn; near copies are mostly linked to what they were copied from.
+CENTRAL = 4
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -133,6 +138,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
+def _profiles(texts: DataFrame, words: int) -> DataFrame:
+    """(node, profile): how many shingles of each node's set fall into each of ``PROFILE`` classes by hash.
+
+    Two sets differ by as many shingles at least as their profiles do, which bounds their similarity from above."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in X.batches(stream, "text", 1 << 20):
+            counts = [np.bincount((X.mix(s) % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE) for s in shingle_sets(batch.column("text"), words)]
+            ends = np.arange(0, len(counts) * PROFILE + 1, PROFILE, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(counts).astype(np.int32)))], names=["node", "profile"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, profile array<int>")
+
+
+def _open_members(members: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that still hold more than one component, with their rank in the bucket (most links
+    first) and whether they belong to its largest component."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    own = members.join(labels.join(degree, "node", "left"), "node", "left").select("band", "no", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    sizes = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
+    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1")
+    # a bucket of two was settled by its pivot
+    settled = sizes.groupBy("band").agg(F.sum("m").alias("all")).where("all > 2").select("band")
+    rows = own.join(open_.join(settled, "band", "left_semi").select("band", F.col("most.component").alias("most")), "band")
+    order = Window.partitionBy("band").orderBy(F.desc("degree"), "node")
+    return rows.select("band", "no", "node", "n", "component", F.row_number().over(order).alias("rank"), (F.col("component") == F.col("most")).alias("largest"))
+
+
+def _merged(labels: DataFrame, between: DataFrame) -> DataFrame:
+    """Labels after links between components; only the components linked are looked at again."""
+    new = C.written(components(between.distinct()), "merged")
+    known = labels.select("node", "component").union(new.select("node", F.col("node").alias("component"))).distinct()
+    return C.written(known.join(new.toDF("component", "new"), "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``df``: doc_id, text_hash, n_shingles, component_id (least id reachable over links) and kept.
 
@@ -148,7 +188,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     # a bucket's first member is found with partial aggregation, then the members are joined with that one row
     firsts = some.join(sets.select(F.col("node").alias("th"), "k1", "k2"), ["th", "k1", "k2"], "left_semi").dropDuplicates(["th", "k1", "k2"])
-    exploded = firsts.select(F.col("th").alias("node"), "n", F.explode("bands").alias("band"))
+    firsts = C.written(firsts.select(F.col("th").alias("node"), "n", "bands"), "firsts")
+    exploded = firsts.select("node", "n", F.posexplode("bands").alias("no", "band"))
     buckets = exploded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("last")).where("pivot.node <> last").drop("last")
     members = C.written(exploded.join(buckets, "band"), "members")
 
@@ -158,29 +199,29 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     pairs = members.where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("pivot.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b"))
     tested = C.written(pairs.where(close).select("a", "b").distinct(), "pairs")
-    labels = components(C.written(_verified(tested, texts, words, percent), "verified"))
-
-    done, step = 1, 4
-    while True:
-        own = members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-        open_ = own.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where((F.col("x") != F.col("y")) & (F.col("m") > done + 1)).select("band")
-        ranked = own.join(open_, "band", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("node")))
-        ranked = C.written(ranked, "ranked")
-        if ranked.isEmpty():
+    links = C.written(_verified(tested, texts, words, percent), "verified")
+    labels = components(links)
+
+    for central in (CENTRAL, None):
+        open_ = C.written(_open_members(members, labels, links), "open")
+        if open_.isEmpty():
             break
-        pivots = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + step)).select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("rank").alias("r_a"))
-        rest = ranked.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("rank").alias("r_b"))
-        more = pivots.join(rest, "band").where((F.col("r_b") > F.col("r_a")) & (F.col("c_a") != F.col("c_b")) & close).select("a", "c_a", "b", "c_b").distinct()
-        more = C.written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(more.select("a", "b"))
-        found = C.written(_verified(more, texts, words, percent), "verified")
-        if not found.isEmpty():
-            # new links join whole components, so only those are looked at again
-            between = components(found.join(more, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-            alone = between.where("node <> component").select(F.col("node").alias("old"), F.col("component").alias("new"))
-            known = labels.union(between.select("node", F.col("node").alias("component"))).distinct()
-            labels = C.written(known.join(alone, known["component"] == alone["old"], "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
-        done, step = done + step, step * 4
+        # 32 bits a band tell which band two nodes share first; the pair is looked at there only
+        nodes = C.written(open_.select("node").distinct(), "nodes")
+        codes = firsts.join(nodes, "node", "left_semi").select("node", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("codes"))
+        known = C.written(codes.join(_profiles(texts.join(nodes, "node", "left_semi"), words), "node"), "known")
+        ranked = open_.join(known, "node")
+        side = lambda k: ranked.select("band", "no", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component", "rank", "largest", "profile", "codes")])  # noqa: E731, B023
+        differ = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+        possible = 100 * (F.col("n_a") + F.col("n_b") - differ) >= percent * (F.col("n_a") + F.col("n_b") + differ)
+        left = side("a").where(F.col("rank_a") <= central) if central else side("a").where("not largest_a")
+        once = (F.col("rank_b") > F.col("rank_a")) if central else F.col("largest_b") | (F.col("rank_b") > F.col("rank_a"))
+        here = F.array_position(F.zip_with("codes_a", "codes_b", lambda x, y: x == y), True) == left["no"] + 1
+        found = left.join(side("b").drop("no"), "band").where((F.col("component_a") != F.col("component_b")) & once & close & possible & here)
+        more = C.written(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("component_a").alias("c_a"), F.col("component_b").alias("c_b")), "pairs")
+        fresh = C.written(_verified(more.select("a", "b"), texts, words, percent), "verified")
+        links = links.union(fresh)
+        labels = _merged(labels, fresh.join(more, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
 
     joined = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -90,7 +90,8 @@ def test_components(spark):
             if a != b:
                 low = min(label.get(a, a), label.get(b, b))
                 label[a] = label[b] = low
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), last_edges=3).collect()}
+    assert got.keys() == {r.node for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     groups = lambda d: sorted(sorted(n for n in d if d[n] == c) for c in set(d.values()))
     assert groups(got) == groups(label) and all(got[c] == c for c in got.values())
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
