@@ -192,9 +192,9 @@ def explain_last_failure(spark, sf_dir):
 # ---- catalog
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'P_rt%'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'sm_ll%'")
 def prefix_like(spark, sf_dir):
-    return catalog.prefixed(t(spark, sf_dir, "part").withColumn("id", F.col("p_name")), "P_rt%").select("p_partkey", "p_name")
+    return catalog.prefixed(t(spark, sf_dir, "part").withColumn("id", F.col("p_name")), "sm_ll%").select("p_partkey", "p_name")
 
 
 @query("SELECT c_custkey AS id, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
