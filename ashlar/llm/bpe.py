@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import _common as C
+from . import _text as X
 
 #: Characters in one call of the library; longer texts are cut.
 PIECE_CHARS = 1 << 16
@@ -69,17 +70,19 @@ class Codec:
 
 
 def _mapped(df: DataFrame, rank_path: str, pattern: str, fields: list[T.StructField], column: str, make: Callable) -> DataFrame:
+    """``df`` with the columns that ``make`` computes from ``column``, a few MB of text at a time."""
     shipped = df.sparkSession.sparkContext.broadcast(load_ranks(rank_path))
     key = (rank_path, pattern)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _cache:
             _cache[key] = Codec(shipped.value, pattern)
-        for batch in stream:
+        for batch in X.batches(stream, names[at]) if cut else stream:
             added = make(_cache[key], batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
 
     at = df.columns.index(column)
+    cut = isinstance(df.schema.fields[at].dataType, T.StringType)
     for f in fields:
         f.name = C.free_name(df.columns, f.name)
     schema = T.StructType([*df.schema.fields, *fields])
@@ -97,7 +100,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> D
     """
 
     def make(codec: Codec, column: pa.Array) -> list[pa.Array]:
-        ids = [codec.encode(x or "") for x in column.to_pylist()]
+        ids = [codec.encode(x.as_py() or "") for x in column]
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64))]
@@ -113,7 +116,9 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids")
     """
 
     def make(codec: Codec, column: pa.Array) -> list[pa.Array]:
-        return [pa.array([codec.decode(np.asarray(x or [], dtype=np.int64)) for x in column.to_pylist()], pa.binary())]
+        # one row's ids at a time are Python numbers
+        rows = (x.values for x in column)
+        return [pa.array([codec.decode(x.to_numpy(zero_copy_only=False)) if x is not None else b"" for x in rows], pa.binary())]
 
     return _mapped(df, rank_path, pattern, [T.StructField("decoded", T.BinaryType())], ids, make)
 
