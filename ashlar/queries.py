@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import bitvec as V
 from .functions import rules, truth
-from .operators import bundle, causal, graph, mining, search, trace
-from .plans import explain
-from .sources import catalog
+from .operators import bundle, causal, graph, metrics, mining, search, smells, trace
+from .plans import explain, suggest
+from .sources import catalog, models
 from .streaming import packets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -446,3 +446,62 @@ def document_copies(spark, sf_dir):
     """Flagship: exact fingerprint groups of the documents, joined back."""
     d = t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
     return d.join(d.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "key").select("doc_id", "copies")
+
+
+# ---- sources and structure
+
+
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model class per nation; those of two words in their name have no readable class."""
+    body = F.concat(F.lit("class "), "n_name", F.lit(" < ApplicationRecord\n  belongs_to :region\n  validates :name, presence: true, length: { maximum: 25 }\n"), F.when(F.col("n_regionkey") == 2, "  before_save :check\n").otherwise(""), F.lit("end\n"))
+    return t(spark, sf_dir, "nation").select(F.concat("n_nationkey", F.lit(".rb")).alias("path"), body.alias("text"))
+
+
+@query("""WITH m AS (SELECT n_name AS model, n_regionkey = 2 AS calls FROM nation WHERE NOT contains(n_name, ' '))
+SELECT model, model || '_' || o || '_entry' AS id, 'TRIGGER' AS node_type, 'transform_identity' AS fn_name FROM m, (VALUES ('create'), ('update'), ('destroy')) AS v(o)
+UNION ALL SELECT model, model || '_validate_name_presence_0', 'VALIDATE', 'validate_presence' FROM m UNION ALL SELECT model, model || '_validate_name_length_1', 'VALIDATE', 'validate_length' FROM m
+UNION ALL SELECT model, model || '_before_save_check', 'TRIGGER', 'check' FROM m WHERE calls UNION ALL SELECT model, model || '_persist', 'PERSIST', 'persist_' || lower(model) FROM m""")
+def model_nodes(spark, sf_dir):
+    return models.compiled(model_files(spark, sf_dir))[0]
+
+
+@query("""WITH m AS (SELECT n_name AS model, n_regionkey = 2 AS calls FROM nation WHERE NOT contains(n_name, ' '))
+SELECT model, model || '_create_entry' AS src, model || '_validate_name_presence_0' AS dst, 'TRIGGERS' AS edge_type FROM m
+UNION ALL SELECT model, model || '_validate_name_presence_0', model || '_validate_name_length_1', 'FEEDS' FROM m
+UNION ALL SELECT model, model || '_validate_name_length_1', model || '_before_save_check', 'TRIGGERS' FROM m WHERE calls
+UNION ALL SELECT model, model || CASE WHEN calls THEN '_before_save_check' ELSE '_validate_name_length_1' END, model || '_persist', 'FEEDS' FROM m""")
+def model_edges(spark, sf_dir):
+    return models.compiled(model_files(spark, sf_dir))[1]
+
+
+def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as code nodes: every fifth by size a class, the others methods."""
+    size = F.col("p_size")
+    kind = F.when(size % 5 == 0, "CLASS").otherwise("METHOD")
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), kind.alias("node_type"), F.col("p_name").alias("name"), F.col("p_type").alias("body"), size.cast("int").alias("line_count"), (size % 8).cast("int").alias("param_count"), (size % 6).cast("int").alias("nesting_depth"))
+
+
+@query("""WITH p AS (SELECT p_size, p_size % 5 <> 0 AS own FROM part), m AS (SELECT (count(*) FILTER (own))::bigint AS total_methods, (count(*) FILTER (NOT own))::bigint AS total_classes,
+round(avg(p_size) FILTER (own), 6) AS avg_method_length, round(avg(p_size % 8) FILTER (own), 6) AS avg_params, (max(p_size % 6) FILTER (own))::int AS max_nesting FROM p)
+SELECT *, round(total_methods / total_classes::double, 6) AS methods_per_class FROM m""")
+def code_metrics(spark, sf_dir):
+    m = metrics.quality_metrics(part_code(spark, sf_dir))
+    return m.select("total_methods", "total_classes", *[F.round(c, 6).alias(c) for c in ("avg_method_length", "avg_params")], "max_nesting", F.round("methods_per_class", 6).alias("methods_per_class"))
+
+
+@query("SELECT 'LONG_PARAMETER_LIST' AS smell, p_partkey::bigint AS id, round((p_size % 8) / 10.0::double, 6) AS confidence FROM part WHERE p_size % 5 <> 0 AND p_size % 8 > 5")
+def long_parameter_lists(spark, sf_dir):
+    return smells.long_parameter_list(part_code(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT 'n' || n_nationkey AS id, 1 + count(s_suppkey) FILTER (s_suppkey % 2 = 0) AS cyclomatic FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def cyclomatic(spark, sf_dir):
+    nodes, edges = places(spark, sf_dir)
+    kind = F.when(F.col("id").startswith("n"), "METHOD").when(F.col("id").startswith("s") & (F.substring("id", 2, 9).cast("int") % 2 == 0), "IF").otherwise("EXPR")
+    contains = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("CONTAINS").alias("edge_type"))
+    return metrics.cyclomatic(nodes.withColumn("node_type", kind), contains)
+
+
+@query()
+def suggest_fixes(spark, sf_dir):
+    return suggest.suggest_fixes(log(spark, sf_dir), log_nodes(spark, sf_dir).select("id", F.lit("VALIDATE").alias("node_type")))

@@ -99,3 +99,19 @@ def test_searches(spark, monkeypatch):
 def test_truth(spark):
     r = one(spark, truth.revision(truth.truth(1, 0.95), truth.truth(1, 0.8)).alias("t"), truth.expectation(truth.truth(1, 0.9)).alias("e"), truth.revision(truth.truth(1, 0), truth.truth(0, 0)).alias("none"))
     assert (r.t.frequency, round(r.t.confidence, 5), round(r.e, 6)) == (1.0, 0.63636, 0.95) and tuple(r.none) == (0.5, 0.0)
+
+
+def test_projection(spark):
+    import numpy as np
+
+    from ashlar.functions.project import fp_project
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(5, 1024)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, None), (6, [])]
+    got = {r.i: r.p for r in spark.createDataFrame(rows, "i int, v array<float>").select("i", fp_project(F.col("v")).alias("p")).collect()}
+    plane = np.random.RandomState(42).randn(10000, 1024).astype(np.float32) / 32
+    for i, v in enumerate(x):
+        differ = np.unpackbits(np.frombuffer(got[i], np.uint8)) != (plane @ v > 0)
+        assert len(got[i]) == 1250 and differ.sum() <= 2  # sums near zero may round to either side
+    assert got[5] is None and got[6] is None
