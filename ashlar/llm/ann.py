@@ -187,6 +187,15 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     return out
 
 
+def _sampled(vectors: DataFrame, sample: int) -> DataFrame:
+    """The ``sample`` rows of least hash.  About twice as many are let through by a bound on the hash first, so that what tasks
+    send on for the choice does not grow with their number; equal rows count once."""
+    share = min(1.0, 2 * sample / max(1, vectors.count()))
+    hashed = vectors.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31)))
+    few = hashed.where(F.col("h") <= int(share * (1 << 31))).dropDuplicates(["id", "v"])
+    return few.orderBy("h", "id", "v").limit(sample).drop("h")
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row of ``queries`` among all rows of ``df``
     of another id, by cosine, ties to the smaller id.
@@ -197,7 +206,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     schema = "query_id long, rank int, vec_id long, score double"
     spark = df.sparkSession
     vectors = C.written(clean_vectors(df, vec_id, embedding), "vectors")
-    taken = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    taken = _sampled(vectors, sample).toPandas()
     if not len(taken):
         return spark.createDataFrame([], schema)
     dim = len(taken["v"].iloc[0])
