@@ -2,7 +2,8 @@
 
 Each source gets a mean repetition rate, target weight x target size / own size.  A document's number
 of copies inverts the Poisson distribution of that mean at a uniform number taken from a hash of seed, id and text:
-the same on every machine, in any order, and for any partitioning.  Documents are exploded by their counts
+the same on every machine, in any order, and for any partitioning.  A rate over ``PART_RATE`` is split into equal parts
+below it and their draws, each at a uniform number of its own, are added up: the sum has the Poisson distribution of the whole rate.  Documents are exploded by their counts
 and all copies are dealt out anew by a hash of seed, id, text and copy, which shuffles globally.
 
 Sources are counted with partial aggregation.  Their rates are broadcast if there are at most
@@ -22,8 +23,8 @@ SEED = 17
 ALPHA = 0.5
 BROADCAST_SOURCES = 10_000
 SALTS = 64
-#: A rate above this is refused: exp(-rate) would vanish, and so many copies are no mixture.
-MAX_RATE = 600.0
+#: Rates above this are drawn in equal parts, as exp(-rate) would vanish.
+PART_RATE = 600.0
 
 
 def _digest(seed: int, parts: list[Column]) -> Column:
@@ -45,6 +46,14 @@ def poisson(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
 
 
+def drawn(seed: int, parts: list[Column], rate: Column) -> Column:
+    """A Poisson count of any rate: the sum of independent draws of rates up to ``PART_RATE``, the first at ``uniform(seed, *parts)``."""
+    n = F.greatest(F.ceil(rate / PART_RATE), F.lit(1)).cast("int")
+    one = lambda *place: _with(uniform(seed, *parts, *place), lambda u: poisson(u, rate / n))
+    more = F.aggregate(F.sequence(F.lit(2), n), F.lit(0), lambda s, i: s + one(i))
+    return one() + F.when(n > 1, more).otherwise(0)
+
+
 def source_rates(df: DataFrame, source: str = "source", weights: DataFrame | None = None, alpha: float = ALPHA, size: int | None = None) -> DataFrame:
     """(source, rate): ``weights`` has (source, weight), any scale; without it weights are shares to the power ``alpha``.
 
@@ -60,8 +69,7 @@ def source_rates(df: DataFrame, source: str = "source", weights: DataFrame | Non
     total = counts.agg(F.sum(F.col("weight").cast("decimal(38,9)")).cast("double").alias("all_weight"), F.sum("n").alias("all_n"))
     rate = F.col("weight") / F.col("all_weight") * (F.lit(float(size)) if size is not None else F.col("all_n").cast("double")) / F.col("n")
     rate = F.when(F.col("all_weight") > 0, rate).otherwise(0.0)
-    bounded = F.when(rate <= MAX_RATE, rate).otherwise(F.raise_error(F.lit(f"a source's rate is over {MAX_RATE}")).cast("double"))
-    return counts.crossJoin(F.broadcast(total)).select("source", bounded.alias("rate"))  # total is one row
+    return counts.crossJoin(F.broadcast(total)).select("source", rate.alias("rate"))  # total is one row
 
 
 def mix_sources(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: DataFrame | None = None, alpha: float = ALPHA, size: int | None = None, seed: int = SEED) -> DataFrame:
@@ -80,7 +88,6 @@ def mix_sources(df: DataFrame, doc_id: str = "doc_id", source: str = "source", t
         salts = rates.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = salted.join(salts, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salt_of"))).drop("__salt", "__salt_of")
     parts = [F.col(doc_id), F.col(text)]
-    copies = _with(uniform(seed, *parts), lambda u: poisson(u, F.col(rate)))
-    rows = rows.drop("__source").withColumn("__copies", copies).where("__copies > 0")
+    rows = rows.drop("__source").withColumn("__copies", drawn(seed, parts, F.col(rate))).where("__copies > 0")
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__copies")))).withColumn(mix, _digest(seed + 1, [*parts, F.col(copy)]))
     return rows.select(*df.columns, copy, rate, mix).repartition(C.shuffle_partitions(df.sparkSession), mix).sortWithinPartitions(mix)

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -41,3 +42,43 @@ def test_repeated_rows_nulls_and_empty(spark):
     rows = mixing.mix_sources(df).collect()
     assert sum(r.doc_id == 1 for r in rows) % 2 == 0
     assert mixing.mix_sources(df.limit(0)).collect() == []
+
+
+def test_rates_of_any_size(spark):
+    def inverse(u, lam):
+        term = total = math.exp(-lam)
+        k = 0
+        while u >= total:
+            k += 1
+            term *= lam / k
+            total += term
+        return k
+
+    def number(*parts):
+        return int(hashlib.md5(":".join(map(str, (mixing.SEED, *parts))).encode()).hexdigest()[:13], 16) / 2**52
+
+    rows = [(i, "common", f"text {i}") for i in range(300)] + [(1000 + i, "rare", f"rare {i}") for i in range(40)] + [(2000, None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = spark.createDataFrame([("common", 3.0), ("rare", 600.0), (None, 25.0)], "source string, weight double")
+    mixed = mixing.mix_sources(df, weights=weights, size=62800)
+    got = {r.doc_id: r for r in mixed.groupBy("doc_id", "rate").agg(F.count("*").alias("n"), F.max("copy").alias("last"), F.countDistinct("mix_key").alias("keys")).collect()}
+    rates = {"common": 1.0, "rare": 1500.0, None: 2500.0}
+    for doc_id, source, text in rows:
+        parts = max(1, math.ceil(rates[source] / mixing.PART_RATE))
+        want = sum(inverse(number(doc_id, text, *[j] * (j > 1)), rates[source] / parts) for j in range(1, parts + 1))
+        assert (doc_id in got) == (want > 0)
+        if want:
+            r = got[doc_id]
+            assert (r.n, r.last, r.keys) == (want, want, want) and abs(r.rate - rates[source]) < 1e-9
+    counts = [got[1000 + i].n for i in range(40)]
+    mean = sum(counts) / 40
+    assert abs(mean - 1500) < 5 * (1500 / 40) ** 0.5 and 0.4 < sum((n - mean) ** 2 for n in counts) / 39 / 1500 < 2.2
+    assert abs(got[2000].n - 2500) < 5 * 50
+
+
+def test_one_row_of_a_rare_source_beside_large_ones(spark):
+    counts = spark.range(21).select(F.concat(F.lit("s"), "id").alias("source"))
+    df = counts.withColumn("i", F.explode(F.sequence(F.lit(1), F.when(F.col("source") == "s20", 1).otherwise(2000))))
+    weights = counts.withColumn("weight", F.when(F.col("source") == "s20", 936.0).otherwise(39064 / 20))
+    got = {r.source: r.rate for r in mixing.source_rates(df, weights=weights, size=40000).collect()}
+    assert abs(got["s20"] - 936) < 1e-6 and len(got) == 21
