@@ -1,13 +1,14 @@
-"""License scans by patience alignment.
+"""License scans by alignment with the whole text.
 
-A template is aligned with a stretch of text by the patience method: words that occur once in both are
-anchors, the longest increasing subsequence of their places is kept, and the gaps between are aligned in the same way;
-equal words at the ends of a gap are matched first.  Coverage is the share of the template's words matched.
+Coverage is the share of a template's words that the text holds in the template's order, with gaps of any length: the longest
+common subsequence of both, found exactly with one bit for each word of the template.  Of all regions of the text that
+hold as many words in order, the shortest is reported, so inserted names, years or clauses count the same wherever they lie.
 
-Texts are read in stretches of four template lengths, two apart, so that any occurrence up to twice as long as
-its template lies whole inside one.  Before any alignment, stretches are dismissed that could not reach the
-coverage wanted even if every word they share with the template matched; this dismisses nothing that would be found.
-Each task works on its own Arrow batches: nothing is shuffled, and memory is a small multiple of a batch.
+Before any alignment, texts are dismissed that could not reach the coverage wanted even if every word they share with the
+template matched; this dismisses nothing that would be found.  Each task works on its own Arrow batches: nothing is shuffled,
+and memory is a small multiple of a batch.  ``align`` pairs the words of a region with those of a template by the patience method:
+words that occur once in both are anchors, the longest increasing subsequence of their places is kept, and the gaps between are
+aligned in the same way; equal words at the ends of a gap are matched first.
 """
 
 from __future__ import annotations
@@ -106,28 +107,42 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def best_match(text: Sequence[int], template: Sequence[int], wanted: int) -> tuple[int, int, int] | None:
     """(words matched, first, last place in the text) of the fullest alignment with ``wanted`` words or more, if any.
 
-    Of stretches that match alike the first counts.  A stretch in which repeats leave no anchor (two notices side by
-    side, say) is also read in halves that overlap by a template's length.
+    Of regions that match alike the shortest counts, and of these the first.
     """
-    size, best, need = len(template), None, Counter(template)
-    at, spans = 0, []
-    while True:
-        spans.append((at, min(len(text), at + 4 * size)))
-        if at + 4 * size >= len(text):
-            break
-        at += 2 * size
-    spans = spans[::-1]
-    while spans:
-        a, b = spans.pop()
-        part = text[a:b]
-        if sum(need[w] for w in need.keys() & set(part)) < wanted:
-            continue
-        pairs = align(part, template)
-        if len(pairs) >= wanted and (best is None or len(pairs) > best[0]):
-            best = (len(pairs), a + pairs[0][0], a + pairs[-1][0])
-        elif len(pairs) < wanted and b - a > size + 1:
-            half = max(1, (b - a - size) // 2)
-            spans += [(a + half, b), (a, b - half)] if half < b - a else []
+    bits: dict[int, int] = {}
+    for j, w in enumerate(template):
+        bits[w] = bits.get(w, 0) | 1 << j
+    hits = [(i, bits[w]) for i, w in enumerate(text) if w in bits]
+    whole = rest = (1 << len(template)) - 1
+    for _, here in hits:
+        taken = rest & here
+        rest = (rest + taken | rest - taken) & whole
+    matched = len(template) - rest.bit_count()
+    return (matched, *_shortest(hits, len(template), matched)) if matched >= max(wanted, 1) else None
+
+
+def _shortest(hits: list[tuple[int, int]], size: int, matched: int) -> tuple[int, int]:
+    """First and last place of the shortest region that matches ``matched`` words, the most that any does.
+
+    starts[d][j] is the latest place from which all but d of the template's first j words have matched, or -1.
+    """
+    skips = size - matched
+    starts = [[-1] * (size + 1) for _ in range(skips + 1)]
+    best = None
+    for i, here in hits:
+        before = starts[skips][size]
+        while here:  # later words of the template first, so that a place in the text matches one word
+            j = here.bit_length() - 1
+            here ^= 1 << j
+            for d in range(skips + 1):
+                start = i if d >= j else starts[d][j]
+                for e in range(min(skips - d, size - j - 1) + 1):
+                    if starts[d + e][j + 1 + e] >= start:
+                        break
+                    starts[d + e][j + 1 + e] = start
+        start = starts[skips][size]
+        if start > before and (best is None or i - start < best[1] - best[0]):
+            best = (start, i)
     return best
 
 

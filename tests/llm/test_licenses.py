@@ -50,3 +50,41 @@ def test_planted_lines_are_found_and_nothing_else(spark, sf_dir):
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "text string")).columns == ["text", "licenses"]
     assert licenses.scan(spark.createDataFrame([], "text string")).collect() == []
+
+
+def test_best_match_against_every_region():
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    random.seed(11)
+    for _ in range(400):
+        template = [random.choice("abcdef") for _ in range(random.randint(1, 9))]
+        text = [random.choice("abcdefghij") for _ in range(random.randint(0, 24))]
+        wanted = random.randint(1, len(template))
+        most = common(text, template)
+        want = None
+        if most >= wanted:
+            last, first = min((b - a, a) for a in range(len(text)) for b in range(a, len(text)) if common(text[a : b + 1], template) == most)
+            want = (most, first, first + last)
+        assert licenses.best_match(text, template, wanted) == want, (text, template, wanted)
+
+
+def test_inserted_words_are_found_at_any_place(spark):
+    notice = "Released in 2020 by Example under the terms of the MIT License"
+    far = "Released " + "zz " * 500 + "under the MIT License"
+    rows = [(i, "zz " * i + notice + " zz" * 40) for i in range(45)] + [(100, "zz " * 9 + far), (101, "Licensed under CC BY. " + "zz " * 3 + "Licensed under CC BY-NC 4.0.")]
+    got = {r.doc_id: {x.license: (x.coverage, x.first_word, x.last_word) for x in r.licenses} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == {"MIT": (1.0, i, i + 11)} for i in range(45))
+    assert got[100] == {"MIT": (1.0, 9, 513)} and got[101] == {"CC-BY-NC-4.0": (1.0, 7, 13)}
+
+
+def test_fuller_copy_beside_one_that_is_full_enough():
+    template = [f"t{i}" for i in range(20)]
+    text = [*template[:18], "x", "x", *template, "x"]
+    assert licenses.best_match(text, template, 18) == (20, 20, 39)
