@@ -14,6 +14,8 @@ from .graph import cut, strong_components
 
 #: Names that are entered from outside, so that nothing need call them (fixed values).
 ENTRY_NAMES = ("main", "__init__", "__main__", "run", "start", "execute")
+#: Nesting at which the confidence of ARROW_CODE reaches 1.
+DEEPEST = 6
 
 
 def _found(rows: DataFrame, smell: str, confidence: Column) -> DataFrame:
@@ -59,20 +61,22 @@ def feature_envy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _found(counted.where("ext > own and ext > 2"), "FEATURE_ENVY", F.least(F.col("ext") / (F.col("ext") + F.col("own") + 1), F.lit(1.0)))
 
 
-def arrow_code(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """Methods and functions that hold control flow nested four deep or more."""
+def arrow_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Methods and functions that hold control flow nested four deep or more.
+
+    Depths of DEEPEST and more have the same confidence and count as DEEPEST; a node is carried on only while its depth
+    grows, so the loop ends on cycles and goes as far down as the code does."""
     kinds = nodes.select(F.col("id").alias("dst"), F.col("node_type").isin("IF", "ELIF", "FOREACH", "WHILE").cast("int").alias("deeper"))
     inside = edges.where("edge_type = 'CONTAINS'").select("src", "dst").distinct().join(kinds, "dst")
-    frontier = nodes.where("node_type in ('METHOD', 'FUNCTION')").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    found = frontier
-    for _ in range(most):
-        step = frontier.join(inside, frontier["id"] == inside["src"]).select("root", F.col("dst").alias("id"), (F.col("depth") + F.col("deeper")).alias("depth"))
-        frontier = cut(step.groupBy("root", "id").agg(F.max("depth").alias("depth")))
-        if frontier.isEmpty():
-            break
-        found = found.union(frontier)
+    found = frontier = cut(nodes.where("node_type in ('METHOD', 'FUNCTION')").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
+    while not frontier.isEmpty():
+        depth = F.least(F.col("depth") + F.col("deeper"), F.lit(DEEPEST))
+        step = frontier.join(inside, frontier["id"] == inside["src"]).select("root", F.col("dst").alias("id"), depth.alias("depth")).groupBy("root", "id").agg(F.max("depth").alias("depth"))
+        known = step.join(found.withColumnRenamed("depth", "known"), ["root", "id"], "left")
+        frontier = cut(known.where("known is null or depth > known").select("root", "id", "depth"))
+        found = cut(found.union(frontier).groupBy("root", "id").agg(F.max("depth").alias("depth")))
     deepest = found.groupBy(F.col("root").alias("id")).agg(F.max("depth").alias("d")).where("d >= 4")
-    return _found(deepest, "ARROW_CODE", F.least(F.col("d") / 6, F.lit(1.0)))
+    return _found(deepest, "ARROW_CODE", F.least(F.col("d") / DEEPEST, F.lit(1.0)))
 
 
 def copy_paste(nodes: DataFrame) -> DataFrame:

@@ -99,3 +99,20 @@ def test_causal_graph(spark):
     assert "config_change" in {r.id for r in back.collect()}
     seen = spark.createDataFrame([(1, "a", "b", 0.5), (2, "a", "b", 0.9), (3, "a", "b", 0.1)], "seq long, src string, dst string, confidence double")
     assert round(causal.reinforced(seen).first().confidence, 6) == 0.7
+
+
+def test_containment_of_any_depth(spark):
+    nodes = spark.createDataFrame([(f"n{i:03}", f"x{i}") for i in range(106)] + [("c1", "c1"), ("c2", "c2")], "id string, name string")
+    contains = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(105)] + [("c1", "c2"), ("c2", "c1")], "src string, dst string")
+    got = {r.id: (r.depth, r.path) for r in graph.containment(nodes, contains).collect()}
+    assert got == {f"n{i:03}": (i, " → ".join(f"x{k}" for k in range(i + 1))) for i in range(106)}
+
+
+def test_arrow_code_of_any_depth_and_on_cycles(spark):
+    kinds = {"m": "METHOD", "f": "FUNCTION", "g": "FUNCTION", **{f"b{i}": "BLOCK" for i in range(66)}, **{f"i{i}": "IF" for i in range(4)}, "w": "WHILE", "v": "BLOCK", "p": "IF", "q": "IF"}
+    chain = ["m", *[f"b{i}" for i in range(66)], *[f"i{i}" for i in range(4)]]
+    links = [*zip(chain, chain[1:]), ("f", "v"), ("v", "w"), ("w", "v"), ("g", "p"), ("g", "q"), ("p", "q")]
+    nodes = spark.createDataFrame(list(kinds.items()), "id string, node_type string")
+    edges = spark.createDataFrame([(a, b, "CONTAINS") for a, b in links], "src string, dst string, edge_type string")
+    got = {r.id: round(r.confidence, 6) for r in smells.arrow_code(nodes, edges).collect()}
+    assert got == {"m": round(4 / 6, 6), "f": 1.0}
