@@ -11,8 +11,10 @@ def node_stats(log: DataFrame) -> DataFrame:
     return log.groupBy("node_id").agg(F.count(F.lit(1)).alias("executions"), F.avg("duration_ms").alias("avg_duration"), F.max("duration_ms").alias("max_duration"), F.count_if(~F.col("success")).alias("failures"))
 
 
-def slowest_nodes(log: DataFrame, k: int = 10) -> DataFrame:
-    return node_stats(log).orderBy(F.desc("avg_duration"), "node_id").limit(k)
+def slowest_nodes(log: DataFrame, k: int | None = 10) -> DataFrame:
+    """The ``k`` slowest nodes, or all if ``k`` is None, slowest first."""
+    ranked = node_stats(log).orderBy(F.desc("avg_duration"), "node_id")
+    return ranked if k is None else ranked.limit(k)
 
 
 def last_failure(log: DataFrame, node: str | None = None) -> DataFrame:

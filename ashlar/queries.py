@@ -144,7 +144,7 @@ def exact_dup_groups(spark, sf_dir):
 
 @query("SELECT event_type AS node_id, count(*) AS executions, round(avg(value), 6) AS avg_duration, max(value) AS max_duration, (count(*) FILTER (event_type = 'error'))::bigint AS failures FROM events GROUP BY 1")
 def slowest_nodes(spark, sf_dir):
-    return trace.slowest_nodes(log(spark, sf_dir)).withColumn("avg_duration", F.round("avg_duration", 6))
+    return trace.slowest_nodes(log(spark, sf_dir), None).withColumn("avg_duration", F.round("avg_duration", 6))
 
 
 @query(f"WITH {LOG} SELECT execution_id, node_id, event_id FROM log WHERE NOT success ORDER BY ts DESC LIMIT 1")

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ashlar import queries
 from ashlar.operators import causal, graph, mining, smells
 
 
@@ -116,3 +117,9 @@ def test_arrow_code_of_any_depth_and_on_cycles(spark):
     edges = spark.createDataFrame([(a, b, "CONTAINS") for a, b in links], "src string, dst string, edge_type string")
     got = {r.id: round(r.confidence, 6) for r in smells.arrow_code(nodes, edges).collect()}
     assert got == {"m": round(4 / 6, 6), "f": 1.0}
+
+
+def test_slowest_nodes_gives_every_node(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"n{i:02}", float(i), True) for i in range(13)], "node_id string, duration_ms double, success boolean")
+    monkeypatch.setattr(queries, "log", lambda spark, sf_dir: rows)
+    assert [r.node_id for r in queries.QUERIES["slowest_nodes"](spark, "").collect()] == [f"n{i:02}" for i in reversed(range(13))]
