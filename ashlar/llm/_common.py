@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (a local session, as in tests) a folder is made and set.
+    Only where that is unset in a local session, as in tests, a folder is made and set; a cluster without it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ashlar-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -60,6 +62,19 @@ def free_name(taken: list[str], wanted: str) -> str:
     return name
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """A free name for each of ``wanted``, for helper columns beside a caller's own."""
+    found: list[str] = []
+    for name in wanted:
+        found.append(free_name([*taken, *found], name))
+    return found
+
+
+def keyed(column: str):
+    """The column of that very name, also where the name holds dots or backquotes."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def lower_ascii(text):
     """Lower-case A-Z only, as the contracts say; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,8 +1,8 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
 A text's lines (split on ``\\n``, white space at their ends aside; blank lines hold no unit) are laid out as units: one for every
-``UNIT_BYTES`` bytes begun, each carrying the hash of its whole line and its place in it.  A *run* is a
-window of ``run_units`` consecutive units, so a few short lines or one long line make a run alike.
+``UNIT_WORDS`` words begun, each carrying hashes of its whole line and its place in it.  A *run* is a
+window of ``run_units`` consecutive units, so a few short lines or one long line make a run alike, and lines of over 40 words together hold one in any script.
 A line is deleted if it lies, with any unit, in a run that occurs earlier in the table (by document id, then
 by place).
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 from .quality import _with
 
-UNIT_BYTES = 48
-#: A run of 6 units is 6 short lines, or fewer with over 240 bytes: about 40 words.
+UNIT_WORDS = 8
+#: A run of 6 units is 6 short lines, or fewer with over 40 words.
 RUN_UNITS = 6
 #: Units that a text has at most, as a power of two: more than a string's 2 GB hold.
 PLACE_BITS = 26
@@ -38,18 +38,20 @@ def _lines(text: Column) -> Column:
 
 
 def _units(lines: Column) -> Column:
-    """Hashes of the units of a text's lines, in order."""
+    """Hashes (h of 64 bits, g of 32) of the units of a text's lines, in order."""
+    none = F.array().cast("array<struct<h:bigint,g:int>>")
 
     def of_line(line: Column) -> Column:
-        bare = F.btrim(line, F.lit(_SPACES))
-        each = lambda h: F.transform(F.sequence(F.lit(1), _count(bare)), lambda j: F.xxhash64(h, j))
-        return F.when(F.octet_length(bare) > 0, _with(F.xxhash64(bare), each)).otherwise(F.array().cast("array<bigint>"))
+        each = lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda j: F.struct(F.xxhash64(x["h"], j).alias("h"), F.hash(x["g"], j).alias("g")))
+        whole = lambda bare: _with(F.struct(F.xxhash64(bare).alias("h"), F.hash(bare).alias("g"), _count(bare).alias("n")), each)
+        return _with(F.btrim(line, F.lit(_SPACES)), lambda bare: F.when(F.octet_length(bare) > 0, whole(bare)).otherwise(none))
 
     return F.flatten(F.transform(lines, of_line))
 
 
 def _count(bare: Column) -> Column:
-    return F.floor(F.octet_length(bare) / UNIT_BYTES).cast("int") + 1
+    """Units of a line without white space at its ends, which has a word."""
+    return F.ceil(F.size(F.split(bare, r"[\x20\x09-\x0D]+")) / UNIT_WORDS).cast("int")
 
 
 def _line_of_units(lines: Column) -> Column:
@@ -78,23 +80,25 @@ def _chosen(hashes: Column, run: int) -> Column:
 
 
 def later_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", run_units: int = RUN_UNITS) -> DataFrame:
-    """Per document (``__key``: hash of id and text) the starts (``__starts``) of its runs that occur earlier."""
+    """(id, key, starts): per document (key: hash of id and text) the starts of its runs that occur earlier."""
     key = F.xxhash64(F.col(doc_id), F.col(text))
-    units = df.select(F.col(doc_id).alias("id"), key.alias("key"), _units(_lines(F.col(text))).alias("h"))
-    units = C.written(units.where(F.size("h") >= run_units), "units")
+    units = df.select(F.col(doc_id).alias("id"), key.alias("key"), _units(_lines(F.col(text))).alias("u"))
+    units = C.written(units.where(F.size("u") >= run_units).select("id", "key", F.col("u.h").alias("h"), F.col("u.g").alias("g")), "units")
 
-    marks = units.select("key", F.inline(_with(F.col("h"), lambda h: _chosen(h, run_units))))
+    marks = units.select("id", "key", F.inline(_with(F.col("h"), lambda h: _chosen(h, run_units))))
     repeated = marks.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    ranges = marks.join(repeated, "fp", "left_semi").groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    ranges = marks.join(repeated, "fp", "left_semi").groupBy("id", "key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    ranges = ranges.withColumnsRenamed({"id": "own", "key": "own_key"})
 
-    # hashed before they are exploded, so that no row carries its text's whole array
+    # hashed before they are exploded, so that no row carries its text's whole array; 96 bits, as equality deletes text
     starts = F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"])))
-    content = lambda s: F.struct(s.alias("s"), F.xxhash64(*[F.col("h")[s + k] for k in range(run_units)]).alias("content"))
-    runs = units.join(ranges, "key").select("id", "key", F.inline(F.transform(starts, content)))
+    hashed = lambda f, c, s: f(*[F.col(c)[s + k] for k in range(run_units)])
+    content = lambda s: F.struct(s.alias("s"), hashed(F.xxhash64, "h", s).alias("content"), hashed(F.hash, "g", s).alias("check"))
+    runs = units.join(ranges, (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own"))).select("id", "key", F.inline(F.transform(starts, content)))
     runs = C.written(runs, "runs")
-    firsts = runs.groupBy("content").agg(F.min(F.struct("id", "key", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = runs.join(firsts.select("content", "first"), "content").where(F.struct("id", "key", "s") != F.col("first"))
-    return later.groupBy(F.col("key").alias("__key")).agg(F.collect_set("s").alias("__starts"))
+    firsts = runs.groupBy("content", "check").agg(F.min(F.struct("id", "key", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = runs.join(firsts.select("content", "check", "first"), ["content", "check"]).where(F.struct("id", "key", "s") != F.col("first"))
+    return later.groupBy("id", "key").agg(F.collect_set("s").alias("starts"))
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", run_units: int = RUN_UNITS) -> DataFrame:
@@ -104,17 +108,17 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", run_u
     empty.  Rows with the same id and the same text are one document and end alike; a null id comes before all
     others.  An empty table gives an empty table.  If the added name is taken, a number follows.
     """
-    name = C.free_name(df.columns, "n_removed_lines")
-    later = later_runs(df, doc_id, text, run_units)
-    rows = df.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text))).join(later, "__key", "left")
+    name, id_, key, starts, result = C.free_names(df.columns, "n_removed_lines", "id_of", "key", "starts", "result")
+    later = later_runs(df, doc_id, text, run_units).toDF(id_, key, starts)
+    rows = df.join(later, (F.xxhash64(F.col(doc_id), F.col(text)) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(id_)), "left")
 
     def gone(lines: Column) -> Column:
-        covered = _with(_line_of_units(lines), lambda u: F.array_distinct(F.flatten(F.transform(F.col("__starts"), lambda s: F.array(*[u[s + k] for k in range(run_units)])))))
+        covered = _with(_line_of_units(lines), lambda u: F.array_distinct(F.flatten(F.transform(F.col(starts), lambda s: F.array(*[u[s + k] for k in range(run_units)])))))
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
         body = F.array_join(F.transform(left, lambda i: lines[i]), "\n")
         blank = F.btrim(body, F.lit(_SPACES + "\n")) == ""
         return F.struct(F.when(blank, F.lit("")).otherwise(body).alias("text"), (F.size(lines) - F.size(left)).cast("long").alias("n"))
 
-    result = F.when(F.col("__starts").isNull(), F.struct(F.col(text).alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(_with(_lines(F.col(text)), gone))
-    rows = rows.withColumn("__result", result)
-    return rows.select(*[F.col("__result.text").alias(c) if c == text else F.col(c) for c in df.columns], F.col("__result.n").alias(name))
+    same = F.struct(F.col(text).alias("text"), F.lit(0).cast("long").alias("n"))
+    rows = rows.withColumn(result, F.when(F.col(starts).isNull(), same).otherwise(_with(_lines(F.col(text)), gone)))
+    return rows.select(*[F.col(result)["text"].alias(c) if c == text else C.keyed(c) for c in df.columns], F.col(result)["n"].alias(name))

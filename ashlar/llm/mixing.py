@@ -61,8 +61,8 @@ def source_rates(df: DataFrame, source: str = "source", weights: DataFrame | Non
     """
     counts = df.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is not None:
-        wanted = weights.select(F.col("source").alias("__source"), F.col("weight").cast("double").alias("weight"))
-        counts = counts.join(wanted, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).drop("__source")
+        wanted = weights.select(F.col("source").alias("wanted"), F.col("weight").cast("double").alias("weight"))
+        counts = counts.join(wanted, F.col("source").eqNullSafe(F.col("wanted")), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).drop("wanted")
     else:
         counts = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(alpha)))
     # decimals add up alike in any order
@@ -79,15 +79,15 @@ def mix_sources(df: DataFrame, doc_id: str = "doc_id", source: str = "source", t
     order.  Rows alike in id and text get alike counts; null ids, sources and texts count as values of their own; an empty
     table gives an empty table; added names that are taken get a number.
     """
-    copy, rate, mix = (C.free_name(df.columns, x) for x in ("copy", "rate", "mix_key"))
-    rates = C.written(source_rates(df, source, weights, alpha, size).toDF("__source", rate), "rates")
+    copy, rate, mix, own, salt, salted_as, n = C.free_names(df.columns, "copy", "rate", "mix_key", "own", "salt", "salted_as", "n")
+    rates = C.written(source_rates(df, source, weights, alpha, size).toDF(own, rate), "rates")
     if rates.count() <= BROADCAST_SOURCES:
-        rows = df.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("__source")))
+        rows = df.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col(own)))
     else:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(SALTS)).cast("int"))
-        salts = rates.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = salted.join(salts, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salt_of"))).drop("__salt", "__salt_of")
+        salted = df.withColumn(salt, F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(SALTS)).cast("int"))
+        salts = rates.withColumn(salted_as, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = salted.join(salts, F.col(source).eqNullSafe(F.col(own)) & (F.col(salt) == F.col(salted_as)))
     parts = [F.col(doc_id), F.col(text)]
-    rows = rows.drop("__source").withColumn("__copies", drawn(seed, parts, F.col(rate))).where("__copies > 0")
-    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__copies")))).withColumn(mix, _digest(seed + 1, [*parts, F.col(copy)]))
-    return rows.select(*df.columns, copy, rate, mix).repartition(C.shuffle_partitions(df.sparkSession), mix).sortWithinPartitions(mix)
+    rows = rows.withColumn(n, drawn(seed, parts, F.col(rate))).where(F.col(n) > 0)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).withColumn(mix, _digest(seed + 1, [*parts, F.col(copy)]))
+    return rows.select(*[C.keyed(c) for c in df.columns], copy, rate, mix).repartition(C.shuffle_partitions(df.sparkSession), mix).sortWithinPartitions(mix)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import lm
-from .linededup import RUN_UNITS, UNIT_BYTES
-from .mixing import ALPHA, SEED
+from .linededup import RUN_UNITS, UNIT_WORDS
+from .mixing import ALPHA, PART_RATE, SEED
 from .quality import MAX_HOST_RATE, MAX_REPEAT_PERCENT, MIN_WORDS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,20 +14,20 @@ WITH rates AS (
   SELECT source, power(n::double, {ALPHA}) / sum(power(n::double, {ALPHA})) OVER () * sum(n) OVER () / n AS rate
   FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)
 ),
+parts AS (SELECT source, greatest(ceil(rate / {PART_RATE}), 1)::bigint AS parts, rate / greatest(ceil(rate / {PART_RATE}), 1) AS rate FROM rates),
+placed AS (SELECT d.*, unnest(range(1, parts + 1)) AS part FROM documents d JOIN parts r ON d.source IS NOT DISTINCT FROM r.source),
 drawn AS (
-  SELECT d.*, r.rate, ('0x' || substr(md5('{SEED}:' || doc_id || ':' || text), 1, 13))::bigint / 4503599627370496.0::double AS u
-  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
-),
-sums AS (
-  SELECT source, rate, k, sum(exp(-rate) * rate ** k / gamma(k + 1)) OVER (PARTITION BY source ORDER BY k) AS upto
-  FROM rates, (SELECT unnest(range(40)) AS k)
+  SELECT *, ('0x' || substr(md5('{SEED}:' || doc_id || ':' || coalesce(text, '') || CASE WHEN part > 1 THEN ':' || part ELSE '' END), 1, 13))::bigint / 4503599627370496.0::double AS u
+  FROM placed
 ),
+steps AS (SELECT source, rate, unnest(range(ceil(rate + 12 * sqrt(rate) + 24)::bigint + 1)) AS k FROM parts),
+sums AS (SELECT source, k, sum(CASE WHEN k = 0 THEN exp(-rate) ELSE exp(k * ln(rate) - rate - lgamma(k + 1)) END) OVER (PARTITION BY source ORDER BY k) AS upto FROM steps),
 counted AS (
   SELECT doc_id, any_value(text) AS text, any_value(source) AS source, count(*) AS n
   FROM (SELECT d.doc_id, d.text, d.source FROM drawn d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source AND d.u >= s.upto)
   GROUP BY doc_id
 )
-SELECT doc_id, source, text, copy::int AS copy, md5('{SEED + 1}:' || doc_id || ':' || text || ':' || copy) AS mix_key
+SELECT doc_id, source, text, copy::int AS copy, md5('{SEED + 1}:' || doc_id || ':' || coalesce(text, '') || ':' || copy) AS mix_key
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)
 """
 
@@ -79,12 +79,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed JOIN rates ON failed.source IS NOT DISTINCT FROM rates.source
 """
 
-OP10 = f"""
+OP10 = rf"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS line FROM split),
 bare AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM lines),
 units AS (
-  SELECT doc_id, line, t, unnest(range(1, strlen(t) // {UNIT_BYTES} + 2)) AS j
+  SELECT doc_id, line, t, unnest(range(1, (len(regexp_extract_all(t, '{WORD}')) + {UNIT_WORDS - 1}) // {UNIT_WORDS} + 1)) AS j
   FROM bare WHERE length(t) > 0
 ),
 placed AS (SELECT doc_id, line, md5(t || '/' || j) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY line, j) AS u FROM units),

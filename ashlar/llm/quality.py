@@ -121,19 +121,20 @@ def assess(
     The rows are measured once, into the shared folder, and read from there for both the hosts' rates and
     the result; without ``keep_text`` the text column is left out of that table and of the result.
     """
-    name = C.free_name(df.columns, "quality")
+    name, own, rate, salt, salted_as = C.free_names(df.columns, "quality", "own", "rate", "salt", "salted_as")
     measured = df.withColumn(name, document_measures(F.col(text)))
     failed = (F.col(f"{name}.n_words") < min_words) | (100 * F.col(f"{name}.n_repeat_words") > max_repeat_percent * F.col(f"{name}.n_words"))
     measured = measured.withColumn(name, F.col(name).withField("base_failed", failed))
     measured = C.written(measured if keep_text else measured.drop(text), "quality")
 
     failures = host_rates(measured, F.col(host), F.col(f"{name}.base_failed"))
-    rates = C.written(failures.select(F.col("host").alias("__host"), F.col("shrunken_rate").alias("__rate")), "hosts")
+    rates = C.written(failures.select(F.col("host").alias(own), F.col("shrunken_rate").alias(rate)), "hosts")
     if rates.count() <= broadcast_hosts:
-        joined = measured.join(F.broadcast(rates), F.col(host).eqNullSafe(F.col("__host")), "left")
+        joined = measured.join(F.broadcast(rates), F.col(host).eqNullSafe(F.col(own)), "left")
     else:
-        salts = rates.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = measured.withColumn("__salt", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
-        joined = salted.join(salts, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__salt_of")), "left").drop("__salt", "__salt_of")
-    kept = ~F.col(f"{name}.base_failed") & (F.col("__rate") <= max_host_rate)
-    return joined.withColumn(name, F.col(name).withField("host_rate", F.col("__rate")).withField("kept", kept)).drop("__host", "__rate")
+        salts = rates.withColumn(salted_as, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = measured.withColumn(salt, F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
+        joined = salted.join(salts, F.col(host).eqNullSafe(F.col(own)) & (F.col(salt) == F.col(salted_as)), "left")
+    kept = ~F.col(f"{name}.base_failed") & (F.col(rate) <= max_host_rate)
+    judged = joined.withColumn(name, F.col(name).withField("host_rate", F.col(rate)).withField("kept", kept))
+    return judged.select(*[C.keyed(c) for c in measured.columns])

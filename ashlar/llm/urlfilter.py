@@ -6,7 +6,7 @@ later ones.  A pattern is a domain, which also matches its subdomains, or a host
 
 A capture's keys are its host's suffixes and its path's prefixes, as deep as the list goes.  Captures alike in url
 and time are judged once (counted by partial aggregation, so a hot url is one row per task).  The
-list holds one row per pattern; it is broadcast if it has at most ``BROADCAST_PATTERNS`` (counted first), else both sides are shuffled on
+list holds one row per pattern; it is broadcast if it has at most ``BROADCAST_INTERVALS`` (counted first), else both sides are shuffled on
 the key, one row per pattern against the captures' rows, a join whose hot keys adaptive execution splits.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 
 from . import _common as C
 
-BROADCAST_PATTERNS = 100_000
+#: The list travels with the tasks if it has so many intervals at most.
+BROADCAST_INTERVALS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -66,11 +67,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     matches nothing.  Repeated rows are judged alike; other columns may have any names, and if an added one is taken a number follows.
     An empty list blocks nothing; an empty table gives an empty table.
     """
-    blocked, matches = C.free_name(captures.columns, "blocked"), C.free_name(captures.columns, "matches")
+    blocked, matches, of_url, at_time = C.free_names(captures.columns, "blocked", "matches", "of_url", "at_time")
     valid = C.written(intervals(entries), "intervals")
     size = valid.agg(F.max(F.size(F.split("pattern", r"[./]"))).alias("labels"), F.max(F.size(F.split("pattern", "/"))).alias("depth")).first()
     listed = valid.groupBy("pattern").agg(F.collect_list(F.struct("pattern", "category", "valid_from", "valid_to")).alias("known"))
-    few = valid.select("pattern").distinct().count() <= BROADCAST_PATTERNS
+    few = valid.count() <= BROADCAST_INTERVALS
 
     rows = captures.select(F.col(url).alias("u"), F.col(fetched).alias("t")).where("u is not null and t is not null").distinct()
     keyed = rows.withColumn("pattern", F.explode(url_keys(F.col("u"), size["labels"] or 0, (size["depth"] or 1) - 1)))
@@ -79,7 +80,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     active = F.transform(active, lambda k: F.struct(k["pattern"].alias("pattern"), k["category"].alias("category"), k["valid_from"].alias("valid_from")))
     # a capture has few keys, so its matches are few however large the list
     judged = joined.withColumn("active", active).where(F.size("active") > 0).groupBy("u", "t").agg(F.sort_array(F.flatten(F.collect_list("active"))).alias(matches))
-    judged = judged.withColumnsRenamed({"u": "__u", "t": "__t"})
-    out = captures.join(judged, (F.col(url) == F.col("__u")) & (F.col(fetched) == F.col("__t")), "left").drop("__u", "__t")
+    judged = judged.withColumnsRenamed({"u": of_url, "t": at_time})
+    out = captures.join(judged, (F.col(url) == F.col(of_url)) & (F.col(fetched) == F.col(at_time)), "left")
     empty = F.array().cast(judged.schema[matches].dataType)
-    return out.withColumn(matches, F.coalesce(matches, empty)).withColumn(blocked, F.size(matches) > 0).select(*captures.columns, blocked, matches)
+    return out.withColumn(matches, F.coalesce(matches, empty)).withColumn(blocked, F.size(matches) > 0).select(*[C.keyed(c) for c in captures.columns], blocked, matches)

@@ -82,3 +82,26 @@ def test_one_row_of_a_rare_source_beside_large_ones(spark):
     weights = counts.withColumn("weight", F.when(F.col("source") == "s20", 936.0).otherwise(39064 / 20))
     got = {r.source: r.rate for r in mixing.source_rates(df, weights=weights, size=40000).collect()}
     assert abs(got["s20"] - 936) < 1e-6 and len(got) == 21
+
+
+def test_names_that_clash(spark):
+    names = ["own", "salt", "salted_as", "n", "copies", "__source", "__copies", "__salt", "rate", "copy", "mix_key"]
+    df = spark.createDataFrame([(i, f"s{i % 2}", "t", *"abcdefghijk") for i in range(50)], ["doc_id", "source", "text", *names])
+    got = mixing.mix_sources(df)
+    assert got.columns == ["doc_id", "source", "text", *names, "copy_1", "rate_1", "mix_key_1"]
+    assert {tuple(r)[2:14] for r in got.collect()} == {("t", *"abcdefghijk")}
+
+
+def test_sql_counts_as_far_as_the_largest_rate(spark, tmp_path):
+    import duckdb
+
+    from ashlar.llm.oracles import OP3
+
+    rows = [(i, "common", f"text {i}") for i in range(5000)] + [(9000, "rare", "alone"), (9001, None, "no source"), (9002, "common", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted((r.doc_id, str(r.source), str(r.text), r.copy, r.mix_key) for r in mixing.mix_sources(df).collect())
+    df.toPandas().to_parquet(tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    want = sorted((r[0], str(r[1]), str(r[2]), r[3], r[4]) for r in con.sql(f"SELECT doc_id, source, text, copy, mix_key FROM ({OP3})").fetchall())
+    assert got == want and max(r[3] for r in got) > 60

@@ -56,3 +56,12 @@ def test_long_text(spark):
     text = " ".join(f"w{i % 40000}" for i in range(120_000))
     got = quality.assess(spark.createDataFrame([(text, "h")], "text string, source string")).first().quality
     assert got.n_words == got.n_repeat_words == 120_000
+
+
+def test_names_that_clash(spark):
+    names = ["own", "rate", "salt", "salted_as", "host", "__host", "__rate", "quality", "n"]
+    df = spark.createDataFrame([(1, "w " * 60, "h", *"abcdefghi"), (2, "w", None, *"abcdefghi")], ["doc_id", "text", "source", *names])
+    for bound in (10, 0):
+        got = quality.assess(df, broadcast_hosts=bound)
+        assert got.columns == ["doc_id", "text", "source", *names, "quality_1"]
+        assert {tuple(r)[3:12] for r in got.collect()} == {tuple("abcdefghi")} and got.count() == 2

@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from ashlar.llm import urlfilter
 
 DAY0 = datetime(2024, 1, 1)
@@ -41,8 +43,8 @@ def test_against_every_entry(spark, monkeypatch):
     left = spark.createDataFrame([(*c, True) for c in captures], "url string, fetched timestamp_ntz, blocked boolean")
     right = spark.createDataFrame(entries, "pattern string, category string, at timestamp_ntz, action string")
     want = brute(captures, entries)
-    for bound in (urlfilter.BROADCAST_PATTERNS, 0):
-        monkeypatch.setattr(urlfilter, "BROADCAST_PATTERNS", bound)
+    for bound in (urlfilter.BROADCAST_INTERVALS, 0):
+        monkeypatch.setattr(urlfilter, "BROADCAST_INTERVALS", bound)
         rows = urlfilter.filter_urls(left, right).collect()
         assert sorted(((r.url, r.fetched, sorted({(m.pattern, m.category) for m in r.matches}, key=str)) for r in rows), key=str) == want
         assert all(r.blocked_1 == bool(r.matches) for r in rows)
@@ -53,3 +55,12 @@ def test_empty_list_and_empty_table(spark):
     entries = spark.createDataFrame([], "pattern string, category string, at timestamp_ntz, action string")
     assert [r.blocked for r in urlfilter.filter_urls(captures, entries).collect()] == [False]
     assert urlfilter.filter_urls(captures.limit(0), entries).collect() == []
+
+
+def test_names_that_clash(spark):
+    names = ["u", "t", "of_url", "at_time", "__u", "__t", "pattern", "known", "active", "blocked", "matches"]
+    captures = spark.createDataFrame([("http://a.com/", DAY0, *"abcdefghijk")], ["url", "fetched", *names]).withColumn("fetched", F.col("fetched").cast("timestamp_ntz"))
+    entries = spark.createDataFrame([("a.com", "k", DAY0, "add")], "pattern string, category string, at timestamp_ntz, action string")
+    got = urlfilter.filter_urls(captures, entries)
+    assert got.columns == ["url", "fetched", *names, "blocked_1", "matches_1"]
+    assert tuple(got.first())[2:14] == (*"abcdefghijk", True)
