@@ -39,3 +39,24 @@ def test_stages_take_rows_that_repeat_and_nulls(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), "").collect() == []
+
+
+def test_a_run_leaves_its_last_table_alone(spark, sf_dir):
+    import glob
+
+    from ashlar.llm._common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(folder + "/*"))
+    rows = corpus_pipeline.run(spark, sf_dir)
+    left = set(glob.glob(folder + "/*")) - before
+    assert len(left) == 1 and "/mixing-" in left.pop() and rows.count() > 0
+
+
+def test_names_that_clash(spark):
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
+    names = ["own", "own_hash", "hashed", "n", "quality", "n_removed_lines", "key", "copy", "__id", "__th", "__n"]
+    docs = spark.createDataFrame([(i, text.replace("x", f"y{i // 2}x"), "en", "a", 1, *"abcdefghijk") for i in range(4)], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[5:] == names and {tuple(r)[5:] for r in docs.collect()} <= {tuple("abcdefghijk")}
