@@ -2,7 +2,7 @@
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
 ``run`` applies them to ``documents``, writing each stage's rows to the shared folder and reading them again, so that a
-lost executor costs one stage's tasks at most.
+lost executor costs one stage's tasks at most.  A stage's own tables go once its rows are written, and those once the next stage's are.
 """
 
 from __future__ import annotations
@@ -12,37 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ashlar.llm import _common as C
 from ashlar.llm import bpe, linededup, mixing, neardup, quality
-from ashlar.llm._common import free_name, table, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the document rules, or whose host (source) does, go."""
-    name = free_name(docs.columns, "quality")
-    return quality.assess(docs).where(F.col(name)["kept"]).select(*docs.columns)
+    name = C.free_name(docs.columns, "quality")
+    return quality.assess(docs).where(F.col(name)["kept"]).select(*[C.keyed(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines are deleted; a document of which nothing is left goes; n_chars follows the text."""
-    name = free_name(docs.columns, "n_removed_lines")
+    name = C.free_name(docs.columns, "n_removed_lines")
     left = linededup.dedup_lines(docs).where((F.col(name) == 0) | (F.col("text") != ""))
-    return left.withColumn("n_chars", F.when(F.col(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return left.withColumn("n_chars", F.when(F.col(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[C.keyed(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document of least id stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
-    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")), "left_semi")
-    first = Window.partitionBy("doc_id", "__text_hash").orderBy("__text_hash")  # of rows that repeat one stays
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    own, own_hash, hashed, n = C.free_names(docs.columns, "own", "own_hash", "hashed", "n")
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(own_hash)).distinct()
+    rows = docs.withColumn(hashed, F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(own_hash)), "left_semi")
+    first = Window.partitionBy("doc_id", hashed).orderBy(hashed)  # of rows that repeat one stays
+    return rows.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*[C.keyed(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights: documents repeat by Poisson counts and are shuffled globally."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs).select(*[C.keyed(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +58,13 @@ STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = C.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with C.scratch(spark):
+            docs = C.written(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            C.dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
