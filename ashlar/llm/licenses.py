@@ -1,14 +1,17 @@
-"""License scans by alignment with the whole text.
+"""License scans by patience alignment with the whole text.
 
-Coverage is the share of a template's words that the text holds in the template's order, with gaps of any length: the longest
-common subsequence of both, found exactly with one bit for each word of the template.  Of all regions of the text that
-hold as many words in order, the shortest is reported, so inserted names, years or clauses count the same wherever they lie.
+``align`` pairs the words of a text with those of a template: words that occur once in both are anchors, the longest increasing
+subsequence of their places is kept, and the gaps between are aligned in the same way; equal words at a gap's ends are
+matched first, and a gap without anchors (each word repeated, or missing) is closed by its longest common subsequence.
+Coverage is the share of the template's words that are matched; gaps may have any length, so inserted names, years
+or clauses count the same wherever they lie.
 
 Before any alignment, texts are dismissed that could not reach the coverage wanted even if every word they share with the
-template matched; this dismisses nothing that would be found.  Each task works on its own Arrow batches: nothing is shuffled,
-and memory is a small multiple of a batch.  ``align`` pairs the words of a region with those of a template by the patience method:
-words that occur once in both are anchors, the longest increasing subsequence of their places is kept, and the gaps between are
-aligned in the same way; equal words at the ends of a gap are matched first.
+template matched; this dismisses nothing that would be found.  An exact check follows each alignment: where words elsewhere in a text
+misled the anchors, so that more could be matched, the shortest region that holds the most is aligned instead.
+The span reported is that of the shortest region that matches as many words.
+
+Each task works on its own Arrow batches: nothing is shuffled, and memory is a small multiple of a batch, however many templates there are.
 """
 
 from __future__ import annotations
@@ -81,9 +84,39 @@ def align(text: Sequence[int], template: Sequence[int]) -> list[tuple[int, int]]
                 if k - i > 1 and m - j > 1:
                     gaps.append((i + 1, k, j + 1, m))
             matched += anchors
+        else:
+            matched += [(a + i, c + j) for i, j in _common(text[a:b], template[c:d])]
     return sorted(matched)
 
 
+def _rows(text: Sequence[int], template: Sequence[int]) -> Iterator[int]:
+    """After each word of the text: the template's places that do not lengthen the longest common subsequence of what lies before, as bits."""
+    bits: dict[int, int] = {}
+    for j, w in enumerate(template):
+        bits[w] = bits.get(w, 0) | 1 << j
+    whole = rest = (1 << len(template)) - 1
+    for w in text:
+        taken = rest & bits.get(w, 0)
+        rest = (rest + taken | rest - taken) & whole
+        yield rest
+
+
+def _common(text: Sequence[int], template: Sequence[int]) -> list[tuple[int, int]]:
+    """The pairs of a longest common subsequence, read back from the last words to the first."""
+    rows = [(1 << len(template)) - 1, *_rows(text, template)]
+    length = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
+    i, j, pairs = len(text), len(template), []
+    while n := length(i, j):
+        if length(i - 1, j) == n:
+            i -= 1
+        elif length(i, j - 1) == n:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence that increases in the first place, by patience sorting; pairs come in order of the second."""
     tops: list[int] = []
@@ -105,35 +138,45 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def best_match(text: Sequence[int], template: Sequence[int], wanted: int) -> tuple[int, int, int] | None:
-    """(words matched, first, last place in the text) of the fullest alignment with ``wanted`` words or more, if any.
+    """(words matched, first, last place in the text) of the alignment, if it has ``wanted`` words or more.
 
     Of regions that match alike the shortest counts, and of these the first.
     """
-    bits: dict[int, int] = {}
-    for j, w in enumerate(template):
-        bits[w] = bits.get(w, 0) | 1 << j
-    hits = [(i, bits[w]) for i, w in enumerate(text) if w in bits]
-    whole = rest = (1 << len(template)) - 1
-    for _, here in hits:
-        taken = rest & here
-        rest = (rest + taken | rest - taken) & whole
-    matched = len(template) - rest.bit_count()
-    return (matched, *_shortest(hits, len(template), matched)) if matched >= max(wanted, 1) else None
+    known = set(template)
+    places = [i for i, w in enumerate(text) if w in known]  # no other word can match
+    own = [text[i] for i in places]
+    rest = (1 << len(template)) - 1
+    for rest in _rows(own, template):  # noqa: B007
+        pass
+    most = len(template) - rest.bit_count()  # no alignment has more
+    if most < max(wanted, 1):
+        return None
+    pairs = align(own, template)
+    if len(pairs) < most:
+        first, last = _shortest(own, template, most)
+        region = own[first : last + 1]
+        inside = align(region, template)
+        pairs = [(first + i, j) for i, j in (inside if len(inside) == most else _common(region, template))]
+    first, last = _shortest(own, template, len(pairs), places)
+    return len(pairs), places[first], places[last]
 
 
-def _shortest(hits: list[tuple[int, int]], size: int, matched: int) -> tuple[int, int]:
-    """First and last place of the shortest region that matches ``matched`` words, the most that any does.
+def _shortest(text: Sequence[int], template: Sequence[int], matched: int, places: Sequence[int] | None = None) -> tuple[int, int]:
+    """First and last place of the shortest region that matches ``matched`` words, the most that any does; with ``places`` regions are measured by them.
 
     starts[d][j] is the latest place from which all but d of the template's first j words have matched, or -1.
     """
+    at = places if places is not None else range(len(text))
+    size = len(template)
+    where: dict[int, list[int]] = {}
+    for j, w in enumerate(template):
+        where.setdefault(w, []).insert(0, j)  # later words of the template first, so that a place in the text matches one word
     skips = size - matched
     starts = [[-1] * (size + 1) for _ in range(skips + 1)]
     best = None
-    for i, here in hits:
+    for i, w in enumerate(text):
         before = starts[skips][size]
-        while here:  # later words of the template first, so that a place in the text matches one word
-            j = here.bit_length() - 1
-            here ^= 1 << j
+        for j in where.get(w, ()):
             for d in range(skips + 1):
                 start = i if d >= j else starts[d][j]
                 for e in range(min(skips - d, size - j - 1) + 1):
@@ -141,28 +184,73 @@ def _shortest(hits: list[tuple[int, int]], size: int, matched: int) -> tuple[int
                         break
                     starts[d + e][j + 1 + e] = start
         start = starts[skips][size]
-        if start > before and (best is None or i - start < best[1] - best[0]):
+        if start > before and (best is None or at[i] - at[start] < at[best[1]] - at[best[0]]):
             best = (start, i)
     return best
 
 
+class Templates:
+    """Templates as word hashes, with an exact way to dismiss: a text that reaches a template's coverage lacks few of its
+    words, so it holds one at least of any set of words that weighs more than may be missing.  The hooks are such a set,
+    made of the words that fewest templates share; only (text, template) pairs met at a hook are counted in full."""
+
+    def __init__(self, named: list[tuple[str, str]], min_coverage: float):
+        hashes, counts = X.word_hashes(pa.array([body for _, body in named], pa.string()), X.PUNCTUATION)
+        self.names = [name for name, _ in named]
+        self.bodies = [x.tolist() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+        self.wanted = np.ceil(counts * min_coverage - 1e-9).astype(np.int64)
+        self.vocabulary = np.unique(hashes)
+        self.words, self.weights = [], []
+        for body in self.bodies:
+            words, weights = np.unique(np.array(body, dtype=np.uint64), return_counts=True)
+            self.words.append(np.searchsorted(self.vocabulary, words))
+            self.weights.append(weights)
+        shared = np.bincount(np.concatenate([*self.words, np.zeros(0, np.int64)]), minlength=len(self.vocabulary))
+        hooks = []
+        for k, (words, weights) in enumerate(zip(self.words, self.weights, strict=True)):
+            order = np.lexsort((words, shared[words]))
+            missing = len(self.bodies[k]) - max(int(self.wanted[k]), 1)
+            upto = int(np.searchsorted(np.cumsum(weights[order]), missing, side="right")) + 1
+            hooks += [(int(w), k) for w in words[order[:upto]]]
+        hooks.sort()
+        self.hook_template = np.array([k for _, k in hooks], dtype=np.int64)
+        self.hook_start = np.searchsorted(np.array([w for w, _ in hooks], dtype=np.int64), np.arange(len(self.vocabulary) + 1))
+        self.mask = np.zeros(1 << 16, dtype=bool)
+        self.mask[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
+
+    def possible(self, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        """(row, template) pairs whose shared words, in the template's numbers, reach the coverage wanted."""
+        hit = np.flatnonzero(self.mask[(words >> np.uint64(48)).astype(np.int64)])
+        if not len(hit):
+            return []
+        which = np.minimum(np.searchsorted(self.vocabulary, words[hit]), len(self.vocabulary) - 1)
+        sure = self.vocabulary[which] == words[hit]
+        size = len(self.vocabulary)
+        held = np.unique(np.searchsorted(ends, hit[sure], side="right") * size + which[sure])  # (row, word), each once
+        row, word = held // size, held % size
+        n = self.hook_start[word + 1] - self.hook_start[word]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        met = np.unique(np.repeat(row, n) * len(self.bodies) + self.hook_template[np.repeat(self.hook_start[word], n) + place])
+        found = []
+        row, template = met // len(self.bodies), met % len(self.bodies)
+        for k in np.unique(template).tolist():
+            rows = row[template == k]
+            total = np.zeros(len(rows), dtype=np.int64)
+            for w, weight in zip(self.words[k].tolist(), self.weights[k].tolist(), strict=True):
+                key = rows * size + w
+                total += weight * (held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key)
+            found += [(r, k) for r in rows[total >= max(int(self.wanted[k]), 1)].tolist()]
+        return sorted(found)
+
+
 def scan(df: DataFrame, text: str = "text", templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Every row of ``df`` with ``licenses`` added: array of (license, coverage, first_word, last_word) by
-    license name, one entry for each template whose fullest alignment covers ``min_coverage`` of its words or more.
+    license name, one entry for each template whose alignment covers ``min_coverage`` of its words or more.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased, counted from 0.  A null or empty text has
     no license; rows are independent of each other; an empty table gives an empty table; if the name is taken, a number follows.
     """
-    named = sorted((templates or TEMPLATES).items())
-    hashes, counts = X.word_hashes(pa.array([body for _, body in named]), X.PUNCTUATION)
-    bodies = [x.tolist() for x in np.split(hashes, np.cumsum(counts)[:-1])]
-    vocabulary = np.unique(hashes)
-    # how often each word of the vocabulary occurs in each template
-    weight = np.stack([(vocabulary[:, None] == np.array(b, dtype=np.uint64)[None, :]).sum(axis=1) for b in bodies])
-    wanted = np.ceil(counts * min_coverage - 1e-9).astype(np.int64)
-    mask = np.zeros(1 << 16, dtype=bool)
-    mask[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-
+    known = Templates(sorted((templates or TEMPLATES).items()), min_coverage)
     name, at = C.free_name(df.columns, "licenses"), df.columns.index(text)
     entry = T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())])
     names = [f"c{i}" for i in range(len(df.columns) + 1)]
@@ -172,19 +260,11 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, str] | None = N
         for batch in X.batches(stream, names[at]):
             words, n = X.word_hashes(batch.column(at), X.PUNCTUATION)
             ends = np.cumsum(n)
-            hit = np.flatnonzero(mask[(words >> np.uint64(48)).astype(np.int64)])
-            which = np.minimum(np.searchsorted(vocabulary, words[hit]), len(vocabulary) - 1)
-            sure = vocabulary[which] == words[hit]
-            present = np.zeros((batch.num_rows, len(vocabulary)), dtype=np.int64)
-            present[np.searchsorted(ends, hit[sure], side="right"), which[sure]] = 1
-            possible = present @ weight.T >= wanted
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for row in np.flatnonzero(possible.any(axis=1)).tolist():
-                own = words[ends[row] - n[row] : ends[row]].tolist()
-                for k in np.flatnonzero(possible[row]).tolist():
-                    best = best_match(own, bodies[k], int(wanted[k]))
-                    if best:
-                        found[row].append({"license": named[k][0], "coverage": best[0] / len(bodies[k]), "first_word": best[1], "last_word": best[2]})
+            for row, k in known.possible(words, ends):
+                best = best_match(words[ends[row] - n[row] : ends[row]].tolist(), known.bodies[k], int(known.wanted[k]))
+                if best:
+                    found[row].append({"license": known.names[k], "coverage": best[0] / len(known.bodies[k]), "first_word": best[1], "last_word": best[2]})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=names)
 
     schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(names, df.schema.fields, strict=False)], T.StructField(names[-1], T.ArrayType(entry))])

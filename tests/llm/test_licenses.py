@@ -1,8 +1,24 @@
 import random
+import re
 
 from ashlar.llm import licenses
 
 
+def common(a, b):
+    """Length of the longest common subsequence, cell by cell."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def split(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+
+
 def test_alignment_is_increasing_and_recursive():
     text = "x x released under the big mit license x".split()
     pairs = licenses.align(text, "released under the mit license".split())
@@ -24,18 +40,17 @@ def test_scan_against_every_window(spark):
         rows.append((10 + n, " ".join(words), 1))
     rows.append((99, " ".join([*filler * 3000, named[0][1]]), 1))
     got = {r.doc_id: {x.license: (x.coverage, x.first_word, x.last_word) for x in r.licenses_1} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, licenses int").repartition(4)).collect()}
-    import re
-
-    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
     for doc_id, text, _ in rows:
-        words, expected = split(text), {}
-        for name, body in named:
-            need = split(body)
-            best = licenses.best_match(words, need, -(-9 * len(need) // 10)) if len(words) < 5000 else None
-            if best:
-                expected[name] = (best[0] / len(need), best[1], best[2])
-        if len(words) < 5000:
-            assert got[doc_id] == expected, doc_id
+        words = split(text)
+        if len(words) > 5000:
+            continue
+        most = {name: common(words, split(body)) for name, body in named}
+        size = {name: len(split(body)) for name, body in named}
+        assert {k: v[0] for k, v in got[doc_id].items()} == {k: n / size[k] for k, n in most.items() if 10 * n >= 9 * size[k]}, doc_id
+        for k, (coverage, first, last) in got[doc_id].items():  # the span holds as many words, and no smaller one at either end does
+            body = split(dict(named)[k])
+            assert common(words[first : last + 1], body) == most[k] == round(coverage * size[k])
+            assert common(words[first + 1 : last + 1], body) < most[k] > common(words[first:last], body)
     assert "MIT" in got[2] and "MIT" in got[3] and "Apache-2.0" in got[99] and got[0] == got[1] == {}
 
 
@@ -53,15 +68,6 @@ def test_empty_table(spark):
 
 
 def test_best_match_against_every_region():
-    def common(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = row
-            row = [0]
-            for j, y in enumerate(b):
-                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        return row[-1]
-
     random.seed(11)
     for _ in range(400):
         template = [random.choice("abcdef") for _ in range(random.randint(1, 9))]
@@ -88,3 +94,48 @@ def test_fuller_copy_beside_one_that_is_full_enough():
     template = [f"t{i}" for i in range(20)]
     text = [*template[:18], "x", "x", *template, "x"]
     assert licenses.best_match(text, template, 18) == (20, 20, 39)
+
+
+def test_alignment_is_as_full_as_any_and_closes_gaps_without_anchors():
+    random.seed(12)
+    for _ in range(400):
+        a = [random.choice("abc") for _ in range(random.randint(0, 12))]
+        b = [random.choice("abc") for _ in range(random.randint(0, 12))]
+        for pairs, exact in ((licenses._common(a, b), True), (licenses.align(a, b), False)):
+            assert all(a[i] == b[j] for i, j in pairs) and all(x < y and v < w for (x, v), (y, w) in zip(pairs, pairs[1:]))
+            assert len(pairs) == common(a, b) if exact else len(pairs) <= common(a, b)
+    twice = "of the one of the two".split()
+    assert len(licenses.align(twice * 2, twice)) == 6
+
+
+def test_anchors_far_from_the_notice_do_not_hide_it():
+    template = [f"t{i}" for i in range(30)]
+    notice = [w for i, w in enumerate(template) if i not in (3, 17, 25)]
+    text = ["t25", "x", "t17", "x", "t3", *["x"] * 50, *notice, "x", "t3", "t17"]
+    got = licenses.best_match(text, template, 27)
+    assert got[0] == common(text, template) == common(text[got[1] : got[2] + 1], template) >= 27
+
+
+def test_hundreds_of_templates(spark):
+    random.seed(13)
+    words = [f"w{i}" for i in range(4000)] + ["the", "of", "software", "permission"] * 200
+    templates = {f"L{i}": " ".join(random.choice(words) for _ in range(random.randint(5, 200))) for i in range(500)}
+    rows, planted = [], {}
+    for n in range(120):
+        text = [random.choice(words) for _ in range(random.randint(0, 400))]
+        if n % 2:
+            name = f"L{random.randrange(500)}"
+            body = templates[name].split()
+            for _ in range(len(body) // 12):
+                body[random.randrange(len(body))] = "changed"
+            at = random.randint(0, len(text))
+            text[at:at] = body
+            planted[n] = name
+        rows.append((n, " ".join(text)))
+    got = {r.doc_id: {x.license for x in r.licenses} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), templates=templates).collect()}
+    assert all(name in got[n] for n, name in planted.items())
+    size = {k: len(b.split()) for k, b in templates.items()}
+    for n, text in rows[:20]:
+        own = text.split()
+        assert got[n] == {k for k, b in templates.items() if 10 * common(own, b.split()) >= 9 * size[k]}
+    assert licenses.scan(spark.createDataFrame(rows[:3], "doc_id long, text string"), templates={"none": " ."}).where("size(licenses) > 0").collect() == []
