@@ -12,8 +12,8 @@ so every history's probabilities add up to one.  A text is scored in one travers
 longest history known, each token follows its arc, or failure arcs until one has it, and log10 weights add up.
 
 The model is never in one place.  Texts are packed into blocks (one row each, in the shared folder), each block asks for the
-counts of the n-grams that occur in it, already added up within the block, and gets back just those: the slice of the automaton
-that its texts can reach.  N-grams are 64-bit hashes, dealt into buckets by their first bits, so
+counts of the n-grams that occur in it, already added up within the block, and gets back just those.  From them it makes the slice of the automaton
+that its texts can reach: tables of states, arcs and failure arcs, which its texts then walk together.  N-grams are 64-bit hashes, dealt into buckets by their first bits, so
 buckets are even whatever the words' frequencies; a bucket adds up the blocks' counts and answers each
 block in the order of its own sorted keys.  Buckets grow in number, not in size, with the corpus; nothing is pruned.
 """
@@ -35,6 +35,8 @@ from . import _text as X
 ORDER = 2
 #: Prior strength m: how many observations the shorter history's estimate is worth.
 STRENGTH = 4.0
+#: Tokens of a long text that are traversed in one piece.
+PIECE = 512
 #: Bytes of text in a block, one text at least.
 BLOCK_BYTES = 16 << 20
 #: N-grams that a bucket gets at most, about.
@@ -93,7 +95,8 @@ class Block:
         words = np.frombuffer(row["words"], dtype=np.uint64)
         self.ids, self.held = row["ids"], np.array(row["held"], dtype=bool)
         self.lengths = np.array(row["lengths"], dtype=np.int64)
-        self.tokens = words[np.frombuffer(row["tokens"], dtype=np.uint32)]
+        self.ranks = np.frombuffer(row["tokens"], dtype=np.uint32).astype(np.int64)
+        self.tokens = words[self.ranks]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.at = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
 
@@ -111,13 +114,19 @@ class Block:
 
 
 def _asked(row: dict, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(order, sorted distinct n-grams, place of each token's, count in training) of a block; order 0 holds how many texts begin."""
+    """(order, sorted distinct n-grams, place of each token's, count in training) of a block; order 0 holds how many texts begin.
+
+    Before a text's first token there is only BEGIN, so an n-gram that would begin earlier does not exist: its place is -1."""
     block = Block(row)
     train = np.repeat(~block.held, block.lengths)
     yield 0, np.array([X.BEGIN]), np.zeros(len(block.lengths), dtype=np.int64), np.array([(~block.held).sum()])
     for k in range(1, order + 1):
-        keys, place = np.unique(block.grams(k), return_inverse=True)
-        yield k, keys, place, np.bincount(place, weights=train, minlength=len(keys)).astype(np.int64)
+        grams, real = block.grams(k), block.at >= k - 2
+        keys, place = np.unique(grams[real], return_inverse=True)
+        counts = np.bincount(place, weights=train[real], minlength=len(keys)).astype(np.int64)
+        places = np.full(len(grams), -1, dtype=np.int64)
+        places[real] = place
+        yield k, keys, places, counts
 
 
 def _bounds(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,43 +179,99 @@ def _answers(packed: DataFrame, order: int, bits: int) -> DataFrame:
 
 
 class Automaton:
-    """The slice of the backoff automaton that one block's texts can reach.
+    """The slice of the backoff automaton that one block's texts can reach, as tables.
 
-    ``counts[k]`` holds, per token, the training count of the k-gram that ends there (k = 0: of texts).
+    States: 0 is the empty history, 1 the start of a text, then every history of the block that training saw.  Arcs are sorted by state and
+    token: (key, next state, log10 weight).  Every state has a failure arc: (shorter state, log10 weight).  ``places[k]`` is each token's k-gram and
+    ``counts[k]`` each k-gram's count in training (k = 0: of texts).
     """
 
-    def __init__(self, block: Block, counts: list[np.ndarray], n_tokens: int, n_types: int, strength: float):
-        self.block, self.order = block, len(counts) - 1
-        # near a text's start there are no tokens enough for the longer n-grams
-        self.counts = counts = [c if k < 3 else np.where(block.at < k - 2, 0, c) for k, c in enumerate(counts)]
-        self.arc = [np.log10((counts[1] + 0.5) / (n_tokens + 0.5 * (n_types + 1)))]
-        self.fail: list[np.ndarray] = []
-        p = 10.0 ** self.arc[0]
-        for k in range(2, self.order + 1):
-            history = self._before(counts[k - 1], k)
-            p = (counts[k] + strength * p) / (history + strength)
-            self.arc.append(np.log10(p))
-            self.fail.append(np.log10(strength / (history + strength)))
-
-    def _before(self, ending: np.ndarray, k: int) -> np.ndarray:
-        """How often each token's history of k-1 tokens was seen, from the counts of what ends one token earlier."""
-        history = np.empty_like(ending)
-        history[1:] = ending[:-1]
-        history[self.block.starts] = self.counts[0] if k == 2 else 0
-        return history
+    def __init__(self, block: Block, words: np.ndarray, places: list[np.ndarray], counts: list[np.ndarray], n_tokens: int, n_types: int, strength: float):
+        self.block, self.tokens, self.order, self.n_words = block, words, len(counts) - 1, int(words.max(initial=0)) + 1
+        self.unknown = float(np.log10(0.5 / (n_tokens + 0.5 * (n_types + 1))))
+        self.places, self.states = places, [np.zeros(1, dtype=np.int64)]
+        fail, fail_weight, size = [np.zeros(2, dtype=np.int64)], [np.array([0.0, np.log10(strength / (counts[0][0] + strength))])], 2
+        keys, ends, weights = [], [], []
+        p, firsts = np.zeros(0), np.zeros(0, dtype=np.int64)
+        for k in range(1, self.order + 1):
+            c = counts[k].astype(np.float64)
+            seen = c > 0
+            at = np.flatnonzero(places[k] >= 0)
+            firsts = np.empty(len(c), dtype=np.int64)
+            firsts[places[k][at[::-1]]] = at[::-1]  # a token that each k-gram ends at
+            if k == 1:
+                own, below = np.zeros(len(c), dtype=np.int64), np.zeros(len(c), dtype=np.int64)
+                p = (c + 0.5) / (n_tokens + 0.5 * (n_types + 1))
+            else:
+                begins = block.at[firsts] == 0
+                before = places[k - 1][np.where(begins, 0, firsts - 1)]
+                below = places[k - 1][firsts]  # the k-gram without its first token
+                history = np.where(begins, counts[0][0], counts[k - 1][before])
+                own = np.where(begins, 1, self.states[k - 1][before])
+                p = (c + strength * p[below]) / (history + strength)
+            if k < self.order:
+                state = np.full(len(c), -1, dtype=np.int64)
+                state[seen] = size + np.arange(seen.sum())
+                size += int(seen.sum())
+                fail.append(self.states[k - 1][below[seen]] if k > 1 else np.zeros(int(seen.sum()), dtype=np.int64))
+                fail_weight.append(np.log10(strength / (c[seen] + strength)))
+                self.states.append(state)
+                end = state
+            else:
+                end = self.states[k - 1][below] if k > 1 else np.zeros(len(c), dtype=np.int64)
+            keys.append(own[seen] * self.n_words + words[firsts[seen]])
+            ends.append(end[seen])
+            weights.append(np.log10(p[seen]))
+        order = np.argsort(key := np.concatenate(keys), kind="stable")
+        self.key, self.end, self.weight = key[order], np.concatenate(ends)[order], np.concatenate(weights)[order]
+        self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
+
+    def _state_after(self, at: np.ndarray) -> np.ndarray:
+        """The state that the tokens up to and with ``at`` lead to: the longest history known."""
+        state = np.zeros(len(at), dtype=np.int64)
+        for k in range(1, self.order):
+            place = self.places[k][at]
+            found = np.where(place >= 0, self.states[k][place], -1)
+            state = np.where(found >= 0, found, state)
+        return state
+
+    def _step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, log10 weights): each token follows its arc, or failure arcs until a state has one; an unknown token ends in the empty history."""
+        state, weight, open_ = state.copy(), np.zeros(len(state)), np.arange(len(state))
+        while len(open_):
+            key = state[open_] * self.n_words + token[open_]
+            arc = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+            hit = self.key[arc] == key if len(self.key) else np.zeros(len(key), dtype=bool)
+            done, arc = open_[hit], arc[hit]
+            weight[done] += self.weight[arc]
+            state[done] = self.end[arc]
+            open_ = open_[~hit]
+            lost = open_[state[open_] == 0]
+            weight[lost] += self.unknown
+            open_ = open_[state[open_] != 0]
+            weight[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fail[state[open_]]
+        return state, weight
 
     def traverse(self) -> np.ndarray:
-        """log10 probability of every text: carry the state, follow arcs or failure arcs, add up weights."""
-        known = np.zeros(len(self.block.tokens), dtype=np.int64)  # the longest n-gram known that ends at each token
-        for k in range(1, self.order + 1):
-            known[(self.counts[k] > 0) & (known == k - 1)] = k
-        state = np.empty_like(known)  # length of the history that a token is read in
-        state[1:] = np.minimum(known[:-1], self.order - 1)
-        state[self.block.starts] = min(1, self.order - 1)
-        weight = self.arc[0].copy()
-        for k in range(2, self.order + 1):
-            weight = np.where(known >= k, self.arc[k - 1], np.where(state >= k - 1, weight + self.fail[k - 2], weight))
-        return _sums(weight, self.block.starts)
+        """log10 probability of every text, in one traversal from left to right that carries the state.
+
+        All texts of the block advance together, token by token.  Long ones are cut into pieces of ``PIECE`` tokens that advance side by side, each
+        from the state that the tokens before it lead to."""
+        block = self.block
+        n = -(-block.lengths // PIECE)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.repeat(block.starts, n) + place * PIECE
+        length = np.minimum(np.repeat(block.lengths, n) - place * PIECE, PIECE)
+        state = np.where(place == 0, min(1, self.order - 1), self._state_after(np.maximum(first - 1, 0)))
+        by_length = np.argsort(-length, kind="stable")
+        first, length, state = first[by_length], length[by_length], state[by_length]
+        weight = np.zeros(len(self.tokens))
+        for step in range(int(length.max(initial=0))):
+            going = int(np.searchsorted(-length, -step, side="left"))
+            at = first[:going] + step
+            state[:going], weight[at] = self._step(state[:going], self.tokens[at])
+        return _sums(weight, block.starts)
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -232,15 +297,16 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         rows = []
         for row in packed.to_pylist():
-            counts = []
+            counts, places = [], []
             for part, _, place, _ in _asked(row, order):
                 own = answered.filter(pa.compute.equal(answered["part"], part)).sort_by("bucket")
-                got = np.frombuffer(b"".join(own["counts"].to_pylist()), dtype="<u8")
-                counts.append(got[place].astype(np.float64))
+                counts.append(np.frombuffer(b"".join(own["counts"].to_pylist()), dtype="<u8"))
+                places.append(place)
             block = Block(row)
-            automaton = Automaton(block, counts, n_tokens, n_types, strength)
-            known = np.add.reduceat((counts[1] > 0).astype(np.int64), block.starts)
-            columns = [pa.array(block.ids, pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(known), pa.array([n_tokens] * len(known), pa.int64()), pa.array(_sums(automaton.arc[0], block.starts)), pa.array(automaton.traverse())]
+            automaton = Automaton(block, block.ranks, places, counts, n_tokens, n_types, strength)
+            base = np.log10((counts[1] + 0.5) / (n_tokens + 0.5 * (n_types + 1)))[places[1]]
+            known = np.add.reduceat((counts[1] > 0)[places[1]].astype(np.int64), block.starts)
+            columns = [pa.array(block.ids, pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(known), pa.array([n_tokens] * len(known), pa.int64()), pa.array(_sums(base, block.starts)), pa.array(automaton.traverse())]
             rows.append(pa.table(columns, names=names))
         return pa.concat_tables(rows)
 

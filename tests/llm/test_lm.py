@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ashlar.llm import lm
 
-TEXTS = [(0, "the cat sat"), (1, "the cat ran"), (2, "a dog sat"), (3, "the dog zzz"), (4, ""), (5, None), (6, "the cat sat"), (6, "the cat sat"), (None, "A  Cat\n")]
+TEXTS = [(0, "the cat sat"), (1, "the cat ran"), (2, "a dog sat"), (3, "the dog zzz"), (4, ""), (5, None), (6, "the cat sat"), (6, "the cat sat"), (None, "A  Cat\n"), (7, "the cat ran a dog " * 310 + "unseen words the cat")]
 
 
 def brute(rows, train, order, strength):
