@@ -7,8 +7,12 @@ built-in expression, so it runs in the JVM, is folded when constant, and moves w
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+import inspect
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BITS, WORDS, BYTES = 10_000, 157, 1250
 #: The last word holds 16 bits.
@@ -18,17 +22,51 @@ LAST_MASK = 0xFFFF
 ROLES = ("ROLE_SCHEMA", "ROLE_LOGIC", "ROLE_CONTEXT", "ROLE_INPUT", "ROLE_OUTPUT", "ROLE_CONDITION")
 
 
-def _swap(hex16: Column) -> Column:
-    """A signed word from 16 hex digits of 8 bytes in little-endian order."""
-    digits = F.concat(*[F.substring(hex16, 2 * k - 1, 2) for k in range(8, 0, -1)])
-    half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("long")
-    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often the result mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _swap(digits: Column) -> Column:
+    """A signed word from the first 16 hex digits, of 8 bytes in little-endian order; ``digits`` should be bound."""
+    return F.conv(F.concat(*[F.substring(digits, 2 * k - 1, 2) for k in range(8, 0, -1)]), 16, -10).cast("long")
 
 
 def fp_seed(text: Column) -> Column:
     """Seeded fingerprint: word i comes from the first 8 bytes of SHA-256 of ``text:i``."""
-    word = lambda i: _swap(F.sha2(F.concat(text, F.lit(":"), i.cast("string")), 256)).bitwiseAND(F.when(i == WORDS - 1, LAST_MASK).otherwise(-1).cast("long"))
-    return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word))
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.sha2(F.concat(text, F.lit(":"), i.cast("string")), 256))
+    word = lambda h, i: _swap(h).bitwiseAND(F.when(i == WORDS - 1, LAST_MASK).otherwise(-1).cast("long"))
+    return F.when(text.isNotNull(), F.transform(hashes, word))
+
+
+def seed_words(text: str) -> list[int]:
+    """fp_seed of a text known beforehand, as signed words."""
+    words = [int.from_bytes(hashlib.sha256(f"{text}:{i}".encode()).digest()[:8], "little", signed=True) for i in range(WORDS)]
+    return [*words[:-1], words[-1] & LAST_MASK]
+
+
+def literal(words: list[int]) -> Column:
+    """A vector known beforehand as a constant."""
+    return F.array(*[F.lit(w).cast("long") for w in words])
+
+
+def callable_text(fn) -> str:
+    """What a Python function is known by: name, signature and body as its source has them (the code's bytes where there is no source)."""
+    try:
+        body = inspect.getsource(fn)
+    except (OSError, TypeError):
+        body = fn.__code__.co_code.hex() if hasattr(fn, "__code__") else ""
+    return f"{fn.__name__}::{inspect.signature(fn)}::{body}"
+
+
+def identity(kind: Column, name: Column, content: Column, signature: Column | None = None) -> Column:
+    """fp_seed of KIND::name::content, or of KIND::name::signature::content."""
+    return fp_seed(F.concat_ws("::", kind, name, *([] if signature is None else [signature]), content))
+
+
+def random_words(seed: Column) -> Column:
+    """A vector of random bits that follows from a number or text alone: words are hashes of it and their place."""
+    return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.xxhash64(seed, i).bitwiseAND(F.when(i == WORDS - 1, LAST_MASK).otherwise(-1).cast("long")))
 
 
 def fingerprint(name: Column, signature: Column, body: Column) -> Column:
@@ -36,7 +74,7 @@ def fingerprint(name: Column, signature: Column, body: Column) -> Column:
 
 
 def role_vector(name: str) -> Column:
-    return fp_seed(F.lit(name))
+    return literal(seed_words(name))
 
 
 def fp_tile(text: Column) -> Column:
@@ -53,8 +91,8 @@ def to_bytes(words: Column) -> Column:
 def from_bytes(data: Column) -> Column:
     """Words of a 1250-byte value; any other length is an error."""
     right = F.octet_length(data) == BYTES
-    digits = F.rpad(F.hex(data), 16 * WORDS, "0")
-    words = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: _swap(F.substring(digits, i * 16 + 1, F.lit(16))))
+    parts = lambda digits: F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.substring(digits, i * 16 + 1, F.lit(16)))
+    words = F.transform(bound(F.rpad(F.hex(data), 16 * WORDS, "0"), parts), _swap)
     failed = F.raise_error(F.concat(F.lit(f"a vector has {BYTES} bytes, not "), F.octet_length(data).cast("string")))
     return F.when(data.isNotNull(), F.when(right, words).otherwise(failed.cast("array<bigint>")))
 
@@ -109,6 +147,14 @@ def index32(a: Column) -> Column:
     return a[0].bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def indexed(rows: DataFrame, fp: str = "fp", key: str = "id") -> DataFrame:
+    """``rows`` with ``idx``: the 32-bit index; of several vectors with one index all but the first (by ``key``) take the second word's low bits with bit 31 set."""
+    first = Window.partitionBy("idx").orderBy(key)
+    low = rows.withColumn("idx", index32(F.col(fp))).withColumn("k", F.row_number().over(first))
+    other = F.col(fp)[1].bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 31))
+    return low.withColumn("idx", F.when(F.col("k") == 1, F.col("idx")).otherwise(other)).drop("k")
+
+
 def cam48(data: Column) -> Column:
     """48-bit address: the first 6 bytes of SHA-256 of the bytes."""
     return F.conv(F.substring(F.sha2(data, 256), 1, 12), 16, 10).cast("long")
@@ -146,23 +192,19 @@ def bundle_array(vectors: Column) -> Column:
 def region_similarity(a: Column, b: Column, start: int, end: int) -> Column:
     """Similarity over the bits start..end-1 of two 1250-byte values, bits counted from each byte's highest."""
     first, last = start // 8, (end + 7) // 8
-
-    def byte(data: Column, k: Column) -> Column:
-        return F.conv(F.substring(F.hex(data), 2 * k + 1, F.lit(2)), 16, 10).cast("int")
-
+    byte = lambda digits, k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
     lead, tail = 0xFF >> (start % 8), (0xFF << (-end % 8)) & 0xFF
     mask = lambda k: F.when(k == first, lead).otherwise(255).bitwiseAND(F.when(k == last - 1, tail).otherwise(255))
-    differ = F.transform(F.sequence(F.lit(first), F.lit(last - 1)), lambda k: F.bit_count(byte(a, k).bitwiseXOR(byte(b, k)).bitwiseAND(mask(k))))
-    return 1 - _sum(differ) / F.lit(float(end - start))
+    differ = lambda h: F.transform(F.sequence(F.lit(first), F.lit(last - 1)), lambda k: F.bit_count(byte(h["a"], k).bitwiseXOR(byte(h["b"], k)).bitwiseAND(mask(k))))
+    return 1 - _sum(bound(F.struct(F.hex(a).alias("a"), F.hex(b).alias("b")), differ)) / F.lit(float(end - start))
 
 
 def segment_score(a: Column, b: Column) -> Column:
     """Two-stage score over 40 segments of 31 bytes (the last 10 bytes aside): distance / 1000 + variance / 100 + largest / 50."""
-    x, y = F.hex(a), F.hex(b)
-    byte = lambda h, k: F.conv(F.substring(h, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
-    segment = lambda s: _sum(F.transform(F.sequence(s * 31, s * 31 + 30), lambda k: F.bit_count(byte(x, k).bitwiseXOR(byte(y, k)))))
-    own = F.transform(F.sequence(F.lit(0), F.lit(39)), segment)
-    return F.element_at(F.transform(F.array(own), lambda v: _score(v)), 1)
+    byte = lambda digits, k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    segment = lambda h: lambda s: _sum(F.transform(F.sequence(s * 31, s * 31 + 30), lambda k: F.bit_count(byte(h["a"], k).bitwiseXOR(byte(h["b"], k)))))
+    own = bound(F.struct(F.hex(a).alias("a"), F.hex(b).alias("b")), lambda h: F.transform(F.sequence(F.lit(0), F.lit(39)), segment(h)))
+    return bound(own, _score)
 
 
 def _score(v: Column) -> Column:
@@ -180,3 +222,26 @@ def permute(a: Column, by: int) -> Column:
 def state_of(resonance: Column, role: str) -> Column:
     """What was bound with a role."""
     return xor(resonance, role_vector(role))
+
+
+def encode_number(value: Column) -> Column:
+    """A scalar as the vector of its text."""
+    return fp_seed(value.cast("string"))
+
+
+def encode_list(values: Column) -> Column:
+    """XOR of the values' vectors, each turned by its place (at most ``WORDS`` of them keep their order apart)."""
+    turned = lambda v, i: F.concat(F.slice(v, WORDS - F.pmod(i, F.lit(WORDS)) + 1, WORDS), F.slice(v, F.lit(1), WORDS - F.pmod(i, F.lit(WORDS))))
+    placed = F.transform(values, lambda x, i: bound(fp_seed(x.cast("string")), lambda v: turned(v, i)))
+    return F.aggregate(placed, F.array_repeat(F.lit(0).cast("long"), WORDS), xor)
+
+
+def encode_fields(fields: Column) -> Column:
+    """XOR of every field's name vector bound to its value's, for a map of names to values."""
+    pairs = F.transform(F.map_entries(fields), lambda e: xor(fp_seed(e["key"]), fp_seed(e["value"].cast("string"))))
+    return F.aggregate(pairs, F.array_repeat(F.lit(0).cast("long"), WORDS), xor)
+
+
+def probe(record: Column, field: Column) -> Column:
+    """What a record of one field holds under a name; of more fields, that and the others' noise."""
+    return xor(record, fp_seed(field))

@@ -1,20 +1,22 @@
-"""Random-hyperplane projection of float embeddings to 10,000-bit vectors, which keeps similarity.
+"""Vectors made in bulk, an Arrow batch at a time: seeded fingerprints, random-hyperplane projection, binarization at medians, state vectors.
 
-The matrix follows from a seed, so every worker makes its own once (40 MB) and nothing is shipped; rows go through it an Arrow batch at a time.
+Projection keeps similarity.  Its matrix follows from a seed, so every worker makes its own once (40 MB) and nothing is shipped.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from .bitvec import BITS
+from .bitvec import BITS, BYTES, LAST_MASK, WORDS
 
 #: Fixed values of the projection.
 SEED, DIMENSIONS = 42, 1024
@@ -42,3 +44,76 @@ def _projected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def fp_project(embedding: Column) -> Column:
     """1250 bytes: bit i tells on which side of hyperplane i the embedding lies, each byte's highest bit first; null or empty gives null."""
     return _projected(embedding.cast("array<float>"))
+
+
+_PLACES = [f":{i}".encode() for i in range(WORDS)]
+
+
+@F.arrow_udf(ArrayType(LongType(), False))
+def _seeded(texts: pa.Array) -> pa.Array:
+    digest, parts = hashlib.sha256, []
+    for text in texts.to_pylist():
+        if text is not None:
+            head = text.encode()
+            parts += [digest(head + place).digest()[:8] for place in _PLACES]
+    words = np.frombuffer(b"".join(parts), dtype="<i8").copy()
+    words[WORDS - 1 :: WORDS] &= LAST_MASK
+    present = np.asarray(texts.is_valid()).astype(bool)
+    ends = np.concatenate([[0], np.cumsum(present * WORDS)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(words), mask=pa.array(~present) if not present.all() else None)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew if it lies in fewer partitions than there are cores, as one small file does: for maps that cost far more than a shuffle of their input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def seeded(df: DataFrame, text: str, fp: str = "fp") -> DataFrame:
+    """``df`` with the seeded fingerprints of a text column: fp_seed in bulk, about five times as fast; null gives null."""
+    return spread(df).withColumn(fp, _seeded(F.col(text)))
+
+
+def binarized(df: DataFrame, embedding: str, bits: str = "bits") -> DataFrame:
+    """``df`` with an array of booleans that tells in which dimensions an embedding lies over that dimension's median (of all rows; 0.5 quantile, found exactly)."""
+    each = df.where(F.col(embedding).isNotNull()).select(F.posexplode(embedding).alias("d", "x")).where("x is not null")
+    medians = each.groupBy("d").agg(F.expr("percentile(x, 0.5)").alias("m")).agg(F.sort_array(F.collect_list(F.struct("d", "m"))).alias("medians"))  # one row, as wide as an embedding
+    one = df.crossJoin(F.broadcast(medians))
+    return one.withColumn(bits, F.zip_with(embedding, F.transform("medians", lambda x: x["m"]), lambda x, m: x > m)).drop("medians")
+
+
+#: Bits of a state vector's parts, counted from each byte's highest: time, signal, quality (fixed values).
+REGIONS = {"tau": (0, 3334), "sigma": (3334, 6667), "qualia": (6667, 10_000)}
+
+
+@lru_cache(maxsize=1)
+def _bases() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signs of the Gaussian bases of time and signal, and the noise that stands for no quality; each from a seed of its own."""
+    (a, b), (c, d), (e, f) = REGIONS.values()
+    return np.random.RandomState(SEED).randn(b - a) > 0, np.random.RandomState(SEED + 1).randn(d - c) > 0, np.random.RandomState(SEED + 2).randint(0, 2, f - e, dtype=np.uint8).astype(bool)
+
+
+@F.arrow_udf(BinaryType())
+def encode_state(tau: pa.Array, sigma: pa.Array, qualia: pa.Array) -> pa.Array:
+    """1250 bytes of (tau, sigma, qualia): the bases' signs, or their opposites below zero and nothing at zero, and a hash of the quality's text."""
+    time, signal, noise = _bases()
+    out = []
+    for t, s, q in zip(tau.to_pylist(), sigma.to_pylist(), qualia.to_pylist(), strict=True):
+        of = lambda base, x: base if (x or 0) > 0 else ~base if (x or 0) < 0 else np.zeros(len(base), dtype=bool)
+        quality = np.unpackbits(np.frombuffer(hashlib.sha256(q.encode()).digest() * 14, dtype=np.uint8))[: len(noise)] if q else noise
+        out.append(np.packbits(np.concatenate([of(time, t), of(signal, s), quality]).astype(np.uint8)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+@F.arrow_udf(StructType([StructField("tau", DoubleType()), StructField("sigma", DoubleType())]))
+def decode_state(vector: pa.Array) -> pa.Array:
+    """tau and sigma of state vectors, as correlations with the bases (sigma moved to 0..1); a part without variation gives null."""
+    time, signal, _ = _bases()
+    (a, b), (c, d), _ = REGIONS.values()
+    rows = []
+    for v in vector.to_pylist():
+        bits = np.unpackbits(np.frombuffer(v if v is not None else bytes(BYTES), dtype=np.uint8))
+        like = lambda own, base: float(np.corrcoef(own.astype(float), base.astype(float))[0, 1]) if own.min() != own.max() else None
+        s = like(bits[c:d], signal)
+        rows.append({"tau": like(bits[a:b], time), "sigma": None if s is None else max(0.0, min(1.0, (s + 1) / 2))})
+    return pa.array(rows, pa.struct([("tau", pa.float64()), ("sigma", pa.float64())]))

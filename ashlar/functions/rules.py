@@ -56,6 +56,39 @@ def has_intent(found: Column, intent: str, threshold: float = 0.5) -> Column:
     return F.exists(found, lambda x: (x["intent"] == intent) & (x["confidence"] >= threshold))
 
 
+def all_of(condition: Column) -> Column:
+    """Aggregate: every row meets the condition; true for no rows."""
+    return F.coalesce(F.bool_and(F.coalesce(condition, F.lit(False))), F.lit(True))
+
+
+def exists_of(condition: Column) -> Column:
+    """Aggregate: some row meets the condition; false for no rows."""
+    return F.coalesce(F.bool_or(F.coalesce(condition, F.lit(False))), F.lit(False))
+
+
+def none_of(condition: Column) -> Column:
+    return ~exists_of(condition)
+
+
+def count_of(condition: Column) -> Column:
+    return F.count_if(condition)
+
+
+def first_of(value: Column, condition: Column, order: Column) -> Column:
+    """Aggregate: the value of the first row by ``order`` that meets the condition, or null."""
+    return F.min_by(F.when(condition, value), F.when(condition, order))
+
+
+def contains(edges, group, element) -> Column:
+    """Aggregate over ``edges`` (src, dst, edge_type): the group holds the element."""
+    return exists_of((F.col("src") == group) & (F.col("dst") == element) & (F.col("edge_type") == "CONTAINS"))
+
+
+def based_on(rows, score: Column, idx: str = "id"):
+    """Rows with ``score``, largest first, ties by ``idx``."""
+    return rows.withColumn("score", score).orderBy(F.desc("score"), idx)
+
+
 def error_class(error: Column) -> Column:
     e = F.lower(error)
     return F.when(_any(e, ("blank", "null", "empty")), "missing_input").when(_any(e, ("too short", "too long")), "length").when(_any(e, ("unique", "duplicate")), "uniqueness").otherwise("execution")

@@ -7,17 +7,25 @@ it with checkpoint() where a turn depends on many before it.  Hot nodes meet one
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; one is made only where none is set."""
+    """Cut the lineage in the session's checkpoint folder; in a local session one is made where none is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ashlar-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="ashlar-"))
     return df.checkpoint()
 
 
@@ -49,6 +57,19 @@ def reach(starts: DataFrame, edges: DataFrame, hops: int | None = None, backward
     return seen
 
 
+def reached(starts: DataFrame, edges: DataFrame, backwards: bool = False) -> DataFrame:
+    """(id): all nodes that any start (``starts``: id) reaches, the starts too, each once.  A frontier of new nodes goes on each turn."""
+    links = edges.select(F.col("dst").alias("at"), F.col("src").alias("to")) if backwards else edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
+    links = cut(links.distinct())
+    seen = frontier = cut(starts.select("id").distinct())
+    while True:
+        step = frontier.join(links, frontier["id"] == links["at"]).select(F.col("to").alias("id")).distinct()
+        frontier = cut(step.join(seen, "id", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = cut(seen.union(frontier))
+
+
 def upstream(starts: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
     """Distinct predecessors within ``hops`` (held to 1..10)."""
     found = reach(starts, edges, max(1, min(10, hops)), backwards=True)
@@ -92,18 +113,193 @@ def levels(nodes: DataFrame, edges: DataFrame, on_cycle: str = "least") -> DataF
     return nodes.select("id").distinct().join(done, "id", "left") if done is not None else nodes.select("id", F.lit(None).cast("int").alias("level"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id that a node reaches and is reached by."""
-    closure = reach(nodes.select("id"), edges)
-    mutual = closure.select("start", "id").intersect(closure.select(F.col("id").alias("start"), F.col("start").alias("id")))
-    return mutual.groupBy(F.col("start").alias("id")).agg(F.min("id").alias("component"))
+def plan_for(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level): what ``targets`` (id) need, themselves too, at the levels that the whole graph gives; edges lead from what is needed to what needs it.
+    Levels without such nodes stay empty."""
+    needed = reached(targets, edges, backwards=True)
+    return levels(nodes, edges).join(needed, "id", "left_semi")
+
+
+def stages(nodes: DataFrame, edges: DataFrame, phases: tuple[str, ...]) -> DataFrame:
+    """(id, stage): execution stages of nodes (id, phase, parallelizable).
+
+    In every round the nodes without predecessors left are ready; in a cycle those with fewest.  Ready nodes run phase by phase: those that may
+    run together make one stage, the others one each, in the order of their ids."""
+    left, links, parts, round_ = cut(nodes.select("id", "phase", "parallelizable")), cut(edges.select("src", "dst")), [], 0
+    while not left.isEmpty():
+        waiting = links.join(left.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        open_ = cut(left.join(waiting, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+        least = open_.agg(F.min("n")).first()[0]
+        ready = open_.where(F.col("n") == least).select("id", "phase", "parallelizable", F.lit(round_).alias("round"))
+        parts.append(cut(ready))
+        left, round_ = cut(left.join(parts[-1], "id", "left_anti")), round_ + 1
+    done = reduce(DataFrame.union, parts) if parts else left.withColumn("round", F.lit(0))
+    place = F.array_position(F.array(*[F.lit(p) for p in phases]), F.col("phase")).cast("int")
+    keyed = done.select("id", "round", place.alias("place"), (~F.col("parallelizable")).cast("int").alias("alone"), F.when(~F.col("parallelizable"), F.col("id")).alias("own"))
+    order = ["round", "place", "alone", "own"]
+    groups = keyed.select(*order).distinct()
+    # stages are numbered per round by a window and rounds by their sizes, so no window spans the graph
+    inside = groups.withColumn("k", F.row_number().over(Window.partitionBy("round").orderBy(F.col("place"), F.col("alone"), F.col("own").asc_nulls_first())))
+    sizes = inside.groupBy("round").agg(F.max("k").alias("size"))
+    before = sizes.select("round", "size").alias("a").join(sizes.select(F.col("round").alias("earlier"), F.col("size").alias("s")), F.col("earlier") < F.col("round"), "left").groupBy("round").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("before"))  # a row per round
+    numbered = inside.join(F.broadcast(before), "round").select(*[F.col(c).alias(f"g_{c}") for c in order], (F.col("before") + F.col("k") - 1).cast("int").alias("stage"))
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"g_{c}")), order, F.lit(True))
+    return keyed.join(numbered, same).select("id", "stage")
+
+
+def data_flow_fields(edges: DataFrame) -> DataFrame:
+    """(id, fields): sorted fields that flow into a node, of edges (dst, kind, field)."""
+    flow = edges.where("kind = 'data_flow' and field is not null")
+    return flow.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("field")).alias("fields"))
+
+
+def _trimmed(left: DataFrame, links: DataFrame, turns: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without those nodes that lack a way in or out, a few layers of them: they are components of their own."""
+    size = left.count()
+    for _ in range(turns):
+        inner = left.join(links.select(F.col("src").alias("id")), "id", "left_semi").join(links.select(F.col("dst").alias("id")), "id", "left_semi")
+        left = cut(inner)
+        links = cut(_between(links, left))
+        size, before = left.count(), size
+        if size == before:
+            break
+    return left, links
+
+
+def _between(links: DataFrame, left: DataFrame) -> DataFrame:
+    return links.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
+def _coloured(left: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, colour): the least id that reaches each node.  Only nodes whose colour changed send it on."""
+    found = cut(left.select("id", F.col("id").alias("colour")))
+    moving = found
+    while True:
+        offered = moving.join(links, moving["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("offered"))
+        moving = cut(offered.join(found, "id").where("offered < colour").select("id", F.col("offered").alias("colour")))
+        if moving.isEmpty():
+            return found
+        found = cut(found.join(moving.withColumnRenamed("colour", "new"), "id", "left").select("id", F.coalesce("new", "colour").alias("colour")))
+
+
+#: A graph of so many edges at most (counted first), or what is left of a larger one, is finished in one task.
+LAST_EDGES = 16_384
+
+
+def _knotted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of the nodes of one partition's edges: depth-first search forwards, then backwards from the last finished."""
+    out: dict = {}
+    back: dict = {}
+    for batch in stream:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out.setdefault(a, []).append(b)
+            out.setdefault(b, [])
+            back.setdefault(b, []).append(a)
+    finished, seen = [], set()
+    for root in sorted(out):
+        stack = [] if root in seen else [(root, iter(out[root]))]
+        seen.add(root)
+        while stack:
+            node, ways = stack[-1]
+            fresh = next((x for x in ways if x not in seen), None)
+            if fresh is None:
+                finished.append(node)
+                stack.pop()
+            else:
+                seen.add(fresh)
+                stack.append((fresh, iter(out[fresh])))
+    component: dict = {}
+    for root in reversed(finished):
+        if root not in component:
+            members, component[root] = [root], root
+            for node in members:
+                for x in back.get(node, ()):
+                    if x not in component:
+                        component[x] = root
+                        members.append(x)
+            least = min(members)
+            component.update(dict.fromkeys(members, least))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(list(component)), pa.array(list(component.values()))], names=["id", "component"])
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
+    """(id, component): the least id of those that a node reaches and is reached by, by colouring.
+
+    Every node takes the least id that reaches it as its colour; of a colour, the nodes that reach its root make up the root's component.
+    These go and the rest is coloured anew, until ``last_edges`` or fewer are left.  A turn keeps one row per node, never pairs of them."""
+    everything = nodes.select("id").distinct()
+    links = cut(_between(edges.select("src", "dst").where("src <> dst").distinct(), everything))
+    left, parts = None, []
+    while True:
+        if links.count() <= last_edges:
+            kind = T.StructType([T.StructField(c, everything.schema["id"].dataType) for c in ("id", "component")])
+            parts.append(links.coalesce(1).mapInArrow(_knotted, kind))
+            break
+        left, links = _trimmed(cut(everything) if left is None else left, links)
+        if left.isEmpty():
+            break
+        colours = _coloured(left, links)
+        side = lambda k: colours.select(F.col("id").alias(k), F.col("colour").alias(f"{k}_colour"))  # noqa: E731, B023
+        inside = links.join(side("src"), "src").join(side("dst"), "dst").where("src_colour = dst_colour").select("src", "dst")
+        found = reached(colours.where("id = colour"), inside, backwards=True)
+        parts.append(cut(found.join(colours, "id").select("id", F.col("colour").alias("component"))))
+        left = cut(left.join(parts[-1], "id", "left_anti"))
+        links = cut(_between(links, left))
+    if not parts:
+        return everything.select("id", F.col("id").alias("component"))
+    known = reduce(DataFrame.union, parts)
+    return everything.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def cycles(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(cycle, length): simple cycles of up to ``most`` nodes, each once, from its least id on; a loop at a node is a cycle of one.
+
+    Only strong components of more than one node are searched, and paths go to larger ids than their start's alone.  The number of
+    simple cycles may grow exponentially with ``most``."""
+    loops = edges.where("src = dst").select(F.array("src").alias("cycle")).distinct()
+    parts = strong_components(nodes, edges)
+    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    inside = parts.join(large, "component", "left_semi")
+    side = lambda k: inside.select(F.col("id").alias(k), F.col("component").alias(f"{k}_component"))
+    links = cut(edges.select("src", "dst").where("src <> dst").distinct().join(side("src"), "src").join(side("dst"), "dst").where("src_component = dst_component").select("src", "dst"))
+    paths, found = links.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path")), [loops]
+    for length in range(2, most + 1):
+        paths = cut(paths)
+        if paths.isEmpty():
+            break
+        found.append(paths.join(links, (paths["at"] == links["src"]) & (paths["start"] == links["dst"])).select(F.col("path").alias("cycle")))
+        if length < most:
+            step = paths.join(links, paths["at"] == links["src"]).where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
+            paths = step.select("start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+    return reduce(DataFrame.union, found).select("cycle", F.size("cycle").alias("length"))
+
+
+def shortest_paths(starts: DataFrame, ends: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+    """(start, end, path): all shortest paths from each start (id) to each end (id)."""
+    hops = cut(reach(starts, edges, most))
+    # an edge lies on a shortest path from a start if it leads one hop further
+    on = edges.select("src", "dst").distinct().join(hops.select("start", F.col("id").alias("src"), F.col("hops").alias("h")), "src").join(hops.select("start", F.col("id").alias("dst"), F.col("hops").alias("next")), ["start", "dst"]).where("next = h + 1")
+    on = cut(on.select("start", "src", "dst"))
+    wanted = hops.join(ends.select("id").distinct(), "id", "left_semi")
+    moving = wanted.select("start", F.col("id").alias("end"), F.col("id").alias("at"), F.array("id").alias("path"))
+    found = []
+    while True:
+        moving = cut(moving)
+        if moving.isEmpty():
+            break
+        found.append(moving.where("at = start").select("start", "end", "path"))
+        moving = moving.where("at <> start").join(on.withColumnRenamed("dst", "at"), ["start", "at"]).select("start", "end", F.col("src").alias("at"), F.concat(F.array("src"), "path").alias("path"))
+    return reduce(DataFrame.union, found) if found else moving.select("start", "end", "path")
 
 
 def live_nodes(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Nodes reachable from roots: ids given, or nodes without incoming edges."""
-    starts = roots if roots is not None else nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
-    kept = reach(starts, edges).select("id").distinct()
-    return nodes.join(kept, "id", "left_semi")
+    """Nodes reachable from roots: ids given, or nodes without incoming edges and, where ``nodes`` has a node_type, triggers."""
+    if roots is None:
+        roots = nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id")
+        if "node_type" in nodes.columns:
+            roots = roots.union(nodes.where("node_type = 'TRIGGER'").select("id"))
+    return nodes.join(reached(roots, edges), "id", "left_semi")
 
 
 def fusible_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,9 +325,22 @@ def fuse(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def parallel_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(predecessors, ids): pure nodes with the same set of predecessors, two or more."""
-    before = edges.join(nodes.where("pure").select(F.col("id").alias("dst")), "dst", "left_semi").groupBy("dst").agg(F.sort_array(F.collect_set("src")).alias("predecessors"))
-    return before.groupBy("predecessors").agg(F.sort_array(F.collect_list("dst")).alias("ids")).where(F.size("ids") > 1)
+    """(id, predecessors, n): pure nodes with the same set of predecessors, two or more; such nodes can run together.
+
+    A set is known by its size and two sums of hashes, which add up partially, so neither a hub's successors nor a group's members meet in one row;
+    ``predecessors`` is the hash."""
+    links = edges.select("src", "dst").distinct()
+    hashed = lambda seed: F.sum(F.xxhash64("src", F.lit(seed)).cast("decimal(38,0)"))
+    sets = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("k"), hashed(1).alias("x"), hashed(2).alias("y"))
+    sets = sets.select("id", F.sha2(F.concat_ws(":", "k", "x", "y"), 256).alias("predecessors"))
+    own = sets.join(nodes.select("id", "pure"), "id")
+    groups = own.groupBy("predecessors").agg(F.count(F.lit(1)).alias("n"), F.bool_and("pure").alias("all_pure")).where("n > 1 and all_pure")
+    return own.join(groups, "predecessors").select("id", "predecessors", "n")
+
+
+def cacheable(nodes: DataFrame) -> DataFrame:
+    """Pure nodes of kinds whose results can be kept."""
+    return nodes.where("pure and node_type in ('VALIDATE', 'TRANSFORM', 'QUERY')")
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -139,12 +348,27 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     orphan = ends.join(nodes, "id", "left_anti").select(F.lit("orphan_edge").alias("problem"), "id")
     alone = nodes.join(ends, "id", "left_anti").select(F.lit("isolated").alias("problem"), "id")
-    cyclic = strong_components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.collect_list("id").alias("ids")).where("n > 1")
-    cyclic = cyclic.select(F.lit("cycle").alias("problem"), F.explode("ids").alias("id"))
+    parts = cut(strong_components(nodes, edges))
+    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    loops = edges.where("src = dst").select(F.col("src").alias("id"))
+    cyclic = parts.join(large, "component", "left_semi").select("id").union(loops.join(nodes, "id", "left_semi").select("id")).distinct()
     none = lambda rows, what: rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(what).alias("problem"), F.lit(None).cast(nodes.schema["id"].dataType).alias("id"))
     entry = none(nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti"), "no_entry")
     terminal = none(nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti"), "no_terminal")
-    return orphan.union(alone).union(cyclic).union(entry).union(terminal)
+    return orphan.union(alone).union(cyclic.select(F.lit("cycle").alias("problem"), "id")).union(entry).union(terminal)
+
+
+def composed(nodes: DataFrame, edges: DataFrame, base: str, name: str, removals: list[str] | None = None, additions: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a new graph: those of ``base`` (ids that begin with it and one more character), less ``removals`` (ids), and with the rows of
+    ``additions`` (frames of nodes, as a search finds them) under ids that begin with ``name``.  Edges need both ends; run validate() on the result."""
+    own = nodes.where(F.col("id").like(f"{base}_%"))
+    links = edges.where(F.col("src").like(f"{base}_%") | F.col("dst").like(f"{base}_%"))
+    if removals:
+        own = own.where(~F.col("id").isin(*removals))
+    links = _between(links, own)
+    for found in additions or []:
+        own = own.unionByName(found.select(*[F.concat(F.lit(f"{name}_"), "id").alias("id") if c == "id" else F.col(c) for c in nodes.columns]))
+    return own, links.select(*edges.columns)
 
 
 def cohesion(groups: DataFrame, edges: DataFrame) -> DataFrame:

@@ -24,9 +24,10 @@ def _uses(edges: DataFrame) -> DataFrame:
 
 
 def hotspots(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
-    """The k nodes with the largest (fan_in + 1)(fan_out + 1)cyclomatic."""
+    """The k methods, functions and classes with the largest (fan_in + 1)(fan_out + 1)cyclomatic."""
     both = degrees(nodes, _uses(edges)).join(cyclomatic(nodes, edges), "id", "left")
     score = (F.col("fan_in") + 1) * (F.col("fan_out") + 1) * F.coalesce("cyclomatic", F.lit(1))
+    both = both.join(nodes.where("node_type in ('METHOD', 'FUNCTION', 'CLASS')").select("id"), "id", "left_semi")
     return both.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -72,6 +73,21 @@ WEIGHTS = {"GOD_CLASS": 10, "CIRCULAR_DEPENDENCY": 15, "LONG_METHOD": 5, "DEEP_N
 SAME_AS = {"GOD_OBJECT": "GOD_CLASS", "ARROW_CODE": "DEEP_NESTING", "COPY_PASTE": "DUPLICATED_CODE"}
 
 
+#: Advice by smell found, and by metric over its bound, in the order it is given: text, what it needs (fixed values).
+BY_SMELL = (("GOD_CLASS", "CRITICAL: split large classes"), ("CIRCULAR_DEPENDENCY", "CRITICAL: break circular dependencies"), ("LONG_METHOD", "HIGH: extract long methods"), ("DEEP_NESTING", "HIGH: flatten deep nesting"), ("FEATURE_ENVY", "MEDIUM: move envious methods"), ("DEAD_CODE", "LOW: remove or document dead code"))
+BY_METRIC = (("avg_method_length", 30, "HIGH: shorten methods on average"), ("avg_params", 4, "MEDIUM: use parameter objects"), ("methods_per_class", 10, "HIGH: split classes with many methods"))
+
+
+def recommendations(findings: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(place, advice) of findings (smell) and the one row of ``metrics``, most urgent kinds first as listed."""
+    alike = F.create_map(*[F.lit(x) for kv in SAME_AS.items() for x in kv])
+    found = findings.agg(F.collect_set(F.coalesce(F.element_at(alike, F.col("smell")), F.col("smell"))).alias("smells"))  # at most as many as there are kinds
+    rules = [F.when(F.array_contains("smells", s), F.lit(text)) for s, text in BY_SMELL]
+    rules += [F.when(F.col(c) > most, F.lit(text)) for c, most, text in BY_METRIC]
+    one = metrics.crossJoin(found)  # one row each
+    return one.select(F.posexplode(F.array(*rules)).alias("place", "advice")).where("advice is not null")
+
+
 def score(findings: DataFrame, metrics: DataFrame) -> DataFrame:
     """The one row of ``metrics`` with ``score``, 100 less what findings (smell) and bad metrics cost, from 0 to 100."""
     names = F.create_map(*[F.lit(x) for k, v in SAME_AS.items() for x in (k, WEIGHTS[v])], *[F.lit(x) for kv in WEIGHTS.items() for x in kv])

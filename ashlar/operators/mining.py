@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .graph import cut
 
 
 def pair_counts(baskets: DataFrame) -> DataFrame:
@@ -30,10 +33,67 @@ def implications(baskets: DataFrame, least_confidence: float = 0.9, least_count:
 
 
 def propagation(baskets: DataFrame, least: float = 0.3) -> DataFrame:
-    """(item, other, strength): share of the item's baskets that hold the other, both directions."""
-    pairs = pair_counts(baskets)
-    both = pairs.select(F.col("a").alias("item"), F.col("b").alias("other"), "n").union(pairs.select(F.col("b").alias("item"), F.col("a").alias("other"), "n"))
-    return both.join(item_counts(baskets).toDF("item", "n_item"), "item").select("item", "other", (F.col("n") / F.col("n_item")).alias("strength")).where(F.col("strength") > least)
+    """(item, other, strength): baskets with both over those with the pair's first item in sorted order, in both directions alike.
+
+    (So the second direction is divided by the other item's count, not by the item's own.)"""
+    shares = pair_counts(baskets).join(item_counts(baskets).toDF("a", "n_a"), "a").withColumn("strength", F.col("n") / F.col("n_a")).where(F.col("strength") > least)
+    return shares.select(F.col("a").alias("item"), F.col("b").alias("other"), "strength").union(shares.select("b", "a", "strength"))
+
+
+def fanout_confirmed(baskets: DataFrame, rules: DataFrame, least: float = 0.5, wanted: int = 3) -> DataFrame:
+    """(source, confirmed) for ``rules`` (source, targets): whether it spreads with over ``least`` to as many targets as there are, or to ``wanted`` of them."""
+    strong = propagation(baskets).where(F.col("strength") > least).select(F.col("item").alias("source"), F.col("other").alias("target"))
+    each = rules.select("source", "targets", F.explode_outer("targets").alias("target"))
+    found = each.join(strong.withColumn("hit", F.lit(1)), ["source", "target"], "left").groupBy("source", "targets").agg(F.count("hit").alias("hits"))
+    return found.select("source", (F.col("hits") >= F.least(F.size("targets"), F.lit(wanted))).alias("confirmed"))
+
+
+#: Levels of rules, from the lowest (fixed values).
+LEVELS = ("RAW", "ATOM", "STRUCTURE", "PATTERN", "SYNDROME", "PRINCIPLE", "TRANSCENDENCE")
+
+
+def level_jump(rules: DataFrame, least: int = 5) -> DataFrame:
+    """(level, elevated, to_level, support, common): for each level (a number) of ``rules`` (level, examples), whether it can be unified into the next: ``least``
+    rules or more, and examples that occur at least half as often as there are rules; ``common`` holds up to five of them, the most frequent first."""
+    sizes = rules.groupBy("level").agg(F.count(F.lit(1)).alias("support"))
+    seen = rules.select("level", F.explode("examples").alias("example")).groupBy("level", "example").agg(F.count(F.lit(1)).alias("n"))
+    often = seen.join(sizes, "level").where("2 * n >= support")
+    first = Window.partitionBy("level").orderBy(F.desc("n"), "example")
+    common = often.withColumn("k", F.row_number().over(first)).where("k <= 5").groupBy("level").agg(F.sort_array(F.collect_list(F.struct("k", "example"))).alias("c"))
+    up = (F.col("support") >= least) & F.col("c").isNotNull()
+    none = F.array().cast("array<string>")
+    return sizes.join(common, "level", "left").select(
+        "level",
+        up.alias("elevated"),
+        F.when(up, F.least(F.col("level") + 1, F.lit(len(LEVELS) - 1))).otherwise(F.col("level")).cast("int").alias("to_level"),
+        "support",
+        F.when(up, F.transform("c", lambda x: x["example"])).otherwise(none).alias("common"),
+    )
+
+
+def elevate(rules: DataFrame, relevance: float, least: float = 0.7) -> DataFrame:
+    """One row for ``rules`` (name, level, support) taken together, or none if ``relevance`` is under ``least`` or there are fewer than two: (level, confidence, support, n_rules, impact, insight)."""
+    names = rules.agg(
+        F.count(F.lit(1)).alias("n_rules"),
+        F.max("level").alias("top"),
+        F.sum("support").alias("support"),
+        *[F.bool_or(_mentions("name", words)).alias(k) for k, words in INSIGHTS],
+    )
+    said = F.coalesce(*[F.when(F.col(k), k) for k, _ in INSIGHTS], F.lit("common_cause"))
+    return names.where((F.col("n_rules") >= 2) & (F.lit(relevance) >= least)).select(
+        F.least(F.col("top") + 1, F.lit(len(LEVELS) - 1)).cast("int").alias("level"), F.lit(float(relevance)).alias("confidence"), "support", "n_rules", (F.lit(float(relevance)) * F.col("n_rules") / 10).alias("impact"), said.alias("insight")
+    )
+
+
+#: Kinds of insight by words in the rules' names, first match first (fixed values).
+INSIGHTS = (("too_much_breaks_together", ("GOD", "Single")), ("dependencies_amplify", ("CIRCULAR", "Coupling")), ("nesting_compounds", ("NESTING", "ARROW")))
+
+
+def _mentions(column: str, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | F.col(column).contains(w)
+    return found
 
 
 def correlations(edges: DataFrame, least: float = 0.3) -> DataFrame:
@@ -46,8 +106,7 @@ def correlations(edges: DataFrame, least: float = 0.3) -> DataFrame:
 def emerging_patterns(baskets: DataFrame, known: DataFrame, k: int = 5, least: int = 3) -> DataFrame:
     """(a, b, n, confidence): frequent pairs that no known pattern (items) holds, confidence n / 10 up to 0.7."""
     top = pair_counts(baskets).where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(k)
-    covered = known.select(F.col("items").alias("pattern"))
-    new = top.join(covered, F.array_contains("pattern", F.col("a")) & F.array_contains("pattern", F.col("b")), "left_anti")
+    new = top.join(pair_counts(known).select("a", "b"), ["a", "b"], "left_anti")
     return new.select("a", "b", "n", F.least(F.col("n") / 10, F.lit(0.7)).alias("confidence"))
 
 
@@ -95,8 +154,81 @@ def fold(events: DataFrame) -> DataFrame:
     return steps.select("name", done["c"].alias("confidence"), done["n"].alias("observations"))
 
 
-def column_stats(df: DataFrame, column: str) -> DataFrame:
-    """One row of statistics of a column over all rows and the encoding they advise."""
-    stats = df.select(F.col(column).alias("v")).agg(F.count("v").alias("n"), F.count_distinct("v").alias("distinct_values"), F.min("v").alias("low"), F.max("v").alias("high"))
+def decayed(patterns: DataFrame, observed_enough: int = 3) -> DataFrame:
+    """One epoch: confidences x 0.95, or x 0.855 under ``observed_enough`` observations; patterns that fall under 0.1 with fewer than 10 observations go."""
+    new = F.col("confidence") * F.when(F.col("observations") < observed_enough, 0.95 * 0.9).otherwise(0.95)
+    return patterns.withColumn("confidence", new).where("not (confidence < 0.1 and observations < 10)")
+
+
+#: Patterns known beforehand: kind, name, items or steps (fixed values).
+SEED_PATTERNS = (
+    ("SYNDROME", "God Object Syndrome", ("GOD_CLASS", "LONG_METHOD", "FEATURE_ENVY")),
+    ("SYNDROME", "Spaghetti Tangle", ("DEEP_NESTING", "SPAGHETTI", "LONG_METHOD")),
+    ("SYNDROME", "Dependency Hell", ("CIRCULAR_DEPENDENCY", "SHOTGUN_SURGERY", "FEATURE_ENVY")),
+    ("SYNDROME", "Copy-Paste Inheritance", ("DUPLICATED_CODE", "PARALLEL_INHERITANCE")),
+    ("REFACTORING_RECIPE", "Extract Class", ("GOD_CLASS",)),
+    ("REFACTORING_RECIPE", "Flatten Arrow", ("DEEP_NESTING",)),
+    ("CODE_IDIOM", "Repository Pattern", ("find", "save", "delete", "query")),
+    ("CODE_IDIOM", "Service Layer", ("execute", "handle", "process")),
+    ("ANTI_IDIOM", "Manager Class", ("Manager", "Handler", "Helper", "Util")),
+)
+#: Principles known beforehand and the smell that each speaks of (fixed values).
+SEED_PRINCIPLES = (
+    ("Single Responsibility", "GOD_CLASS"),
+    ("Low Coupling", "tight_coupling"),
+    ("High Cohesion", "FEATURE_ENVY"),
+    ("Acyclic Dependencies", "CIRCULAR_DEPENDENCY"),
+    ("Shallow Nesting", "ARROW_CODE"),
+)
+
+
+def seed_patterns(spark: SparkSession) -> DataFrame:
+    """(kind, name, items, confidence, observations): the patterns known beforehand; a recipe's items are the smells it mends."""
+    return spark.createDataFrame([(k, n, list(i), 0.8, 10) for k, n, i in SEED_PATTERNS], "kind string, name string, items array<string>, confidence double, observations long")
+
+
+def seed_principles(spark: SparkSession) -> DataFrame:
+    """(name, level, smell, confidence, support, examples): the principles known beforehand."""
+    rows = [(n, LEVELS.index("PRINCIPLE"), s, 0.95, 100, []) for n, s in SEED_PRINCIPLES]
+    return spark.createDataFrame(rows, "name string, level int, smell string, confidence double, support long, examples array<string>")
+
+
+def suggested_fixes(baskets: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(seq, name, score) by score: syndromes (kind SYNDROME) of which a basket holds over 0.3, scored overlap x confidence, and recipes for a smell it holds, scored by confidence."""
+    hooks = patterns.where("kind in ('SYNDROME', 'REFACTORING_RECIPE')").select("kind", "name", "confidence", F.array_distinct("items").alias("pattern"))
+    touched = baskets.select("seq", F.explode(F.array_distinct("items")).alias("hook")).join(hooks.withColumn("hook", F.explode("pattern")), "hook")
+    held = touched.groupBy("seq", "kind", "name", "confidence", F.size("pattern").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.col("size")
+    score = F.when(F.col("kind") == "SYNDROME", F.when(share > 0.3, share * F.col("confidence"))).otherwise(F.col("confidence"))
+    return held.select("seq", "name", score.alias("score")).where("score is not null").orderBy("seq", F.desc("score"), "name")
+
+
+def column_stats(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """One row of statistics of a column over all rows, and the encoding they advise.
+
+    n, nulls, distinct_values, low, high, mode (the least of the most frequent values) and its share of the values; with ``order`` (a column that orders the rows and is unique
+    nearly everywhere) also in_order, runs and mean_run.  Rows are ranged by ``order`` and compared with their neighbour inside a range; a range's ends are
+    compared with the next range's, one row per range."""
+    values = df.select(F.col(column).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    some = values.where("v is not null")
+    stats = some.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count("v").alias("distinct_values"), F.min("v").alias("low"), F.max("v").alias("high"), F.min(F.struct((-F.col("k")).alias("less"), "v")).alias("top"))
+    stats = stats.crossJoin(values.agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("k"))), F.lit(0)).alias("nulls")))  # one row each
     share = F.col("distinct_values") / F.col("n")
-    return stats.withColumn("encoding", F.when(F.col("distinct_values") == 1, "ONE_VALUE").when(share < 0.5, "DICTIONARY").otherwise("PLAIN"))
+    encoding = F.when(F.col("distinct_values") == 1, "ONE_VALUE").when(share < 0.5, "DICTIONARY").otherwise("PLAIN")
+    out = stats.select("n", "nulls", "distinct_values", "low", "high", F.col("top.v").alias("mode"), (-F.col("top.less") / F.col("n")).alias("mode_share"), encoding.alias("encoding"))
+    return out if order is None else out.crossJoin(_runs(df.select(F.col(column).alias("v"), F.col(order).alias("o")))).withColumn("mean_run", F.when(F.col("runs") > 0, F.col("n") / F.col("runs")))
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """One row (in_order, runs) of the values v that are not null, in the order of o."""
+    ranged = rows.where("v is not null").repartitionByRange("o").withColumn("part", F.spark_partition_id())
+    ranged = cut(ranged)
+    before = F.lag("v").over(Window.partitionBy("part").orderBy("o", "v"))
+    steps = ranged.withColumn("before", before)
+    parts = steps.groupBy("part").agg(
+        F.count_if(F.col("before").isNull() | (F.col("before") != F.col("v"))).alias("runs"), F.count_if(F.col("before") > F.col("v")).alias("falls"), F.min_by("v", F.struct("o", "v")).alias("first"), F.max_by("v", F.struct("o", "v")).alias("last")
+    )
+    # one row per range of the sort
+    last = F.lag("last").over(Window.orderBy("part"))
+    joined = parts.withColumn("last", last)
+    return joined.agg((F.coalesce(F.sum("falls"), F.lit(0)) + F.count_if(F.col("last") > F.col("first")) == 0).alias("in_order"), (F.coalesce(F.sum("runs"), F.lit(0)) - F.count_if(F.col("last") == F.col("first"))).alias("runs"))

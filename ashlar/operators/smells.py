@@ -9,8 +9,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import cut, strong_components
+from .metrics import coupled_pairs, cyclomatic
+from .search import similar_pairs
 
 #: Names that are entered from outside, so that nothing need call them (fixed values).
 ENTRY_NAMES = ("main", "__init__", "__main__", "run", "start", "execute")
@@ -81,8 +84,20 @@ def arrow_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def copy_paste(nodes: DataFrame) -> DataFrame:
     """Bodies that occur twice or more, by equality: every copy but the first is a finding."""
-    first = nodes.where("body <> ''").groupBy("body").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _found(nodes.join(first, "body").where("id <> first"), "COPY_PASTE", F.lit(1.0))
+    some = nodes.where("body <> ''").select("id", F.sha2("body", 256).alias("key"))
+    first = some.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _found(some.join(first, "key").where("id <> first"), "COPY_PASTE", F.lit(1.0))
+
+
+def alike_code(rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, similarity): pairs of ``rows`` (idx, fp) whose projected vectors are at least ``least`` similar."""
+    return similar_pairs(rows, least)
+
+
+def tangled(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """(id, degree): the evidence for SPAGHETTI, the k nodes with most calls in and out."""
+    ends = edges.where("edge_type = 'CALLS'").select(F.explode(F.array("src", "dst")).alias("id"))
+    return ends.join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "id").limit(k)
 
 
 def long_method(nodes: DataFrame) -> DataFrame:
@@ -104,6 +119,46 @@ def analyze(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def node_smells(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(smell, id, confidence) of single nodes: classes with over 10 methods or under 2, methods of a cyclomatic number over 10 or with over 5
+    uses, and any node whose members call each other over twice as often as there are members."""
+    inner = edges.where("edge_type = 'CONTAINS'").select(F.col("src").alias("owner"), F.col("dst").alias("id")).distinct()
+    methods = inner.join(nodes.where("node_type = 'METHOD'").select("id"), "id").groupBy(F.col("owner").alias("id")).agg(F.count(F.lit(1)).alias("m"))
+    classes = nodes.where("node_type = 'CLASS'").select("id").join(methods, "id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    own = nodes.where("node_type = 'METHOD'").select("id").join(cyclomatic(nodes, edges), "id")
+    uses = nodes.where("node_type = 'METHOD'").select("id").join(edges.where("edge_type in ('CALLS', 'DEPENDS')").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("f")), "id")
+    members = inner.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda k: inner.select(F.col("id").alias(k), F.col("owner").alias(f"{k}_owner"))
+    calls = edges.where("edge_type = 'CALLS'").join(side("src"), "src").join(side("dst"), "dst").where("src_owner = dst_owner").groupBy(F.col("src_owner").alias("owner")).agg(F.count(F.lit(1)).alias("c"))
+    busy = members.join(calls, "owner").where("c > 2 * n").withColumnRenamed("owner", "id")
+    parts = [
+        _found(classes.where("m > 10"), "GOD_CLASS", F.least(F.col("m") / 20, F.lit(1.0))),
+        _found(classes.where("m < 2"), "LAZY_CLASS", F.lit(0.8)),
+        _found(own.where("cyclomatic > 10"), "LONG_METHOD", F.least(F.col("cyclomatic") / 20, F.lit(1.0))),
+        _found(uses.where("f > 5"), "FEATURE_ENVY", F.least(F.col("f") / 10, F.lit(1.0))),
+        _found(busy, "SPAGHETTI", F.least(F.col("c") / (F.col("n") * 5), F.lit(1.0))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ranked(findings: DataFrame) -> DataFrame:
+    """(smell, place, id, confidence): findings by kind, surest first, counted from 1."""
+    order = Window.partitionBy("smell").orderBy(F.desc("confidence"), "id")
+    return findings.withColumn("place", F.row_number().over(order)).select("smell", "place", "id", "confidence")
+
+
+#: What a node smell of confidence over 0.5 calls for (fixed values).
+REFACTORINGS = {"GOD_CLASS": "extract_class", "LONG_METHOD": "extract_method", "FEATURE_ENVY": "move_method", "LAZY_CLASS": "inline_class"}
+
+
+def refactorings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, action, other): what node smells of confidence over 0.5 call for, and pairs coupled over 0.7, from both ends."""
+    by_smell = F.element_at(F.create_map(*[F.lit(x) for kv in REFACTORINGS.items() for x in kv]), F.col("smell"))
+    found = node_smells(nodes, edges).where("confidence > 0.5").select("id", by_smell.alias("action"), F.lit(None).cast(nodes.schema["id"].dataType).alias("other")).where("action is not null")
+    close = coupled_pairs(nodes, edges).where("coupling > 0.7")
+    return found.union(close.select("a", F.lit("reduce_coupling"), "b")).union(close.select("b", F.lit("reduce_coupling"), "a"))
+
+
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(smell, id, change): findings new since ``before``, and fixed."""
     keys = lambda df: df.select("smell", "id").distinct()

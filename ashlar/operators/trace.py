@@ -18,12 +18,13 @@ def slowest_nodes(log: DataFrame, k: int | None = 10) -> DataFrame:
 
 
 def last_failure(log: DataFrame, node: str | None = None) -> DataFrame:
+    """The latest failure (of a node); of several at one time the one of least execution and node."""
     failed = log.where(~F.col("success"))
-    return (failed if node is None else failed.where(F.col("node_id") == node)).orderBy(F.desc("ts")).limit(1)
+    return (failed if node is None else failed.where(F.col("node_id") == node)).orderBy(F.desc("ts"), "execution_id", "node_id").limit(1)
 
 
 def failures_of_others(log: DataFrame, node: str, k: int = 10) -> DataFrame:
-    return log.where(~F.col("success") & (F.col("node_id") != node)).orderBy(F.desc("ts")).limit(k)
+    return log.where(~F.col("success") & (F.col("node_id") != node)).orderBy(F.desc("ts"), "execution_id", "node_id").limit(k)
 
 
 def recent_successes(log: DataFrame, node: str, k: int = 10) -> DataFrame:
@@ -39,10 +40,33 @@ def trace_paths(log: DataFrame) -> DataFrame:
 
 def transitions(log: DataFrame) -> DataFrame:
     """(execution_id, src, dst): consecutive steps."""
-    w = Window.partitionBy("execution_id").orderBy("ts")
+    w = Window.partitionBy("execution_id").orderBy("ts", "node_id")
     return log.select("execution_id", F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst")).where(F.col("dst").isNotNull())
 
 
+def steps(log: DataFrame) -> DataFrame:
+    """Every row of the log with ``step``: its place in its execution, from 0."""
+    return log.withColumn("step", F.row_number().over(Window.partitionBy("execution_id").orderBy("ts", "node_id")) - 1)
+
+
+def run_lengths(log: DataFrame) -> DataFrame:
+    """(execution_id, node_id, run, n): consecutive steps at one node, runs counted from 1."""
+    w = Window.partitionBy("execution_id").orderBy("ts", "node_id")
+    marked = log.withColumn("new", F.coalesce((F.lag("node_id").over(w) != F.col("node_id")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w).cast("int"))
+    return marked.groupBy("execution_id", "node_id", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_stats(log: DataFrame) -> DataFrame:
+    """(node_id, executions, avg_duration) over the distinct (execution, node, duration) of the log."""
+    return log.select("execution_id", "node_id", "duration_ms").distinct().groupBy("node_id").agg(F.count_distinct("execution_id").alias("executions"), F.avg("duration_ms").alias("avg_duration"))
+
+
+def session_stats(sessions: DataFrame) -> DataFrame:
+    """(session_id, executions, total_ms, mean_ms) of rows (session_id, duration_ms): the total over the number, 1 at least."""
+    sums = sessions.groupBy("session_id").agg(F.count("duration_ms").alias("executions"), F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("total_ms"))
+    return sums.withColumn("mean_ms", F.col("total_ms") / F.greatest("executions", F.lit(1)))
+
+
 def divergence(a: Column, b: Column) -> Column:
     """First place at which two paths differ, counting from 0; null if one begins the other."""
     pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
@@ -76,5 +100,13 @@ def co_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, src): two pure targets of one source, a before b, a not yet parallel."""
     pure = lambda k: nodes.where("pure").select(F.col("id").alias(k), F.col("parallelizable").alias(f"{k}_parallel"))
     links = edges.select("src", "dst").distinct()
-    pairs = links.select("src", F.col("dst").alias("a")).join(links.select("src", F.col("dst").alias("b")), "src").where("a < b")
-    return pairs.join(pure("a").where("not a_parallel"), "a").join(pure("b"), "b").select("a", "b", "src")
+    # the conditions on each end come before the pairs are made
+    left = links.select("src", F.col("dst").alias("a")).join(pure("a").where("not a_parallel"), "a")
+    return left.join(links.select("src", F.col("dst").alias("b")).join(pure("b"), "b"), "src").where("a < b").select("a", "b", "src")
+
+
+def performance(log: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
+    """(node_id, action, speedup): the rules of performance_rules, parallel pairs (speedup 2 for the first target) and cache candidates (10), largest first."""
+    pairs = co_targets(edges, nodes).select(F.col("a").alias("node_id"), F.lit("parallelize").alias("action"), F.lit(2.0).alias("speedup")).distinct()
+    kept = cache_candidates(log, nodes).select("node_id", F.lit("cache_result").alias("action"), F.lit(10.0).alias("speedup"))
+    return performance_rules(log, nodes, k).union(pairs).union(kept).orderBy(F.desc("speedup"), "node_id", "action").limit(k)

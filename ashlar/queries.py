@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bitvec as V
-from .functions import rules, truth
+from .functions import project, rules, truth
 from .operators import bundle, causal, graph, metrics, mining, search, smells, trace
 from .plans import explain, suggest
 from .sources import catalog, models
@@ -83,13 +83,6 @@ def popcount_nation(spark, sf_dir):
     return t(spark, sf_dir, "nation").select("n_name", V.popcount(V.fp_seed(F.col("n_name"))).cast("long").alias("bits"))
 
 
-@query("SELECT n_name, true AS recovered, 0::bigint AS self_distance FROM nation")
-def xor_bind_roundtrip(spark, sf_dir):
-    v = t(spark, sf_dir, "nation").select("n_name", V.fp_seed(F.col("n_name")).alias("a"), V.role_vector("ROLE_SCHEMA").alias("b"))
-    back = v.withColumn("back", V.xor(V.xor(F.col("a"), F.col("b")), F.col("b")))
-    return back.select("n_name", (F.col("back") == F.col("a")).alias("recovered"), V.hamming(F.col("back"), F.col("a")).cast("long").alias("self_distance"))
-
-
 @query(f"""WITH v AS (SELECT n_regionkey, unnest({FP.format("n_name")}) AS w, generate_subscripts({FP.format("n_name")}, 1) AS i FROM nation),
 x AS (SELECT n_regionkey, i, bit_xor(w) AS w FROM v GROUP BY n_regionkey, i) SELECT n_regionkey, sum(bit_count(w))::bigint AS bits FROM x GROUP BY n_regionkey""")
 def xor_reduce_region(spark, sf_dir):
@@ -108,15 +101,15 @@ def bundle_region(spark, sf_dir):
 @query(f"""WITH v AS (SELECT c_custkey AS idx, {FP.format("c_name")} AS a, {FP.format("'query'")} AS q FROM customer)
 SELECT idx::bigint AS idx, {HAMMING.format("a", "q")}::bigint AS distance FROM v ORDER BY distance, idx LIMIT 10""")
 def knn_hamming(spark, sf_dir):
-    v = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), V.fp_seed(F.col("c_name")).alias("fp"))
-    return search.knn(v, V.fp_seed(F.lit("query")), 10).select("idx", F.col("distance").cast("long").alias("distance"))
+    v = project.seeded(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), "c_name"), "c_name").select("idx", "fp")
+    return search.knn(v, "query", 10).select("idx", F.col("distance").cast("long").alias("distance"))
 
 
 @query(f"""WITH v AS (SELECT s_suppkey AS idx, {FP.format("s_name")} AS a, {FP.format("'query'")} AS q FROM supplier)
 SELECT idx::bigint AS idx, round(1 - {HAMMING.format("a", "q")} / 10000.0::double, 6) AS similarity FROM v WHERE 1 - {HAMMING.format("a", "q")} / 10000.0::double >= 0.5""")
 def resonate_threshold(spark, sf_dir):
-    v = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), V.fp_seed(F.col("s_name")).alias("fp"))
-    return search.resonate(v, V.fp_seed(F.lit("query")), 0.5).select("idx", F.round("similarity", 6).alias("similarity"))
+    v = project.seeded(t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), "s_name"), "s_name").select("idx", "fp")
+    return search.resonate(v, "query", 0.5).select("idx", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH q AS (SELECT n_nationkey AS query_id, {FP.format("n_name")} AS a FROM nation), c AS (SELECT s_suppkey AS idx, {FP.format("s_name")} AS b FROM supplier),
@@ -124,7 +117,7 @@ d AS (SELECT query_id, idx, {HAMMING.format("a", "b")} AS distance FROM q, c), r
 SELECT query_id::bigint AS query_id, idx::bigint AS idx, distance::bigint AS distance, rank::int AS rank FROM r WHERE rank <= 3""")
 def knn_join(spark, sf_dir):
     q = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), V.fp_seed(F.col("n_name")).alias("fp"))
-    c = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), V.fp_seed(F.col("s_name")).alias("fp"))
+    c = project.seeded(t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), "s_name"), "s_name")
     return search.knn_join(q, c, 3)
 
 
@@ -202,16 +195,6 @@ def dependency_counts(spark, sf_dir):
     return catalog.dependency_counts(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src")))
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
-def children_by_name(spark, sf_dir):
-    return t(spark, sf_dir, "nation").join(t(spark, sf_dir, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
-
-
-@query("SELECT p_size, count(*) AS n FROM part WHERE p_size >= 10 AND p_size < 30 GROUP BY 1")
-def range_count(spark, sf_dir):
-    return t(spark, sf_dir, "part").where("p_size >= 10 and p_size < 30").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
 def latest_per_key(spark, sf_dir):
     return catalog.latest(t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
@@ -223,24 +206,6 @@ def upsert(spark, sf_dir):
     return catalog.upserted(rows, rows.where("c_custkey % 10 = 0").withColumn("segment", F.lit("changed")), ["c_custkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
-def set_union(spark, sf_dir):
-    c = t(spark, sf_dir, "customer")
-    return c.where("c_acctbal > 0").select("c_custkey").unionByName(c.where("c_mktsegment = 'BUILDING'").select("c_custkey")).dropDuplicates(["c_custkey"])
-
-
-@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
-def set_intersect(spark, sf_dir):
-    c = t(spark, sf_dir, "customer")
-    return c.where("c_acctbal > 0").select("c_custkey").join(c.where("c_mktsegment = 'BUILDING'").select("c_custkey"), "c_custkey", "left_semi")
-
-
-@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
-def set_difference(spark, sf_dir):
-    c = t(spark, sf_dir, "customer")
-    return c.where("c_acctbal > 0").select("c_custkey").join(c.where("c_mktsegment = 'BUILDING'").select("c_custkey"), "c_custkey", "left_anti")
-
-
 # ---- graphs
 
 
@@ -249,70 +214,18 @@ def fan_in_out(spark, sf_dir):
     return graph.degrees(*places(spark, sf_dir))
 
 
-@query(f"WITH {PLACES}, d AS (SELECT id, (SELECT count(*) FROM edges WHERE src = id) AS o, (SELECT count(*) FROM edges WHERE dst = id) AS i FROM nodes) SELECT id, (i + 1) * (o + 1) AS score FROM d ORDER BY score DESC, id LIMIT 5")
-def hotspots(spark, sf_dir):
-    d = graph.degrees(*places(spark, sf_dir))
-    return d.select("id", ((F.col("fan_in") + 1) * (F.col("fan_out") + 1)).alias("score")).orderBy(F.desc("score"), "id").limit(5)
-
-
 @query(f"WITH {PLACES} SELECT 'r' || r_regionkey AS start, e.src AS id, 1 AS hops FROM region JOIN edges e ON e.dst = 'r' || r_regionkey UNION SELECT 'r' || r_regionkey, f.src, 2 FROM region JOIN edges e ON e.dst = 'r' || r_regionkey JOIN edges f ON f.dst = e.src")
 def upstream_hops(spark, sf_dir):
     nodes, edges = places(spark, sf_dir)
     return graph.upstream(nodes.where("id like 'r%'"), edges, 3)
 
 
-@query("SELECT 's' || s_suppkey AS start, 's' || s_suppkey || '>n' || s_nationkey || '>r' || n_regionkey AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey")
-def path_to_terminal(spark, sf_dir):
-    nodes, edges = places(spark, sf_dir)
-    return graph.path_to_terminal(nodes.where("id like 's%'"), edges).select("start", F.array_join("path", ">").alias("path"))
-
-
-@query(f"""WITH {PLACES}, n AS (SELECT id, CASE WHEN id LIKE 's%' THEN 0 WHEN id LIKE 'n%' THEN CASE WHEN EXISTS (SELECT 1 FROM edges WHERE dst = id) THEN 1 ELSE 0 END END AS level FROM nodes)
-SELECT id, coalesce(level, (SELECT coalesce(max(p.level) + 1, 0) FROM edges JOIN n p ON p.id = src WHERE dst = n.id))::int AS level FROM n""")
-def topo_levels(spark, sf_dir):
-    return graph.levels(*places(spark, sf_dir))
-
-
-@query(f"WITH RECURSIVE {STEPS}, l AS (SELECT DISTINCT src, dst FROM edges), reach(a, b) AS (SELECT src, dst FROM l UNION SELECT a, dst FROM reach JOIN l ON b = src), n AS (SELECT DISTINCT event_type AS id FROM events) SELECT id, least(id, (SELECT min(b) FROM reach r WHERE r.a = id AND EXISTS (SELECT 1 FROM reach s WHERE s.a = r.b AND s.b = id))) AS component FROM n")
-def strong_components(spark, sf_dir):
-    steps = trace.transitions(log(spark, sf_dir)).select("src", "dst").distinct()
-    return graph.strong_components(log_nodes(spark, sf_dir), steps)
-
-
-@query("SELECT 'n' || n_nationkey AS id FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'r2'")
-def live_nodes(spark, sf_dir):
-    nodes, edges = places(spark, sf_dir)
-    roots = t(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.concat(F.lit("n"), "n_nationkey").alias("id"))
-    return graph.live_nodes(nodes, edges, roots)
-
-
-@query("SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS parent_group, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier")
-def co_located_groups(spark, sf_dir):
-    nodes, edges = places(spark, sf_dir)
-    groups = edges.where("src like 's%'").groupBy("dst").agg(F.collect_list("src").alias("ids"), F.count(F.lit(1)).alias("n"))
-    return groups.select(F.explode("ids").alias("id"), F.col("dst").alias("parent_group"), "n")
-
-
 @query(f"WITH {STEPS}, l AS (SELECT DISTINCT src, dst FROM edges) SELECT 'all' AS key, round((SELECT count(*) FROM l) / (count(*) * (count(*) - 1))::double, 6) AS cohesion FROM (SELECT DISTINCT event_type FROM events)")
 def cohesion(spark, sf_dir):
     steps = trace.transitions(log(spark, sf_dir)).select("src", "dst").distinct()
     return graph.cohesion(log_nodes(spark, sf_dir).select(F.lit("all").alias("key"), "id"), steps).withColumn("cohesion", F.round("cohesion", 6))
 
 
-@query(f"WITH {PLACES} SELECT 'isolated' AS problem, id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = n.id OR dst = n.id)")
-def validate_graph(spark, sf_dir):
-    return graph.validate(*places(spark, sf_dir))
-
-
-@query("SELECT 's' || s_suppkey AS id, 2 AS depth, r_name || ' → ' || n_name || ' → ' || s_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def hierarchical_paths(spark, sf_dir):
-    nation, region, supplier = (t(spark, sf_dir, n) for n in ("nation", "region", "supplier"))
-    named = supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    named = named.union(nation.select(F.concat(F.lit("n"), "n_nationkey"), "n_name")).union(region.select(F.concat(F.lit("r"), "r_regionkey"), "r_name"))
-    _, edges = places(spark, sf_dir)
-    return graph.containment(named, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("depth = 2")
-
-
 # ---- mining and learning
 
 BASKETS = "baskets AS (SELECT DISTINCT user_id, ts::date AS day, event_type AS item FROM events)"
@@ -328,16 +241,6 @@ def cooccurring_pairs(spark, sf_dir):
     return mining.pair_counts(baskets(spark, sf_dir))
 
 
-@query(f"WITH {BASKETS}, p AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM baskets x JOIN baskets y ON x.user_id = y.user_id AND x.day = y.day AND x.item < y.item GROUP BY ALL), c AS (SELECT item, count(*) AS m FROM baskets GROUP BY 1) SELECT a, b, n, round(n / m::double, 6) AS confidence FROM p JOIN c ON a = item WHERE n / m::double >= 0.2 AND n >= 3")
-def implication_rules(spark, sf_dir):
-    return mining.implications(baskets(spark, sf_dir), 0.2).withColumn("confidence", F.round("confidence", 6))
-
-
-@query(f"WITH {BASKETS}, p AS (SELECT x.item AS item, y.item AS other, count(*) AS n FROM baskets x JOIN baskets y ON x.user_id = y.user_id AND x.day = y.day AND x.item <> y.item GROUP BY ALL), c AS (SELECT item, count(*) AS m FROM baskets GROUP BY 1) SELECT p.item, other, round(n / m::double, 6) AS strength FROM p JOIN c ON p.item = c.item WHERE n / m::double > 0.3")
-def propagation(spark, sf_dir):
-    return mining.propagation(baskets(spark, sf_dir)).withColumn("strength", F.round("strength", 6))
-
-
 @query(f"WITH {STEPS}, p AS (SELECT src, dst, count(*) AS n FROM edges GROUP BY ALL), r AS (SELECT x AS src, count(*) AS m FROM (SELECT src AS x FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) SELECT p.src, dst, round(n / m::double, 6) AS strength FROM p JOIN r ON p.src = r.src WHERE n / m::double > 0.1")
 def correlations(spark, sf_dir):
     return mining.correlations(trace.transitions(log(spark, sf_dir)), 0.1).withColumn("strength", F.round("strength", 6))
@@ -350,41 +253,6 @@ def pattern_fold(spark, sf_dir):
     return mining.fold(e.select(F.col("user_id").alias("name"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(0.1).alias("amount")))
 
 
-@query("SELECT 'l_quantity' AS column_name, count(l_quantity) AS n, count(DISTINCT l_quantity) AS distinct_values, min(l_quantity) AS low, max(l_quantity) AS high, CASE WHEN count(DISTINCT l_quantity) = 1 THEN 'ONE_VALUE' WHEN count(DISTINCT l_quantity) < 0.5 * count(l_quantity) THEN 'DICTIONARY' ELSE 'PLAIN' END AS encoding FROM lineitem")
-def column_stats(spark, sf_dir):
-    return mining.column_stats(t(spark, sf_dir, "lineitem"), "l_quantity").withColumn("column_name", F.lit("l_quantity"))
-
-
-# ---- causal tracing (a fixed graph of six edges)
-
-CAUSAL = "('config_change', 'validation_rules', 0.8, 1.0, 1), ('validation_rules', 'database_schema', 0.8, 2.0, 1), ('database_schema', 'cache_layer', 0.8, 1.5, 1), ('cache_layer', 'api_endpoints', 0.8, 3.0, 1), ('api_endpoints', 'user_sessions', 0.8, 2.0, 1), ('config_change', 'cache_layer', 0.8, 1.0, 1)"
-CRITICAL = "('config_change', 0.3), ('validation_rules', 0.5), ('database_schema', 0.8), ('cache_layer', 0.6), ('api_endpoints', 0.9), ('user_sessions', 1.0)"
-CHAINS = f"""e(src, dst, c, m, l) AS (VALUES {CAUSAL}), w(start, id, hops, path, c, m) AS (SELECT 'config_change', 'config_change', 0, ['config_change'], 1.0::double, 1.0::double
-UNION ALL SELECT start, dst, hops + 1, list_append(path, dst), w.c * e.c, w.m * e.m FROM w JOIN e ON w.id = e.src WHERE NOT list_contains(path, dst) AND w.c * e.c >= 0.3)"""
-
-
-def _causal(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = spark.sql(f"SELECT src, dst, CAST(confidence AS DOUBLE) AS confidence, CAST(amplification AS DOUBLE) AS amplification, latency FROM VALUES {CAUSAL} AS t(src, dst, confidence, amplification, latency)")
-    return spark.sql("SELECT 'config_change' AS id"), edges, spark.sql(f"SELECT id, CAST(criticality AS DOUBLE) AS criticality FROM VALUES {CRITICAL} AS t(id, criticality)")
-
-
-@query(f"WITH RECURSIVE {CHAINS} SELECT id, hops, array_to_string(path, '>') AS path, round(c, 6) AS confidence, round(m, 6) AS amplification FROM w WHERE hops > 0")
-def causal_chains(spark, sf_dir):
-    starts, edges, _ = _causal(spark)
-    return causal.chains(starts, edges).select("id", "hops", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"), F.round("amplification", 6).alias("amplification"))
-
-
-@query(f"WITH RECURSIVE {CHAINS}, crit(id, k) AS (VALUES {CRITICAL}), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops, c DESC) AS r FROM w WHERE hops > 0) SELECT f.id, hops, round(m, 6) AS amplification, round(m * k * c, 6) AS criticality FROM f JOIN crit ON f.id = crit.id WHERE r = 1 AND m >= 5")
-def butterflies(spark, sf_dir):
-    b = causal.butterflies(*_causal(spark))
-    return b.select("id", "hops", F.round("amplification", 6).alias("amplification"), F.round("criticality", 6).alias("criticality"))
-
-
-@query("SELECT 'config_change' AS start, 5::bigint AS reach, 3 AS max_depth, 6.0::double AS max_amplification")
-def impact(spark, sf_dir):
-    return causal.impact(*_causal(spark)).drop("critical")
-
-
 # ---- rules and evidence
 
 
@@ -505,3 +373,6 @@ def cyclomatic(spark, sf_dir):
 @query()
 def suggest_fixes(spark, sf_dir):
     return suggest.suggest_fixes(log(spark, sf_dir), log_nodes(spark, sf_dir).select("id", F.lit("VALIDATE").alias("node_type")))
+
+
+from . import queries_graph, queries_rows  # noqa: E402, F401  (they register their queries)

@@ -69,6 +69,66 @@ def routed(packets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
     return sent.where("error is null"), ended, sent.where("error is not null")
 
 
+def broadcast_targets(packets: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+    """Packets (with ``resonance``, 157 words) sent on to each of the k nodes (id, fp) nearest to it, one hop through the router; ttl spent gives an error."""
+    from ..operators.search import knn_join
+
+    keyed = packets.withColumn("packet", F.xxhash64(*[c for c in packets.columns if c != "resonance"]))
+    ids = nodes.withColumn("node", F.xxhash64("id"))
+    near = knn_join(keyed.select(F.col("packet").alias("query_id"), F.col("resonance").alias("fp")).dropDuplicates(["query_id"]), ids.select(F.col("node").alias("idx"), "fp"), k)
+    named = near.join(ids.select(F.col("node").alias("idx"), F.col("id").alias("to")), "idx").select(F.col("query_id").alias("packet"), "to")
+    return hopped(keyed.join(named, "packet"), F.lit("router"), F.col("to")).drop("packet", "to")
+
+
+def executed(packets: DataFrame, nodes: DataFrame, executors: dict) -> DataFrame:
+    """Packets (target, payload) with ``result``: what the executor of their target's fn_name makes of the payload (JSON text); packets for unknown nodes have none."""
+    from ..plans.execute import BUILT_IN
+
+    named = packets.join(nodes.select(F.col("id").alias("target"), "fn_name"), "target", "left")
+    out = F.when(F.col("fn_name").isNull(), F.lit(None).cast("string"))
+    for name, make in (BUILT_IN | executors).items():
+        out = out.when(F.col("fn_name") == name, F.to_json(make({"payload": F.col("payload")})))
+    nobody = F.to_json(F.struct(F.lit("no_executor").alias("status"), F.col("target").alias("node")))
+    return named.withColumn("result", out.otherwise(nobody)).select(*packets.columns, "result")
+
+
+def topics(rows: DataFrame, kind: str, key: Column) -> DataFrame:
+    """Rows with ``topic``: execute, node, results or dead and a key, as one log for all of them."""
+    return rows.withColumn("topic", F.concat(F.lit(f"{kind}:"), key))
+
+
+def retained(rows: DataFrame, stream: str = "topic", order: str = "seq", most: int = 10_000) -> DataFrame:
+    """The last ``most`` rows of every stream.  A sequence without gaps tells which they are from its end alone, by partial aggregation."""
+    ends = rows.groupBy(stream).agg(F.max(order).alias("end"))
+    return rows.join(ends, stream).where(F.col("end") - F.col(order) < most).select(*rows.columns)
+
+
+def lengths(rows: DataFrame, stream: str = "topic", most: int = 10_000) -> DataFrame:
+    """(stream, n, full): rows of every stream, and whether writers should wait."""
+    return rows.groupBy(stream).agg(F.count(F.lit(1)).alias("n")).withColumn("full", F.col("n") >= most)
+
+
+def after(rows: DataFrame, offsets: DataFrame, count: int = 10, stream: str = "topic", order: str = "seq") -> DataFrame:
+    """The next ``count`` rows of every stream after its offset (stream, last); a stream without one is read from its beginning.  Sequences have no gaps."""
+    begun = rows.join(offsets.select(stream, "last"), stream, "left").withColumn("last", F.coalesce("last", F.lit(-1)))
+    return begun.where((F.col(order) > F.col("last")) & (F.col(order) <= F.col("last") + count)).select(*rows.columns)
+
+
+def once(stream: DataFrame, key: str = "id", time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """A stream without packets seen before within the watermark."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key, "sequence"])
+
+
+#: Tasks a node type may use at once (fixed values); any other type gets one.
+PARALLELISM = {"VALIDATE": 4, "TRANSFORM": 4, "PERSIST": 1, "TRIGGER": 2, "QUERY": 2}
+
+
+def by_node_type(rows: DataFrame) -> DataFrame:
+    """Rows with ``slot``, dealt to as many slots per node type as it may use at once."""
+    most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PARALLELISM.items() for x in kv]), F.col("node_type")), F.lit(1))
+    return rows.withColumn("slot", F.concat_ws(":", "node_type", F.pmod(F.xxhash64("id"), most))).repartition("slot")
+
+
 def run_batch(packets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(results, dead letters): hops until no packet moves; ttl bounds the turns.  Use it as a foreachBatch body."""
     from ..operators.graph import cut

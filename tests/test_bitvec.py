@@ -115,3 +115,60 @@ def test_projection(spark):
         differ = np.unpackbits(np.frombuffer(got[i], np.uint8)) != (plane @ v > 0)
         assert len(got[i]) == 1250 and differ.sum() <= 2  # sums near zero may round to either side
     assert got[5] is None and got[6] is None
+
+
+def test_projected_search_against_numpy(spark, sf_dir):
+    import numpy as np
+
+    from ashlar import queries
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], dtype=np.float32)
+    plane = np.random.RandomState(42).randn(10_000, x.shape[1]).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
+    bits = (x @ plane.T > 0).astype(np.int32)
+    same = bits @ bits.T + (1 - bits) @ (1 - bits).T
+    near = sorted((-same[0, j], j) for j in range(len(x)))[:5]
+    got = queries.QUERIES["project_embeddings_knn"](spark, sf_dir).collect()
+    assert [r.idx for r in got] == [j for _, j in near] and all(abs(r.similarity + n / 10_000) < 1e-6 for r, (n, _) in zip(got, near, strict=True))
+    df = spark.createDataFrame([(i, x[i % 40].tolist() if i < 80 else (x[i % 40] + 0.02 * x[(i + 1) % 40]).tolist()) for i in range(120)], "idx long, e array<float>")
+    from ashlar.functions import project
+
+    b = np.array([x[i % 40] if i < 80 else x[i % 40] + np.float32(0.02) * x[(i + 1) % 40] for i in range(120)], dtype=np.float32) @ plane.T > 0
+    like = (b[:, None, :] == b[None, :, :]).sum(2)
+    found = {(r.a, r.b): r.similarity for r in search.similar_pairs(df.select("idx", V.from_bytes(project.fp_project(F.col("e"))).alias("fp")), 0.9).collect()}
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if like[i, j] >= 9000}
+    copies = {(i, i + 40) for i in range(40)}  # a copy is linked to its first row only
+    assert copies <= set(found) and all(min(p) >= 0 and like[p] >= 8999 for p in found)
+    assert {(i % 40, j % 40) for i, j in want} == {(i % 40, j % 40) for i, j in found}
+
+
+def test_state_vectors_against_numpy(spark):
+    import numpy as np
+
+    from ashlar.functions import project
+
+    rows = spark.createDataFrame([(0.7, 0.2, "calm"), (-0.5, 0.0, ""), (0.0, -1.0, None)], "t double, s double, q string").select(project.encode_state(F.col("t"), F.col("s"), F.col("q")).alias("v"))
+    got = rows.select("v", project.decode_state(F.col("v")).alias("b")).collect()
+    time = np.random.RandomState(42).randn(3334) > 0
+    assert (np.unpackbits(np.frombuffer(bytes(got[0].v), np.uint8))[:3334] == time).all() and (np.unpackbits(np.frombuffer(bytes(got[1].v), np.uint8))[:3334] == ~time).all()
+    assert [r.b.tau and round(r.b.tau, 6) for r in got] == [1.0, -1.0, None] and [r.b.sigma and round(r.b.sigma, 6) for r in got] == [1.0, None, None] or got[2].b.sigma == 0.0
+
+
+def test_large_query_tables_are_matched_in_blocks(spark, monkeypatch):
+    from ashlar.functions import project
+
+    df = project.seeded(spark.range(60).select(F.col("id").alias("idx"), F.concat(F.lit("n"), "id").alias("name")), "name")
+    one = search.knn_join(df.withColumnRenamed("idx", "query_id"), df, 4).collect()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "CHUNK_ROWS", 11)
+    assert sorted(search.knn_join(df.withColumnRenamed("idx", "query_id"), df, 4).collect()) == sorted(one) and len(one) == 240
+
+
+def test_lists_and_functions(spark):
+    def sample(a, b=1):
+        return a + b
+
+    text = V.callable_text(sample)
+    assert text.startswith("sample::(a, b=1)::") and "return a + b" in text
+    r = one(spark, V.hamming(V.encode_list(F.array(F.lit("a"), F.lit("b"))), V.encode_list(F.array(F.lit("b"), F.lit("a")))).alias("turned"), V.popcount(V.random_words(F.lit(5))).alias("n"), V.hamming(V.random_words(F.lit(5)), V.random_words(F.lit(6))).alias("far"))
+    assert 4700 < r.turned < 5300 and 4700 < r.n < 5300 and 4700 < r.far < 5300

@@ -24,8 +24,10 @@ def test_reach_levels_and_components_against_brute_force(spark):
         hops |= {k: min(d for kk, d in more.items() if kk == k) for k in more}
     got = {(r.start, r.id): r.hops for r in graph.reach(nodes, links).collect()}
     assert got.keys() == hops.keys() and got == hops
-    parts = {r.id: r.component for r in graph.strong_components(nodes, links).collect()}
-    assert parts == {a: min(b for b in parts if (a, b) in hops and (b, a) in hops) for a in parts}
+    for last in (graph.LAST_EDGES, 0):  # in one task, and by colouring alone
+        parts = {r.id: r.component for r in graph.strong_components(nodes, links, last).collect()}
+        assert parts == {a: min(b for b in parts if (a, b) in hops and (b, a) in hops) for a in parts}
+    assert {r.id for r in graph.reached(nodes.where("id = 'n1'"), links).collect()} == {b for a, b in hops if a == "n1"}
 
 
 def test_levels_paths_and_marks(spark):
@@ -37,7 +39,7 @@ def test_levels_paths_and_marks(spark):
     assert {(r.problem, r.id) for r in graph.validate(nodes, links).collect()} == {("cycle", "x"), ("cycle", "y")}
     assert {r.id for r in graph.live_nodes(nodes, links).collect()} == {"a", "b", "c", "d"}
     pure = nodes.select("id", F.lit(True).alias("pure"), F.lit("N").alias("executor"))
-    assert [(r.predecessors, r.ids) for r in graph.parallel_groups(pure, links).collect()] == [(["a"], ["b", "c"])]
+    assert sorted((r.id, r.n) for r in graph.parallel_groups(pure, links).collect()) == [("b", 2), ("c", 2)]
     chain, steps = frames(spark, [(f"k{i}", f"k{i + 1}") for i in range(9)])
     pure = chain.select("id", F.lit(True).alias("pure"), F.lit("N").alias("executor"))
     assert {r.head for r in graph.fuse(pure, steps).collect()} == {"k0"}
@@ -73,7 +75,11 @@ def test_rule_mining(spark):
     baskets = [[g, lm]] * 3 + [[g, lm, fe]] * 2 + [[cd, ss], [cd, ss, fe]] + [[dn, lm]] * 2 + [[dn, lm, sp]]
     df = spark.createDataFrame(list(enumerate(baskets)), "seq long, items array<string>")
     assert sorted((r.a, r.b, r.n) for r in mining.implications(df).collect()) == [(dn, lm, 3), (g, lm, 5)]
-    assert {(r.other, round(r.strength, 6)) for r in mining.propagation(df).where(F.col("item") == g).collect()} == {(lm, 1.0), (fe, 0.4)}
+    strengths = {(r.item, r.other): round(r.strength, 6) for r in mining.propagation(df).collect()}
+    # baskets with both over those with the first in sorted order: FEATURE_ENVY (3 baskets) comes before GOD_CLASS (5)
+    assert strengths[(g, lm)] == strengths[(lm, g)] == 1.0 and strengths[(g, fe)] == strengths[(fe, g)] == round(2 / 3, 6)
+    rules = spark.createDataFrame([("x", [lm]), (g, [lm, fe]), (g, [lm, sp]), (lm, [])], "source string, targets array<string>")
+    assert sorted((r.source, r.confirmed) for r in mining.fanout_confirmed(df, rules).collect()) == [(g, False), (g, True), (lm, True), ("x", False)]
     patterns = spark.createDataFrame([("god", [g, lm, fe], 0.8)], "name string, items array<string>, confidence double")
     learned = spark.createDataFrame(list(enumerate([[g, lm, fe], [g, lm], [dn, sp, lm], [cd, ss], [g, fe]])), "seq long, items array<string>")
     r = mining.reinforce(learned, patterns).first()
@@ -89,19 +95,42 @@ def test_fold_keeps_the_order(spark):
     assert abs(r.confidence - ((1.0 - 0.15) * 0.855 + 0.2)) < 1e-9 and r.observations == 1
 
 
-def test_causal_graph(spark):
-    from ashlar.queries import _causal
+CAUSES = [("config_change", "validation_rules", 1.0), ("validation_rules", "database_schema", 2.0), ("database_schema", "cache_layer", 1.5), ("cache_layer", "api_endpoints", 3.0), ("api_endpoints", "user_sessions", 2.0), ("config_change", "cache_layer", 1.0)]
+
 
-    starts, edges, criticality = _causal(spark)
+def test_causal_graph(spark):
+    edges = spark.createDataFrame([(a, b, 0.8, m, 1) for a, b, m in CAUSES], "src string, dst string, confidence double, amplification double, latency long")
+    starts, criticality = spark.sql("SELECT 'config_change' AS id"), spark.createDataFrame([("user_sessions", 1.0)], "id string, criticality double")
     two = {(r.hops, round(r.confidence, 5), r.amplification) for r in causal.chains(starts, edges).where("id = 'user_sessions'").collect()}
     assert two == {(3, 0.512, 6.0), (5, 0.32768, 18.0)}
     assert [round(r.criticality, 3) for r in causal.butterflies(starts, edges, criticality).where("id = 'user_sessions'").collect()] == [3.072]
-    back = causal.root_causes(spark.sql("SELECT 'user_sessions' AS id"), edges)
-    assert "config_change" in {r.id for r in back.collect()}
+    back = {r.id: r.path for r in causal.root_causes(spark.sql("SELECT 'user_sessions' AS id"), edges).collect()}
+    assert back["config_change"] == ["config_change", "cache_layer", "api_endpoints", "user_sessions"]
     seen = spark.createDataFrame([(1, "a", "b", 0.5), (2, "a", "b", 0.9), (3, "a", "b", 0.1)], "seq long, src string, dst string, confidence double")
     assert round(causal.reinforced(seen).first().confidence, 6) == 0.7
 
 
+def test_weak_edges_are_pruned_and_longer_surer_ways_lead_on(spark):
+    # the direct way to b is weak, so only the longer way through c leads on to d
+    links = [("a", "b", 0.4), ("a", "c", 0.9), ("c", "b", 0.9), ("b", "d", 0.7), ("d", "a", 1.0), ("a", "z", 0.5), ("z", "y", 0.5)]
+    edges = spark.createDataFrame([(a, b, c, 2.0, 1) for a, b, c in links], "src string, dst string, confidence double, amplification double, latency long")
+    got = {r.id: (r.hops, r.path, round(r.confidence, 6)) for r in causal.effects(spark.sql("SELECT 'a' AS id"), edges).collect()}
+    assert got == {"b": (1, ["a", "b"], 0.4), "c": (1, ["a", "c"], 0.9), "d": (3, ["a", "c", "b", "d"], 0.567), "z": (1, ["a", "z"], 0.5)}
+    report = causal.impact(spark.sql("SELECT 'a' AS id"), edges, spark.createDataFrame([("d", 0.9)], "id string, criticality double")).first()
+    assert (report.direct, report.indirect, report.reach, report.max_depth, report.max_amplification, report.critical) == (3, 1, 4, 3, 8.0, ["d"])
+
+
+def test_cycles_stages_and_shortest_paths(spark):
+    nodes, links = frames(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "c"), ("c", "d")])
+    assert sorted(r.cycle for r in graph.cycles(nodes, links).collect()) == [["a", "b"], ["a", "b", "c"], ["c"]]
+    phased = nodes.select("id", F.when(F.col("id") == "d", "late").otherwise("early").alias("phase"), (F.col("id") != "b").alias("parallelizable"))
+    _, dag = frames(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")])
+    assert {r.id: r.stage for r in graph.stages(phased, dag, ("early", "late")).collect()} == {"a": 0, "c": 1, "b": 2, "d": 3}
+    assert {r.id: r.stage for r in graph.stages(phased, links.where("src <> dst"), ("early", "late")).collect()} == {"c": 0, "b": 1, "d": 2, "a": 3}
+    both = graph.shortest_paths(nodes.where("id = 'a'"), nodes.where("id = 'd'"), dag)
+    assert sorted(r.path for r in both.collect()) == [["a", "b", "d"], ["a", "c", "d"]]
+
+
 def test_containment_of_any_depth(spark):
     nodes = spark.createDataFrame([(f"n{i:03}", f"x{i}") for i in range(106)] + [("c1", "c1"), ("c2", "c2")], "id string, name string")
     contains = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(105)] + [("c1", "c2"), ("c2", "c1")], "src string, dst string")

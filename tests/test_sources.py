@@ -42,6 +42,36 @@ def test_models(spark):
     assert edges.where("model = 'Plain'").count() == 0
 
 
+ODD = """# class Wrong < Base
+class Shop::Item < ::Core::Record # the item
+  validates :name, :code,
+            presence: true,
+            length: { maximum: 5 } # both
+  has_many :parts, dependent: :destroy
+  belongs_to(:shop)
+  before_save :a, :b
+  label = "validates :fake, presence: true # no"
+  # validates :gone, presence: true
+end
+"""
+
+
+def test_statements_over_lines_comments_and_namespaces(spark):
+    f = files(spark, ("item.rb", ODD))
+    declared = models.declarations(f).collect()
+    assert {r.model for r in declared} == {"Shop::Item"}
+    assert sorted((r.kind, r.type, r.name) for r in declared) == sorted([("validation", k, n) for n in ("name", "code") for k in ("presence", "length")] + [("association", "has_many", "parts"), ("association", "belongs_to", "shop"), ("callback", "before_save", "a"), ("callback", "before_save", "b")])
+    assert {r.name: r.options for r in declared if r.kind == "association"} == {"parts": {"dependent": ":destroy"}, "shop": {}}
+    nodes, edges = models.semantic(f, associations=True)
+    extra = {(r.operation, r.id, r.phase) for r in nodes.collect() if "fk" in r.id or "cascade" in r.id}
+    assert extra == {("create", "Shop::Item_validate_fk_shop", "validate"), ("destroy", "Shop::Item_cascade_parts", "before_callback")}
+    create = {(r.src.removeprefix("Shop::Item_"), r.dst.removeprefix("Shop::Item_")) for r in edges.where("operation = 'create'").collect()}
+    assert ("create_entry", "before_save_a") in create and ("before_save_a", "before_save_b") in create and ("before_save_b", "validate_code_presence_0") in create
+    assert sum(dst == "persist" for _, dst in create) == 4
+    lowered = models.lowered(nodes.where("operation = 'create'"), edges.where("operation = 'create'"))
+    assert models.embedded(*lowered).where("size(resonance) = 157").count() == 1 + 2 + 4 + 1 + 1
+
+
 CODE = '''
 class A:
     def f(self, x, *, y=1):
