@@ -10,7 +10,7 @@
 4. Buckets are searched from pivots: first every member is held against the bucket's first, on full
    sets.  Verified links make components; a bucket whose members are in one component is settled.  In those that are not, the
    ``CENTRAL`` members with most links are held against the members of other components, and in those still not settled
-   every member outside the largest component is.  Before that, profiles of their sets (how many
+   every member outside the largest component is, large buckets block by block.  Before that, profiles of their sets (how many
    shingles fall into each class of hashes) bound every pair's similarity from above, and only pairs whose bound reaches the threshold are verified.  So a group of m near copies costs about m pairs, and no pair that could still join two components is left out.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -35,6 +35,8 @@ BINS = BANDS * ROWS
 PROFILE = 64
 #: Members with most links that are pivots in the second turn; near copies are mostly linked to what they were copied from.
 CENTRAL = 4
+#: Open buckets of more members are compared in blocks, in tasks of two blocks each.
+SMALL, BLOCK = 128, 1024
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -153,17 +155,89 @@ def _profiles(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component, with their rank in the bucket (most links
-    first) and whether they belong to its largest component."""
+    """Members of buckets that still hold more than one component, with the bucket's size, their number of links
+    and whether they belong to the bucket's largest component.  A bucket of two was settled by its pivot."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     own = members.join(labels.join(degree, "node", "left"), "node", "left").select("band", "no", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
     sizes = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
-    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1")
-    # a bucket of two was settled by its pivot
-    settled = sizes.groupBy("band").agg(F.sum("m").alias("all")).where("all > 2").select("band")
-    rows = own.join(open_.join(settled, "band", "left_semi").select("band", F.col("most.component").alias("most")), "band")
+    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("size")).where("parts > 1 and size > 2")
+    rows = own.join(open_.select("band", "size", F.col("most.component").alias("most")), "band")
+    return rows.select("band", "no", "node", "n", "component", "degree", "size", (F.col("component") == F.col("most")).alias("largest"))
+
+
+def _possible(percent: int) -> Column:
+    """Whether two sets' sizes and profiles let them reach the similarity, and the band is the first that both share."""
+    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    differ = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    bound = 100 * (F.col("n_a") + F.col("n_b") - differ) >= percent * (F.col("n_a") + F.col("n_b") + differ)
+    here = F.array_position(F.zip_with("codes_a", "codes_b", lambda x, y: x == y), True) == F.col("no_a") + 1
+    return (F.col("component_a") != F.col("component_b")) & close & bound & here
+
+
+def _side(rows: DataFrame, k: str) -> DataFrame:
+    return rows.select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("no", "node", "n", "component", "largest", "profile", "codes")], *[c for c in ("salt",) if c in rows.columns])
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("component_a").alias("c_a"), F.col("component_b").alias("c_b"))
+
+
+def _central_pairs(ranked: DataFrame, percent: int) -> DataFrame:
+    """(a, b, c_a, c_b): the ``CENTRAL`` members with most links of each bucket against its members of other components.
+
+    The few are found with a limit before the shuffle, and a large bucket's members are dealt over salts, which each get the few."""
+    salts = F.ceil(F.col("size") / BLOCK).cast("int")
     order = Window.partitionBy("band").orderBy(F.desc("degree"), "node")
-    return rows.select("band", "no", "node", "n", "component", F.row_number().over(order).alias("rank"), (F.col("component") == F.col("most")).alias("largest"))
+    few = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRAL)
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    dealt = ranked.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    found = _candidates(_side(few, "a").join(_side(dealt, "b"), ["band", "salt"]).where(_possible(percent)))
+    turned = F.col("a") > F.col("b")
+    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("c_b")).otherwise(F.col("c_a")).alias("c_a"), F.when(turned, F.col("c_a")).otherwise(F.col("c_b")).alias("c_b"))
+    return ordered.dropDuplicates(["a", "b"])
+
+
+def _other_pairs(ranked: DataFrame, percent: int) -> DataFrame:
+    """(a, b, c_a, c_b): members outside a bucket's largest component against its members of other components.
+
+    Buckets of up to ``SMALL`` members are joined with themselves.  A larger one is cut into blocks of about ``BLOCK`` members; each two blocks meet
+    in a task of their own, which looks at profiles in place and sends on the pairs that may be alike, so no task holds a bucket and no pair is a row before it is bounded."""
+    small = ranked.where(F.col("size") <= SMALL)
+    once = F.col("largest_b") | (F.col("node_b") > F.col("node_a"))
+    joined = _candidates(_side(small, "a").where("not largest_a").join(_side(small, "b"), "band").where(once & _possible(percent)))
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = ranked.where(F.col("size") > SMALL).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "no", "node", "n", "component", "largest", "profile", "codes")
+
+    def compare(table: pa.Table) -> pa.Table:
+        column = {c: table[c].to_numpy() for c in ("low", "high", "own", "no", "node", "n", "component", "largest")}
+        wide = {c: np.stack(table[c].to_numpy()) for c in ("profile", "codes")}
+        same = column["low"][0] == column["high"][0]
+        left = np.flatnonzero(column["own"] == column["low"][0])
+        right = left if same else np.flatnonzero(column["own"] == column["high"][0])
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        for at in range(0, len(left), 128):
+            own = left[at : at + 128]
+            size_a, size_b = column["n"][own][:, None], column["n"][right][None, :]
+            near = (column["component"][own][:, None] != column["component"][right][None, :]) & ~(column["largest"][own][:, None] & column["largest"][right][None, :])
+            near &= np.minimum(size_a, size_b) * 100 >= np.maximum(size_a, size_b) * percent
+            if same:
+                near &= own[:, None] < right[None, :]
+            i, j = np.nonzero(near)
+            a, b = own[i], right[j]
+            differ = np.abs(wide["profile"][a] - wide["profile"][b]).sum(axis=1)
+            total = column["n"][a] + column["n"][b]
+            ok = 100 * (total - differ) >= percent * (total + differ)
+            a, b = a[ok], b[ok]
+            shared = wide["codes"][a] == wide["codes"][b]
+            first = shared.any(axis=1) & (shared.argmax(axis=1) == column["no"][0])
+            found.append(np.stack([a[first], b[first]]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table([pa.array(column[c][x], pa.int64()) for c in ("node", "component") for x in (a, b)], names=["a", "b", "c_a", "c_b"])
+
+    blocked = dealt.groupBy("band", "low", "high").applyInArrow(compare, "a long, b long, c_a long, c_b long")
+    return joined.union(blocked)
 
 
 def _merged(labels: DataFrame, between: DataFrame) -> DataFrame:
@@ -202,7 +276,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     links = C.written(_verified(tested, texts, words, percent), "verified")
     labels = components(links)
 
-    for central in (CENTRAL, None):
+    for pairs_of in (_central_pairs, _other_pairs):
         open_ = C.written(_open_members(members, labels, links), "open")
         if open_.isEmpty():
             break
@@ -210,15 +284,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         nodes = C.written(open_.select("node").distinct(), "nodes")
         codes = firsts.join(nodes, "node", "left_semi").select("node", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("codes"))
         known = C.written(codes.join(_profiles(texts.join(nodes, "node", "left_semi"), words), "node"), "known")
-        ranked = open_.join(known, "node")
-        side = lambda k: ranked.select("band", "no", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component", "rank", "largest", "profile", "codes")])  # noqa: E731, B023
-        differ = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-        possible = 100 * (F.col("n_a") + F.col("n_b") - differ) >= percent * (F.col("n_a") + F.col("n_b") + differ)
-        left = side("a").where(F.col("rank_a") <= central) if central else side("a").where("not largest_a")
-        once = (F.col("rank_b") > F.col("rank_a")) if central else F.col("largest_b") | (F.col("rank_b") > F.col("rank_a"))
-        here = F.array_position(F.zip_with("codes_a", "codes_b", lambda x, y: x == y), True) == left["no"] + 1
-        found = left.join(side("b").drop("no"), "band").where((F.col("component_a") != F.col("component_b")) & once & close & possible & here)
-        more = C.written(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("component_a").alias("c_a"), F.col("component_b").alias("c_b")), "pairs")
+        more = C.written(pairs_of(open_.join(known, "node"), percent), "pairs")
         fresh = C.written(_verified(more.select("a", "b"), texts, words, percent), "verified")
         links = links.union(fresh)
         labels = _merged(labels, fresh.join(more, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from ashlar.llm import neardup
 from ashlar.llm.graphs import components
@@ -52,7 +53,10 @@ def test_against_all_pairs(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_chains_within_one_bucket(spark):
+@pytest.mark.parametrize("small, block", [(neardup.SMALL, neardup.BLOCK), (2, 3)])
+def test_chains_within_one_bucket(spark, monkeypatch, small, block):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     # each text is close to the next only, so a bucket's first member reaches few and further pivots must link the rest
     rows, words = [], [f"w{i}" for i in range(60)]
     for i in range(40):
