@@ -8,9 +8,9 @@
    the recall wanted on sample queries held out from the fit.
 5. Queries are routed to their most probable parts and reranked there by exact cosine.
 
-Parts are dealt into chunks of about ``CHUNK_ROWS`` rows by a hash of the id, queries into blocks of about ``BLOCK_ROWS``, so that
+Parts are dealt into chunks of about ``CHUNK_ROWS`` rows by a hash of the id, a part's queries into blocks of about ``BLOCK_ROWS``, so that
 a part of any size, one of many equal vectors too, is spread over tasks of bounded memory; a task keeps the
-nearest few of each query, and these are merged by query.
+nearest few of each query, and these are merged by query.  There are more parts the more rows there are, up to what the sample can tell apart.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from pyspark.sql.window import Window
 from . import _common as C
 
 SAMPLE = 8192
-PARTS = 16
+#: Parts at least and at most (a part needs 256 rows of the sample), and the rows for each part between.
+PARTS, MOST_PARTS, PART_ROWS = 16, 32, 65_536
 NEIGHBOURS = 10
 RECALL = 0.95
 CHUNK_ROWS = 16384
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 16_384
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -187,18 +188,18 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     return out
 
 
-def _sampled(vectors: DataFrame, sample: int) -> DataFrame:
+def _sampled(vectors: DataFrame, sample: int, size: int) -> DataFrame:
     """The ``sample`` rows of least hash.  About twice as many are let through by a bound on the hash first, so that what tasks
     send on for the choice does not grow with their number; equal rows count once."""
-    share = min(1.0, 2 * sample / max(1, vectors.count()))
+    share = min(1.0, 2 * sample / max(1, size))
     hashed = vectors.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31)))
     few = hashed.where(F.col("h") <= int(share * (1 << 31))).dropDuplicates(["id", "v"])
     return few.orderBy("h", "id", "v").limit(sample).drop("h")
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row of ``queries`` among all rows of ``df``
-    of another id, by cosine, ties to the smaller id.
+    of another id, by cosine, ties to the smaller id; a query gets fewer only if there are no more.
 
     Vectors that are null, zero, hold null or non-finite components or have another length than most take no part, nor do rows without id. An id that repeats
     counts once, with its best score.  Other columns do not matter.  Without vectors or queries the result is empty.
@@ -206,10 +207,12 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     schema = "query_id long, rank int, vec_id long, score double"
     spark = df.sparkSession
     vectors = C.written(clean_vectors(df, vec_id, embedding), "vectors")
-    taken = _sampled(vectors, sample).toPandas()
+    size = vectors.count()
+    taken = _sampled(vectors, sample, size).toPandas()
     if not len(taken):
         return spark.createDataFrame([], schema)
     dim = len(taken["v"].iloc[0])
+    parts = max(1, min(parts or min(MOST_PARTS, max(PARTS, size // PART_ROWS)), len(taken) // 256))
     router, probes = fit(np.stack(taken["v"].to_numpy()).astype(np.float64), k, parts, recall)
 
     def route(count: int):
@@ -226,12 +229,30 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     index = C.written(index, "index")
     asked = clean_vectors(queries, vec_id, embedding).where(F.size("v") == dim).dropDuplicates(["id", "v"])
     asked = C.written(asked.mapInArrow(route(probes), "id long, v array<double>, parts array<int>"), "queries")
-    # one number a part reaches the driver
-    chunks = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
-    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    key = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    rows = index.join(F.broadcast(chunks), "part").withColumn("chunk", key(F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    wanted = asked.withColumn("part", F.explode("parts")).join(F.broadcast(chunks), "part").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", key(F.lit(blocks)))
+    best = C.written(_matched(asked, index, dim, k), "found")
+    # what the probed parts hold too little for is looked for in all parts
+    enough = best.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = C.written(asked.join(enough, "id", "left_anti"), "short")
+    if probes < parts and not short.isEmpty():
+        everywhere = short.withColumn("parts", F.sequence(F.lit(0), F.lit(parts - 1)))
+        best = best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_matched(everywhere, index, dim, k))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _matched(asked: DataFrame, index: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of every chunk and more for each query of ``asked`` (id, v, parts), ids once with their best score.
+
+    A part's rows are dealt into chunks, and its own queries into blocks, each of bounded size; every block meets every chunk of the part once.  A row is
+    repeated only as often as its own part has blocks of queries."""
+    wanted = asked.withColumn("part", F.explode("parts")).drop("parts")
+    # a row a part
+    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
+    sizes = sizes.join(wanted.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "part")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = index.join(F.broadcast(sizes), "part").withColumn("chunk", dealt("chunks")).withColumn("block", all_of("blocks"))
+    wanted = wanted.join(F.broadcast(sizes), "part").withColumn("block", dealt("blocks")).withColumn("chunk", all_of("chunks"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found = nearest(_matrix(left["v"], dim), left["id"].to_numpy(), _matrix(right["v"], dim), right["id"].to_numpy(), k) if left.num_rows and right.num_rows else []
@@ -239,6 +260,4 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
 
     by = ["part", "chunk", "block"]
     found = wanted.select(*by, "id", "v").groupBy(*by).cogroup(rows.select(*by, "id", "v").groupBy(*by)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

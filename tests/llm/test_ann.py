@@ -78,3 +78,31 @@ def test_query_recall(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
     want = exact([tuple(r) for r in rows], [tuple(r) for r in rows if r.vec_id % 50 == 0], 5)
     assert sum((r.vec_id in dict(want[r.query_id])) for r in got) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_queries_whose_parts_hold_too_little_look_everywhere(spark, monkeypatch):
+    # ids repeat, so whole parts may hold one id only
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(2000, 8)) * 0.05 + np.eye(8)[i] for i in range(4)])
+    ids = [int(i // 2000) if i % 2000 else 100 + i for i in range(8000)]
+    df = spark.createDataFrame([(v, e.tolist()) for v, e in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(df, df.where("vec_id = 2100"), recall=0.01).collect()
+    assert len(got) == 5 and len({r.vec_id for r in got}) == 5 and {r.vec_id for r in got} <= {0, 1, 2, 3, 100, 4100, 6100}
+
+
+def test_recall_with_the_router_at_work(spark):
+    """20,000 vectors with clusters, one of which holds a third, by the operator as the query calls it."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(60, 64))
+    label = np.where(rng.random(20_000) < 1 / 3, 0, rng.integers(0, 60, 20_000))
+    x = (rng.normal(size=(20_000, 64)) * 0.6 + centre[label]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = ann.search(df, df.where("vec_id % 50 = 0")).groupBy("query_id").agg(F.collect_list("vec_id").alias("near")).collect()
+    u, hits = ann._unit(x.astype(np.float64)), 0
+    for r in got:
+        near = u @ u[r.query_id]
+        near[r.query_id] = -9
+        edge = np.sort(near)[-5]
+        hits += sum(near[v] >= edge - 1e-12 for v in r.near)
+    print("recall", hits / (5 * 400))
+    assert len(got) == 400 and hits >= 0.9 * 5 * 400
