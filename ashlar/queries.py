@@ -176,10 +176,18 @@ def performance_rules(spark, sf_dir):
     return trace.performance_rules(log(spark, sf_dir), log_nodes(spark, sf_dir), 100).withColumn("speedup", F.round("speedup", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG}, {STEPS}, l AS (SELECT DISTINCT src, dst FROM edges), f AS (SELECT * FROM log WHERE NOT success ORDER BY ts DESC, execution_id, node_id LIMIT 1),
+up(id, h) AS (SELECT src, 1 FROM l WHERE dst = (SELECT node_id FROM f) UNION SELECT src, h + 1 FROM up JOIN l ON dst = id WHERE h < 3),
+u AS (SELECT coalesce(list(DISTINCT id ORDER BY id), []) AS ids FROM up WHERE id <> (SELECT node_id FROM f)),
+o AS (SELECT success, row_number() OVER (ORDER BY ts, success) - 1 AS k FROM log WHERE execution_id = (SELECT execution_id FROM f)), a AS (SELECT min(k) AS failed_at FROM o WHERE NOT success),
+n AS (SELECT count(*) - 1 AS before FROM log WHERE NOT success AND node_id = (SELECT node_id FROM f)),
+c AS (SELECT execution_id, node_id, before, failed_at, array_to_string(ids, ',') AS upstream, 'Missing required input for ' || node_id || CASE WHEN len(ids) > 0 THEN '. Data should flow from: ' || array_to_string(ids[1:3], ' → ') ELSE '' END
+  || CASE WHEN before >= 2 THEN '. Failed ' || before || ' times before: a recurring issue' ELSE '' END || CASE WHEN failed_at = 0 THEN '. Failed at the first step: bad input is likely' ELSE '' END AS cause FROM f, u, a, n)
+SELECT execution_id, node_id, before AS failures_before, failed_at::bigint AS failed_at, upstream, cause, 'Provide all required fields before ' || node_id AS suggestion FROM c""")
 def explain_last_failure(spark, sf_dir):
     steps = trace.transitions(log(spark, sf_dir)).select("src", "dst").distinct()
-    return explain.explain_last(log(spark, sf_dir), steps)
+    found = explain.explain_last(log(spark, sf_dir), steps)
+    return found.select("execution_id", "node_id", "failures_before", F.col("failed_at").cast("long").alias("failed_at"), F.array_join("upstream", ",").alias("upstream"), "cause", "suggestion")
 
 
 # ---- catalog
@@ -246,11 +254,15 @@ def correlations(spark, sf_dir):
     return mining.correlations(trace.transitions(log(spark, sf_dir)), 0.1).withColumn("strength", F.round("strength", 6))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'good' WHEN 'error' THEN 'bad' WHEN 'view' THEN 'decay' ELSE 'observe' END AS k FROM events),
+f AS (SELECT user_id, list_reduce(list_prepend({'k': '', 'c': 0.5::double, 'n': 0::bigint}, list({'k': k, 'c': 0.0::double, 'n': 0::bigint} ORDER BY event_id)),
+  lambda s, x: {'k': '', 'c': CASE x.k WHEN 'observe' THEN least(1.0, s.c + 0.1::double) WHEN 'good' THEN least(1.0, s.c + 0.2::double) WHEN 'bad' THEN greatest(0.1, s.c - 0.15::double) ELSE s.c * CASE WHEN s.n < 3 THEN 0.855::double ELSE 0.95::double END END, 'n': s.n + CASE x.k WHEN 'observe' THEN 1 ELSE 0 END}) AS r FROM e GROUP BY user_id)
+SELECT user_id AS name, round(r.c, 6) AS confidence, r.n AS observations FROM f""")
 def pattern_fold(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "good").when(F.col("event_type") == "error", "bad").when(F.col("event_type") == "view", "decay").otherwise("observe")
-    return mining.fold(e.select(F.col("user_id").alias("name"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(0.1).alias("amount")))
+    folded = mining.fold(e.select(F.col("user_id").alias("name"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(0.1).alias("amount")))
+    return folded.select("name", F.round("confidence", 6).alias("confidence"), "observations")
 
 
 # ---- rules and evidence

@@ -147,14 +147,42 @@ def run_batch(packets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return results, dead
 
 
-def worker(stream: DataFrame, edges: DataFrame, out: str, checkpoint: str):
-    """A streaming query that runs each micro-batch's packets to their ends and appends results and dead letters under ``out``."""
+def worked(packets: DataFrame, edges: DataFrame, nodes: DataFrame, executors: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, dead letters, log) of packets with a payload: every node they reach runs its executor, whose result is the next payload.
+
+    log: target, result, trace.  Packets for unknown nodes are dead letters."""
+    from ..operators.graph import cut
+
+    most = packets.agg(F.max("ttl")).first()[0] or 0
+    none = packets.limit(0).withColumn("error", F.lit(None).cast("string"))
+    results, dead, log, moving = none, none, None, packets
+    for _ in range(most + 1):
+        done = cut(executed(moving, nodes, executors))
+        lost = done.where("result is null").select(*packets.columns, F.lit("unknown node").alias("error"))
+        ran = done.where("result is not null").withColumn("payload", F.col("result"))
+        step = ran.select("target", "result", "trace")
+        log = step if log is None else log.union(step)
+        sent, ended, expired = routed(ran.select(*packets.columns), edges)
+        results = results.unionByName(ended.withColumn("error", F.lit(None).cast("string")))
+        dead = dead.unionByName(lost).unionByName(expired)
+        moving = cut(sent.drop("error"))
+        if moving.isEmpty():
+            break
+    return results, dead, log
+
+
+def worker(stream: DataFrame, edges: DataFrame, out: str, checkpoint: str, nodes: DataFrame | None = None, executors: dict | None = None):
+    """A streaming query that runs each micro-batch's packets to their ends and appends results and dead letters under ``out``; with ``nodes``
+    (id, fn_name) every node runs its executor on the payload, and the log is appended too."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        results, dead = run_batch(batch, edges)
         # a folder per batch: a batch that is run again after a failure replaces what it wrote before
-        results.write.mode("overwrite").parquet(f"{out}/results/batch={batch_id}")
-        dead.write.mode("overwrite").parquet(f"{out}/dead/batch={batch_id}")
+        if nodes is None:
+            parts = dict(zip(("results", "dead"), run_batch(batch, edges), strict=True))
+        else:
+            parts = dict(zip(("results", "dead", "log"), worked(batch, edges, nodes, executors or {}), strict=True))
+        for name, rows in parts.items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

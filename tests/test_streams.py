@@ -60,3 +60,20 @@ def test_catalog(spark, tmp_path):
     assert catalog.upserted_edges(edges.limit(0), edges, nodes).count() == 1
     assert [r.line for r in catalog.dot_lines(nodes, edges).orderBy("part", "line").collect()] == ["digraph {", '"a";', '"b";', '"a" -> "b";', '"a" -> "zz";', "}"]
     assert {r.lane for r in catalog.lanes(spark.range(20), F.col("id")).collect()} == set(range(8))
+
+
+def test_worker_executes_and_logs(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    nodes = spark.createDataFrame([("a", "double"), ("b", "nobody"), ("c", "double")], "id string, fn_name string")
+    schema = "id long, ttl int, sequence int, trace array<string>, target string, payload string"
+    batch = spark.createDataFrame([(1, 8, 0, [], "a", "x"), (2, 8, 0, [], "gone", "y")], schema)
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    double = {"double": lambda inputs: F.struct(F.concat(inputs["payload"], inputs["payload"]).alias("p"))}
+    packets.worker(stream, edges, str(tmp_path / "out"), str(tmp_path / "ck"), nodes, double).awaitTermination()
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    nobody = '{"status":"no_executor","node":"b"}'
+    assert {(r.target, r.result) for r in read("log").collect()} >= {("a", '{"p":"xx"}'), ("b", nobody)}
+    end = read("results").first()
+    assert (end.id, end.target, end.trace, end.ttl) == (1, "c", ["a", "b"], 6) and "no_executor" in end.payload
+    assert [(r.id, r.error) for r in read("dead").collect()] == [(2, "unknown node")]
