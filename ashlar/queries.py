@@ -311,8 +311,8 @@ def packet_roundtrip(spark, sf_dir):
 @query("SELECT 's' || s_suppkey AS id, 'r' || n_regionkey AS target, 6 AS ttl, 2 AS sequence FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def packet_routing(spark, sf_dir):
     nodes, edges = places(spark, sf_dir)
-    start = nodes.where("id like 's%'").select("id", F.lit(8).alias("ttl"), F.lit(0).alias("sequence"), F.array().cast("array<string>").alias("trace"), F.col("id").alias("target"))
-    return packets.run_batch(start, edges)[0].select("id", "target", "ttl", "sequence")
+    start = nodes.where("id like 's%'").select("id", F.lit(8).alias("ttl"), F.lit(0).alias("sequence"), F.col("id").alias("target"))
+    return packets.delivered(start, edges).select("id", "target", "ttl", "sequence")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type AS node_id, count(*) AS n FROM events GROUP BY ALL")

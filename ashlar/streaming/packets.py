@@ -147,6 +147,19 @@ def run_batch(packets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return results, dead
 
 
+def delivered(packets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Packets at every node without edges that their target reaches within their ttl, by fewest hops: ttl less and sequence more by the hops.
+
+    Ways are followed once for each target, however many packets are on it."""
+    from ..operators.graph import reach
+
+    most = packets.agg(F.max("ttl")).first()[0] or 0
+    ways = reach(packets.select(F.col("target").alias("id")), edges, most)
+    ends = ways.join(edges.select(F.col("src").alias("id")), "id", "left_anti").select(F.col("start").alias("target"), F.col("id").alias("end"), "hops")
+    rest = [c for c in packets.columns if c not in ("target", "ttl", "sequence")]
+    return packets.join(ends, "target").where("hops <= ttl").select(*rest, F.col("end").alias("target"), (F.col("ttl") - F.col("hops")).alias("ttl"), (F.col("sequence") + F.col("hops")).alias("sequence"))
+
+
 def worked(packets: DataFrame, edges: DataFrame, nodes: DataFrame, executors: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, dead letters, log) of packets with a payload: every node they reach runs its executor, whose result is the next payload.
 
