@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bitvec as V
+from .search import _present, matrix
 
+#: Rows whose bits (10 kB each) a task unpacks at once.
+ROWS = 1024
 #: Groups whose counters (40 kB each) a task holds before it sends them on.
 GROUPS = 512
 
@@ -29,32 +32,40 @@ def majority(rows: DataFrame, key: str, fp: str = "fp") -> DataFrame:
     """(key, fp, n): a bit is set if more than half of the group's vectors have it; ties give 0."""
 
     def partial(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[str | None, tuple[int, np.ndarray]] = {}
 
         def flush() -> pa.RecordBatch:
             keys = list(held)
-            out = [pa.array(keys, pa.string()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1].astype("<i8").tobytes() for k in keys], pa.binary())]
+            out = [pa.array(keys, pa.string()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1].tobytes() for k in keys], pa.binary())]
             held.clear()
             return pa.RecordBatch.from_arrays(out, names=["k", "n", "counts"])
 
         for batch in stream:
-            keys = np.array(batch.column("k").to_pylist(), dtype=object)
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("v").to_pylist()), dtype=np.uint8).reshape(-1, V.BYTES), axis=1)
-            for k in set(keys):
-                own = bits[keys == k]
-                n, counts = held.setdefault(k, [0, np.zeros(V.BITS, dtype=np.int64)])
-                held[k] = [n + len(own), counts + own.sum(axis=0)]
-            if len(held) > GROUPS:
-                yield flush()
+            for at in range(0, batch.num_rows, ROWS):
+                piece = _present(batch.slice(at, ROWS), 1)
+                if not piece.num_rows:
+                    continue
+                coded = piece.column("k").dictionary_encode(null_encoding="encode")
+                codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                order = np.argsort(codes, kind="stable")
+                starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+                bits = np.unpackbits(matrix(piece.column("v"))[order].view(np.uint8), axis=1)
+                sums, sizes = np.add.reduceat(bits, starts, axis=0, dtype=np.int64), np.diff(np.append(starts, len(order)))
+                for i, c in enumerate(codes[order][starts]):
+                    n, counts = held.get(names[c], (0, 0))
+                    held[names[c]] = (n + int(sizes[i]), counts + sums[i])
+                if len(held) > GROUPS:
+                    yield flush()
         if held:
             yield flush()
 
     def final(key: tuple, table: pa.Table) -> pa.Table:
         n = sum(table["n"].to_pylist())
         total = sum(np.frombuffer(c, dtype="<i8") for c in table["counts"].to_pylist())
-        return pa.table({"k": pa.array([key[0].as_py()], pa.string()), "n": pa.array([n], pa.int64()), "v": pa.array([np.packbits(2 * total > n).tobytes()], pa.binary())})
+        words = np.packbits(2 * total > n).view("<i8").tolist()
+        return pa.table({"k": pa.array([key[0].as_py()], pa.string()), "n": pa.array([n], pa.int64()), "v": pa.array([words], pa.list_(pa.int64()))})
 
     kind = dict(rows.dtypes)[key]
-    shipped = rows.where(F.col(fp).isNotNull()).select(F.col(key).cast("string").alias("k"), V.to_bytes(F.col(fp)).alias("v"))
-    merged = shipped.mapInArrow(partial, "k string, n long, counts binary").groupBy("k").applyInArrow(final, "k string, n long, v binary")
-    return merged.select(F.col("k").cast(kind).alias(key), V.from_bytes(F.col("v")).alias(fp), "n")
+    shipped = rows.select(F.col(key).cast("string").alias("k"), F.col(fp).alias("v"))
+    merged = shipped.mapInArrow(partial, "k string, n long, counts binary").groupBy("k").applyInArrow(final, "k string, n long, v array<long>")
+    return merged.select(F.col("k").cast(kind).alias(key), F.col("v").alias(fp), "n")
