@@ -26,6 +26,7 @@ BROADCAST_HOSTS = 100_000
 SALTS = 64
 
 SYMBOLS = "#*$%&|<>"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def _with(value: Column, use) -> Column:
@@ -53,16 +54,19 @@ def _repeated_words(tokens: Column) -> Column:
         repeated = _with(F.sort_array(windows), places)
         return _with(F.sort_array(F.transform(repeated, lambda x: x["i"])), length)
 
-    # words hold no space, so joined by one they keep their bounds
-    window = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 3), lambda i: F.struct(F.xxhash64(t[i], t[i + 1], t[i + 2]).alias("w"), i.alias("i")))
-    return _with(tokens, lambda t: F.when(F.size(t) >= 4, covered(window(t))).otherwise(F.lit(0)))
+    windows = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 3), lambda i: F.xxhash64(t[i], t[i + 1], t[i + 2]))
+    placed = lambda h: F.transform(h, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    # most texts repeat no window, which a set of their hashes tells without sorting
+    found = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(placed(h))).otherwise(F.lit(0))
+    return F.when(F.size(tokens) >= 4, _with(windows(tokens), found)).otherwise(F.lit(0))
 
 
 def _measures(tokens: Column, text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")) > 0)
+    """``tokens`` and ``text`` should be bound: they are mentioned many times."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     return F.struct(
         F.size(tokens).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(tokens, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _with(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         _repeated_words(tokens).cast("long").alias("n_repeat_words"),
@@ -71,8 +75,9 @@ def _measures(tokens: Column, text: Column) -> Column:
 
 def document_measures(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; a null text counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    return _with(text, lambda t: _measures(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""), t))
+    words = lambda bare: F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+    tokens = lambda t: _with(F.btrim(t, F.lit(SPACES)), words)
+    return _with(F.coalesce(text, F.lit("")), lambda t: _with(tokens(t), lambda w: _measures(w, t)))
 
 
 def host_rates(marked: DataFrame, host: Column, failed: Column) -> DataFrame:
