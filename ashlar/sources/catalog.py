@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key by ``order``; of several the greatest by the other columns.  Added up partially before the shuffle."""
+    """The last row of each key by ``order``; of several the greatest by the other columns, which must have an order (no maps).  Added up partially before the shuffle."""
     rest = [c for c in rows.columns if c not in keys and c != order]
     last = rows.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("last"))
     return last.select(*[F.col(c) if c in keys else F.col("last")[c].alias(c) for c in rows.columns])
