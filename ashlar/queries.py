@@ -382,9 +382,14 @@ def cyclomatic(spark, sf_dir):
     return metrics.cyclomatic(nodes.withColumn("node_type", kind), contains)
 
 
-@query()
+@query("""WITH lg AS (SELECT user_id AS e, event_type AS n, event_id % 7 <> 0 AS ok, ts FROM events), f AS (SELECT * FROM lg WHERE NOT ok ORDER BY ts DESC, e, n LIMIT 1),
+r AS (SELECT e, max(ts) AS t FROM lg WHERE ok AND n = (SELECT n FROM f) AND e <> (SELECT e FROM f) GROUP BY e ORDER BY t DESC, e LIMIT 3), p AS (SELECT e, list(n ORDER BY ts, n) AS path FROM lg GROUP BY e),
+c AS (SELECT r.e, a.path AS good, b.path AS bad, (SELECT min(i) FROM range(least(len(a.path), len(b.path))) AS x(i) WHERE a.path[i + 1] <> b.path[i + 1]) AS part FROM r JOIN p a ON a.e = r.e JOIN p b ON b.e = (SELECT e FROM f))
+SELECT (SELECT n FROM f) AS node_id, e::varchar AS success_id, CASE WHEN part IS NULL THEN 'check_input' ELSE 'investigate_divergence' END AS action, CASE WHEN part IS NULL THEN 0.7 ELSE 0.5 END::double AS confidence,
+  CASE WHEN part IS NULL THEN 'the same path went well before: look at the input' ELSE 'paths part at step ' || part || ': ' || good[part + 1] || ' when it went well, ' || bad[part + 1] || ' when it failed' END AS description FROM c""")
 def suggest_fixes(spark, sf_dir):
-    return suggest.suggest_fixes(log(spark, sf_dir), log_nodes(spark, sf_dir).select("id", F.lit("VALIDATE").alias("node_type")))
+    rows = log(spark, sf_dir).withColumn("success", F.col("event_id") % 7 != 0)
+    return suggest.suggest_fixes(rows, log_nodes(spark, sf_dir).select("id", F.lit("VALIDATE").alias("node_type")))
 
 
 from . import queries_graph, queries_rows  # noqa: E402, F401  (they register their queries)
