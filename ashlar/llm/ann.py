@@ -43,8 +43,8 @@ def neighbours(x: np.ndarray, k: int, queries: np.ndarray | None = None) -> np.n
     """The k nearest other rows of each unit vector (of the rows ``queries`` only), in blocks."""
     rows = np.arange(len(x)) if queries is None else queries
     out = []
-    for at in range(0, len(rows), 1024):
-        own = rows[at : at + 1024]
+    for at in range(0, len(rows), 256):
+        own = rows[at : at + 256]
         near = x[own] @ x.T
         near[np.arange(len(own)), own] = -np.inf
         out.append(np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, :k])
@@ -208,12 +208,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     spark = df.sparkSession
     vectors = C.written(clean_vectors(df, vec_id, embedding), "vectors")
     size = vectors.count()
-    taken = _sampled(vectors, sample, size).toPandas()
-    if not len(taken):
+    taken = _sampled(vectors, sample, size).toArrow()
+    if not taken.num_rows:
         return spark.createDataFrame([], schema)
-    dim = len(taken["v"].iloc[0])
-    parts = max(1, min(parts or min(MOST_PARTS, max(PARTS, size // PART_ROWS)), len(taken) // 256))
-    router, probes = fit(np.stack(taken["v"].to_numpy()).astype(np.float64), k, parts, recall)
+    dim = len(taken["v"][0])
+    parts = max(1, min(parts or min(MOST_PARTS, max(PARTS, size // PART_ROWS)), taken.num_rows // 256))
+    router, probes = fit(_matrix(taken["v"], dim).astype(np.float64), k, parts, recall)
+    del taken
 
     def route(count: int):
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +233,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     best = C.written(_matched(asked, index, dim, k), "found")
     # what the probed parts hold too little for is looked for in all parts
     enough = best.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    short = C.written(asked.join(enough, "id", "left_anti"), "short")
-    if probes < parts and not short.isEmpty():
+    if probes < parts and enough.count() < asked.select("id").distinct().count():
+        short = C.written(asked.join(enough, "id", "left_anti"), "short")
         everywhere = short.withColumn("parts", F.sequence(F.lit(0), F.lit(parts - 1)))
         best = best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_matched(everywhere, index, dim, k))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
