@@ -10,6 +10,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space of the contracts: words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,3 +103,24 @@ def keyed(column: str):
 def lower_ascii(text):
     """Lower-case A-Z only, as the contracts say; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def numbered(df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+    """The rows with ``name``, their place from 0 in their group by ``order``, for groups of any size.
+
+    Rows are sorted globally (a group takes as many tasks as it needs, rows that tie in everything are dealt at random) and written once;
+    of each task and group only the first place and the number of rows meet, so there are no more of these than tasks and groups together.
+    Groups must be few (they and the tasks are broadcast): shards, not documents.
+    """
+    at, salt, task, first, before, n = free_names([*df.columns, name], "at", "salt", "task", "first", "before", "n")
+    laid = df.withColumn(salt, F.rand(7)).orderBy(*[keyed(g) for g in group], *order, salt).drop(salt).withColumn(at, F.monotonically_increasing_id())
+    laid = written(laid, "numbered")
+    runs = laid.groupBy(*[keyed(g) for g in group], F.shiftright(at, 33).alias(task)).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(*[keyed(g) for g in group]).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0)) - F.col(first)).drop(first, n).alias("r")
+    same = F.shiftright(F.col(f"l.{at}"), 33) == F.col(f"r.{task}")
+    for g in group:
+        g = g.replace("`", "``")
+        same = same & F.col(f"l.`{g}`").eqNullSafe(F.col(f"r.`{g}`"))
+    kept = [F.col("l.`" + c.replace("`", "``") + "`") for c in df.columns]
+    return laid.alias("l").join(F.broadcast(runs), same).select(*kept, (F.col(f"l.{at}") + F.col(f"r.{before}")).alias(name))

@@ -186,3 +186,80 @@ FROM captures c LEFT JOIN hits ON c.page_id = hits.page_id
 """
 
 ORACLES |= {"op5_url_filters": OP5}
+
+#: Prefixes are told apart by the running list of their turns' hashes; what is below a node is found along each node's own conversation.
+OP11 = r"""
+WITH RECURSIVE crc(conv_id, digits, k, c) AS (
+  SELECT DISTINCT conv_id, conv_id::varchar, 1, 4294967295::ubigint FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT conv_id, digits, k + 1, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::ubigint) ELSE a >> 1 END, xor(c, ord(digits[k])::ubigint))
+  FROM crc WHERE k <= length(digits)
+),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, (xor(c, 4294967295::ubigint) % 6)::bigint AS h FROM crc WHERE k = length(digits) + 1),
+given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+placed AS (SELECT conv_id, sha256(length(role) || '/' || role || '/' || text) AS t, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM given),
+built AS (
+  SELECT c.conv_id, 0 AS own, i, t, chars FROM convs c JOIN placed p ON p.conv_id = c.base AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, t, chars FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND i > h
+),
+steps AS (
+  SELECT conv_id, chars, row_number() OVER o AS depth, string_agg(t, '/') OVER o AS path, lead(i) OVER o IS NULL AS is_end FROM built WINDOW o AS (PARTITION BY conv_id ORDER BY own, i)
+),
+walked AS (
+  SELECT conv_id, depth, sha256(path) AS node, chars, is_end FROM steps
+  UNION ALL SELECT c.conv_id, 0, 'root', 0, s.conv_id IS NULL FROM convs c LEFT JOIN steps s ON s.conv_id = c.conv_id AND s.depth = 1
+),
+nodes AS (SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (is_end) AS ends FROM walked GROUP BY node),
+edges AS (SELECT n.node, p.node AS parent, q.conv_id AS parent_conv_id FROM nodes n JOIN walked p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN nodes q ON q.node = p.node),
+children AS (SELECT parent AS node, count(*) AS n FROM edges GROUP BY parent),
+below AS (
+  SELECT w.node, sum((c.node IS NULL)::bigint) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+  FROM nodes n JOIN walked w ON w.conv_id = n.conv_id AND w.depth <= n.depth LEFT JOIN children c ON c.node = n.node GROUP BY w.node
+)
+SELECT n.conv_id, n.depth::bigint AS depth, parent_conv_id, n_convs, coalesce(c.n, 0)::bigint AS n_children, n_leaves::bigint AS n_leaves, saved::bigint AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes n LEFT JOIN edges e ON e.node = n.node LEFT JOIN children c ON c.node = n.node JOIN below b ON b.node = n.node
+"""
+
+ORACLES |= {"op11_prefix_trie": OP11}
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+drawn AS (SELECT *, [('0x' || x[1:8])::bigint, ('0x' || x[9:16])::bigint, ('0x' || x[17:24])::bigint, ('0x' || x[25:32])::bigint] AS h FROM d),
+cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM cut)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLES |= {"op12_fill_in_middle": OP12}
+
+#: The checksum goes byte by byte through a table that is made by its rule; the jumps are made one after the other in 128-bit numbers.
+OP13 = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::ubigint) ELSE a >> 1 END, x::ubigint) ORDER BY x) AS tab FROM range(256) r(x)
+),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents),
+sums AS (
+  SELECT doc_id, octet_length(body) + 16 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(body), '..'), lambda x: ('0x' || x)::ubigint), lambda c, b: xor(c >> 8, tab[(xor(c, b) % 256 + 1)::bigint]), 4294967295::ubigint), 4294967295::ubigint) AS crc
+  FROM d, steps
+),
+jumps(doc_id, key, b, j) AS (
+  SELECT DISTINCT doc_id, CASE WHEN doc_id < 0 THEN doc_id::hugeint + 18446744073709551616::hugeint ELSE coalesce(doc_id, 0)::hugeint END, -1::bigint, 0::bigint FROM documents
+  UNION ALL
+  SELECT doc_id, k, j, floor((j + 1) * (2147483648::double / ((k // 8589934592::hugeint) + 1)::double))::bigint
+  FROM (SELECT doc_id, j, (key * 2862933555777941757::hugeint + 1) % 18446744073709551616::hugeint AS k FROM jumps WHERE j < 40)
+),
+placed AS (SELECT doc_id, b AS shard, CASE WHEN j = 40 THEN 40 ELSE b END AS grown_shard FROM jumps WHERE j >= 40)
+SELECT s.doc_id, size::bigint AS size, crc::bigint AS text_crc32, 'key' AS law, shard::int AS shard, grown_shard::int AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY s.doc_id NULLS FIRST, size, crc) - 1 AS slot
+FROM sums s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id
+"""
+
+ORACLES |= {"op13_sharding": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, licenses, linededup, lm, mixing, neardup, quality, urlfilter
+from . import _common, ann, bpe, chat, fim, licenses, linededup, lm, mixing, neardup, quality, sharding, trie, urlfilter
 from ._common import table
 from .oracles import ORACLES
 
@@ -110,4 +110,26 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, words=3, percent=85).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scans, op3_mixing, op4_chat_formatting, op5_url_filters, op6_byte_bpe, op7_nearest_neighbours, op8_minhash_near_dedup, op9_quality_rules, op10_line_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conversations = rows.select("conv_id").distinct()
+    items = _common.written(trie.turns(rows), "turns")
+    nodes = trie.prefix_trie(trie.rebuilt(items, conversations), conversations)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+_OPERATORS = (
+    op1_lm_scoring, op2_license_scans, op3_mixing, op4_chat_formatting, op5_url_filters, op6_byte_bpe, op7_nearest_neighbours, op8_minhash_near_dedup, op9_quality_rules,
+    op10_line_dedup, op11_prefix_trie, op12_fill_in_middle, op13_sharding,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
