@@ -68,20 +68,20 @@ def _boundaries(text: Column) -> Column:
     return made(text.cast("binary"))
 
 
-def _selected(boundaries: Column, first: Column, second: Column) -> Column:
-    """struct<low, high>: the bytes at which the units ``first`` and ``second`` begin."""
-    both = pa.struct([("low", pa.int32()), ("high", pa.int32())])
+def _selected(boundaries: Column, cuts: Column) -> Column:
+    """For an array of struct<low, high> (units) the bytes at which these begin."""
+    kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
-    @F.arrow_udf("struct<low: int, high: int>")
-    def found(lists: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
-        rows = zip(lists, low.to_pylist(), high.to_pylist(), strict=True)
-        return pa.array(({"low": select(x, i), "high": select(x, j)} for x, i, j in ((b.as_buffer().to_pybytes(), i, j) for b, i, j in rows)), both)
+    @F.arrow_udf("array<struct<low: int, high: int>>")
+    def found(lists: pa.Array, wanted: pa.Array) -> pa.Array:
+        rows = ((x.as_buffer().to_pybytes(), places) for x, places in zip(lists, wanted.to_pylist(), strict=True))
+        return pa.array(([{"low": select(x, p["low"]), "high": select(x, p["high"])} for p in places] for x, places in rows), kind)
 
-    return found(boundaries, first, second)
+    return found(boundaries, cuts)
 
 
-def text_index(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text_key, text, n_documents, n_units, boundaries): a row for each distinct text, a null one counting as empty.
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(text_key, text, n_documents, n_units): a row for each distinct text, a null one counting as empty.
 
     Texts are grouped by their SHA-256; of each group the distinct contents are gathered, task by task before the shuffle, so copies travel once a
     task and a group of two contents would be seen: that stops the job with an error instead of mixing texts.
@@ -90,8 +90,7 @@ def text_index(docs: DataFrame, text: str = "text") -> DataFrame:
     groups = docs.select(F.unhex(F.sha2(body, 256)).alias("text_key"), body.alias("text")).groupBy("text_key")
     found = groups.agg(F.collect_set("text").alias("contents"), F.count(F.lit(1)).alias("n_documents"))
     one = F.when(F.size("contents") == 1, F.col("contents")[0]).otherwise(F.raise_error(F.lit("two texts share a SHA-256")).cast("string"))
-    found = found.select("text_key", one.alias("text"), "n_documents")
-    return found.select("text_key", "text", "n_documents", F.length("text").cast("long").alias("n_units"), _boundaries(F.col("text")).alias("boundaries"))
+    return found.select("text_key", one.alias("text"), "n_documents").withColumn("n_units", F.length("text").cast("long"))
 
 
 def fill_in_middle(
@@ -109,52 +108,56 @@ def fill_in_middle(
     Numbers drawn from the SHA-256 of ``seed:key`` choose two of the n + 1 places between code points (they may be equal: a part is empty then)
     and the form: plain (the text as it is) for empty texts, texts that hold a sentinel and ``plain_percent`` of the rest; of the others
     ``spm_percent`` put the suffix first.  A null text counts as empty and stays null beside its empty output; a null key is an empty one.
-    Rows that repeat are cut alike.  The text moves once a distinct text (a hot one once per ``hot`` documents); documents move as keys.
+    Rows that repeat are cut alike.  The text moves once a distinct text (a hot one once more per ``hot`` documents); documents move without it, and meet
+    their entry in groups of some ``hot`` at most.
     """
     n, form, prefix, middle, output = C.free_names(docs.columns, "n", "form", "prefix_chars", "middle_chars", "output")
-    own, salt, copies, absent, entry = C.free_names([*docs.columns, n, form, prefix, middle, output], "own_text", "salt", "copies", "absent", "entry")
-    slim = docs.withColumns({own: F.unhex(F.sha2(F.coalesce(C.keyed(text), F.lit("")), 256)), absent: C.keyed(text).isNull()}).drop(text)
-    index = text_index(docs, text)
+    draws = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(C.keyed(key).cast("string"), F.lit(""))), 256)
+    h = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring(draws, 8 * i + 1, F.lit(8)), 16, 10).cast("long"))
+    others = [C.keyed(c) for c in docs.columns if c != text]
+    own = F.unhex(F.sha2(F.coalesce(C.keyed(text), F.lit("")), 256))
+    slim = docs.select(own.alias("text_key"), F.struct(C.keyed(text).isNull().alias("absent"), h.alias("h"), F.struct(*others).alias("row")).alias("doc"))
 
-    many = C.written(slim.groupBy(own).agg(F.count(F.lit(1)).alias(copies)).where(F.col(copies) > hot).withColumn(copies, F.ceil(F.col(copies) / hot).cast("int")), "hot")
+    many = slim.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > hot)
+    many = C.written(many.withColumn("copies", F.ceil(F.col("copies") / hot).cast("int")), "hot")
     n_hot = many.count()
-    cold = index
-    if n_hot:
-        listed = F.broadcast(many) if n_hot <= BROADCAST_TEXTS else many
-        cold = index.where(F.col("n_documents") <= hot)
-        warm = slim.join(listed, own).withColumn(salt, F.floor(F.rand(seed) * F.col(copies)).cast("int")).drop(copies)
-        entries = index.where(F.col("n_documents") > hot).withColumn(salt, F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_documents") / hot).cast("int") - 1)))
-        met = slim.join(listed, own, "left_anti").join(_named(cold, own, entry), own)
-        met = met.unionByName(warm.join(_named(entries, own, entry, salt), [own, salt]).drop(salt))
+    index = distinct_texts(docs, text)
+    entry, made = ["text", "n_units"], [_boundaries(F.col("text")).alias("boundaries")]
+    gathered = F.collect_list("doc").alias("docs")
+    if not n_hot:
+        met = index.join(slim.groupBy("text_key").agg(gathered), "text_key").select(*entry, "docs", *made)
     else:
-        met = slim.join(_named(cold, own, entry), own)
-
-    draws = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(C.keyed(key).cast("string"), F.lit(""))), 256)
-    h = [F.conv(F.substring(draws, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
-    body = F.col(entry)["text"]
-    units = F.col(entry)["n_units"]
-    shape = F.when((units == 0) | F.greatest(*[F.contains(body, F.lit(s)) for s in sentinels]) | (h[2] % 100 >= 100 - plain_percent), "plain").when(h[3] % 100 < spm_percent, "spm").otherwise("psm")
-    first, second = h[0] % (units + 1), h[1] % (units + 1)
-    placed = met.withColumns({n: units, form: shape, prefix: F.least(first, second), middle: F.greatest(first, second)})
-    cut = C.free_name(placed.columns, "cut")
-    placed = placed.withColumn(cut, _selected(F.col(entry)["boundaries"], F.col(prefix), F.col(middle)))
-    data, low, high = body.cast("binary"), F.col(cut)["low"], F.col(cut)["high"]
+        listed = F.broadcast(many) if n_hot <= BROADCAST_TEXTS else many
+        cold = index.where(F.col("n_documents") <= hot).join(slim.join(listed, "text_key", "left_anti").groupBy("text_key").agg(gathered), "text_key")
+        salted = slim.join(listed, "text_key").withColumn("salt", F.floor(F.rand(seed) * F.col("copies")).cast("int"))
+        entries = index.where(F.col("n_documents") > hot).select("text_key", *entry, *made, F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_documents") / hot).cast("int") - 1)).alias("salt"))
+        warm = entries.join(salted.groupBy("text_key", "salt").agg(gathered), ["text_key", "salt"])
+        met = cold.select(*entry, "docs", *made).unionByName(warm.select(*entry, "docs", "boundaries"))
+
+    body, units = F.col("text"), F.col("n_units")
+    holds = F.greatest(*[F.contains(body, F.lit(s)) for s in sentinels])
+
+    def place(doc: Column) -> Column:
+        first, second = doc["h"][0] % (units + 1), doc["h"][1] % (units + 1)
+        shape = F.when((units == 0) | F.col("holds") | (doc["h"][2] % 100 >= 100 - plain_percent), "plain").when(doc["h"][3] % 100 < spm_percent, "spm").otherwise("psm")
+        return F.struct(F.least(first, second).alias("low"), F.greatest(first, second).alias("high"), shape.alias("form"))
+
+    placed = met.withColumn("holds", holds).withColumn("places", F.transform("docs", place))
+    placed = placed.withColumn("bytes", _selected(F.col("boundaries"), F.transform("places", lambda p: F.struct(p["low"], p["high"]))))
+    each = placed.select("text", "n_units", F.inline(F.arrays_zip("docs", "places", "bytes")))
+    data, low, high = body.cast("binary"), F.col("bytes")["low"], F.col("bytes")["high"]
     part = lambda begin, size: F.substring(data, begin + 1, size).cast("string")
     before, between, after = part(F.lit(0), low), part(low, high - low), part(high, F.octet_length(data) - high)
     p, s, m = map(F.lit, sentinels)
-    joined = F.when(F.col(form) == "plain", body).when(F.col(form) == "psm", F.concat(p, before, s, after, m, between)).otherwise(F.concat(s, after, p, before, m, between))
-    is_cut = F.col(form) != "plain"
-    texts = [F.when(~F.col(absent), body).alias(text) if c == text else C.keyed(c) for c in docs.columns]
-    return placed.select(
-        *texts, n, form, F.when(is_cut, F.col(prefix)).alias(prefix), F.when(is_cut, F.col(middle) - F.col(prefix)).alias(middle), joined.alias(output)
+    shape = F.col("places")["form"]
+    joined = F.when(shape == "plain", body).when(shape == "psm", F.concat(p, before, s, after, m, between)).otherwise(F.concat(s, after, p, before, m, between))
+    texts = [(F.when(~F.col("docs")["absent"], body) if c == text else F.col("docs")["row"][c]).alias(c) for c in docs.columns]
+    cut = lambda x: F.when(shape != "plain", x)
+    return each.select(
+        *texts, units.alias(n), shape.alias(form), cut(F.col("places")["low"]).alias(prefix), cut(F.col("places")["high"] - F.col("places")["low"]).alias(middle), joined.alias(output)
     )
 
 
-def _named(index: DataFrame, own: str, entry: str, *others: str) -> DataFrame:
-    """The index with its key under the name ``own`` and all else in the struct ``entry``, clear of the documents' columns."""
-    return index.select(F.col("text_key").alias(own), *others, F.struct("text", "n_units", "boundaries").alias(entry))
-
-
 def restored(output: Column, form: Column, sentinels: tuple[str, str, str] = SENTINELS) -> Column:
     """The text from its output: no part holds a sentinel, so the first of each parts them."""
     p, s, m = sentinels

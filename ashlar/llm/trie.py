@@ -135,7 +135,7 @@ def rolled_up(nodes: DataFrame, n_nodes: int, depth: int, hot: int = HOT) -> Dat
     After round k a node holds the sums over its descendants less than 2**k levels below and points to its ancestor 2**k levels up.  In the next round it
     takes what the nodes pointing to it hold, and those point on to where it points.  What points to a node is added up before the shuffle.
     """
-    held = C.written(nodes.select("node", F.col("parent").alias("up"), "depth", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), F.col("saved").alias("saved_tokens")), "held")
+    held = nodes.select("node", F.col("parent").alias("up"), "depth", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), F.col("saved").alias("saved_tokens"))
     reach = 1
     while reach <= depth:
         given = held.where("up IS NOT NULL").groupBy("up").agg(F.sum("n_leaves").alias("leaves_below"), F.sum("saved_tokens").alias("saved_below"), F.count(F.lit(1)).alias("n"))
@@ -163,14 +163,15 @@ def prefix_trie(items: DataFrame, conversations: DataFrame, hot: int = HOT, long
     conversations = conversations.where("conv_id IS NOT NULL").distinct()
     walked = C.written(paths(items, conversations, long), "paths")
     nodes = walked.groupBy("node", "parent", "depth").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.max("chars").alias("chars"))
+    nodes = C.written(nodes, "nodes")
     children = nodes.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-    nodes, children = C.written(nodes, "nodes"), C.written(children, "children")
     counted = nodes.join(children.select(F.col("parent").alias("node"), F.col("n").alias("n_children")), "node", "left")
     counted = C.written(counted.withColumns({"n_children": F.coalesce("n_children", F.lit(0)), "saved": (F.col("n_convs") - 1) * F.col("chars")}), "counted")
     n_nodes, depth = counted.agg(F.count(F.lit(1)), F.max("depth")).first()
     sums = rolled_up(counted, n_nodes, depth or 0, hot)
     parents = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    named = looked_up(counted.where("parent IS NOT NULL"), parents, "parent", n_nodes, children, hot)
+    weights = counted.where("n_children > 0").select(F.col("node").alias("parent"), F.col("n_children").alias("n"))
+    named = looked_up(counted.where("parent IS NOT NULL"), parents, "parent", n_nodes, weights, hot)
     root = counted.where("parent IS NULL").withColumn("parent_conv_id", F.lit(None).cast("long"))
     ends = end_digests(walked.where("is_end").select("node", "conv_id"))
     empty = hashlib.sha256(b"").hexdigest()
@@ -183,7 +184,7 @@ def rebuilt(items: DataFrame, conversations: DataFrame, period: int = 100, most:
     fewer) and then its own after its first h, with h = crc32(decimal c) % ``most``.  Gaps that are left close up.
     """
     share = F.crc32(F.col("conv_id").cast("string").cast("binary")) % most
-    heads = C.written(items.where((F.col("at") < most) & (F.col("conv_id") % period == 0)).withColumnRenamed("conv_id", "base"), "heads")
+    heads = items.where((F.col("at") < most) & (F.col("conv_id") % period == 0)).withColumnRenamed("conv_id", "base")
     lengths = heads.groupBy("base").agg(F.max("at").alias("length"))
     plan = conversations.where("conv_id IS NOT NULL").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % period).alias("base"), share.alias("h"))
     plan = C.written(plan.join(lengths, "base", "left").withColumn("taken", F.least("h", F.coalesce("length", F.lit(0)))), "plan")
