@@ -123,7 +123,7 @@ def predict_missing(items: DataFrame, patterns: DataFrame) -> DataFrame:
 def reinforce(baskets: DataFrame, patterns: DataFrame, gain: float = 0.1, overlap: float = 0.5) -> DataFrame:
     """(name, confidence, observations): every basket that overlaps a pattern by more than ``overlap`` adds gain x overlap, up to 1.
 
-    Gains only add, so the order does not matter until feedback or decay come in (see ``fold``).
+    Gains only add, so the order does not matter until feedback or decay come in (see learning.fold).
     """
     hooks = patterns.withColumnRenamed("items", "pattern").withColumn("hook", F.explode("pattern"))
     touched = baskets.select("seq", "items", F.explode(F.array_distinct("items")).alias("hook")).join(hooks, "hook").select("seq", "name", "items", "pattern").distinct()
@@ -133,27 +133,6 @@ def reinforce(baskets: DataFrame, patterns: DataFrame, gain: float = 0.1, overla
     return patterns.join(gained, "name", "left").select("name", new.alias("confidence"), F.coalesce("n", F.lit(0)).alias("observations"))
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """(name, confidence, observations) after events (name, seq, kind, amount) in the order of seq.
-
-    observe adds amount up to 1; good adds 0.2 up to 1; bad takes 0.15 down to 0.1; decay multiplies by 0.95 (0.855
-    under three observations).  Start: 0.5.  Patterns are independent, so each folds its own events.
-    """
-    steps = events.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "amount"))).alias("steps"))
-    state = lambda c, n: F.struct(c.cast("double").alias("c"), n.cast("long").alias("n"))
-
-    def step(s, e):
-        return (
-            F.when(e["kind"] == "observe", state(F.least(F.lit(1.0), s["c"] + e["amount"]), s["n"] + 1))
-            .when(e["kind"] == "good", state(F.least(F.lit(1.0), s["c"] + 0.2), s["n"]))
-            .when(e["kind"] == "bad", state(F.greatest(F.lit(0.1), s["c"] - 0.15), s["n"]))
-            .otherwise(state(s["c"] * F.when(s["n"] < 3, 0.855).otherwise(0.95), s["n"]))
-        )
-
-    done = F.aggregate("steps", state(F.lit(0.5), F.lit(0)), step)
-    return steps.select("name", done["c"].alias("confidence"), done["n"].alias("observations"))
-
-
 def decayed(patterns: DataFrame, observed_enough: int = 3) -> DataFrame:
     """One epoch: confidences x 0.95, or x 0.855 under ``observed_enough`` observations; patterns that fall under 0.1 with fewer than 10 observations go."""
     new = F.col("confidence") * F.when(F.col("observations") < observed_enough, 0.95 * 0.9).otherwise(0.95)
