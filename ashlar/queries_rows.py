@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bitvec as V
 from .functions import project, rules, truth
-from .operators import causal, mining, search, trace
+from .operators import causal, graph, hamming, mining, search, trace
 from .plans import execute
 from .queries import BASKETS, FP, HAMMING, LOG, LOG_NODES, STEPS, baskets, log, log_nodes, places, query, t
 from .sources import catalog
@@ -168,6 +170,43 @@ def state_roundtrip(spark, sf_dir):
 
 # ---- search
 
+
+def part_index(spark: SparkSession, sf_dir: str) -> hamming.HammingIndex:
+    """An index of the fingerprints of all parts' names, in the shared folder."""
+    rows = project.seeded(t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("idx"), "p_name"), "p_name")
+    return hamming.HammingIndex.build(rows, f"{graph.shared_folder(spark)}/hamming-{uuid.uuid4().hex}")
+
+
+#: The vector of part 7's name with its first 15 words turned over: 960 bits away.
+_TURNED = f"WITH v AS (SELECT p_partkey::bigint AS idx, {FP.format('p_name')} AS a FROM part), q AS (SELECT list_transform(a, lambda x, i: CASE WHEN i <= 15 THEN xor(x, 18446744073709551615::ubigint) ELSE x END) AS q FROM v WHERE idx = 7), d AS (SELECT idx, {HAMMING.format('a', 'q')}::bigint AS distance FROM v, q) SELECT idx, distance FROM d WHERE distance <= 1000"
+
+
+def turned(spark: SparkSession, sf_dir: str) -> list[int]:
+    name = t(spark, sf_dir, "part").where("p_partkey = 7").first()["p_name"]
+    return [~w if i < 15 else w for i, w in enumerate(V.seed_words(name))]
+
+
+@query(_TURNED)
+def indexed_search(spark, sf_dir):
+    """Parts at least 0.9 similar, found by groups of bits; tests hold the share of rows that it reads under 5 %."""
+    return part_index(spark, sf_dir).search(turned(spark, sf_dir), 0.9)[0]
+
+
+@query(_TURNED)
+def multi_resolution_search(spark, sf_dir):
+    """The same by resolution: the first 2,304 bits of all vectors, then the whole of what they do not rule out."""
+    return part_index(spark, sf_dir).scan(turned(spark, sf_dir), 0.9)[0]
+
+
+@query("""WITH e AS (SELECT vec_id::bigint AS idx, list_transform(embedding, lambda x: greatest(0, least(62, floor((x::double + 0.375) * (62 / 0.75::double))))::int) AS q FROM embeddings),
+d AS (SELECT x.idx AS a, y.idx AS b, list_sum(list_transform(list_zip(x.q, y.q), lambda z: abs(z[1] - z[2])))::bigint AS distance FROM e x JOIN e y ON x.idx < y.idx)
+SELECT a, b, round(1 - distance / 10000.0::double, 6) AS similarity FROM d WHERE distance <= 600""")
+def similar_embeddings(spark, sf_dir):
+    """All pairs of embeddings, as level codes, at least 0.94 similar."""
+    codes = t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("idx"), V.thermometer(F.col("embedding"), -0.375, 0.375).alias("fp"))
+    return hamming.similarity_join(codes, 0.94, cell_rows=256)[0].select("a", "b", _r("similarity"))
+
+
 SUP = f"v AS (SELECT s_suppkey::bigint AS idx, s_nationkey, s_name, {FP.format('s_name')} AS a FROM supplier WHERE s_suppkey <= 100)"
 
 
