@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .bitvec import BITS, BYTES, LAST_MASK, WORDS
 
@@ -74,12 +75,79 @@ def seeded(df: DataFrame, text: str, fp: str = "fp") -> DataFrame:
     return spread(df).withColumn(fp, _seeded(F.col(text)))
 
 
+#: Bits of a number that one turn of selection settles: a task counts 2**DIGIT values a dimension, and so many more each turn.
+DIGIT = 13
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order (0.0 and -0.0 are one; NaN comes last)."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _value(key: int) -> float:
+    bits = key & ~(1 << 63) if key >> 63 else ~key & (2**64 - 1)
+    return float(np.array([bits], dtype=np.uint64).view(np.float64)[0])
+
+
+def order_statistics(df: DataFrame, embedding: str, ranks) -> dict[int, list[float]]:
+    """For each dimension of an array column the values of given ranks, exactly: ``ranks(n)`` names them (from 0) for a dimension of n values.
+
+    Numbers are settled from their highest bits down, DIGIT bits a turn, all dimensions and ranks at once.  In a turn each task counts the next digit of
+    the values that share the digits settled so far; counts are added up, and the digit that holds the rank is settled.  A task holds 2**DIGIT counters for a
+    dimension and rank, whatever the number of rows; what reaches the driver is one row a dimension and rank.  Null values do not count, NaN is the largest.
+    """
+    values = df.select(F.col(embedding).cast("array<double>").alias("x")).where("x IS NOT NULL")
+    sizes = values.select(F.posexplode("x").alias("d", "v")).where("v IS NOT NULL").groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()
+    wanted = {(r["d"], k): (0, rank) for r in sizes for k, rank in enumerate(ranks(r["n"]))}  # (digits settled, rank among those that share them)
+    done = 0
+    while done < 64 and wanted:
+        width = min(DIGIT, 64 - done)
+        shared = df.sparkSession.sparkContext.broadcast({t: v[0] for t, v in wanted.items()})
+
+        def counted(stream: Iterator[pa.RecordBatch], shared=shared, done=done, width=width) -> Iterator[pa.RecordBatch]:
+            counts: dict[tuple[int, int], np.ndarray] = {}
+            by_dimension: dict[int, dict[int, list[int]]] = {}  # ranks that share a prefix are counted once
+            for (d, k), prefix in shared.value.items():
+                by_dimension.setdefault(d, {}).setdefault(prefix, []).append(k)
+            for batch in stream:
+                lists = batch.column("x")
+                lengths = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, dtype=np.int64)
+                flat = lists.flatten()
+                dims = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                valid = np.asarray(flat.is_valid()).astype(bool)
+                keys = _ordered(np.asarray(flat.fill_null(0.0).to_numpy(zero_copy_only=False), dtype=np.float64))
+                for d, prefixes in by_dimension.items():
+                    own = keys[(dims == d) & valid]
+                    for prefix, ks in prefixes.items():
+                        mine = own if not done else own[own >> np.uint64(64 - done) == np.uint64(prefix)]
+                        digit = (mine >> np.uint64(64 - done - width)) & np.uint64((1 << width) - 1)
+                        counts[d, ks[0]] = counts.get((d, ks[0]), 0) + np.bincount(digit.astype(np.int64), minlength=1 << width)
+            for (d, k), c in counts.items():
+                some = np.flatnonzero(c)
+                for kk in by_dimension[d][shared.value[d, k]]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), d, np.int32)), pa.array(np.full(len(some), kk, np.int32)), pa.array(some.astype(np.int32)), pa.array(c[some].astype(np.int64))], names=["d", "k", "digit", "n"])
+
+        added = values.mapInArrow(counted, "d int, k int, digit int, n long").groupBy("d", "k", "digit").agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy("d", "k").orderBy("digit")
+        asked = df.sparkSession.createDataFrame([(d, k, rank) for (d, k), (_, rank) in wanted.items()], "d int, k int, rank long")
+        running = added.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(asked), ["d", "k"]).where("upto > rank")
+        held = running.groupBy("d", "k").agg(F.min(F.struct("digit", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))).alias("s"))
+        for r in held.select("d", "k", "s.digit", "s.rank").collect():
+            prefix, _ = wanted[r["d"], r["k"]]
+            wanted[r["d"], r["k"]] = ((prefix << width) | r["digit"], r["rank"])
+        done += width
+    found: dict[int, list[float]] = {}
+    for (d, _), (key, _) in sorted(wanted.items()):
+        found.setdefault(d, []).append(_value(key))
+    return found
+
+
 def binarized(df: DataFrame, embedding: str, bits: str = "bits") -> DataFrame:
-    """``df`` with an array of booleans that tells in which dimensions an embedding lies over that dimension's median (of all rows; 0.5 quantile, found exactly)."""
-    each = df.where(F.col(embedding).isNotNull()).select(F.posexplode(embedding).alias("d", "x")).where("x is not null")
-    medians = each.groupBy("d").agg(F.expr("percentile(x, 0.5)").alias("m")).agg(F.sort_array(F.collect_list(F.struct("d", "m"))).alias("medians"))  # one row, as wide as an embedding
-    one = df.crossJoin(F.broadcast(medians))
-    return one.withColumn(bits, F.zip_with(embedding, F.transform("medians", lambda x: x["m"]), lambda x, m: x > m)).drop("medians")
+    """``df`` with an array of booleans that tells in which dimensions an embedding lies over that dimension's median (of all rows; the mean of the two middle values, found exactly)."""
+    middle = order_statistics(df, embedding, lambda n: [(n - 1) // 2, n // 2])
+    medians = F.array(*[F.lit((a + b) / 2) for _, (a, b) in sorted(middle.items())]) if middle else F.array().cast("array<double>")
+    return df.withColumn(bits, F.zip_with(embedding, medians, lambda x, m: x > m))
 
 
 #: Bits of a state vector's parts, counted from each byte's highest: time, signal, quality (fixed values).

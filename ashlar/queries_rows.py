@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import bitvec as V
 from .functions import project, rules, truth
-from .operators import causal, graph, hamming, mining, search, trace
+from .operators import bundle, causal, graph, hamming, mining, search, trace
 from .plans import execute
 from .queries import BASKETS, FP, HAMMING, LOG, LOG_NODES, STEPS, baskets, log, log_nodes, places, query, t
 from .sources import catalog
@@ -137,6 +137,17 @@ def edge_endpoints(spark, sf_dir):
     return e.select("n_name", V.hamming(F.col("edge"), F.col("a")).cast("long").alias("edge_distance"), V.hamming(V.xor(F.col("edge"), F.col("a")), F.col("b")).cast("long").alias("recovered"))
 
 
+@query(f"""WITH c AS (SELECT l_linestatus, 'line ' || l_linenumber AS line, count(*) AS c FROM lineitem GROUP BY ALL UNION ALL SELECT 'all', 'line ' || l_linenumber, count(*) FROM lineitem GROUP BY ALL),
+v AS (SELECT l_linestatus AS part, c, {FP.format('line')} AS a FROM c), w AS (SELECT part, c, generate_subscripts(a, 1) AS i, unnest(a) AS w FROM v),
+b AS (SELECT part, i, j, sum(((w >> j) & 1)::bigint * c) AS k, sum(c) AS n FROM w, range(64) AS r(j) GROUP BY ALL)
+SELECT part, any_value(n)::bigint AS n, sum((2 * k > n)::int)::bigint AS ones FROM b GROUP BY part""")
+def bundle_lineitem(spark, sf_dir):
+    """Majority over every row of lineitem by its line number's vector: one group of all rows, and one for each line status."""
+    lines = t(spark, sf_dir, "lineitem").select(F.concat(F.lit("line "), "l_linenumber").alias("line"), F.explode(F.array(F.lit("all"), "l_linestatus")).alias("part"))
+    vectors = lines.select("line").distinct().withColumn("fp", V.fp_seed(F.col("line")))
+    return bundle.majority(lines.join(vectors, "line"), "part").select("part", "n", V.popcount(F.col("fp")).cast("long").alias("ones"))
+
+
 @query("SELECT vec_id, list_sum(list_transform(list_zip(embedding, m), lambda z: (z[1] > z[2])::int))::bigint AS ones FROM embeddings, (SELECT list(x ORDER BY d) AS m FROM (SELECT d, median(e::double) AS x FROM (SELECT unnest(embedding) AS e, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY d))")
 def median_bits(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -144,6 +155,13 @@ def median_bits(spark, sf_dir):
     return b.select("vec_id", F.size(F.filter("bits", lambda x: x)).cast("long").alias("ones"))
 
 
+@query("SELECT d::int AS d, quantile_disc(e, 0.25) AS low, median(e) AS middle, quantile_disc(e, 1.0) AS high FROM (SELECT unnest(embedding)::double AS e, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY d")
+def dimension_quantiles(spark, sf_dir):
+    """Quartile, median and largest value of every dimension, selected exactly."""
+    found = project.order_statistics(t(spark, sf_dir, "embeddings"), "embedding", lambda n: [max(0, -(-n // 4) - 1), (n - 1) // 2, n // 2, n - 1])
+    return spark.createDataFrame([(d, a, (b + c) / 2, e) for d, (a, b, c, e) in found.items()], "d int, low double, middle double, high double")
+
+
 @query()
 def project_embeddings_knn(spark, sf_dir):
     """The five nearest projected vectors of the first one; tests hold it against NumPy."""
