@@ -2,14 +2,14 @@
 
 ``align`` pairs the words of a text with those of a template: words that occur once in both are anchors, the longest increasing
 subsequence of their places is kept, and the gaps between are aligned in the same way; equal words at a gap's ends are
-matched first, and a gap without anchors (each word repeated, or missing) is closed by its longest common subsequence.
-Coverage is the share of the template's words that are matched; gaps may have any length, so inserted names, years
+matched first.  In a gap without such words those that occur equally often in both stand in, the first for the first and so on, and where there
+are none, those that occur least.  Coverage is the share of the template's words that are matched; gaps may have any length, so inserted names, years
 or clauses count the same wherever they lie.
 
-Before any alignment, texts are dismissed that could not reach the coverage wanted even if every word they share with the
-template matched; this dismisses nothing that would be found.  An exact check follows each alignment: where words elsewhere in a text
-misled the anchors, so that more could be matched, the shortest region that holds the most is aligned instead.
-The span reported is that of the shortest region that matches as many words.
+The whole text is aligned, and so is each stretch of it that may hold the notice (three times as many shared words as the template has, one
+template's length apart), in which words are unique that other parts of the text repeat; the fullest alignment counts.  Before any of this, texts and
+stretches are dismissed that could not reach the coverage wanted even if every word they share with the template matched in order; this dismisses
+nothing that an alignment would find.
 
 Each task works on its own Arrow batches: nothing is shuffled, and memory is a small multiple of a batch, however many templates there are.
 """
@@ -75,20 +75,31 @@ def align(text: Sequence[int], template: Sequence[int]) -> list[tuple[int, int]]
             matched.append((b, d))
         if a == b or c == d:
             continue
-        in_text, in_template = Counter(text[a:b]), Counter(template[c:d])
-        place = {w: i for i, w in enumerate(text[a:b], a) if in_text[w] == 1}
-        common = [(place[w], j) for j, w in enumerate(template[c:d], c) if in_template[w] == 1 and w in place]
-        anchors = _increasing(common)
-        if anchors:
-            for (i, j), (k, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):
-                if k - i > 1 and m - j > 1:
-                    gaps.append((i + 1, k, j + 1, m))
-            matched += anchors
-        else:
-            matched += [(a + i, c + j) for i, j in _common(text[a:b], template[c:d])]
+        anchors = _increasing(_common_words(text, template, a, b, c, d))
+        for (i, j), (k, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):
+            if anchors and k - i > 1 and m - j > 1:
+                gaps.append((i + 1, k, j + 1, m))
+        matched += anchors
     return sorted(matched)
 
 
+def _common_words(text: Sequence[int], template: Sequence[int], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """(place in text, place in template), in the template's order, of the words that anchor a gap."""
+    here, there = {}, {}
+    for j in range(c, d):
+        there.setdefault(template[j], []).append(j)
+    for i in range(a, b):
+        if text[i] in there:
+            here.setdefault(text[i], []).append(i)
+    ways = (lambda x, y: x == y == 1, lambda x, y: x == y, lambda x, y: max(x, y) == least)
+    least = min((max(len(i), len(there[w])) for w, i in here.items()), default=0)
+    for way in ways:
+        pairs = [(i, j) for w, own in here.items() if way(len(own), len(there[w])) for i, j in zip(own, there[w], strict=False)]
+        if pairs:
+            return sorted(pairs, key=lambda p: p[1])
+    return []
+
+
 def _rows(text: Sequence[int], template: Sequence[int]) -> Iterator[int]:
     """After each word of the text: the template's places that do not lengthen the longest common subsequence of what lies before, as bits."""
     bits: dict[int, int] = {}
@@ -101,22 +112,6 @@ def _rows(text: Sequence[int], template: Sequence[int]) -> Iterator[int]:
         yield rest
 
 
-def _common(text: Sequence[int], template: Sequence[int]) -> list[tuple[int, int]]:
-    """The pairs of a longest common subsequence, read back from the last words to the first."""
-    rows = [(1 << len(template)) - 1, *_rows(text, template)]
-    length = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
-    i, j, pairs = len(text), len(template), []
-    while n := length(i, j):
-        if length(i - 1, j) == n:
-            i -= 1
-        elif length(i, j - 1) == n:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return pairs[::-1]
-
-
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence that increases in the first place, by patience sorting; pairs come in order of the second."""
     tops: list[int] = []
@@ -137,58 +132,58 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found[::-1]
 
 
-def best_match(text: Sequence[int], template: Sequence[int], wanted: int) -> tuple[int, int, int] | None:
-    """(words matched, first, last place in the text) of the alignment, if it has ``wanted`` words or more.
-
-    Of regions that match alike the shortest counts, and of these the first.
-    """
-    known = set(template)
-    places = [i for i, w in enumerate(text) if w in known]  # no other word can match
-    own = [text[i] for i in places]
+def _most(text: Sequence[int], template: Sequence[int]) -> int:
+    """How many words any alignment can match at most."""
     rest = (1 << len(template)) - 1
-    for rest in _rows(own, template):  # noqa: B007
+    for rest in _rows(text, template):  # noqa: B007
         pass
-    most = len(template) - rest.bit_count()  # no alignment has more
-    if most < max(wanted, 1):
-        return None
-    pairs = align(own, template)
-    if len(pairs) < most:
-        first, last = _shortest(own, template, most)
-        region = own[first : last + 1]
-        inside = align(region, template)
-        pairs = [(first + i, j) for i, j in (inside if len(inside) == most else _common(region, template))]
-    first, last = _shortest(own, template, len(pairs), places)
-    return len(pairs), places[first], places[last]
-
+    return len(template) - rest.bit_count()
 
-def _shortest(text: Sequence[int], template: Sequence[int], matched: int, places: Sequence[int] | None = None) -> tuple[int, int]:
-    """First and last place of the shortest region that matches ``matched`` words, the most that any does; with ``places`` regions are measured by them.
 
-    starts[d][j] is the latest place from which all but d of the template's first j words have matched, or -1.
-    """
-    at = places if places is not None else range(len(text))
-    size = len(template)
+def _closer(pairs: list[tuple[int, int]], text: Sequence[int]) -> tuple[int, int]:
+    """First and last place of an alignment once its words stand as close to a middle one as the text allows."""
     where: dict[int, list[int]] = {}
-    for j, w in enumerate(template):
-        where.setdefault(w, []).insert(0, j)  # later words of the template first, so that a place in the text matches one word
-    skips = size - matched
-    starts = [[-1] * (size + 1) for _ in range(skips + 1)]
-    best = None
     for i, w in enumerate(text):
-        before = starts[skips][size]
-        for j in where.get(w, ()):
-            for d in range(skips + 1):
-                start = i if d >= j else starts[d][j]
-                for e in range(min(skips - d, size - j - 1) + 1):
-                    if starts[d + e][j + 1 + e] >= start:
-                        break
-                    starts[d + e][j + 1 + e] = start
-        start = starts[skips][size]
-        if start > before and (best is None or at[i] - at[start] < at[best[1]] - at[best[0]]):
-            best = (start, i)
+        where.setdefault(w, []).append(i)
+    best = None
+    for n in sorted({round(k * (len(pairs) - 1) / 8) for k in range(9)}):
+        first = last = pairs[n][0]
+        for i, _ in reversed(pairs[:n]):
+            own = where[text[i]]
+            first = own[bisect_left(own, first) - 1]
+        for i, _ in pairs[n + 1 :]:
+            own = where[text[i]]
+            last = own[bisect_left(own, last + 1)]
+        if best is None or last - first < best[1] - best[0]:
+            best = (first, last)
     return best
 
 
+def best_match(text: Sequence[int], template: Sequence[int], wanted: int) -> tuple[int, int, int] | None:
+    """(words matched, first, last place in the text) of the fullest alignment, if it has ``wanted`` words or more.
+
+    Of alignments as full the shortest counts, and of these the first.
+    """
+    known, size = set(template), len(template)
+    places = [i for i, w in enumerate(text) if w in known]  # no other word can match
+    own = [text[i] for i in places]
+    wanted = max(wanted, 1)
+    if _most(own, template) < wanted:
+        return None
+    stretches = [(0, len(own))] + [(at, at + 3 * size) for at in range(-2 * size, len(own), size) if len(own) > 3 * size]
+    weight, best = Counter(template), None
+    for first, last in stretches:
+        first, part = max(first, 0), own[max(first, 0) : last]
+        held = Counter(part)
+        if sum(min(n, held[w]) for w, n in weight.items()) < wanted or (len(part) < len(own) and _most(part, template) < wanted):
+            continue
+        pairs = align(part, template)
+        if len(pairs) >= wanted:
+            a, b = (places[first + i] for i in _closer(pairs, part))
+            best = min([(-len(pairs), b - a, a), *([best] if best else [])])
+    return best and (-best[0], best[2], best[2] + best[1])
+
+
 class Templates:
     """Templates as word hashes, with an exact way to dismiss: a text that reaches a template's coverage lacks few of its
     words, so it holds one at least of any set of words that weighs more than may be missing.  The hooks are such a set,
