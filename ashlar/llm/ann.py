@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-1. A bounded sample (``SAMPLE`` rows of least hash; the bound is a parameter) is fetched to fit the router.
+1. A bounded sample (``SAMPLE`` rows of least hash; the bound is a parameter) meets in one task, which fits the router; the driver gets its weights.
 2. Its neighbour graph is cut into balanced parts: labels move to where most of a vector's neighbours are,
    within a part's capacity.
 3. A small softmax classifier learns the share of each part among a vector's neighbours.
@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from . import _common as C
 
 SAMPLE = 8192
-#: Parts at least and at most (a part needs 256 rows of the sample), and the rows for each part between.
-PARTS, MOST_PARTS, PART_ROWS = 16, 32, 65_536
+#: Parts at least and at most, and the rows for each part between; a part needs so many rows of the sample.
+PARTS, MOST_PARTS, PART_ROWS, PART_SAMPLE = 32, 64, 65_536, 64
 NEIGHBOURS = 10
 RECALL = 0.95
 CHUNK_ROWS = 16384
@@ -60,13 +60,14 @@ def partition_graph(graph: np.ndarray, parts: int, turns: int = 40, slack: float
     source, target = np.repeat(np.arange(n), graph.shape[1]), graph.reshape(-1)
     source, target = np.concatenate([source, target]), np.concatenate([target, source])
     order_by = np.argsort(source, kind="stable")
-    lists = np.split(target[order_by], np.cumsum(np.bincount(source, minlength=n))[:-1])
+    ends, linked = np.append(0, np.cumsum(np.bincount(source, minlength=n))), target[order_by]
     seen, order = np.zeros(n, dtype=bool), []
     for root in range(n):
         if not seen[root]:
             seen[root], queue = True, [root]
             for v in queue:
-                fresh = np.unique(lists[v][~seen[lists[v]]])
+                own = linked[ends[v] : ends[v + 1]]
+                fresh = np.unique(own[~seen[own]])
                 seen[fresh] = True
                 queue.extend(fresh.tolist())
             order += queue
@@ -108,6 +109,12 @@ class Router:
                 self.bias -= step * wrong.mean(axis=0)
         self.weight *= scale
 
+    @classmethod
+    def of(cls, weight: np.ndarray, bias: np.ndarray) -> Router:
+        router = cls.__new__(cls)
+        router.weight, router.bias = weight, bias
+        return router
+
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -121,7 +128,7 @@ class Router:
 def fit(x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> tuple[Router, int]:
     """A router for the sample's vectors and the number of parts to probe for the recall wanted."""
     x = _unit(x)
-    parts = max(1, min(parts, len(x) // 256))
+    parts = max(1, min(parts, len(x) // PART_SAMPLE))
     if parts == 1:
         return Router(x, np.ones((len(x), 1)), epochs=0), 1
     test = np.arange(0, len(x), 8)
@@ -199,22 +206,31 @@ def _sampled(vectors: DataFrame, sample: int, size: int) -> DataFrame:
 
 def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row of ``queries`` among all rows of ``df``
-    of another id, by cosine, ties to the smaller id; a query gets fewer only if there are no more.
+    of another id, by cosine, ties to the smaller id; a query gets fewer only if there are no more.  With them n_parts and n_probed, the parts
+    there are and those that each query is looked for in: how much of the index it takes depends on the vectors (where they lie in clusters a few parts, among random ones most).
 
     Vectors that are null, zero, hold null or non-finite components or have another length than most take no part, nor do rows without id. An id that repeats
     counts once, with its best score.  Other columns do not matter.  Without vectors or queries the result is empty.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, n_parts int, n_probed int"
     spark = df.sparkSession
     vectors = C.written(clean_vectors(df, vec_id, embedding), "vectors")
     size = vectors.count()
-    taken = _sampled(vectors, sample, size).toArrow()
-    if not taken.num_rows:
+
+    def fitted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in stream if b.num_rows]
+        if batches:
+            dim = len(batches[0].column("v")[0])
+            x = np.concatenate([_matrix(b.column("v"), dim) for b in batches])
+            router, probes = fit(x, k, parts or min(MOST_PARTS, max(PARTS, size // PART_ROWS)), recall)
+            yield pa.RecordBatch.from_pylist([{"dim": dim, "parts": len(router.bias), "probes": probes, "weight": router.weight.tobytes(), "bias": router.bias.tobytes()}], pa.schema(found))
+
+    found = [("dim", pa.int32()), ("parts", pa.int32()), ("probes", pa.int32()), ("weight", pa.binary()), ("bias", pa.binary())]
+    model = _sampled(vectors, sample, size).mapInArrow(fitted, "dim int, parts int, probes int, weight binary, bias binary").collect()
+    if not model:
         return spark.createDataFrame([], schema)
-    dim = len(taken["v"][0])
-    parts = max(1, min(parts or min(MOST_PARTS, max(PARTS, size // PART_ROWS)), taken.num_rows // 256))
-    router, probes = fit(_matrix(taken["v"], dim).astype(np.float64), k, parts, recall)
-    del taken
+    dim, parts, probes = model[0]["dim"], model[0]["parts"], model[0]["probes"]
+    router = Router.of(np.frombuffer(model[0]["weight"]).reshape(dim, parts), np.frombuffer(model[0]["bias"]))
 
     def route(count: int):
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +254,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
         everywhere = short.withColumn("parts", F.sequence(F.lit(0), F.lit(parts - 1)))
         best = best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_matched(everywhere, index, dim, k))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(parts).alias("n_parts"), F.lit(probes).alias("n_probed"))
 
 
 def _matched(asked: DataFrame, index: DataFrame, dim: int, k: int) -> DataFrame:

@@ -106,3 +106,22 @@ def test_recall_with_the_router_at_work(spark):
         hits += sum(near[v] >= edge - 1e-12 for v in r.near)
     print("recall", hits / (5 * 400))
     assert len(got) == 400 and hits >= 0.9 * 5 * 400
+
+
+def test_recall_where_not_all_parts_are_probed(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    got = op7_nearest_neighbours(spark, sf_dir).collect()
+    assert all(r.n_probed < r.n_parts for r in got)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    want = exact([tuple(r) for r in rows], [tuple(r) for r in rows if r.vec_id % 50 == 0], 5)
+    found = sum((r.vec_id in dict(want[r.query_id])) for r in got)
+    print("recall", found / sum(map(len, want.values())), got[0].n_probed, "of", got[0].n_parts)
+    assert found >= 0.9 * sum(map(len, want.values()))
+
+
+def test_clusters_take_few_parts(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 32)) * 0.2 + rng.normal(size=(64, 32))[np.arange(6000) % 64]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    r = ann.search(df, df.where("vec_id % 50 = 0")).first()
+    assert r.n_parts == 32 and r.n_probed <= 8
