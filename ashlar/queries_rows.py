@@ -41,9 +41,9 @@ def fp_codec_roundtrip(spark, sf_dir):
     return nations(spark, sf_dir).select("n_name", V.to_hex(back).alias("hex"))
 
 
-@query(f"SELECT p_partkey, sha256({HEX.format('p_name')}) AS digest FROM part WHERE p_partkey <= 200")
+@query(f"SELECT p_partkey, sha256({HEX.format('p_name')}) AS digest FROM part")
 def fp_bulk(spark, sf_dir):
-    rows = t(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", "p_name")
+    rows = t(spark, sf_dir, "part").select("p_partkey", "p_name")
     return project.seeded(rows, "p_name").select("p_partkey", F.sha2(V.to_hex(F.col("fp")), 256).alias("digest"))
 
 
@@ -225,11 +225,11 @@ def similar_embeddings(spark, sf_dir):
     return hamming.similarity_join(codes, 0.94, cell_rows=256)[0].select("a", "b", _r("similarity"))
 
 
-SUP = f"v AS (SELECT s_suppkey::bigint AS idx, s_nationkey, s_name, {FP.format('s_name')} AS a FROM supplier WHERE s_suppkey <= 100)"
+SUP = f"v AS (SELECT s_suppkey::bigint AS idx, s_nationkey, s_name, {FP.format('s_name')} AS a FROM supplier)"
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = t(spark, sf_dir, "supplier").where("s_suppkey <= 100").select(F.col("s_suppkey").cast("long").alias("idx"), "s_nationkey", "s_name")
+    s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("idx"), "s_nationkey", "s_name")
     return project.seeded(s, "s_name")
 
 
@@ -250,7 +250,7 @@ def resonate_by_name(spark, sf_dir):
     return search.resonate_item(s, "s_name", name, 0.5, 4).select("idx", _r("similarity"))
 
 
-@query(f"WITH {SUP} SELECT idx, 1.0::double AS similarity FROM v WHERE idx = 3")
+@query(f"WITH {SUP} SELECT idx, round(1 - distance / 10000.0::double, 6) AS similarity FROM ({_NEAR}) WHERE distance <= 1000 ORDER BY idx LIMIT 1")
 def first_alike(spark, sf_dir):
     s = suppliers(spark, sf_dir)
     return search.first_alike(s, s.where("idx = 3").first()["fp"]).select("idx", "similarity")
@@ -262,16 +262,17 @@ def knn_prefiltered(spark, sf_dir):
     return search.knn(s.where("s_nationkey < 12"), s.where("idx = 3").first()["fp"], 3).select("idx", "distance")
 
 
-@query(f"WITH {SUP} SELECT idx, distance FROM ({_NEAR}) ORDER BY distance, idx LIMIT 1")
+@query(f"""WITH {SUP}, noisy AS (SELECT list_transform(a, lambda x, i: CASE WHEN i % 3 = 2 THEN xor(x, 18446462598732840960::ubigint) ELSE x END) AS q FROM v WHERE idx = 3)
+SELECT idx, {HAMMING.format('a', 'q')}::bigint AS distance FROM v, noisy ORDER BY distance, idx LIMIT 1""")
 def associative_lookup(spark, sf_dir):
-    """A vector of which a third is disturbed still finds its own."""
+    """A vector of which 16 bits of every third word are turned over still finds its own."""
     s = suppliers(spark, sf_dir)
     own = s.where("idx = 3").first()["fp"]
-    noisy = [w ^ 0 if i % 3 else w for i, w in enumerate(own)]
+    noisy = [w ^ 0xFFFF if i % 3 == 1 else w for i, w in enumerate(own)]
     return search.clean_up(s, noisy, 30).select("idx", "distance")
 
 
-@query(f"WITH {SUP} SELECT idx, (idx % 2 = 0) AS success, distance FROM ({_NEAR}) WHERE idx % 2 = 1 AND FALSE UNION ALL SELECT 4, true, 0")
+@query(f"WITH {SUP}, d AS (SELECT idx, {HAMMING.format('a', 'q')}::bigint AS distance FROM v, (SELECT a AS q FROM v WHERE idx = 4)) SELECT idx, idx % 2 = 0 AS success, distance FROM (SELECT * FROM d ORDER BY distance, idx LIMIT 5) WHERE idx % 2 = 0 AND distance < 100")
 def trace_replay(spark, sf_dir):
     s = suppliers(spark, sf_dir).withColumn("success", F.col("idx") % 2 == 0)
     return search.replayed(s, s.where("idx = 4").first()["fp"], 5, 100).select("idx", "success", "distance")
@@ -550,9 +551,17 @@ def many_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS = "bk AS (SELECT DISTINCT l_orderkey AS seq, 'i' || l_linenumber % 7 AS item FROM lineitem), ip AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM bk x JOIN bk y ON x.seq = y.seq AND x.item < y.item GROUP BY ALL), ic AS (SELECT item, count(*) AS m FROM bk GROUP BY 1)"
 
 
-@query(f"WITH {ITEMS} SELECT a, b, n, round(n / m::double, 6) AS confidence FROM ip JOIN ic ON a = item WHERE n / m::double >= 0.9 AND n >= 3")
+def keyed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """many_items with two more in every basket, of which one implies the other."""
+    k = F.col("seq")
+    return many_items(spark, sf_dir).withColumn("items", F.concat("items", F.array(F.concat(F.lit("a"), k % 6), F.concat(F.lit("b"), k % 3))))
+
+
+@query("""WITH bk AS (SELECT DISTINCT l_orderkey AS seq, unnest(['i' || l_linenumber % 7, 'a' || l_orderkey % 6, 'b' || l_orderkey % 3]) AS item FROM lineitem), ic AS (SELECT item, count(*) AS m FROM bk GROUP BY 1),
+ip AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM bk x JOIN bk y ON x.seq = y.seq AND x.item < y.item GROUP BY ALL)
+SELECT a, b, n, round(n / m::double, 6) AS confidence FROM ip JOIN ic ON a = item WHERE n / m::double >= 0.9 AND n >= 3""")
 def implication_rules(spark, sf_dir):
-    return mining.implications(many_items(spark, sf_dir)).select("a", "b", "n", _r("confidence"))
+    return mining.implications(keyed_items(spark, sf_dir)).select("a", "b", "n", _r("confidence"))
 
 
 @query(f"WITH {ITEMS} SELECT a, b, n FROM ip ORDER BY n DESC, a, b LIMIT 5")
@@ -596,11 +605,11 @@ def fanout_confirmed(spark, sf_dir):
     return mining.fanout_confirmed(many_items(spark, sf_dir), asked)
 
 
-@query("""WITH r AS (SELECT o_orderkey % 3 AS level, 'e' || o_orderkey % 2 AS e1, 'f' || o_orderkey % 7 AS e2 FROM orders WHERE o_orderkey < 40), z AS (SELECT level, count(*) AS support FROM r GROUP BY 1), s AS (SELECT level, unnest([e1, e2]) AS e FROM r),
+@query("""WITH r AS (SELECT o_orderkey % 3 AS level, 'e' || o_orderkey % 2 AS e1, 'f' || o_orderkey % 7 AS e2 FROM orders), z AS (SELECT level, count(*) AS support FROM r GROUP BY 1), s AS (SELECT level, unnest([e1, e2]) AS e FROM r),
 q AS (SELECT s.level, e, count(*) AS n FROM s JOIN z ON s.level = z.level GROUP BY s.level, e, support HAVING 2 * count(*) >= support), l AS (SELECT level, string_agg(e, ',' ORDER BY n DESC, e) AS common FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY n DESC, e) AS k FROM q) WHERE k <= 5 GROUP BY level)
 SELECT z.level::bigint AS level, support >= 5 AND common IS NOT NULL AS elevated, (z.level + (support >= 5 AND common IS NOT NULL)::int)::int AS to_level, support, CASE WHEN support >= 5 THEN coalesce(common, '') ELSE '' END AS common FROM z LEFT JOIN l ON z.level = l.level""")
 def level_jump(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").where("o_orderkey < 40").select((F.col("o_orderkey") % 3).cast("long").alias("level"), F.array(F.concat(F.lit("e"), F.col("o_orderkey") % 2), F.concat(F.lit("f"), F.col("o_orderkey") % 7)).alias("examples"))
+    o = t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).cast("long").alias("level"), F.array(F.concat(F.lit("e"), F.col("o_orderkey") % 2), F.concat(F.lit("f"), F.col("o_orderkey") % 7)).alias("examples"))
     return mining.level_jump(o).withColumn("common", F.array_join("common", ","))
 
 
@@ -625,9 +634,11 @@ def learned_edges(spark, sf_dir):
     return causal.learned(trace.transitions(log(spark, sf_dir)), 0.1).select("src", "dst", _r("confidence"), "amplification", "latency")
 
 
-@query("SELECT event_type AS src, 'user' AS dst, count(*) AS observations, round(least(1.0, arg_min(value, event_id) / 1000 + 0.1 * (count(*) - 1)), 6) AS confidence FROM events WHERE event_id < 12 GROUP BY 1")
+@query("SELECT user_id::varchar AS src, strftime(ts, '%Y-%m-%d') AS dst, count(*) AS observations, round(least(1.0, arg_min(value, event_id) / 1000 + 0.1 * (count(*) - 1)), 6) AS confidence FROM events GROUP BY ALL")
 def reinforced_edges(spark, sf_dir):
-    e = t(spark, sf_dir, "events").where("event_id < 12").select(F.col("event_id").alias("seq"), F.col("event_type").alias("src"), F.lit("user").alias("dst"), (F.col("value") / 1000).alias("confidence"))
+    """Users and the days on which they are seen: every later event of a day strengthens the edge."""
+    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    e = t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("src"), day.alias("dst"), (F.col("value") / 1000).alias("confidence"))
     return causal.reinforced(e).select("src", "dst", "observations", _r("confidence"))
 
 
