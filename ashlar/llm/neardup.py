@@ -280,9 +280,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         open_ = C.written(_open_members(members, labels, links), "open")
         if open_.isEmpty():
             break
-        # 32 bits a band tell which band two nodes share first; the pair is looked at there only
+        # the bands tell which one two nodes share first; the pair is looked at there only
         nodes = C.written(open_.select("node").distinct(), "nodes")
-        codes = firsts.join(nodes, "node", "left_semi").select("node", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("codes"))
+        codes = firsts.join(nodes, "node", "left_semi").select("node", F.col("bands").alias("codes"))
         known = C.written(codes.join(_profiles(texts.join(nodes, "node", "left_semi"), words), "node"), "known")
         more = C.written(pairs_of(open_.join(known, "node"), percent), "pairs")
         fresh = C.written(_verified(more.select("a", "b"), texts, words, percent), "verified")
