@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Hops that reach() takes in one plan, and rows of a graph that one task may settle.
+ONE_PLAN, LAST_ROWS = 10, 50_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which driver and executors share; in a local session one is made where none is set."""
     context = spark.sparkContext
@@ -47,11 +51,19 @@ def degrees(nodes: DataFrame, edges: DataFrame, distinct: bool = False) -> DataF
 def reach(starts: DataFrame, edges: DataFrame, hops: int | None = None, backwards: bool = False) -> DataFrame:
     """(start, id, hops): nodes reachable from each start (``starts``: id) and the fewest hops, the start itself at 0.
 
-    Without ``hops`` until nothing new is found.
+    Without ``hops`` until nothing new is found.  Up to ``ONE_PLAN`` hops are one plan and one job: every node also leads to itself at no cost, so what
+    was found goes along, and each hop adds one join and one aggregation by start and node (paths do not multiply).
     """
     links = edges.select(F.col("dst").alias("at"), F.col("src").alias("to")) if backwards else edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    links = links.distinct()
+    links = links.where("at IS NOT NULL AND to IS NOT NULL").distinct()
     seen = starts.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("hops")).distinct()
+    if hops is not None and hops <= ONE_PLAN:
+        stay = links.select("at").union(links.select("to")).union(starts.select("id")).distinct().select("at", F.col("at").alias("to"), F.lit(0).alias("cost"))
+        moves = links.where("at <> to").withColumn("cost", F.lit(1)).union(stay)
+        for _ in range(hops):
+            step = seen.withColumnRenamed("id", "at").join(moves, "at")
+            seen = step.groupBy("start", F.col("to").alias("id")).agg(F.min(F.col("hops") + F.col("cost")).alias("hops"))
+        return seen
     frontier, turn = seen, 0
     while hops is None or turn < hops:
         turn += 1
@@ -103,11 +115,56 @@ def path_to_terminal(starts: DataFrame, edges: DataFrame, most: int = 100) -> Da
     return found
 
 
-def levels(nodes: DataFrame, edges: DataFrame, on_cycle: str = "least") -> DataFrame:
-    """(id, level): nodes whose predecessors are all at lower levels.  In a cycle the least id goes next (``least``), or the rest gets no level (``stop``)."""
-    left, links, done, level = cut(nodes.select("id").distinct()), edges.select("src", "dst").where("src <> dst").distinct(), None, 0
-    while not left.isEmpty():
+def _last_levels(level: int, stop: bool):
+    """Levels of a small rest of a graph, rows (src, dst) with src null for a node, from ``level`` on, in one task."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(stream) if (stream := list(stream)) else None
+        if rows is None or not rows.num_rows:
+            return
+        waits, leads, found = {}, {}, {}
+        for src, dst in zip(rows["src"].to_pylist(), rows["dst"].to_pylist(), strict=True):
+            if src is None:
+                waits.setdefault(dst, 0)
+        for src, dst in zip(rows["src"].to_pylist(), rows["dst"].to_pylist(), strict=True):
+            if src is not None and dst in waits:
+                waits[dst] += 1
+                leads.setdefault(src, []).append(dst)
+        order, at, now = sorted(waits), 0, level
+        free = [x for x in order if not waits[x]]
+        while len(found) < len(waits):
+            if not free:
+                if stop:
+                    break
+                while order[at] in found:
+                    at += 1
+                free = [order[at]]
+            found |= dict.fromkeys(free, now)
+            ahead = []
+            for x in free:
+                for y in leads.get(x, ()):
+                    waits[y] -= 1
+                    if not waits[y] and y not in found:
+                        ahead.append(y)
+            free, now = ahead, now + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), rows["dst"].type), pa.array(list(found.values()), pa.int32())], names=["id", "level"])
+
+    return run
+
+
+def levels(nodes: DataFrame, edges: DataFrame, on_cycle: str = "least", last_rows: int = LAST_ROWS) -> DataFrame:
+    """(id, level): nodes whose predecessors are all at lower levels.  In a cycle the least id goes next (``least``), or the rest gets no level (``stop``).
+
+    Level by level; once nodes and edges left are ``last_rows`` or fewer (counted), one task settles them."""
+    left, links, done, level = cut(nodes.select("id").where("id IS NOT NULL").distinct()), edges.select("src", "dst").where("src <> dst").distinct(), None, 0
+    kind = left.schema["id"].dataType
+    while n := left.count():
         inner = links.join(left.select(F.col("id").alias("src")), "src", "left_semi")
+        if n <= last_rows and n + (inner := cut(inner)).count() <= last_rows:
+            rest = left.select(F.lit(None).cast(kind).alias("src"), F.col("id").alias("dst")).union(inner.select(F.col("src").cast(kind), F.col("dst").cast(kind)))
+            last = rest.coalesce(1).mapInArrow(_last_levels(level, on_cycle == "stop"), T.StructType([T.StructField("id", kind), T.StructField("level", T.IntegerType())]))
+            done = last if done is None else done.union(last)
+            break
         free = left.join(inner.select(F.col("dst").alias("id")), "id", "left_anti")
         if free.isEmpty():
             if on_cycle == "stop":

@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ashlar import queries
-from ashlar.operators import causal, graph, mining, smells
+from ashlar.operators import causal, graph, learning, mining, smells
 
 
 def frames(spark, edges, nodes=()):
@@ -91,7 +92,7 @@ def test_rule_mining(spark):
 
 def test_fold_keeps_the_order(spark):
     events = [("p", 1, "observe", 0.6), ("p", 2, "bad", 0.0), ("p", 3, "decay", 0.0), ("p", 4, "good", 0.0)]
-    r = mining.fold(spark.createDataFrame(events[::-1], "name string, seq long, kind string, amount double")).first()
+    r = learning.fold(spark.createDataFrame(events[::-1], "name string, seq long, kind string, amount double")).first()
     assert abs(r.confidence - ((1.0 - 0.15) * 0.855 + 0.2)) < 1e-9 and r.observations == 1
 
 
@@ -152,3 +153,27 @@ def test_slowest_nodes_gives_every_node(spark, monkeypatch):
     rows = spark.createDataFrame([(f"n{i:02}", float(i), True) for i in range(13)], "node_id string, duration_ms double, success boolean")
     monkeypatch.setattr(queries, "log", lambda spark, sf_dir: rows)
     assert [r.node_id for r in queries.QUERIES["slowest_nodes"](spark, "").collect()] == [f"n{i:02}" for i in reversed(range(13))]
+
+
+@pytest.mark.parametrize("on_cycle", ["least", "stop"])
+def test_levels_in_one_task_equal_levels_turn_by_turn(spark, on_cycle):
+    rng = random.Random(8)
+    names = [f"n{i:02d}" for i in range(25)]
+    links = [(a, b) for _ in range(45) for a, b in [rng.sample(names, 2)] if a < b or rng.random() < 0.08] + [("n00", "n00")]
+    nodes, edges = spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(links, "src string, dst string")
+    one = {r.id: r.level for r in graph.levels(nodes, edges, on_cycle).collect()}
+    assert one == {r.id: r.level for r in graph.levels(nodes, edges, on_cycle, last_rows=0).collect()} == {r.id: r.level for r in graph.levels(nodes, edges, on_cycle, last_rows=20).collect()}
+    assert len(one) == 25 and (on_cycle == "stop" or None not in one.values())
+
+
+def test_reach_in_one_plan_equals_the_loop(spark, monkeypatch):
+    rng = random.Random(9)
+    links = spark.createDataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(70)] + [(None, 3)], "src long, dst long")
+    starts = spark.createDataFrame([(0,), (7,), (99,), (7,)], "id long")
+    for hops in (0, 1, 3, 6):
+        for backwards in (False, True):
+            monkeypatch.setattr(graph, "ONE_PLAN", 10)
+            one = sorted(map(tuple, graph.reach(starts, links, hops, backwards).collect()))
+            monkeypatch.setattr(graph, "ONE_PLAN", -1)
+            assert one == sorted(map(tuple, graph.reach(starts, links, hops, backwards).collect()))
+            assert (99, 99, 0) in one
