@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +25,19 @@ def frequent_pairs(baskets: DataFrame, k: int = 5) -> DataFrame:
     return pair_counts(baskets).orderBy(F.desc("n"), "a", "b").limit(k)
 
 
+def frequent_itemsets(baskets: DataFrame, least: int, sizes: tuple[int, int] = (2, 4), shards: int | None = None) -> DataFrame:
+    """(items, n): sets of items, sorted, of a size within ``sizes`` that ``least`` baskets or more hold.
+
+    Parallel FP-growth: a basket goes, cut short, to the shard of each of its frequent items, and every shard mines its own tree of what all its baskets share.
+    """
+    n = baskets.count()
+    if not n:
+        return baskets.select("items", F.lit(0).cast("long").alias("n"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (least - 0.5) / n)), **({"numPartitions": shards} if shards else {})).fit(baskets.select(F.array_distinct("items").alias("items")))
+    found = model.freqItemsets.where(F.size("items").between(*sizes))
+    return found.select(F.sort_array("items").alias("items"), F.col("freq").alias("n"))
+
+
 def implications(baskets: DataFrame, least_confidence: float = 0.9, least_count: int = 3, least_baskets: int = 5) -> DataFrame:
     """(a, b, n, confidence): a implies b in the sorted direction."""
     pairs = pair_counts(baskets).join(item_counts(baskets).toDF("a", "n_a"), "a")
@@ -182,6 +196,31 @@ def suggested_fixes(baskets: DataFrame, patterns: DataFrame) -> DataFrame:
     return held.select("seq", "name", score.alias("score")).where("score is not null").orderBy("seq", F.desc("score"), "name")
 
 
+#: Sketches of table_stats: bits of the distinct count's registers (error about 1.04 / sqrt(2**bits)), parts of a quantile's accuracy, items that are tracked.
+DISTINCT_BITS, QUANTILE_PARTS, TRACKED = 14, 10_000, 1_000
+
+
+def table_stats(df: DataFrame, k: int = 3) -> DataFrame:
+    """A row for each column (column_name, n, nulls, low, high, distinct_about, quartiles_about, top_about, encoding) in one pass over the table.
+
+    Counts and bounds are exact, all else comes from sketches that tasks make and that are merged: HyperLogLog for distinct values, quantile summaries for numbers
+    (ranks off by a 10,000th of the rows at most), tracked items for the ``k`` most frequent values.  Values are shown as text.
+    """
+    numbers = {c for c, kind in df.dtypes if kind.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")}
+    parts = []
+    for i, c in enumerate(df.columns):
+        v = F.col("`" + c.replace("`", "``") + "`")
+        quartiles = F.percentile_approx(v.cast("double"), [0.25, 0.5, 0.75], QUANTILE_PARTS) if c in numbers else F.lit(None).cast("array<double>")
+        top = F.transform(F.call_function("approx_top_k", v.cast("string"), F.lit(k), F.lit(TRACKED)), lambda x: F.struct(x["item"].alias("value"), x["count"].alias("n")))
+        parts += [F.count(v).alias(f"n{i}"), F.count_if(v.isNull()).alias(f"z{i}"), F.min(v).cast("string").alias(f"l{i}"), F.max(v).cast("string").alias(f"h{i}")]
+        parts += [F.call_function("hll_sketch_estimate", F.call_function("hll_sketch_agg", v.cast("string"), F.lit(DISTINCT_BITS))).alias(f"d{i}"), quartiles.alias(f"q{i}"), top.alias(f"t{i}")]
+    one = df.agg(*parts)
+    rows = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{p}{i}").alias(x) for p, x in zip("nzlhdqt", ("n", "nulls", "low", "high", "distinct_about", "quartiles_about", "top_about"), strict=True)]) for i, c in enumerate(df.columns)]
+    share = F.col("distinct_about") / F.col("n")
+    encoding = F.when(F.col("n") == 0, "PLAIN").when(F.col("low") == F.col("high"), "ONE_VALUE").when(share < 0.5, "DICTIONARY").otherwise("PLAIN")
+    return one.select(F.inline(F.array(*rows))).withColumn("encoding", encoding)
+
+
 def column_stats(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
     """One row of statistics of a column over all rows, and the encoding they advise.
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .functions import bitvec as V
 from .functions import project, rules, truth
 from .operators import bundle, causal, graph, hamming, mining, search, trace
-from .plans import execute
+from .plans import execute, sqlfunctions
 from .queries import BASKETS, FP, HAMMING, LOG, LOG_NODES, STEPS, baskets, log, log_nodes, places, query, t
-from .sources import catalog
+from .sources import catalog, tables
 from .streaming import packets
 
 
@@ -741,3 +741,68 @@ def executed_packets(spark, sf_dir):
 def node_slots(spark, sf_dir):
     rows = places(spark, sf_dir)[0].where("id like 's%'").withColumn("node_type", F.when(F.substring("id", 2, 9).cast("long") % 2 == 0, "PERSIST").otherwise("OTHER"))
     return packets.by_node_type(rows).select("id", "slot")
+
+
+@query(f"""WITH {ITEMS}, p2 AS (SELECT [a, b] AS items, n FROM ip WHERE n >= 5),
+p3 AS (SELECT [x.item, y.item, z.item] AS items, count(*) AS n FROM bk x JOIN bk y ON x.seq = y.seq AND x.item < y.item JOIN bk z ON x.seq = z.seq AND y.item < z.item GROUP BY 1 HAVING count(*) >= 5),
+p4 AS (SELECT [x.item, y.item, z.item, w.item] AS items, count(*) AS n FROM bk x JOIN bk y ON x.seq = y.seq AND x.item < y.item JOIN bk z ON x.seq = z.seq AND y.item < z.item JOIN bk w ON x.seq = w.seq AND z.item < w.item GROUP BY 1 HAVING count(*) >= 5)
+SELECT array_to_string(items, ',') AS items, n FROM (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)""")
+def frequent_itemsets(spark, sf_dir):
+    """Sets of two to four kinds of line that five orders or more hold."""
+    return mining.frequent_itemsets(many_items(spark, sf_dir), 5).select(F.array_join("items", ",").alias("items"), "n")
+
+
+_STATS = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS n, count(*) - count({c}) AS nulls, min({c})::varchar AS low, max({c})::varchar AS high, count(DISTINCT {c}) AS d FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+)
+
+
+@query(f"SELECT column_name, n, nulls, low, high, true AS distinct_near, CASE WHEN low = high THEN 'ONE_VALUE' WHEN d < 0.5 * n THEN 'DICTIONARY' ELSE 'PLAIN' END AS encoding FROM ({_STATS})")
+def table_stats(spark, sf_dir):
+    """All columns of lineitem that are keys or flags, in one scan; the sketch of distinct values is held against an exact count."""
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in rows.columns]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in rows.columns])))
+    near = F.abs(F.col("distinct_about") - F.col("exact")) <= 0.05 * F.col("exact") + 1
+    return mining.table_stats(rows).join(exact, "column_name").select("column_name", "n", "nulls", "low", "high", near.alias("distinct_near"), "encoding")
+
+
+@query("SELECT o_orderkey, o_custkey, 2::bigint AS files_opened FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders UNION ALL SELECT max(o_orderkey) FROM orders)")
+def clustered_lookup(spark, sf_dir):
+    """The first and the last order by key out of eight clustered files, and how many of these were opened."""
+    orders, path = t(spark, sf_dir, "orders"), f"{graph.shared_folder(spark)}/clustered-{uuid.uuid4().hex}"
+    tables.write_clustered(orders, path, "o_orderkey", 8)
+    ends = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    rows, files = tables.looked_up(spark, path, "o_orderkey", list(ends))
+    return rows.select("o_orderkey", "o_custkey", F.lit(len(files)).cast("long").alias("files_opened"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'changed' ELSE c_name END AS c_name FROM customer UNION ALL SELECT c_custkey + 1000000, 'new' FROM customer WHERE c_custkey % 97 = 0""")
+def bucketed_upsert(spark, sf_dir):
+    """Customers after an upsert that rewrites only the buckets it touches; tests hold that other files stay."""
+    customers = t(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    table = tables.BucketedTable.create(customers, f"{graph.shared_folder(spark)}/bucketed-{uuid.uuid4().hex}", ["c_custkey"], 32)
+    some = customers.where("c_custkey % 97 = 0")
+    table.upsert(some.withColumn("c_name", F.lit("changed")).union(some.select(F.col("c_custkey") + 1000000, F.lit("new"))))
+    return table.read()
+
+
+@query(f"WITH v AS (SELECT n_name, {FP.format('n_name')} AS a, {FP.format('r_name')} AS b FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT n_name, {HAMMING.format('a', 'b')}::int AS distance, round(1 - {HAMMING.format('a', 'b')} / 10000.0::double, 6) AS similarity FROM v")
+def vectors_in_sql(spark, sf_dir):
+    """Vector functions called from the text of a SQL node."""
+    sqlfunctions.register(spark)
+    for name in ("nation", "region"):
+        t(spark, sf_dir, name).createOrReplaceTempView(f"vectors_{name}")
+    text = "SELECT n_name, hamming(a, b) AS distance, round(fp_similarity(a, b), 6) AS similarity FROM (SELECT n_name, fp_seed(n_name) AS a, fp_seed(r_name) AS b FROM vectors_nation JOIN vectors_region ON n_regionkey = r_regionkey)"
+    return catalog.sql_node(spark, text, [], {})
+
+
+@query("""WITH f AS (SELECT p_partkey, 'def f' || p_partkey || '(a, b):' AS head FROM part)
+SELECT 'part' || p_partkey AS path, 'FUNCTION' AS node_type, 'f' || p_partkey AS name, 2 AS param_count, 1 AS nesting_depth, CASE WHEN p_partkey > 1 THEN 'f' || (p_partkey - 1) ELSE 'print' END AS calls FROM f""")
+def code_graph_in_sql(spark, sf_dir):
+    """A Python source file for each part, parsed by a table function that SQL calls: its function, parameters, nesting and calls."""
+    sqlfunctions.register(spark)
+    k = F.col("p_partkey").cast("string")
+    called = F.when(F.col("p_partkey") > 1, F.concat(F.lit("f"), (F.col("p_partkey") - 1).cast("string"))).otherwise("print")
+    text = F.concat(F.lit("def f"), k, F.lit("(a, b):\n    if a:\n        return "), called, F.lit("(b)\n"))
+    t(spark, sf_dir, "part").select(F.concat(F.lit("part"), k).alias("path"), text.alias("text")).createOrReplaceTempView("sql_files")
+    return spark.sql("SELECT path, node_type, name, param_count, nesting_depth, array_join(calls, ',') AS calls FROM code_graph(TABLE(sql_files) PARTITION BY path) WHERE node_type = 'FUNCTION'")
