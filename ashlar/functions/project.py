@@ -185,3 +185,25 @@ def decode_state(vector: pa.Array) -> pa.Array:
         s = like(bits[c:d], signal)
         rows.append({"tau": like(bits[a:b], time), "sigma": None if s is None else max(0.0, min(1.0, (s + 1) / 2))})
     return pa.array(rows, pa.struct([("tau", pa.float64()), ("sigma", pa.float64())]))
+
+
+def _tiled(text: str) -> np.ndarray:
+    return np.frombuffer((hashlib.sha256(text.encode()).digest() * 40)[:BYTES], dtype=np.uint8)
+
+
+@F.arrow_udf(BinaryType())
+def capture_state(state: pa.Array, profile: pa.Array, trace: pa.Array) -> pa.Array:
+    """1250 bytes of a moment: the majority of its state vector (encode_state), its activation profile and its trace of steps.
+
+    The profile (a map of layer to activation) counts as text ``layer:0.00`` joined by ``|`` in the map's order, the trace as its first 20 steps joined by arrows;
+    each stands for itself by its hash, tiled.  A null or empty profile is an empty text, a null or empty trace no bit at all; a null state gives null.
+    """
+    out = []
+    for base, layers, steps in zip(state.to_pylist(), profile.to_pylist(), trace.to_pylist(), strict=True):
+        if base is None:
+            out.append(None)
+            continue
+        a, b = np.frombuffer(base, dtype=np.uint8), _tiled("|".join(f"{k}:{v:.2f}" for k, v in layers or []))
+        c = _tiled("\u2192".join(steps[:20])) if steps else np.zeros(BYTES, dtype=np.uint8)
+        out.append(((a & b) | (a & c) | (b & c)).tobytes())
+    return pa.array(out, pa.binary())

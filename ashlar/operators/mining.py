@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import bitvec as V
 from .graph import cut
+from .search import CHUNK_ROWS, QUERY_BLOCK, matrix
 
 
 def pair_counts(baskets: DataFrame) -> DataFrame:
@@ -147,6 +154,55 @@ def reinforce(baskets: DataFrame, patterns: DataFrame, gain: float = 0.1, overla
     return patterns.join(gained, "name", "left").select("name", new.alias("confidence"), F.coalesce("n", F.lit(0)).alias("observations"))
 
 
+def alike_patterns(observations: DataFrame, patterns: DataFrame, least: float = 0.7) -> DataFrame:
+    """(name, seq, similarity): observations (seq, fp) whose vector is more than ``least`` similar to that of a pattern (name, fp), exactly.
+
+    Patterns are dealt into blocks of QUERY_BLOCK; one block travels with the scan of the observations, more of them meet chunks of these in tasks of bounded size.
+    """
+    ids = cut(patterns.where("fp IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), "name", "fp"))
+    n, most = ids.count(), int(np.floor((1 - least) * V.BITS))
+    asked, seen = ids.select("id", "fp"), observations.where("fp IS NOT NULL").select("seq", "fp")
+    kind = observations.schema["seq"].dataType
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("seq", kind), T.StructField("distance", T.LongType())])
+
+    def near(p_ids: np.ndarray, p: np.ndarray, seqs: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+        found = [(i, row, d[row]) for i, q in zip(p_ids, p, strict=True) for d in [np.bitwise_count(x ^ q).sum(axis=1, dtype=np.int64)] for row in np.flatnonzero(d < most)]
+        rows = pa.array([f[1] for f in found], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), seqs.take(rows), pa.array([f[2] for f in found], pa.int64())], names=["id", "seq", "distance"])
+
+    if n <= QUERY_BLOCK:
+        own = asked.collect()
+        shipped = ids.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in own], dtype=np.int64), np.array([r["fp"] for r in own], dtype=np.int64).view(np.uint64).reshape(-1, V.WORDS)))
+
+        def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    yield near(*shipped.value, part.column("seq"), matrix(part.column("fp")))
+
+        found = seen.mapInArrow(scan, schema)
+    else:
+        blocks, chunks = -(-n // QUERY_BLOCK), max(1, -(-seen.count() // CHUNK_ROWS))
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(int(m) - 1)))
+        dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(int(m))).cast("int")
+        left = asked.select(dealt("id", blocks).alias("block"), each(chunks).alias("chunk"), "id", F.lit(None).cast(kind).alias("seq"), "fp")
+        right = seen.select(each(blocks).alias("block"), dealt("seq", chunks).alias("chunk"), F.lit(None).cast("long").alias("id"), "seq", "fp")
+
+        def compare(table: pa.Table) -> pa.Table:
+            a, b = table.filter(table["id"].is_valid()), table.filter(table["id"].is_null())
+            return pa.Table.from_batches([near(a["id"].to_numpy(), matrix(a["fp"]), b["seq"].combine_chunks(), matrix(b["fp"]))])
+
+        found = left.unionByName(right).groupBy("block", "chunk").applyInArrow(compare, schema)
+    return found.join(ids.select("id", "name"), "id").select("name", "seq", (1 - F.col("distance") / F.lit(float(V.BITS))).alias("similarity"))
+
+
+def reinforce_alike(observations: DataFrame, patterns: DataFrame, gain: float = 0.1, least: float = 0.7) -> DataFrame:
+    """(name, confidence, observations) of patterns (name, fp, confidence): every observation more than ``least`` similar adds gain x similarity, up to 1."""
+    gained = alike_patterns(observations, patterns, least).groupBy("name").agg(F.sum("similarity").alias("s"), F.count(F.lit(1)).alias("n"))
+    new = F.least(F.lit(1.0), F.col("confidence") + gain * F.coalesce("s", F.lit(0.0)))
+    return patterns.join(gained, "name", "left").select("name", new.alias("confidence"), F.coalesce("n", F.lit(0)).alias("observations"))
+
+
 def decayed(patterns: DataFrame, observed_enough: int = 3) -> DataFrame:
     """One epoch: confidences x 0.95, or x 0.855 under ``observed_enough`` observations; patterns that fall under 0.1 with fewer than 10 observations go."""
     new = F.col("confidence") * F.when(F.col("observations") < observed_enough, 0.95 * 0.9).otherwise(0.95)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import causal, graph, metrics, smells
+from .operators import causal, communities, graph, metrics, smells
 from .queries import PLACES, model_files, places, query, t
 from .sources import models
 
@@ -419,3 +419,14 @@ SELECT id, 'type:' || h || '|out:' || (SELECT count(*) FROM e WHERE src = id) ||
 def structural_texts(spark, sf_dir):
     nodes, edges = models.lowered(*models.semantic(model_files(spark, sf_dir)))
     return models.structural_text(nodes.where("operation = 'create'"), edges.where("operation = 'create'")).select("id", "structure")
+
+
+@query("""WITH p AS (SELECT DISTINCT least(s_nationkey, s_suppkey % 25) AS a, greatest(s_nationkey, s_suppkey % 25) AS b FROM supplier WHERE s_nationkey <> s_suppkey % 25),
+l AS (SELECT n_nationkey AS id, n_regionkey AS community FROM nation), z AS (SELECT 2.0::double * count(*) AS total FROM p), u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+d AS (SELECT x.community, count(*)::double AS degree, sum((x.community = y.community)::int)::double AS within FROM u JOIN l x ON x.id = u.a JOIN l y ON y.id = u.b GROUP BY 1)
+SELECT community::bigint AS community, (SELECT count(*) FROM l WHERE l.community = d.community) AS n_nodes, (within / 2)::bigint AS inside, round(within / total - (degree / total) ** 2, 6) AS share FROM d, z""")
+def region_modularity(spark, sf_dir):
+    """How well regions part the graph of nations that suppliers draw."""
+    edges = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("src"), (F.col("s_suppkey") % 25).cast("long").alias("dst"))
+    labels = t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("community"))
+    return communities.modularity(edges, labels).withColumn("share", F.round("share", 6))

@@ -806,3 +806,18 @@ def code_graph_in_sql(spark, sf_dir):
     text = F.concat(F.lit("def f"), k, F.lit("(a, b):\n    if a:\n        return "), called, F.lit("(b)\n"))
     t(spark, sf_dir, "part").select(F.concat(F.lit("part"), k).alias("path"), text.alias("text")).createOrReplaceTempView("sql_files")
     return spark.sql("SELECT path, node_type, name, param_count, nesting_depth, array_join(calls, ',') AS calls FROM code_graph(TABLE(sql_files) PARTITION BY path) WHERE node_type = 'FUNCTION'")
+
+
+_OBSERVED = "('obs::s' || s_suppkey % 12 || '::c' || s_nationkey % 2)"
+
+
+@query(f"""WITH o AS (SELECT {_OBSERVED} AS identity, count(*) AS n FROM supplier GROUP BY 1), v AS (SELECT n, {FP.format('identity')} AS a FROM o),
+p AS (SELECT i, 'obs::s' || i || '::c0' AS name FROM range(12) AS r(i)), q AS (SELECT name, (0.2 + i / 100)::double AS confidence, {FP.format('name')} AS b FROM p),
+s AS (SELECT name, n, 1 - {HAMMING.format('a', 'b')} / 10000.0::double AS similarity FROM v, q)
+SELECT q.name, round(least(1.0, confidence + 0.001::double * coalesce(sum(s.similarity * s.n), 0)), 6) AS confidence, coalesce(sum(s.n), 0)::bigint AS observations FROM q LEFT JOIN s ON q.name = s.name AND s.similarity > 0.7 GROUP BY q.name, confidence""")
+def reinforced_by_vector(spark, sf_dir):
+    """Patterns that are reinforced by what looks like them: suppliers as observations, by the fingerprint of what is seen of them."""
+    seen = F.concat(F.lit("obs::s"), F.col("s_suppkey") % 12, F.lit("::c"), F.col("s_nationkey") % 2)
+    observations = project.seeded(t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), seen.alias("identity")), "identity")
+    patterns = spark.range(12).select(F.concat(F.lit("obs::s"), "id", F.lit("::c0")).alias("name"), (0.2 + F.col("id") / 100).alias("confidence"))
+    return mining.reinforce_alike(observations, project.seeded(patterns, "name"), 0.001).select("name", _r("confidence"), "observations")
