@@ -1,6 +1,6 @@
-"""Learning from ordered events: confidences that observations, feedback and decay move, folded in parallel.
+"""Learning from ordered events: confidences that observations, feedback and decay move, folded in order.
 
-An event is a map x -> min(high, max(low, a x + b)) of the confidence.  Two such maps, one after the other, are such a map again, so stretches of
+A pattern's events pass through one task in their order, one state in memory.  Those of a pattern with very many are folded in parallel: an event is a map x -> min(high, max(low, a x + b)) of the confidence.  Two such maps, one after the other, are such a map again, so stretches of
 events are composed where they lie and only one map per task and pattern meets the others.  Decay depends on whether a pattern was observed
 three times by then; a map is therefore kept for each number of observations (0, 1, 2, more) it may begin with.
 """
@@ -15,9 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Confidence at first, what good and bad feedback do and how far, decay an epoch, decay of a pattern observed less than ENOUGH times.
 START, GOOD, HIGHEST, BAD, LOWEST, DECAY, YOUNG_DECAY, ENOUGH = 0.5, 0.2, 1.0, 0.15, 0.1, 0.95, 0.855, 3
 
+#: A pattern with more events is folded in parallel.
+HOT = 1_000_000
+
 _PARTS = ("a", "b", "low", "high")
 _MAPS = "n long, " + ", ".join(f"{p} array<double>" for p in _PARTS)
 
@@ -93,20 +98,57 @@ def _runs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told([open_name], open_map)
 
 
-def fold(events: DataFrame) -> DataFrame:
+def step(confidence: float, observations: int, kind: str | None, amount: float | None) -> tuple[float, int]:
+    """Confidence and observations after one event."""
+    if kind == "observe":
+        return min(HIGHEST, confidence + (amount or 0.0)), observations + 1
+    if kind == "good":
+        return min(HIGHEST, confidence + GOOD), observations
+    if kind == "bad":
+        return max(LOWEST, confidence - BAD), observations
+    return confidence * (YOUNG_DECAY if observations < ENOUGH else DECAY), observations
+
+
+def _in_order(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, confidence, observations) of runs of rows of one name."""
+    name, state = None, None
+    for batch in stream:
+        done: list[tuple] = []
+        for own, kind, amount in zip(*(batch.column(c).to_pylist() for c in ("name", "kind", "amount")), strict=True):
+            if state is None or own != name:
+                if state is not None:
+                    done.append((name, *state))
+                name, state = own, (START, 0)
+            state = step(*state, kind, amount)
+        yield _figures(done)
+    if state is not None:
+        yield _figures([(name, *state)])
+
+
+def _figures(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64()))], names=["name", "confidence", "observations"])
+
+
+def fold(events: DataFrame, hot: int = HOT) -> DataFrame:
     """(name, confidence, observations) after events (name, seq, kind, amount), in the order of seq, then kind, then amount.
 
     observe adds amount up to 1; good adds 0.2 up to 1; bad takes 0.15 down to 0.1; any other kind is a decay, by 0.95 (0.855 under three
-    observations).  Start: 0.5; a null amount is 0.  Events are ranged by name and order, so a pattern with a third of all events is spread over a third of
-    the tasks; each sends one map on.
+    observations).  Start: 0.5; a null amount is 0.  Events of a pattern with more than ``hot`` are ranged by name and order, so one with a third of all events is spread
+    over a third of the tasks; each sends one map on.  Such figures may differ from those of a fold one by one in the last digits of a double.
     """
     kind = dict(events.dtypes)["name"]
     rows = events.select(F.col("name").cast("string").alias("name"), "seq", "kind", F.col("amount").cast("double").alias("amount"))
     order = ["name", "seq", "kind", "amount"]
-    runs = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, f"name string, part long, {_MAPS}")
-    whole = runs.repartition("name").sortWithinPartitions("name", "part").mapInArrow(_runs, f"name string, part long, {_MAPS}")
-    at_start = F.greatest(F.col("low")[0], F.least(F.col("high")[0], F.col("a")[0] * START + F.col("b")[0]))
-    return whole.select(F.col("name").cast(kind).alias("name"), at_start.alias("confidence"), F.col("n").alias("observations"))
+    many = cut(rows.groupBy("name").count().where(F.col("count") > hot).select(F.col("name").alias("hot_name")))  # no more of them than events / hot
+    is_hot = F.col("name").eqNullSafe(F.col("hot_name"))
+    cold = rows if many.isEmpty() else rows.join(F.broadcast(many), is_hot, "left_anti")
+    figures = cold.repartition("name").sortWithinPartitions(*order).select("name", "kind", "amount").mapInArrow(_in_order, "name string, confidence double, observations long")
+    if not many.isEmpty():
+        runs = rows.join(F.broadcast(many), is_hot, "left_semi").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, f"name string, part long, {_MAPS}")
+        whole = runs.repartition("name").sortWithinPartitions("name", "part").mapInArrow(_runs, f"name string, part long, {_MAPS}")
+        at_start = F.greatest(F.col("low")[0], F.least(F.col("high")[0], F.col("a")[0] * START + F.col("b")[0]))
+        figures = figures.unionByName(whole.select("name", at_start.alias("confidence"), F.col("n").alias("observations")))
+    return figures.withColumn("name", F.col("name").cast(kind))
 
 
 def with_epochs(events: DataFrame, hours: int, until) -> DataFrame:

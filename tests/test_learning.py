@@ -37,11 +37,12 @@ def test_composition_is_associative_and_right():
         assert np.allclose(half, folded(steps[: n // 2] + [("bad", 0), ("bad", 0)] + steps[n // 2 :]))
 
 
+@pytest.mark.parametrize("hot", [10**6, 100, 0])
 @pytest.mark.parametrize("names", [["a"], ["a", "b", None], [str(i) for i in range(700)]])
-def test_fold_of_any_spread(spark, names):
+def test_fold_of_any_spread(spark, names, hot):
     rows = some_events(3000, names)
     df = spark.createDataFrame(rows, "name string, seq long, kind string, amount double").repartition(7)
-    got = {r.name: (r.confidence, r.observations) for r in learning.fold(df).collect()}
+    got = {r.name: (r.confidence, r.observations) for r in learning.fold(df, hot).collect()}
     assert set(got) == {r[0] for r in rows}
     for name in got:
         assert np.allclose(got[name], folded([(k, a) for x, _, k, a in rows if x == name]))
@@ -53,7 +54,7 @@ def test_fold_goes_over_several_tasks(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "6")
     try:
         df = spark.createDataFrame(rows, "name string, seq long, kind string, amount double")
-        (r,) = learning.fold(df).collect()
+        (r,) = learning.fold(df, 1000).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "2")
