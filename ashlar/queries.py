@@ -265,7 +265,7 @@ def pattern_fold(spark, sf_dir):
     return folded.select("name", F.round("confidence", 6).alias("confidence"), "observations")
 
 
-@query("""WITH x AS (SELECT user_id, ts, event_id, value / 977 AS amount, CASE event_type WHEN 'purchase' THEN 'good' WHEN 'error' THEN 'bad' ELSE 'observe' END AS k FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events)),
+@query("""WITH x AS (SELECT user_id, ts, event_id, 0.05::double AS amount, CASE event_type WHEN 'purchase' THEN 'good' WHEN 'error' THEN 'bad' ELSE 'observe' END AS k FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events)),
 e AS (SELECT * FROM x UNION ALL SELECT user_id, unnest(generate_series(first + INTERVAL 1 DAY, (SELECT date_trunc('day', max(ts)) FROM events), INTERVAL 1 DAY)) AS ts, NULL, 0, 'decay' FROM (SELECT user_id, date_trunc('day', min(ts)) AS first FROM x GROUP BY user_id)),
 f AS (SELECT user_id, list_reduce(list_prepend({'k': '', 'c': 0.5::double, 'n': 0::bigint}, list({'k': k, 'c': amount::double, 'n': 0::bigint} ORDER BY ts, event_id NULLS FIRST)),
   lambda s, x: {'k': '', 'c': CASE x.k WHEN 'observe' THEN least(1.0, s.c + x.c) WHEN 'good' THEN least(1.0, s.c + 0.2::double) WHEN 'bad' THEN greatest(0.1, s.c - 0.15::double) ELSE s.c * CASE WHEN s.n < 3 THEN 0.855::double ELSE 0.95::double END END, 'n': s.n + CASE x.k WHEN 'observe' THEN 1 ELSE 0 END}) AS r FROM e GROUP BY user_id)
@@ -275,7 +275,7 @@ def pattern_epochs(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "good").when(F.col("event_type") == "error", "bad").otherwise("observe")
     until = F.lit(e.agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
-    timed = learning.with_epochs(e.select(F.col("user_id").alias("name"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("value") / 977).alias("amount")), 24, until)
+    timed = learning.with_epochs(e.select(F.col("user_id").alias("name"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(0.05).alias("amount")), 24, until)
     return learning.fold(timed).select("name", F.round("confidence", 6).alias("confidence"), "observations")
 
 
