@@ -18,6 +18,9 @@ content (the first), never each other, so groups of any size cost as many rows a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,24 +41,22 @@ def _lines(text: Column) -> Column:
 
 
 def _units(lines: Column) -> Column:
-    """Hashes (h of 64 bits, g of 16) of the units of a text's lines, in order."""
-    none = F.array().cast("array<struct<h:bigint,g:smallint>>")
+    """Hashes (h of 64 bits, g of 32) of the units of a text's lines, in order."""
+    none = F.array().cast("array<struct<h:bigint,g:int>>")
 
     def of_line(line: Column) -> Column:
-        each = lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda j: F.struct(F.xxhash64(x["h"], j).alias("h"), _short(F.hash(x["g"], j)).alias("g")))
+        each = lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda j: F.struct(F.xxhash64(x["h"], j).alias("h"), F.hash(x["g"], j).alias("g")))
         whole = lambda bare: _with(F.struct(F.xxhash64(bare).alias("h"), F.hash(bare).alias("g"), _count(bare).alias("n")), each)
         return _with(F.btrim(line, F.lit(_SPACES)), lambda bare: F.when(F.octet_length(bare) > 0, whole(bare)).otherwise(none))
 
     return F.flatten(F.transform(lines, of_line))
 
 
-def _short(hashed: Column) -> Column:
-    return (F.pmod(hashed, F.lit(1 << 16)) - F.lit(1 << 15)).cast("smallint")
-
-
 def _count(bare: Column) -> Column:
-    """Units of a line without white space at its ends, which has a word."""
-    return F.ceil(F.size(F.split(bare, r"[\x20\x09-\x0D]+")) / UNIT_WORDS).cast("int")
+    """Units of a line without white space at its ends, which has a word; most lines have single spaces only, which are counted without splitting."""
+    odd = reduce(or_, [bare.contains(x) for x in ("  ", *_SPACES[1:])])
+    words = F.when(odd, F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).otherwise(F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+    return F.ceil(words / UNIT_WORDS).cast("int")
 
 
 def _line_of_units(lines: Column) -> Column:
@@ -94,7 +95,7 @@ def later_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", run_un
     ranges = marks.join(repeated, "fp", "left_semi").groupBy("id", "key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     ranges = ranges.withColumnsRenamed({"id": "own", "key": "own_key"})
 
-    # hashed before they are exploded, so that no row carries its text's whole array; 80 bits, as equality deletes text
+    # hashed before they are exploded, so that no row carries its text's whole array; 96 bits, as equality deletes text
     starts = F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"])))
     hashed = lambda f, c, s: f(*[F.col(c)[s + k] for k in range(run_units)])
     content = lambda s: F.struct(s.alias("s"), hashed(F.xxhash64, "h", s).alias("content"), hashed(F.hash, "g", s).alias("check"))
