@@ -3,9 +3,10 @@
 The rank file (about 50,000 lines, its size is checked) is read once on the driver and shipped to the
 executors, so it need not exist on them.  Texts are encoded an Arrow batch at a time; nothing is
 shuffled and no state outlives a text.  Long texts are cut at safe boundaries before encoding: between
-a character that is not white space and one that is, no match of the splitting pattern can span the
-cut, and matches on either side are those of the whole text, so the ids are exactly those of
-one call on the whole text while memory stays small.
+a character that is not white space and one that is, or between a letter and a digit or mark (no apostrophe), no match
+of the splitting pattern can span the cut, and matches on either side are those of the whole text, so the ids are exactly those of
+one call on the whole text while memory stays small.  The pattern must keep letters apart from digits and marks that follow them, as
+those of byte-level vocabularies do; a text without any such boundary is one match or nearly so, and goes to the library whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ PIECE_CHARS = 1 << 16
 #: More ranks than any byte-level vocabulary in use; beyond it the file is refused, not shipped.
 MAX_RANKS = 1 << 20
 
-_CUT = regex.compile(r"(?<=\S)(?=\s)")
+#: Letters and marks that every version of Unicode has classed alike; an apostrophe may belong to the letters after it.
+_LETTER = r"A-Za-z\u0410-\u044F\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3"
+_MARK = r"0-9!-&(-/:-@\[-`{-~\u2010-\u2018\u201A-\u2027\u3001-\u3003\u3008-\u3011\uFF01-\uFF06\uFF08-\uFF0F\uFF1A-\uFF20"
+_CUT = regex.compile(rf"(?<=\S)(?=\s)|(?<=[{_LETTER}])(?=[{_MARK}])")
 _cache: dict[tuple, object] = {}
 
 

@@ -19,7 +19,7 @@ def library():
 def test_cut_texts_encode_as_whole_ones(monkeypatch):
     random.seed(5)
     whole, codec = library(), bpe.Codec(bpe.load_ranks(PATH), P.PATTERN)
-    bits = ["a", "b", " ", "  ", "\n", "\t", " 12", "é", "'s", "'ll", "!!", " ", "　", "日本", "<|endoftext|>", "x" * 20]
+    bits = ["a", "b", " ", "  ", "\n", "\t", " 12", "é", "'s", "'ll", "!!", " ", "　", "日本", "。", "Ж", "12", "’s", "<|endoftext|>", "x" * 20]
     monkeypatch.setattr(bpe, "PIECE_CHARS", 10)
     for _ in range(300):
         text = "".join(random.choice(bits) for _ in range(random.randint(0, 200)))
@@ -27,6 +27,14 @@ def test_cut_texts_encode_as_whole_ones(monkeypatch):
         assert "".join(bpe.pieces(text, 10)) == text and codec.decode(codec.encode(text)) == text.encode()
 
 
+def test_long_texts_without_white_space_are_cut():
+    random.seed(6)
+    text = "".join(random.choice(("日本語のテキスト", "、", "。", "ab", "12", "'s", "ж")) for _ in range(500_000))
+    parts = list(bpe.pieces(text))
+    assert len(text) > 1_000_000 and max(map(len, parts)) < bpe.PIECE_CHARS + 200 and "".join(parts) == text
+    assert bpe.Codec(bpe.load_ranks(PATH), P.PATTERN).encode(text).tolist() == library().encode_ordinary(text)
+
+
 def test_encode_decode_frames(spark):
     rows = [(1, None, 0), (1, "", 0), (2, "naïve 😀 text", 0), (2, "naïve 😀 text", 0), (3, "word " * 200_000, 0), (4, "x" * 100_000, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, N_TOKENS int")
