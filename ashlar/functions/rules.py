@@ -95,24 +95,13 @@ def error_class(error: Column) -> Column:
 
 
 def root_cause(node: Column, error: Column, upstream: Column, failures_before: Column, failed_at: Column) -> Column:
-    """Hypothesis text from the error's class, what is upstream (array), earlier failures of the node and the step that failed."""
+    """Hypothesis about a failure: struct of its ``kind`` (``error_class``), ``node`` and ``error``, the ``sources`` (three at most) from which
+    a missing input should come, whether the failure is ``recurring`` (two before or more) and whether the ``first_step`` failed, which speaks of bad input."""
     kind = error_class(error)
-    first = (
-        F.when(kind == "missing_input", F.concat(F.lit("Missing required input for "), node))
-        .when(kind == "length", F.concat(F.lit("Length constraint violation at "), node))
-        .when(kind == "uniqueness", F.concat(F.lit("Uniqueness constraint violation at "), node))
-        .otherwise(F.concat(F.lit("Execution error at "), node, F.lit(": "), error))
-    )
-    flow = F.when((kind == "missing_input") & (F.size(upstream) > 0), F.concat(F.lit("Data should flow from: "), F.array_join(F.slice(upstream, 1, 3), " → ")))
-    again = F.when(failures_before >= 2, F.concat(F.lit("Failed "), failures_before.cast("string"), F.lit(" times before: a recurring issue")))
-    return F.concat_ws(". ", first, flow, again, F.when(failed_at == 0, F.lit("Failed at the first step: bad input is likely")))
-
-
-def suggestion(node: Column, cause: Column) -> Column:
-    c = F.lower(cause)
-    return (
-        F.when(_any(c, ("missing", "required")), F.concat(F.lit("Provide all required fields before "), node))
-        .when(c.contains("recurring"), F.concat(F.lit("Validate input upstream of "), node))
-        .when(c.contains("length"), F.concat(F.lit("Check length constraints at "), node))
-        .otherwise(F.concat(F.lit("Review the path that leads to "), node))
-    )
+    sources = F.when(kind == "missing_input", F.slice(upstream, 1, 3)).otherwise(F.array().cast("array<string>"))
+    return F.struct(kind.alias("kind"), node.alias("node"), error.alias("error"), sources.alias("sources"), (failures_before >= 2).alias("recurring"), (failed_at == 0).alias("first_step"))
+
+
+def suggestion(cause: Column) -> Column:
+    """What a cause (``root_cause``) calls for at its node: one of four actions."""
+    return F.when(cause["kind"] == "missing_input", "provide_input").when(cause["recurring"], "validate_upstream").when(cause["kind"] == "length", "check_length").otherwise("review_path")

@@ -46,15 +46,21 @@ def coupling(direct: Column, shared: Column, similarity: Column) -> Column:
 def coupled_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, coupling) for pairs with an edge between them; likeness is equality of bodies.
 
-    Dependencies shared are counted from the pairs that have an edge, not from all pairs: each edge looks up both ends' own lists.
+    Dependencies shared are counted from the pairs that have an edge, not from all pairs.  Of each pair the end with fewer
+    dependencies lists them, and a join asks whether the other end has them too: a hub's list is never one row nor copied to its
+    pairs, and over all pairs at most edges^1.5 rows are asked about.
     """
     links = _uses(edges).select("src", "dst").where("src <> dst").distinct()
     pairs = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    used = links.groupBy("src").agg(F.collect_set("dst").alias("uses"))
-    side = lambda k: nodes.select("id", "body").join(used.withColumnRenamed("src", "id"), "id", "left").select(F.col("id").alias(k), F.col("body").alias(f"body_{k}"), F.coalesce("uses", F.array().cast(used.schema["uses"].dataType)).alias(f"uses_{k}"))
+    uses = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda k: nodes.select("id", F.when(F.col("body") != "", F.sha2("body", 256)).alias("body")).join(uses.withColumnRenamed("src", "id"), "id", "left").select(F.col("id").alias(k), F.col("body").alias(f"body_{k}"), F.coalesce("n", F.lit(0)).alias(f"n_{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = (F.col("body_a") == F.col("body_b")) & (F.col("body_a") != "")
-    return joined.select("a", "b", coupling(F.lit(1), F.size(F.array_intersect("uses_a", "uses_b")), F.coalesce(alike, F.lit(False)).cast("double")).alias("coupling"))
+    fewer = F.col("n_a") <= F.col("n_b")
+    asked = joined.where("n_a > 0 and n_b > 0").select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    asked = asked.join(links, "src").select("a", "b", F.col("other").alias("src"), "dst")
+    shared = asked.join(links, ["src", "dst"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    alike = F.coalesce(F.col("body_a") == F.col("body_b"), F.lit(False)).cast("double")
+    return joined.join(shared, ["a", "b"], "left").select("a", "b", coupling(F.lit(1), F.coalesce("shared", F.lit(0)), alike).alias("coupling"))
 
 
 def quality_metrics(nodes: DataFrame) -> DataFrame:
@@ -73,19 +79,20 @@ WEIGHTS = {"GOD_CLASS": 10, "CIRCULAR_DEPENDENCY": 15, "LONG_METHOD": 5, "DEEP_N
 SAME_AS = {"GOD_OBJECT": "GOD_CLASS", "ARROW_CODE": "DEEP_NESTING", "COPY_PASTE": "DUPLICATED_CODE"}
 
 
-#: Advice by smell found, and by metric over its bound, in the order it is given: text, what it needs (fixed values).
-BY_SMELL = (("GOD_CLASS", "CRITICAL: split large classes"), ("CIRCULAR_DEPENDENCY", "CRITICAL: break circular dependencies"), ("LONG_METHOD", "HIGH: extract long methods"), ("DEEP_NESTING", "HIGH: flatten deep nesting"), ("FEATURE_ENVY", "MEDIUM: move envious methods"), ("DEAD_CODE", "LOW: remove or document dead code"))
-BY_METRIC = (("avg_method_length", 30, "HIGH: shorten methods on average"), ("avg_params", 4, "MEDIUM: use parameter objects"), ("methods_per_class", 10, "HIGH: split classes with many methods"))
+#: How urgent a smell found or a metric over its bound is, in the order in which they are given (fixed values).
+BY_SMELL = (("GOD_CLASS", "CRITICAL"), ("CIRCULAR_DEPENDENCY", "CRITICAL"), ("LONG_METHOD", "HIGH"), ("DEEP_NESTING", "HIGH"), ("FEATURE_ENVY", "MEDIUM"), ("DEAD_CODE", "LOW"))
+BY_METRIC = (("avg_method_length", 30, "HIGH"), ("avg_params", 4, "MEDIUM"), ("methods_per_class", 10, "HIGH"))
 
 
 def recommendations(findings: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(place, advice) of findings (smell) and the one row of ``metrics``, most urgent kinds first as listed."""
+    """(place, urgency, about, value, bound) of findings (smell) and the one row of ``metrics``, as listed; about is the smell or the metric, which has a value over its bound."""
     alike = F.create_map(*[F.lit(x) for kv in SAME_AS.items() for x in kv])
     found = findings.agg(F.collect_set(F.coalesce(F.element_at(alike, F.col("smell")), F.col("smell"))).alias("smells"))  # at most as many as there are kinds
-    rules = [F.when(F.array_contains("smells", s), F.lit(text)) for s, text in BY_SMELL]
-    rules += [F.when(F.col(c) > most, F.lit(text)) for c, most, text in BY_METRIC]
+    advice = lambda urgency, about, value, bound: F.struct(F.lit(urgency).alias("urgency"), F.lit(about).alias("about"), value.cast("double").alias("value"), F.lit(bound).cast("double").alias("bound"))
+    rules = [F.when(F.array_contains("smells", s), advice(urgency, s, F.lit(None), None)) for s, urgency in BY_SMELL]
+    rules += [F.when(F.col(c) > most, advice(urgency, c, F.col(c), most)) for c, most, urgency in BY_METRIC]
     one = metrics.crossJoin(found)  # one row each
-    return one.select(F.posexplode(F.array(*rules)).alias("place", "advice")).where("advice is not null")
+    return one.select(F.posexplode(F.array(*rules)).alias("place", "advice")).where("advice is not null").select("place", "advice.*")
 
 
 def score(findings: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -181,13 +181,15 @@ up(id, h) AS (SELECT src, 1 FROM l WHERE dst = (SELECT node_id FROM f) UNION SEL
 u AS (SELECT coalesce(list(DISTINCT id ORDER BY id), []) AS ids FROM up WHERE id <> (SELECT node_id FROM f)),
 o AS (SELECT success, row_number() OVER (ORDER BY ts, success) - 1 AS k FROM log WHERE execution_id = (SELECT execution_id FROM f)), a AS (SELECT min(k) AS failed_at FROM o WHERE NOT success),
 n AS (SELECT count(*) - 1 AS before FROM log WHERE NOT success AND node_id = (SELECT node_id FROM f)),
-c AS (SELECT execution_id, node_id, before, failed_at, array_to_string(ids, ',') AS upstream, 'Missing required input for ' || node_id || CASE WHEN len(ids) > 0 THEN '. Data should flow from: ' || array_to_string(ids[1:3], ' → ') ELSE '' END
-  || CASE WHEN before >= 2 THEN '. Failed ' || before || ' times before: a recurring issue' ELSE '' END || CASE WHEN failed_at = 0 THEN '. Failed at the first step: bad input is likely' ELSE '' END AS cause FROM f, u, a, n)
-SELECT execution_id, node_id, before AS failures_before, failed_at::bigint AS failed_at, upstream, cause, 'Provide all required fields before ' || node_id AS suggestion FROM c""")
+k AS (SELECT *, lower(CASE WHEN NOT success THEN 'value is blank' ELSE 'unknown' END) AS e FROM f)
+SELECT k.execution_id, k.node_id, before AS failures_before, failed_at::bigint AS failed_at, array_to_string(ids, ',') AS upstream,
+  CASE WHEN regexp_matches(e, 'blank|null|empty') THEN 'missing_input' WHEN regexp_matches(e, 'too short|too long') THEN 'length' WHEN regexp_matches(e, 'unique|duplicate') THEN 'uniqueness' ELSE 'execution' END AS kind,
+  CASE WHEN regexp_matches(e, 'blank|null|empty') THEN array_to_string(ids[1:3], ',') ELSE '' END AS sources, before >= 2 AS recurring, failed_at = 0 AS first_step,
+  CASE WHEN regexp_matches(e, 'blank|null|empty') THEN 'provide_input' WHEN before >= 2 THEN 'validate_upstream' WHEN regexp_matches(e, 'too short|too long') THEN 'check_length' ELSE 'review_path' END AS suggestion FROM k, u, a, n""")
 def explain_last_failure(spark, sf_dir):
     steps = trace.transitions(log(spark, sf_dir)).select("src", "dst").distinct()
     found = explain.explain_last(log(spark, sf_dir), steps)
-    return found.select("execution_id", "node_id", "failures_before", F.col("failed_at").cast("long").alias("failed_at"), F.array_join("upstream", ",").alias("upstream"), "cause", "suggestion")
+    return found.select("execution_id", "node_id", "failures_before", F.col("failed_at").cast("long").alias("failed_at"), F.array_join("upstream", ",").alias("upstream"), "cause.kind", F.array_join("cause.sources", ",").alias("sources"), "cause.recurring", "cause.first_step", "suggestion")
 
 
 # ---- catalog

@@ -285,14 +285,14 @@ def tangledness(spark, sf_dir):
     return metrics.tangledness(*code(spark, sf_dir)).select(F.round("mean_fan_out", 6).alias("mean_fan_out"), "n_cyclic")
 
 
-@smell("""SELECT place::int AS place, advice FROM (SELECT 2 AS place, 'HIGH: extract long methods' AS advice WHERE EXISTS (SELECT 1 FROM cn WHERE node_type = 'METHOD' AND line_count > 50)
-UNION ALL SELECT 5, 'LOW: remove or document dead code' WHERE EXISTS (SELECT 1 FROM cn WHERE node_type = 'METHOD' AND name <> 'main' AND id NOT IN (SELECT dst FROM calls))
-UNION ALL SELECT 6, 'HIGH: shorten methods on average' WHERE (SELECT avg(line_count) FROM cn WHERE node_type = 'METHOD') > 30
-UNION ALL SELECT 7, 'MEDIUM: use parameter objects' WHERE (SELECT avg(param_count) FROM cn WHERE node_type = 'METHOD') > 4
-UNION ALL SELECT 8, 'HIGH: split classes with many methods' WHERE (SELECT count(*) FROM supplier) / (SELECT count(*)::double FROM nation) > 10)""")
+@smell(f"""SELECT place::int AS place, urgency, about, {_R("value")} AS value, bound::double AS bound FROM (SELECT 2 AS place, 'HIGH' AS urgency, 'LONG_METHOD' AS about, NULL AS value, NULL AS bound WHERE EXISTS (SELECT 1 FROM cn WHERE node_type = 'METHOD' AND line_count > 50)
+UNION ALL SELECT 5, 'LOW', 'DEAD_CODE', NULL, NULL WHERE EXISTS (SELECT 1 FROM cn WHERE node_type = 'METHOD' AND name <> 'main' AND id NOT IN (SELECT dst FROM calls))
+UNION ALL SELECT 6, 'HIGH', 'avg_method_length', avg(line_count), 30 FROM cn WHERE node_type = 'METHOD' HAVING avg(line_count) > 30
+UNION ALL SELECT 7, 'MEDIUM', 'avg_params', avg(param_count), 4 FROM cn WHERE node_type = 'METHOD' HAVING avg(param_count) > 4
+UNION ALL SELECT 8, 'HIGH', 'methods_per_class', (SELECT count(*) FROM supplier) / count(*)::double, 10 FROM nation HAVING (SELECT count(*) FROM supplier) / count(*)::double > 10)""")
 def recommendations(spark, sf_dir):
     nodes, edges = code(spark, sf_dir)
-    return metrics.recommendations(smells.long_method(nodes).union(smells.dead_code(nodes, edges)), metrics.quality_metrics(nodes))
+    return metrics.recommendations(smells.long_method(nodes).union(smells.dead_code(nodes, edges)), metrics.quality_metrics(nodes)).withColumn("value", F.round("value", 6))
 
 
 @smell(f"""SELECT {_R("greatest(0, least(100, 100 - 5 * (SELECT count(*) FROM cn WHERE node_type = 'METHOD' AND line_count > 110) - greatest((SELECT avg(line_count) FROM cn WHERE node_type = 'METHOD') - 30, 0) * 0.5 - greatest((SELECT max(nesting_depth) FROM cn WHERE node_type = 'METHOD') - 4, 0) * 3))")} AS score""")

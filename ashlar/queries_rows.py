@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import bitvec as V
 from .functions import project, rules, truth
@@ -524,12 +525,12 @@ def truth_expectation(spark, sf_dir):
     return t(spark, sf_dir, "labels").select("doc_id", F.round(truth.expectation(truth.truth(F.col("quality").cast("double"), 0.8)), 6).alias("expected"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(lower(source), 'missing') OR contains(lower(source), 'required') THEN 'Provide all required fields before ' || doc_id WHEN contains(lower(source), 'recurring') THEN 'Validate input upstream of ' || doc_id
-WHEN contains(lower(source), 'length') THEN 'Check length constraints at ' || doc_id ELSE 'Review the path that leads to ' || doc_id END AS said FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Missing input' WHEN 1 THEN 'a recurring issue' WHEN 2 THEN 'Length constraint' ELSE 'other' END AS source FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'blank|null|empty') THEN 'provide_input' WHEN doc_id % 4 >= 2 THEN 'validate_upstream' WHEN regexp_matches(lower(text), 'too short|too long') THEN 'check_length' ELSE 'review_path' END AS action,
+  CASE WHEN regexp_matches(lower(text), 'blank|null|empty') THEN source ELSE '' END AS sources FROM documents""")
 def cause_suggestions(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    cause = F.when(k == 0, "Missing input").when(k == 1, "a recurring issue").when(k == 2, "Length constraint").otherwise("other")
-    return t(spark, sf_dir, "documents").select("doc_id", rules.suggestion(F.col("doc_id").cast("string"), cause).alias("said"))
+    """Texts taken for messages of failures, each failed some times before: what their causes call for."""
+    cause = rules.root_cause(F.col("doc_id").cast("string"), F.col("text"), F.array("source"), F.col("doc_id") % 4, F.lit(0))
+    return t(spark, sf_dir, "documents").withColumn("cause", cause).select("doc_id", rules.suggestion(F.col("cause")).alias("action"), F.array_join("cause.sources", ",").alias("sources"))
 
 
 # ---- mining
@@ -786,6 +787,36 @@ def bucketed_upsert(spark, sf_dir):
     return table.read()
 
 
+@query("""SELECT 1 AS version, c_custkey, c_acctbal FROM customer UNION ALL SELECT 2, c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END FROM customer UNION ALL SELECT 2, -1 - c_custkey, 0 FROM customer WHERE c_acctbal < 0""")
+def table_versions(spark, sf_dir):
+    """Both versions of a table that an upsert wrote anew: balances below zero are set to it and kept under a key of their own."""
+    path = f"{graph.shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    first = t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    owing = first.where("c_acctbal < 0").select("c_custkey", F.lit(0.0).alias("c_acctbal"))
+    catalog.save_version(first, path, 1)
+    catalog.save_version(catalog.upserted(first, owing.union(owing.select(-1 - F.col("c_custkey"), "c_acctbal")), ["c_custkey"]), path, 2)
+    return catalog.load_version(spark, path, 1).select(F.lit(1).alias("version"), "*").union(catalog.load_version(spark, path).select(F.lit(2).alias("version"), "*"))
+
+
+_TILED = "unhex(repeat(sha256({0}), 40)[1:2500])::bit"
+
+
+@query(f"""WITH m AS (SELECT user_id, event_type, max(value) AS top FROM events GROUP BY ALL), p AS (SELECT user_id, string_agg(event_type || ':' || printf('%.2f', top), '|' ORDER BY event_type) AS profile FROM m GROUP BY 1),
+s AS (SELECT user_id, string_agg(event_type, '→' ORDER BY ts, event_id) AS trace FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) WHERE i <= 20 GROUP BY 1),
+v AS (SELECT user_id, unhex({HEX.format("('user' || user_id)")})::bit AS a, {_TILED.format('profile')} AS b, {_TILED.format('trace')} AS c FROM p JOIN s USING (user_id))
+SELECT user_id, sha256(((a & b) | (a & c) | (b & c))::blob) AS digest FROM v""")
+def state_captures(spark, sf_dir):
+    """Each user's moment: their vector, how strong each kind of event was, and their first twenty steps, captured in one vector."""
+    events = t(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    top = events.groupBy("user_id", "event_type").agg(F.max("value").alias("top"))
+    profile = top.groupBy("user_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("event_type", "top")))).alias("profile"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    steps = events.withColumn("i", place).where("i <= 20").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "event_type"))), lambda x: x["event_type"]).alias("steps"))
+    named = project.seeded(profile.select("user_id", F.concat(F.lit("user"), "user_id").alias("named")), "named").select("user_id", V.to_bytes(F.col("fp")).alias("state"))
+    rows = named.join(profile, "user_id").join(steps, "user_id")
+    return rows.select("user_id", F.sha2(project.capture_state(F.col("state"), F.col("profile"), F.col("steps")), 256).alias("digest"))
+
+
 @query(f"WITH v AS (SELECT n_name, {FP.format('n_name')} AS a, {FP.format('r_name')} AS b FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT n_name, {HAMMING.format('a', 'b')}::int AS distance, round(1 - {HAMMING.format('a', 'b')} / 10000.0::double, 6) AS similarity FROM v")
 def vectors_in_sql(spark, sf_dir):
     """Vector functions called from the text of a SQL node."""

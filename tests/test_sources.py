@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from ashlar.functions import rules
 from ashlar.operators import metrics, smells
 from ashlar.plans import suggest
 from ashlar.sources import models, pysource
@@ -114,6 +117,28 @@ def test_coupling(spark):
     assert got == {(0, 1): 1.0, (0, 3): 0.5, (1, 3): 0.5}
 
 
+def test_coupling_of_hubs(spark):
+    import random
+
+    random.seed(4)
+    ends = {(random.choice((0, 1, random.randrange(40))), random.randrange(40)) for _ in range(260)} | {(0, i) for i in range(40)}
+    nodes = spark.createDataFrame([(i, ("", "p", None, f"q{i}")[i % 4]) for i in range(40)], "id long, body string")
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in ends] + [(a, b, "DEPENDS") for a, b in list(ends)[:20]], "src long, dst long, edge_type string")
+    uses = {i: {b for a, b in ends if a == i != b} for i in range(40)}
+    want = {tuple(sorted(e)): round(min(1.0, 0.5 + 0.1 * len(uses[e[0]] & uses[e[1]]) + 0.4 * (e[0] % 4 == e[1] % 4 == 1)), 6) for e in ends if e[0] != e[1]}
+    assert {(r.a, r.b): round(r.coupling, 6) for r in metrics.coupled_pairs(nodes, edges).collect()} == want
+
+
+def test_causes_and_what_they_call_for(spark):
+    rows = [("a value is NULL", 0, 0), ("value too long", 0, 1), ("value too short", 2, 1), ("duplicate key", 1, 0), ("stopped", 5, 3), (None, 0, 2)]
+    df = spark.createDataFrame(rows, "error string, n long, step long").withColumn("c", rules.root_cause(F.lit("x"), F.col("error"), F.array(*map(F.lit, "abcd")), F.col("n"), F.col("step")))
+    got = {r.error: (r.c.kind, r.c.sources, r.c.recurring, r.c.first_step, r.s) for r in df.withColumn("s", rules.suggestion(F.col("c"))).collect()}
+    assert got == {
+        "a value is NULL": ("missing_input", ["a", "b", "c"], False, True, "provide_input"), "value too long": ("length", [], False, False, "check_length"), "value too short": ("length", [], True, False, "validate_upstream"),
+        "duplicate key": ("uniqueness", [], False, True, "review_path"), "stopped": ("execution", [], True, False, "validate_upstream"), None: ("execution", [], False, False, "review_path"),
+    }
+
+
 def test_suggestions(spark):
     rows = [("e1", "a", True, 1), ("e1", "b", True, 2), ("e2", "a", True, 3), ("e2", "c", True, 4), ("e2", "b", True, 5), ("e3", "a", True, 6), ("e3", "b", False, 7)]
     log = spark.createDataFrame([(e, n, 1.0, s, None, t) for e, n, s, t in rows], "execution_id string, node_id string, duration_ms double, success boolean, error string, ts long")
