@@ -1,12 +1,36 @@
 import hashlib
+import math
+from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from ashlar.llm import mixing
+
+from .test_bpe import library
 from .test_linededup import brute as brute_lines
 from .test_neardup import brute as brute_near
 
 
+def brute_mix(rows):
+    """Copies of each (doc_id, source, text): Poisson counts of rates that bring sources to the square root of their shares."""
+    n = Counter(source for _, source, _ in rows)
+    total = sum(round(k**mixing.ALPHA, 9) for k in n.values())
+    out = {}
+    for doc_id, source, text in rows:
+        u = int(hashlib.md5(f"{mixing.SEED}:{doc_id}:{text}".encode()).hexdigest()[:13], 16) / 2**52
+        rate = n[source] ** mixing.ALPHA / total * len(rows) / n[source]
+        term = reached = math.exp(-rate)
+        k = 0
+        while u >= reached:
+            k += 1
+            term *= rate / k
+            reached += term
+        if k:
+            out[doc_id] = k
+    return out
+
+
 def test_stages_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
@@ -21,6 +45,13 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert {r.doc_id for r in near.collect()} == stays and near.columns == columns
     mixed = corpus_pipeline.mix(spark, near, sf_dir)
     assert mixed.columns == columns and mixed.exceptAll(near).join(near, columns, "left_anti").count() == 0
+    assert Counter(r.doc_id for r in mixed.collect()) == brute_mix([(r.doc_id, r.source, r.text) for r in near.collect()])
+    texts, encoding = {r.doc_id: r.text for r in mixed.collect()}, library()
+    coded = corpus_pipeline.tokenize(spark, mixed, sf_dir).collect()
+    assert len(coded) == mixed.count()
+    for r in coded:
+        ids = encoding.encode_ordinary(texts[r.doc_id])
+        assert r.token_ids == ids and r.n_tokens == len(ids) and r.decodes_exactly and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_run_is_reproducible_and_decodes(spark, sf_dir):
