@@ -105,3 +105,11 @@ def test_sql_counts_as_far_as_the_largest_rate(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
     want = sorted((r[0], str(r[1]), str(r[2]), r[3], r[4]) for r in con.sql(f"SELECT doc_id, source, text, copy, mix_key FROM ({OP3})").fetchall())
     assert got == want and max(r[3] for r in got) > 60
+
+
+def test_a_very_long_text(spark):
+    long = "word " * 1_000_000
+    df = spark.createDataFrame([(1, "a", long), (2, "a", "x"), (3, "b", None)], "doc_id long, source string, text string")
+    weights = spark.createDataFrame([("a", 1.0)], "source string, weight double")
+    rows = mixing.mix_sources(df, weights=weights, size=20).collect()
+    assert {r.doc_id for r in rows} == {1, 2} and all(r.text == (long if r.doc_id == 1 else "x") and r.rate == 10.0 for r in rows)
