@@ -31,6 +31,18 @@ def test_reach_levels_and_components_against_brute_force(spark):
     assert {r.id for r in graph.reached(nodes.where("id = 'n1'"), links).collect()} == {b for a, b in hops if a == "n1"}
 
 
+def test_components_of_long_ways_take_few_jobs(spark):
+    """A ring with a chord, a tail and a second ring behind it: colouring alone took a turn for each node of a ring."""
+    edges = [(i, (i + 1) % 200) for i in range(200)] + [(150, 20), (7, 500)] + [(500 + i, 501 + i) for i in range(40)] + [(540, 520)]
+    nodes, links = spark.range(600), spark.createDataFrame(edges, "src long, dst long")
+    want = {i: 0 if i < 200 else 520 if 520 <= i <= 540 else i for i in range(600)}
+    for last, jobs in ((graph.LAST_EDGES, 20), (60, 150)):
+        spark.sparkContext.setJobGroup(f"components-{last}", "")
+        assert {r.id: r.component for r in graph.strong_components(nodes, links, last).collect()} == want
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{last}")) < jobs
+    spark.sparkContext._jsc.sc().clearJobGroup()
+
+
 def test_levels_paths_and_marks(spark):
     nodes, links = frames(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("x", "y"), ("y", "x")])
     assert {r.id: r.level for r in graph.levels(nodes, links, "stop").collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "x": None, "y": None}
