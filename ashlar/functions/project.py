@@ -21,6 +21,8 @@ from .bitvec import BITS, BYTES, LAST_MASK, WORDS
 
 #: Fixed values of the projection.
 SEED, DIMENSIONS = 42, 1024
+#: Rows that are projected at a time: 50 kB each, whatever the size of the Arrow batch.
+PROJECTED_ROWS = 512
 
 
 @lru_cache(maxsize=1)
@@ -36,9 +38,11 @@ def _projected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lengths = np.array([-1 if v is None else len(v) for v in values])
         for n in np.unique(lengths[lengths > 0]):
             own = np.flatnonzero(lengths == n)
-            x = np.stack([np.asarray(values.iloc[i], dtype=np.float32) for i in own])
-            for i, bits in zip(own, np.packbits(x @ matrix(int(n)).T > 0, axis=1), strict=True):
-                out[i] = bits.tobytes()
+            for at in range(0, len(own), PROJECTED_ROWS):
+                part = own[at : at + PROJECTED_ROWS]
+                x = np.stack([np.asarray(values.iloc[i], dtype=np.float32) for i in part])
+                for i, bits in zip(part, np.packbits(x @ matrix(int(n)).T > 0, axis=1), strict=True):
+                    out[i] = bits.tobytes()
         yield pd.Series(out)
 
 

@@ -172,3 +172,21 @@ def test_lists_and_functions(spark):
     assert text.startswith("sample::(a, b=1)::") and "return a + b" in text
     r = one(spark, V.hamming(V.encode_list(F.array(F.lit("a"), F.lit("b"))), V.encode_list(F.array(F.lit("b"), F.lit("a")))).alias("turned"), V.popcount(V.random_words(F.lit(5))).alias("n"), V.hamming(V.random_words(F.lit(5)), V.random_words(F.lit(6))).alias("far"))
     assert 4700 < r.turned < 5300 and 4700 < r.n < 5300 and 4700 < r.far < 5300
+
+
+def test_projection_of_a_large_batch_takes_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from ashlar.functions import project
+
+    x = np.random.default_rng(4).standard_normal((4000, 16)).astype(np.float32)
+    want = np.packbits(x @ project.matrix(16).T > 0, axis=1)
+    tracemalloc.start()
+    (got,) = project._projected.func(iter([pd.Series(list(x))]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [bytes(w) for w in want] == list(got)
+    assert peak < 80_000_000  # products of all rows at once take 160 MB
