@@ -147,5 +147,14 @@ def assistants_text(turns: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, escapes undone, nothing between.  Each span is looked for from the start of the text."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+    """All text under the loss mask, escapes undone, nothing between.  A block of ``BLOCK`` spans is cut out first and its spans from that, as
+    a span is looked for from the start of what it is cut from."""
+
+    def of_block(block: Column) -> Column:
+        begin, last = block[0]["start"], F.element_at(block, -1)
+        stretch = F.substring(formatted, begin.cast("int") + 1, (last["start"] + last["length"] - begin).cast("int"))
+        own = lambda x: F.transform(block, lambda s: unescaped(F.substring(x, (s["start"] - begin).cast("int") + 1, s["length"].cast("int"))))
+        return F.array_join(_with(stretch, own), "")
+
+    blocks = lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK)), lambda i: F.slice(all_, i, BLOCK))
+    return _with(spans, lambda all_: F.when(F.size(all_) > 0, F.array_join(F.transform(blocks(all_), of_block), "")).otherwise(""))

@@ -48,3 +48,13 @@ def test_ties_repeats_and_null_ids(spark):
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(got) == 1 and [t.text for t in got[0].turns] == ["c", "a", "a", "b"]
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_the_query_takes_its_loss_from_the_mask(spark, sf_dir, monkeypatch):
+    from ashlar.llm import queries
+
+    whole = {r.conv_id: r.loss_chars for r in queries.op4_chat_formatting(spark, sf_dir).collect()}
+    first, mask = lambda spans: F.slice(spans, 1, 1), chat.loss_mask
+    monkeypatch.setattr(chat, "loss_mask", lambda formatted: first(mask(formatted)))
+    cut = {r.conv_id: r.loss_chars for r in queries.op4_chat_formatting(spark, sf_dir).collect()}
+    assert whole.keys() == cut.keys() and all(cut[c] <= whole[c] for c in cut) and cut != whole
