@@ -73,10 +73,11 @@ class HammingIndex:
         self.n, self.most, self.first_bits, self.blocks = about["n"], about["most"], about["first_bits"], about["blocks"]
 
     @classmethod
-    def build(cls, rows: DataFrame, path: str, threshold: float = 0.9, fp: str = "fp", idx: str = "idx", folder_entries: int = FOLDER_ENTRIES) -> HammingIndex:
+    def build(cls, rows: DataFrame, path: str, threshold: float = 0.9, fp: str = "fp", idx: str = "idx", folder_entries: int = FOLDER_ENTRIES, groups: bool = True) -> HammingIndex:
         """Write the index of rows (idx, vector; rows that lack either take no part) for searches at ``threshold`` or more.
 
         Vectors are written in the order of idx in small pages, values by group and first bits: the more rows, the more folders.
+        Without ``groups`` no values are filed, which are most of the work: such an index can ``scan`` but not ``search``.
         """
         spark, path, most = rows.sparkSession, path.rstrip("/"), _reach(threshold)
         n_groups, size = groups_for(most)
@@ -99,11 +100,12 @@ class HammingIndex:
                         [pa.array(group), pa.array(_split(flat, size, first_bits).astype(np.int32)), pa.array(flat), pa.array(np.repeat(part.column("idx").to_numpy(), n_groups))], names=["grp", "first", "value", "idx"]
                     )
 
-        entries = vectors.select("idx", "v").mapInArrow(filed, "grp int, first int, value long, idx long")
-        blocks = int(min(n_groups, max(1, np.ceil(n_groups * n / folder_entries))))
-        folder = F.concat_ws("-", F.floor(F.col("grp") * blocks / n_groups).cast("int"), "first").alias("folder")
-        dealt = entries.select(folder, "grp", "value", "idx").repartition("folder").sortWithinPartitions("folder", "grp", "value")
-        dealt.write.partitionBy("folder").mode("overwrite").parquet(f"{path}/values")
+        blocks = int(min(n_groups, max(1, np.ceil(n_groups * n / folder_entries)))) if groups else 0
+        if groups:
+            entries = vectors.select("idx", "v").mapInArrow(filed, "grp int, first int, value long, idx long")
+            folder = F.concat_ws("-", F.floor(F.col("grp") * blocks / n_groups).cast("int"), "first").alias("folder")
+            dealt = entries.select(folder, "grp", "value", "idx").repartition("folder").sortWithinPartitions("folder", "grp", "value")
+            dealt.write.partitionBy("folder").mode("overwrite").parquet(f"{path}/values")
         spark.createDataFrame([(n, most, first_bits, blocks)], "n long, most int, first_bits int, blocks int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         return cls(spark, path)
 
@@ -112,6 +114,8 @@ class HammingIndex:
         most = _reach(threshold)
         if most > self.most:
             raise ValueError(f"the index was built for distances up to {self.most}")
+        if not self.blocks:
+            raise ValueError("the index was built without groups: it can be scanned only")
         words = query if isinstance(query, np.ndarray) else query_words(self.spark.range(1), query)
         n_groups, size = groups_for(self.most)
         near = near_values(words, self.most)

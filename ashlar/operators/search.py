@@ -184,9 +184,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, fp: str = "fp", quer
 
 def duplicates(rows: DataFrame, fp: str = "fp", idx: str = "idx") -> DataFrame:
     """Groups of equal fingerprints: (fp_key, n, first).  Hashes of texts that differ lie about 5,000 bits apart, so
-    for any similarity over 0.8 this equality is the whole pair search."""
-    keys = F.concat_ws(",", F.transform(F.col(fp), lambda w: w.cast("string")))
-    return rows.groupBy(F.sha2(keys, 256).alias("fp_key")).agg(F.count(F.lit(1)).alias("n"), F.min(idx).alias("first")).where("n > 1")
+    for any similarity over 0.8 this equality is the whole pair search.  Rows are grouped by the words themselves; a key is made once a group."""
+    groups = rows.groupBy(F.col(fp).alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.min(idx).alias("first")).where("n > 1")
+    return groups.select(F.sha2(F.concat_ws(",", F.transform("fp", lambda w: w.cast("string"))), 256).alias("fp_key"), "n", "first")
 
 
 def similar_pairs(rows: DataFrame, threshold: float = 0.8, missed: float = 0.001, fp: str = "fp", idx: str = "idx") -> DataFrame:

@@ -190,10 +190,10 @@ def state_roundtrip(spark, sf_dir):
 # ---- search
 
 
-def part_index(spark: SparkSession, sf_dir: str) -> hamming.HammingIndex:
-    """An index of the fingerprints of all parts' names, in the shared folder."""
+def part_index(spark: SparkSession, sf_dir: str, groups: bool = True) -> hamming.HammingIndex:
+    """An index of the fingerprints of all parts' names, in the shared folder; a scan needs no ``groups``."""
     rows = project.seeded(t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("idx"), "p_name"), "p_name")
-    return hamming.HammingIndex.build(rows, f"{graph.shared_folder(spark)}/hamming-{uuid.uuid4().hex}")
+    return hamming.HammingIndex.build(rows, f"{graph.shared_folder(spark)}/hamming-{uuid.uuid4().hex}", groups=groups)
 
 
 #: The vector of part 7's name with its first 15 words turned over: 960 bits away.
@@ -214,7 +214,7 @@ def indexed_search(spark, sf_dir):
 @query(_TURNED)
 def multi_resolution_search(spark, sf_dir):
     """The same by resolution: the first 2,304 bits of all vectors, then the whole of what they do not rule out."""
-    return part_index(spark, sf_dir).scan(turned(spark, sf_dir), 0.9)[0]
+    return part_index(spark, sf_dir, groups=False).scan(turned(spark, sf_dir), 0.9)[0]
 
 
 @query("""WITH e AS (SELECT vec_id::bigint AS idx, list_transform(embedding, lambda x: greatest(0, least(62, floor((x::double + 0.375) * (62 / 0.75::double))))::int) AS q FROM embeddings),
@@ -298,7 +298,7 @@ def duplicate_vectors(spark, sf_dir):
     """Groups of equal vectors; their keys are told by the text that made them."""
     o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), "o_orderstatus")
     names = o.select("o_orderstatus").distinct()
-    fps = project.seeded(names, "o_orderstatus")
+    fps = graph.cut(project.seeded(names, "o_orderstatus"))  # or the condition that keys are not null would go below distinct(), where a vector is made for every order
     groups = search.duplicates(fps.join(o, "o_orderstatus"))
     keys = fps.select("o_orderstatus", F.sha2(F.concat_ws(",", F.transform("fp", lambda w: w.cast("string"))), 256).alias("fp_key"))
     return groups.join(keys, "fp_key").select(F.col("o_orderstatus").alias("fp_key"), "n", "first")

@@ -110,3 +110,24 @@ def test_equal_vectors_meet_their_least_row(spark):
 
 def test_join_of_nothing(spark):
     assert hamming.similarity_join(spark.createDataFrame([], "idx long, fp array<long>"), 0.9)[0].collect() == []
+
+
+def test_duplicate_vectors_are_made_once_a_text(spark, sf_dir):
+    from ashlar import queries
+
+    plan = queries.QUERIES["duplicate_vectors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_seeded" not in plan
+
+
+def test_an_index_without_groups_scans_alone(spark, tmp_path):
+    import pytest
+
+    from ashlar.functions import project
+
+    rows = project.seeded(spark.range(50).selectExpr("id AS idx", "concat('n', id) AS name"), "name")
+    index = hamming.HammingIndex.build(rows, str(tmp_path / "i"), groups=False)
+    assert not (tmp_path / "i" / "values").exists()
+    found, _ = index.scan("n7")
+    assert [(r.idx, r.distance) for r in found.collect()] == [(7, 0)]
+    with pytest.raises(ValueError):
+        hamming.HammingIndex(spark, str(tmp_path / "i")).search("n7")
