@@ -131,10 +131,19 @@ def emerging_patterns(baskets: DataFrame, known: DataFrame, k: int = 5, least: i
     return new.select("a", "b", "n", F.least(F.col("n") / 10, F.lit(0.7)).alias("confidence"))
 
 
+#: Items of patterns, so many at most (counted first), that travel with the tasks.
+HOOKS_SENT = 100_000
+
+
+def _sent(hooks: DataFrame) -> DataFrame:
+    """Patterns by their items, for a join with the baskets' items: broadcast if few, so that baskets are not dealt by items, of which a few may be in most of them."""
+    return F.broadcast(hooks) if hooks.limit(HOOKS_SENT + 1).count() <= HOOKS_SENT else hooks
+
+
 def predict_missing(items: DataFrame, patterns: DataFrame) -> DataFrame:
     """(seq, item, score): for baskets, items of patterns (name, items, confidence) they partly hold, by the best pattern."""
     parts = patterns.select("items", "confidence").withColumnRenamed("items", "pattern").withColumn("hook", F.explode("pattern"))
-    touched = items.select("seq", "items", F.explode(F.array_distinct("items")).alias("hook")).join(parts, "hook").drop("hook").distinct()
+    touched = items.select("seq", "items", F.explode(F.array_distinct("items")).alias("hook")).join(_sent(parts), "hook").drop("hook").distinct()
     overlap = F.size(F.array_intersect("items", "pattern"))
     score = overlap / F.size("pattern") * F.col("confidence")
     missing = touched.select("seq", F.explode(F.array_except("pattern", "items")).alias("item"), score.alias("score"))
@@ -147,7 +156,7 @@ def reinforce(baskets: DataFrame, patterns: DataFrame, gain: float = 0.1, overla
     Gains only add, so the order does not matter until feedback or decay come in (see learning.fold).
     """
     hooks = patterns.withColumnRenamed("items", "pattern").withColumn("hook", F.explode("pattern"))
-    touched = baskets.select("seq", "items", F.explode(F.array_distinct("items")).alias("hook")).join(hooks, "hook").select("seq", "name", "items", "pattern").distinct()
+    touched = baskets.select("seq", "items", F.explode(F.array_distinct("items")).alias("hook")).join(_sent(hooks), "hook").select("seq", "name", "items", "pattern").distinct()
     share = touched.select("name", (F.size(F.array_intersect("items", "pattern")) / F.size("pattern")).alias("s")).where(F.col("s") > overlap)
     gained = share.groupBy("name").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
     new = F.least(F.lit(1.0), F.col("confidence") + gain * F.coalesce("s", F.lit(0.0)))
@@ -245,7 +254,7 @@ def seed_principles(spark: SparkSession) -> DataFrame:
 def suggested_fixes(baskets: DataFrame, patterns: DataFrame) -> DataFrame:
     """(seq, name, score) by score: syndromes (kind SYNDROME) of which a basket holds over 0.3, scored overlap x confidence, and recipes for a smell it holds, scored by confidence."""
     hooks = patterns.where("kind in ('SYNDROME', 'REFACTORING_RECIPE')").select("kind", "name", "confidence", F.array_distinct("items").alias("pattern"))
-    touched = baskets.select("seq", F.explode(F.array_distinct("items")).alias("hook")).join(hooks.withColumn("hook", F.explode("pattern")), "hook")
+    touched = baskets.select("seq", F.explode(F.array_distinct("items")).alias("hook")).join(_sent(hooks.withColumn("hook", F.explode("pattern"))), "hook")
     held = touched.groupBy("seq", "kind", "name", "confidence", F.size("pattern").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.col("size")
     score = F.when(F.col("kind") == "SYNDROME", F.when(share > 0.3, share * F.col("confidence"))).otherwise(F.col("confidence"))

@@ -189,3 +189,12 @@ def test_reach_in_one_plan_equals_the_loop(spark, monkeypatch):
             monkeypatch.setattr(graph, "ONE_PLAN", -1)
             assert one == sorted(map(tuple, graph.reach(starts, links, hops, backwards).collect()))
             assert (99, 99, 0) in one
+
+
+def test_baskets_are_not_dealt_by_items(spark):
+    baskets = spark.createDataFrame([(i, ["x", "y"]) for i in range(30)], "seq long, items array<string>")
+    patterns = spark.createDataFrame([("p", ["x", "y", "z"], 0.9)], "name string, items array<string>, confidence double")
+    found = [mining.predict_missing(baskets, patterns), mining.reinforce(baskets, patterns), mining.suggested_fixes(baskets, patterns.withColumn("kind", F.lit("SYNDROME")))]
+    for frame in found:
+        assert "hashpartitioning(hook" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert [(r.item, round(r.score, 6)) for r in found[0].collect()] == [("z", 0.6)] * 30
