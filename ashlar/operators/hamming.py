@@ -81,7 +81,8 @@ class HammingIndex:
         """
         spark, path, most = rows.sparkSession, path.rstrip("/"), _reach(threshold)
         n_groups, size = groups_for(most)
-        own = rows.select(F.col(idx).cast("long").alias("idx"), F.col(fp).alias("v")).where("idx IS NOT NULL AND v IS NOT NULL")
+        # vectors are written once as they come: both the condition and the sample for the ranges would make them again
+        own = cut(rows.select(F.col(idx).cast("long").alias("idx"), F.col(fp).alias("v"))).where("idx IS NOT NULL AND v IS NOT NULL")
         coarse = F.slice("v", 1, COARSE_WORDS).alias("coarse")
         own.select("idx", coarse, "v").repartitionByRange("idx").sortWithinPartitions("idx").write.option("parquet.page.size", "65536").option("parquet.enable.dictionary", "false").mode("overwrite").parquet(f"{path}/vectors")
         vectors = spark.read.parquet(f"{path}/vectors")
