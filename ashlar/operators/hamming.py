@@ -4,7 +4,7 @@ Search: of C + 1 groups of bits, two vectors that differ in at most r bits diffe
 (FLIPS + 1) is more than r.  Each row is filed under the values of its groups; a query looks up the values within FLIPS bits of its own.
 
 Join: rows go to the cell of their nearest pivot; a row visits the cell of another pivot only if the triangle inequality leaves room there for a
-partner.
+partner.  Where a sample of rows shows that this spares little, every two blocks of rows meet in a task instead, as compact codes.
 """
 
 from __future__ import annotations
@@ -34,6 +34,12 @@ COARSE_WORDS = 36
 #: Rows of a cell, about; pivots are so many that cells are of this size, but at most PIVOTS.
 CELL_ROWS = 2_048
 PIVOTS = 512
+#: Rows that tell whether cells spare work, and the share of the cells below its own that a row visits at most if they do.
+PROBES, CROWDED = 512, 0.5
+#: Rows of a block where every two blocks meet, at most; smaller tables make up to SPREAD blocks of SMALL_BLOCK rows or more, so that all cores have work.
+BLOCK_ROWS, SPREAD, SMALL_BLOCK = 8_192, 16, 1_024
+#: Pairs that a comparison hands on at a time, about: however many are near, it holds no more.
+BATCH_PAIRS = 65_536
 
 
 def _reach(threshold: float) -> int:
@@ -164,27 +170,83 @@ def distances_within(rows: DataFrame, words: np.ndarray, most: int) -> DataFrame
     return rows.select("idx", "v").mapInArrow(run, "idx long, distance long")
 
 
-def _pairs_between(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, most: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs within ``most`` bits: the first words of all, the rest of what they leave.  ``same``: both sides are the same rows, each pair is wanted once."""
-    left, right, far = [], [], []
+def _bit_pairs(a: np.ndarray, b: np.ndarray, most: int, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of a, rows of b, distances) within ``most`` bits: the first words of all, the rest of what they leave.  ``same``: both sides are the same rows, each pair is wanted once."""
     for i in range(len(a)):
-        others = np.arange(i + 1 if same else 0, len(b))
-        head = np.bitwise_count(b[others, :COARSE_WORDS] ^ a[i, :COARSE_WORDS]).sum(axis=1, dtype=np.int64)
-        others, head = others[head <= most], head[head <= most]
-        d = head + np.bitwise_count(b[others, COARSE_WORDS:] ^ a[i, COARSE_WORDS:]).sum(axis=1, dtype=np.int64)
-        near = d <= most
-        left.append(np.full(int(near.sum()), a_ids[i]))
-        right.append(b_ids[others[near]])
-        far.append(d[near])
-    whole = lambda c: np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)
-    return whole(left), whole(right), whole(far)
-
-
-def pivots_of(rows: DataFrame, n: int, cell_rows: int = CELL_ROWS) -> np.ndarray:
-    """Up to PIVOTS rows, by a hash of their vectors: where rows are dense there are more of them, so cells stay of a size."""
+        first = i + 1 if same else 0
+        head = np.bitwise_count(b[first:, :COARSE_WORDS] ^ a[i, :COARSE_WORDS]).sum(axis=1, dtype=np.int64)
+        others = np.flatnonzero(head <= most)
+        d = head[others] + np.bitwise_count(b[first + others, COARSE_WORDS:] ^ a[i, COARSE_WORDS:]).sum(axis=1, dtype=np.int64)
+        yield i, first + others[d <= most], d[d <= most]
+
+
+def _level_pairs(a: np.ndarray, b: np.ndarray, most: int, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same for words with just low bits set, given as their number of bits, a byte a word: a distance is the sum of the differences.
+
+    A row of a meets all of b at once, which lies word by word.  As many differences as fit a byte are added up as bytes, their sums as 16 bits, those of
+    even and odd rows in turn.
+    """
+    words, n = a.shape[1], len(b)
+    together = min(words, 255 // max(1, int(a.max(initial=0)), int(b.max(initial=0))))
+    sums = -(-words // together)
+    rows, columns = np.zeros((len(a), sums * together), np.int8), np.zeros((sums * together, n + n % 2), np.int8)
+    rows[:, :words], columns[:words, :n] = a, b.T
+    d = np.empty_like(columns)
+    parts = d.view(np.uint8).reshape(together, sums, -1)
+    added = np.empty(parts.shape[1:], np.uint8)
+    twos = added.view(np.uint16)
+    wide, total = np.empty_like(twos), np.empty((2, twos.shape[1]), np.uint16)
+    for i in range(len(rows)):
+        np.absolute(np.subtract(columns, rows[i][:, None], out=d), out=d)
+        np.add.reduce(parts, axis=0, dtype=np.uint8, out=added)
+        np.add.reduce(np.bitwise_and(twos, 255, out=wide), axis=0, dtype=np.uint16, out=total[0])
+        np.add.reduce(np.right_shift(twos, 8, out=wide), axis=0, dtype=np.uint16, out=total[1])
+        odd, half = np.divmod(np.flatnonzero(total <= most), twos.shape[1])
+        others = 2 * half + odd
+        near = (others < n) & (others > i) if same else others < n
+        yield i, others[near], total[odd, half][near].astype(np.int64)
+
+
+def _batches(found: Iterator[tuple[int, np.ndarray, np.ndarray]], a_ids: np.ndarray, b_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance), a < b, of the pairs found, some BATCH_PAIRS at a time."""
+    held, n = [], 0
+
+    def batch() -> pa.RecordBatch:
+        p, q, d = (np.concatenate(c) for c in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(d)], names=["a", "b", "distance"])
+
+    for i, others, d in found:
+        if len(others):
+            held.append((np.full(len(others), a_ids[i], np.int64), b_ids[others], d))
+            n += len(others)
+        if n >= BATCH_PAIRS:
+            yield batch()
+            held, n = [], 0
+    if held:
+        yield batch()
+
+
+def pivots_of(rows: DataFrame, n: int, cell_rows: int = CELL_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(up to PIVOTS rows, by a hash of their vectors: where rows are dense there are more of them, so cells stay of a size; up to PROBES rows besides)."""
     k = int(min(PIVOTS, max(1, np.ceil(n / cell_rows))))
-    drawn = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(k).collect()
-    return np.array([r["v"] for r in drawn], dtype=np.int64).view(np.uint64).reshape(-1, V.WORDS)
+    drawn = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(k + PROBES).collect()
+    x = np.array([r["v"] for r in drawn], dtype=np.int64).view(np.uint64).reshape(-1, V.WORDS)
+    return x[:k], x[k:]
+
+
+def _cells(x: np.ndarray, pivots: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of the nearest pivot, whether each cell of lower number may hold a partner) of rows of words."""
+    d = np.stack([np.bitwise_count(x ^ q).sum(axis=1, dtype=np.int64) for q in pivots], axis=1)
+    home = d.argmin(axis=1)
+    return home, (d - d[np.arange(len(x)), home][:, None] <= 2 * most) & (np.arange(len(pivots)) < home[:, None])
+
+
+def crowded(pivots: np.ndarray, probes: np.ndarray, most: int) -> bool:
+    """Whether rows visit so many of the cells below their own that comparing all pairs costs hardly more than cells, which send each row once a visit."""
+    if not len(probes):
+        return False
+    home, visits = _cells(probes, pivots, most)
+    return bool(visits.sum() > CROWDED * home.sum())
 
 
 def placed(rows: DataFrame, pivots: np.ndarray, most: int) -> DataFrame:
@@ -200,9 +262,7 @@ def placed(rows: DataFrame, pivots: np.ndarray, most: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = matrix(part.column("v"))
-                d = np.stack([np.bitwise_count(x ^ q).sum(axis=1, dtype=np.int64) for q in p], axis=1)
-                home = d.argmin(axis=1)
-                visits = (d - d[np.arange(len(x)), home][:, None] <= 2 * most) & (np.arange(len(p)) < home[:, None])
+                home, visits = _cells(x, p, most)
                 row, cell = np.nonzero(visits)
                 row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
                 own = np.arange(len(row)) < len(x)
@@ -211,19 +271,69 @@ def placed(rows: DataFrame, pivots: np.ndarray, most: int) -> DataFrame:
     return rows.select("idx", "v").mapInArrow(deal, "cell int, home boolean, idx long, v array<long>")
 
 
+def all_pairs(rows: DataFrame, n: int, most: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """((a, b, distance), a < b, of all pairs of ``n`` rows (idx, v) within ``most`` bits, each once; the number of blocks, which is how often a row is sent).
+
+    Every two blocks of rows meet in a task.  Words behind the last one that any row uses are not sent, and words with just low bits set in all rows (see
+    ``bitvec.thermometer``) go as a byte each.  A task holds two blocks and a batch of pairs.
+    """
+
+    def told(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            x = matrix(batch.column("v"))
+            used = np.flatnonzero(x.any(axis=0)).max(initial=0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([not (x & (x + np.uint64(1))).any()]), pa.array([int(used)], pa.int32())], names=["levels", "words"])
+
+    levels, words = rows.select("v").mapInArrow(told, "levels boolean, words int").agg(F.bool_and("levels"), F.max("words")).first()
+    blocks = max(1, -(-n // block_rows), min(SPREAD, -(-n // SMALL_BLOCK)))
+
+    def packed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            x = np.ascontiguousarray(matrix(batch.column("v"))[:, :words])
+            code = np.bitwise_count(x) if levels else x.view(np.uint8)
+            ends = np.arange(len(code) + 1, dtype=np.int32) * np.int32(code.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(ends), pa.py_buffer(code)])], names=["idx", "code"])
+
+    def codes(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8 if levels else np.uint64).reshape(-1, words)
+
+    def compare(key: tuple[pa.Scalar, ...], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same, both = key[0].as_py() == key[1].as_py(), pa.Table.from_batches(stream)
+        one = both.filter(both["one"])
+        two = one if same else both.filter(pc.invert(both["one"]))
+        pairs = _level_pairs if levels else _bit_pairs
+        yield from _batches(pairs(codes(one["code"]), codes(two["code"]), most, same), one["idx"].to_numpy(), two["idx"].to_numpy())
+
+    own, other = F.col("block"), F.col("other")
+    dealt = rows.select("idx", "v").mapInArrow(packed, "idx long, code binary").withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own <= other).alias("one"), "idx", "code")
+    # as many partitions as tasks: adaptive execution would put small ones together, but their work is the square of their size
+    tasks = sent.repartition(min(4096, blocks * (blocks + 1) // 2), "x", "y")
+    return tasks.groupBy("x", "y").applyInArrow(compare, "a long, b long, distance long"), blocks
+
+
 def similarity_join(rows: DataFrame, threshold: float = 0.9, fp: str = "fp", idx: str = "idx", cell_rows: int = CELL_ROWS) -> tuple[DataFrame, float]:
     """((a, b, similarity), a < b, of all pairs of rows at least ``threshold`` similar, each once; how often a distinct vector was sent on average).
 
     Equal vectors meet as one row: a vector's own rows are paired with its least row only.  A cell with more rows than ``cell_rows`` is compared block by block,
     each pair of blocks in a task of its own.  Rows without vector or id take no part.  Where no two pivots are far apart, as among random vectors and wide
-    thresholds, rows visit every cell below their own: then this is all pairs, in equal tasks.
+    thresholds, rows would visit every cell below their own: then ``all_pairs`` compares them, in larger blocks that are sent less often.
     """
     most = _reach(threshold)
     own = rows.select(F.col(idx).cast("long").alias("idx"), F.col(fp).alias("v")).where("idx IS NOT NULL AND v IS NOT NULL")
     keyed = cut(own.withColumn("key", F.sha2(F.concat_ws(",", F.transform("v", lambda w: w.cast("string"))), 256)))
     reps = cut(keyed.groupBy("key").agg(F.min_by("v", "idx").alias("v"), F.min("idx").alias("idx")).select("idx", "v", "key"))
     n = reps.count()
-    dealt = cut(placed(reps, pivots_of(reps, n, cell_rows), most)) if n else reps.select(F.lit(0).alias("cell"), F.lit(True).alias("home"), "idx", "v")
+    pivots, probes = pivots_of(reps, n, cell_rows)
+    found, copied = all_pairs(reps, n, most) if crowded(pivots, probes, most) else _by_cells(reps, n, pivots, most, cell_rows)
+    near = found.select("a", "b", (1 - F.col("distance") / F.lit(float(V.BITS))).alias("similarity"))
+    copies = keyed.select("key", F.col("idx").alias("b")).join(reps.select("key", F.col("idx").alias("a")), "key").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return near.unionByName(copies), float(copied)
+
+
+def _by_cells(reps: DataFrame, n: int, pivots: np.ndarray, most: int, cell_rows: int) -> tuple[DataFrame, float]:
+    """((a, b, distance) of all pairs of ``n`` rows (idx, v) within ``most`` bits; how often a row was sent on average), cell by cell."""
+    dealt = cut(placed(reps, pivots, most)) if n else reps.select(F.lit(0).alias("cell"), F.lit(True).alias("home"), "idx", "v")
     sizes = dealt.groupBy("cell", "home").count()
     blocks = sizes.groupBy("cell").agg(*[F.ceil(F.sum(F.when(F.col("home") == h, F.col("count")).otherwise(0)) / cell_rows).cast("int").alias(x) for h, x in ((True, "own"), (False, "guests"))])
     sent = sizes.agg(F.sum("count")).first()[0] or 0
@@ -239,16 +349,12 @@ def similarity_join(rows: DataFrame, threshold: float = 0.9, fp: str = "fp", idx
     guests = known.where("not home").withColumn("y", block(F.col("guests"))).select("cell", F.explode(to(zero, F.col("own"))).alias("x"), "y", F.lit(1).alias("kind"), "idx", "v")
     keys = ["cell", "x", "y", "kind"]
 
-    def compare(key: tuple, both: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, x, y, kind = (k.as_py() for k in key)
-        same = kind == 0 and x == y
+        same, both = kind == 0 and x == y, pa.Table.from_batches(stream)
         one = both.filter(both["one"])
         two = one if same else both.filter(pc.invert(both["one"]))
-        p, q, d = _pairs_between(one["idx"].to_numpy(), matrix(one["v"]), two["idx"].to_numpy(), matrix(two["v"]), most, same)
-        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q), "distance": d})
+        yield from _batches(_bit_pairs(matrix(one["v"]), matrix(two["v"]), most, same), one["idx"].to_numpy(), two["idx"].to_numpy())
 
     tasks = first.withColumn("one", F.lit(True)).unionByName(second.unionByName(guests).withColumn("one", F.lit(False)))
-    found = tasks.groupBy(*keys).applyInArrow(compare, "a long, b long, distance long")
-    near = found.select("a", "b", (1 - F.col("distance") / F.lit(float(V.BITS))).alias("similarity"))
-    copies = keyed.select("key", F.col("idx").alias("b")).join(reps.select("key", F.col("idx").alias("a")), "key").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    return near.unionByName(copies), sent / max(1, n)
+    return tasks.groupBy(*keys).applyInArrow(compare, "a long, b long, distance long"), sent / max(1, n)

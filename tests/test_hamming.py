@@ -101,6 +101,41 @@ def test_rows_far_from_other_cells_do_not_visit_them(spark):
     assert got == pairs(x, range(160), 500) and copies < 4  # of 16 cells
 
 
+def level_codes(rng, n, dimensions=64):
+    x = rng.normal(size=(n, dimensions))
+    levels = np.clip(np.floor((x / np.linalg.norm(x, axis=1, keepdims=True) + 0.375) * (62 / 0.75)), 0, 62).astype(np.int64)
+    return np.concatenate([(np.int64(1) << levels) - 1, np.zeros((n, V.WORDS - dimensions), np.int64)], axis=1)
+
+
+def test_crowded_rows_are_sent_once_a_block_and_keep_every_pair(spark):
+    rng = np.random.default_rng(8)
+    x, ids = level_codes(rng, 300), [int(i) for i in rng.permutation(1000)[:300]]
+    found, copies = hamming.similarity_join(table(spark, x, ids), 0.94, cell_rows=5)
+    got = sorted((r.a, r.b, round((1 - r.similarity) * V.BITS)) for r in found.collect())
+    assert got == pairs(x, ids, 600) and len(got) > 50
+    assert copies == 1  # some 30 cells before
+
+
+@pytest.mark.parametrize("levels", [True, False])
+def test_all_pairs_block_by_block(spark, levels):
+    rng = np.random.default_rng(9)
+    x = level_codes(rng, 151)
+    x[:3, 5:9] = [[-1] * 4, [0] * 4, [2**63 - 1] * 4]  # levels up to 64, which three together fit a byte
+    if not levels:
+        x[7, V.WORDS - 1] = 6
+    ids = [int(i) for i in rng.permutation(1000)[:151]]
+    rows = table(spark, x, ids).where("idx IS NOT NULL AND fp IS NOT NULL").withColumnRenamed("fp", "v")
+    found, blocks = hamming.all_pairs(rows, 151, 650, block_rows=40)
+    assert blocks == 4 and sorted((r.a, r.b, r.distance) for r in found.collect()) == pairs(x, ids, 650)
+
+
+def test_a_comparison_hands_on_its_pairs_in_batches():
+    same = np.full((1000, 3), 5, np.uint8)
+    ids = np.arange(1000)
+    sizes = [b.num_rows for b in hamming._batches(hamming._level_pairs(same, same, 0, True), ids, ids)]
+    assert sum(sizes) == 1000 * 999 // 2 and max(sizes) < hamming.BATCH_PAIRS + 1000
+
+
 def test_equal_vectors_meet_their_least_row(spark):
     rng = np.random.default_rng(6)
     one = words(rng.integers(0, 2, (1, V.BITS), dtype=np.uint8))[0]
