@@ -37,7 +37,7 @@ PIVOTS = 512
 #: Rows that tell whether cells spare work, and the share of the cells below its own that a row visits at most if they do.
 PROBES, CROWDED = 512, 0.5
 #: Rows of a block where every two blocks meet, at most; smaller tables make up to SPREAD blocks of SMALL_BLOCK rows or more, so that all cores have work.
-BLOCK_ROWS, SPREAD, SMALL_BLOCK = 8_192, 16, 1_024
+BLOCK_ROWS, SPREAD, SMALL_BLOCK = 16_384, 16, 1_024
 #: Pairs that a comparison hands on at a time, about: however many are near, it holds no more.
 BATCH_PAIRS = 65_536
 
@@ -183,28 +183,28 @@ def _bit_pairs(a: np.ndarray, b: np.ndarray, most: int, same: bool) -> Iterator[
 def _level_pairs(a: np.ndarray, b: np.ndarray, most: int, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The same for words with just low bits set, given as their number of bits, a byte a word: a distance is the sum of the differences.
 
-    A row of a meets all of b at once, which lies word by word.  As many differences as fit a byte are added up as bytes, their sums as 16 bits, those of
-    even and odd rows in turn.
+    A row of a meets all of b at once, which lies word by word, one half of its rows in even places and one in odd.  As many differences as fit a byte
+    are added up as bytes, then the sums of either half as 16 bits.
     """
     words, n = a.shape[1], len(b)
-    together = min(words, 255 // max(1, int(a.max(initial=0)), int(b.max(initial=0))))
+    together, half = min(words, 255 // max(1, int(a.max(initial=0)), int(b.max(initial=0)))), -(-n // 2)
     sums = -(-words // together)
-    rows, columns = np.zeros((len(a), sums * together), np.int8), np.zeros((sums * together, n + n % 2), np.int8)
-    rows[:, :words], columns[:words, :n] = a, b.T
+    rows, columns = np.zeros((len(a), sums * together), np.int8), np.zeros((sums * together, 2 * half), np.int8)
+    rows[:, :words], columns[:words, 0::2], columns[:words, 1 : 2 * (n - half) : 2] = a, b[:half].T, b[half:].T
     d = np.empty_like(columns)
-    parts = d.view(np.uint8).reshape(together, sums, -1)
-    added = np.empty(parts.shape[1:], np.uint8)
+    parts = d.view(np.uint8).reshape(together, sums, 2 * half)
+    added = np.empty((sums, 2 * half), np.uint8)
     twos = added.view(np.uint16)
-    wide, total = np.empty_like(twos), np.empty((2, twos.shape[1]), np.uint16)
+    wide, total = np.empty_like(twos), np.empty((2, half), np.uint16)
     for i in range(len(rows)):
         np.absolute(np.subtract(columns, rows[i][:, None], out=d), out=d)
         np.add.reduce(parts, axis=0, dtype=np.uint8, out=added)
         np.add.reduce(np.bitwise_and(twos, 255, out=wide), axis=0, dtype=np.uint16, out=total[0])
         np.add.reduce(np.right_shift(twos, 8, out=wide), axis=0, dtype=np.uint16, out=total[1])
-        odd, half = np.divmod(np.flatnonzero(total <= most), twos.shape[1])
-        others = 2 * half + odd
-        near = (others < n) & (others > i) if same else others < n
-        yield i, others[near], total[odd, half][near].astype(np.int64)
+        first = i + 1 if same else 0
+        far = total.reshape(-1)[first:n]
+        near = np.flatnonzero(far <= most)
+        yield i, first + near, far[near]
 
 
 def _batches(found: Iterator[tuple[int, np.ndarray, np.ndarray]], a_ids: np.ndarray, b_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -212,12 +212,13 @@ def _batches(found: Iterator[tuple[int, np.ndarray, np.ndarray]], a_ids: np.ndar
     held, n = [], 0
 
     def batch() -> pa.RecordBatch:
-        p, q, d = (np.concatenate(c) for c in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(d)], names=["a", "b", "distance"])
+        rows, others, d = zip(*held, strict=True)
+        p, q = np.repeat(a_ids[list(rows)], [len(o) for o in others]), b_ids[np.concatenate(others)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.concatenate(d).astype(np.int64))], names=["a", "b", "distance"])
 
     for i, others, d in found:
         if len(others):
-            held.append((np.full(len(others), a_ids[i], np.int64), b_ids[others], d))
+            held.append((i, others, d))
             n += len(others)
         if n >= BATCH_PAIRS:
             yield batch()
