@@ -6,6 +6,7 @@ Projection keeps similarity.  Its matrix follows from a seed, so every worker ma
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -177,6 +178,13 @@ def encode_state(tau: pa.Array, sigma: pa.Array, qualia: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _correlation(own: np.ndarray, base: np.ndarray) -> float | None:
+    """Of bits, from their counts, so that equal and opposite bits give just 1 and -1; None without variation."""
+    n, x, y, both = len(base), int(np.count_nonzero(own)), int(np.count_nonzero(base)), int(np.count_nonzero(base[own != 0]))
+    varied = x * (n - x) * y * (n - y)
+    return (n * both - x * y) / math.sqrt(varied) if varied else None
+
+
 @F.arrow_udf(StructType([StructField("tau", DoubleType()), StructField("sigma", DoubleType())]))
 def decode_state(vector: pa.Array) -> pa.Array:
     """tau and sigma of state vectors, as correlations with the bases (sigma moved to 0..1); a part without variation gives null."""
@@ -185,9 +193,8 @@ def decode_state(vector: pa.Array) -> pa.Array:
     rows = []
     for v in vector.to_pylist():
         bits = np.unpackbits(np.frombuffer(v if v is not None else bytes(BYTES), dtype=np.uint8))
-        like = lambda own, base: float(np.corrcoef(own.astype(float), base.astype(float))[0, 1]) if own.min() != own.max() else None
-        s = like(bits[c:d], signal)
-        rows.append({"tau": like(bits[a:b], time), "sigma": None if s is None else max(0.0, min(1.0, (s + 1) / 2))})
+        s = _correlation(bits[c:d], signal)
+        rows.append({"tau": _correlation(bits[a:b], time), "sigma": None if s is None else max(0.0, min(1.0, (s + 1) / 2))})
     return pa.array(rows, pa.struct([("tau", pa.float64()), ("sigma", pa.float64())]))
 
 

@@ -190,3 +190,16 @@ def test_projection_of_a_large_batch_takes_bounded_memory():
     tracemalloc.stop()
     assert [bytes(w) for w in want] == list(got)
     assert peak < 80_000_000  # products of all rows at once take 160 MB
+
+
+def test_correlation_of_bits_is_exact_at_its_ends():
+    import numpy as np
+
+    from ashlar.functions import project
+
+    for base in project._bases()[:2]:
+        bits = base.astype(np.uint8)
+        assert project._correlation(bits, base) == 1.0 and project._correlation(1 - bits, base) == -1.0
+        assert project._correlation(0 * bits, base) is None and project._correlation(0 * bits + 1, base) is None
+        other = np.random.default_rng(1).integers(0, 2, len(base), dtype=np.uint8)
+        assert abs(project._correlation(other, base) - np.corrcoef(other, base)[0, 1]) < 1e-12
