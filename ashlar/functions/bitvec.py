@@ -249,7 +249,7 @@ def probe(record: Column, field: Column) -> Column:
 
 def thermometer(values: Column, low: float, high: float, levels: int = 62) -> Column:
     """A vector whose words stand for the dimensions of ``values`` (157 at most): word d has as many low bits set as levels between ``low`` and ``high``
-    lie under value d, so the Hamming distance of two of them is the sum of the differences in levels."""
-    level = lambda x: F.greatest(F.lit(0), F.least(F.lit(levels), F.floor((x.cast("double") - low) * (levels / (high - low))).cast("int")))
+    lie under value d, so the Hamming distance of two of them is the sum of the differences in levels.  Null and NaN count as above ``high``; no values give null."""
+    level = lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(levels)), (x.cast("double") - low) * (levels / (high - low))))).cast("int")
     words = F.transform(values, lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), level(x)) - 1)
-    return F.slice(F.concat(words, F.array_repeat(F.lit(0).cast("long"), WORDS)), 1, WORDS)
+    return F.when(F.size(values) > 0, F.slice(F.concat(words, F.array_repeat(F.lit(0).cast("long"), WORDS)), 1, WORDS))

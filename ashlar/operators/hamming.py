@@ -40,6 +40,8 @@ PROBES, CROWDED = 512, 0.5
 BLOCK_ROWS, SPREAD, SMALL_BLOCK = 16_384, 16, 1_024
 #: Pairs that a comparison hands on at a time, about: however many are near, it holds no more.
 BATCH_PAIRS = 65_536
+#: Copies of a vector that meet as one row, about, where every copy is paired; in very large tables more, so that fewer than LARGE vectors have more copies and travel with the tasks.
+COPIES, LARGE = 256, 50_000
 
 
 def _reach(threshold: float) -> int:
@@ -207,14 +209,43 @@ def _level_pairs(a: np.ndarray, b: np.ndarray, most: int, same: bool) -> Iterato
         yield i, first + near, far[near]
 
 
+def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, the places where the ids of each row begin, and their end) of a column of ids or of arrays of ids."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(), np.arange(len(column) + 1)
+    return pc.list_flatten(column).to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(), dtype=np.int64)])
+
+
+def _members(found: Iterator[tuple[int, np.ndarray, np.ndarray]], a_at: np.ndarray, b_at: np.ndarray, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of an id, places of others, distances) of the rows found: every id of one with every id of the other, and the ids of a row with each other."""
+    sizes = np.diff(b_at)
+    for i, others, d in found:
+        n = sizes[others]
+        places, far = np.repeat(b_at[others] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(d, n).astype(np.int64)
+        for m in range(a_at[i], a_at[i + 1]):
+            own = np.arange(m + 1, a_at[i + 1] if same else m + 1)
+            q, e = np.concatenate([own, places]), np.concatenate([np.zeros(len(own), np.int64), far])
+            for at in range(0, len(q), BATCH_PAIRS):
+                yield m, q[at : at + BATCH_PAIRS], e[at : at + BATCH_PAIRS]
+
+
+def _met(pairs, a: np.ndarray, b: np.ndarray, most: int, same: bool, a_rows: pa.ChunkedArray, b_rows: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance), a < b, of all ids whose rows ``pairs`` finds near."""
+    found, (a_ids, a_at), (b_ids, b_at) = pairs(a, b, most, same), _ids(a_rows), _ids(b_rows)
+    if len(a_ids) > len(a) or len(b_ids) > len(b):
+        found = _members(found, a_at, b_at, same)
+    yield from _batches(found, a_ids, b_ids)
+
+
 def _batches(found: Iterator[tuple[int, np.ndarray, np.ndarray]], a_ids: np.ndarray, b_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(a, b, distance), a < b, of the pairs found, some BATCH_PAIRS at a time."""
+    """(a, b, distance), a < b, of the pairs found, some BATCH_PAIRS at a time; rows with one id are no pair."""
     held, n = [], 0
 
     def batch() -> pa.RecordBatch:
         rows, others, d = zip(*held, strict=True)
         p, q = np.repeat(a_ids[list(rows)], [len(o) for o in others]), b_ids[np.concatenate(others)]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.concatenate(d).astype(np.int64))], names=["a", "b", "distance"])
+        two = p != q
+        return pa.RecordBatch.from_arrays([pa.array(x[two]) for x in (np.minimum(p, q), np.maximum(p, q), np.concatenate(d).astype(np.int64))], names=["a", "b", "distance"])
 
     for i, others, d in found:
         if len(others):
@@ -269,12 +300,17 @@ def placed(rows: DataFrame, pivots: np.ndarray, most: int) -> DataFrame:
                 own = np.arange(len(row)) < len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(own), *[c.take(pa.array(row)) for c in (part.column("idx"), part.column("v"))]], names=["cell", "home", "idx", "v"])
 
-    return rows.select("idx", "v").mapInArrow(deal, "cell int, home boolean, idx long, v array<long>")
+    return rows.select("idx", "v").mapInArrow(deal, f"cell int, home boolean, idx {_id_type(rows)}, v array<long>")
+
+
+def _id_type(rows: DataFrame) -> str:
+    return rows.schema["idx"].dataType.simpleString()
 
 
 def all_pairs(rows: DataFrame, n: int, most: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     """((a, b, distance), a < b, of all pairs of ``n`` rows (idx, v) within ``most`` bits, each once; the number of blocks, which is how often a row is sent).
 
+    A row may stand for all rows with its vector: ``idx`` is then an array of their ids, which ``n`` counts, and every id is paired.
     Every two blocks of rows meet in a task.  Words behind the last one that any row uses are not sent, and words with just low bits set in all rows (see
     ``bitvec.thermometer``) go as a byte each.  A task holds two blocks and a batch of pairs.
     """
@@ -303,39 +339,58 @@ def all_pairs(rows: DataFrame, n: int, most: int, block_rows: int = BLOCK_ROWS)
         one = both.filter(both["one"])
         two = one if same else both.filter(pc.invert(both["one"]))
         pairs = _level_pairs if levels else _bit_pairs
-        yield from _batches(pairs(codes(one["code"]), codes(two["code"]), most, same), one["idx"].to_numpy(), two["idx"].to_numpy())
+        yield from _met(pairs, codes(one["code"]), codes(two["code"]), most, same, one["idx"], two["idx"])
 
     own, other = F.col("block"), F.col("other")
-    dealt = rows.select("idx", "v").mapInArrow(packed, "idx long, code binary").withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
+    dealt = rows.select("idx", "v").mapInArrow(packed, f"idx {_id_type(rows)}, code binary").withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own <= other).alias("one"), "idx", "code")
     # as many partitions as tasks: adaptive execution would put small ones together, but their work is the square of their size
     tasks = sent.repartition(min(4096, blocks * (blocks + 1) // 2), "x", "y")
     return tasks.groupBy("x", "y").applyInArrow(compare, "a long, b long, distance long"), blocks
 
 
-def similarity_join(rows: DataFrame, threshold: float = 0.9, fp: str = "fp", idx: str = "idx", cell_rows: int = CELL_ROWS) -> tuple[DataFrame, float]:
+def _copies_together(keyed: DataFrame, n: int) -> DataFrame:
+    """(idx, v, part): of ``n`` rows (idx, v, key, row) those of one vector as one row with an array of their ids, or in several parts if there are many."""
+    each = max(COPIES, -(-n // LARGE))
+    large = keyed.groupBy("key").count().where(F.col("count") > each)
+    part = F.coalesce(F.pmod(F.xxhash64("row"), F.ceil(F.col("count") / each)), F.lit(0).cast("long")).alias("part")
+    return keyed.join(F.broadcast(large), "key", "left").groupBy("key", part).agg(F.first("v").alias("v"), F.collect_list("idx").alias("idx")).select("idx", "v", "part")
+
+
+def similarity_join(rows: DataFrame, threshold: float = 0.9, fp: str = "fp", idx: str = "idx", cell_rows: int = CELL_ROWS, every_copy: bool = False) -> tuple[DataFrame, float]:
     """((a, b, similarity), a < b, of all pairs of rows at least ``threshold`` similar, each once; how often a distinct vector was sent on average).
 
-    Equal vectors meet as one row: a vector's own rows are paired with its least row only.  A cell with more rows than ``cell_rows`` is compared block by block,
+    Equal vectors meet as one row.  With ``every_copy`` each of its rows is in all pairs that it makes; without, the result is compact: pairs of the vectors' least
+    rows, and a vector's own rows paired with its least row only.  A cell with more rows than ``cell_rows`` is compared block by block,
     each pair of blocks in a task of its own.  Rows without vector or id take no part.  Where no two pivots are far apart, as among random vectors and wide
     thresholds, rows would visit every cell below their own: then ``all_pairs`` compares them, in larger blocks that are sent less often.
     """
     most = _reach(threshold)
     own = rows.select(F.col(idx).cast("long").alias("idx"), F.col(fp).alias("v")).where("idx IS NOT NULL AND v IS NOT NULL")
-    keyed = cut(own.withColumn("key", F.sha2(F.concat_ws(",", F.transform("v", lambda w: w.cast("string"))), 256)))
-    reps = cut(keyed.groupBy("key").agg(F.min_by("v", "idx").alias("v"), F.min("idx").alias("idx")).select("idx", "v", "key"))
-    n = reps.count()
-    pivots, probes = pivots_of(reps, n, cell_rows)
+    key = F.sha2(F.concat_ws(",", F.transform("v", lambda w: w.cast("string"))), 256)
+    keyed = cut(own.withColumn("key", key).withColumn("row", F.monotonically_increasing_id()))
+    if every_copy:
+        n = keyed.count()
+        reps = cut(_copies_together(keyed, n))
+        distinct = reps.where("part = 0")  # so that a vector of many copies is a pivot once
+        pivots, probes = pivots_of(distinct, distinct.count(), cell_rows)
+    else:
+        reps = cut(keyed.groupBy("key").agg(F.min_by("v", "idx").alias("v"), F.min("idx").alias("idx")).select("idx", "v", "key"))
+        n = reps.count()
+        pivots, probes = pivots_of(reps, n, cell_rows)
     found, copied = all_pairs(reps, n, most) if crowded(pivots, probes, most) else _by_cells(reps, n, pivots, most, cell_rows)
     near = found.select("a", "b", (1 - F.col("distance") / F.lit(float(V.BITS))).alias("similarity"))
+    if every_copy:
+        return near, float(copied)
     copies = keyed.select("key", F.col("idx").alias("b")).join(reps.select("key", F.col("idx").alias("a")), "key").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
     return near.unionByName(copies), float(copied)
 
 
 def _by_cells(reps: DataFrame, n: int, pivots: np.ndarray, most: int, cell_rows: int) -> tuple[DataFrame, float]:
-    """((a, b, distance) of all pairs of ``n`` rows (idx, v) within ``most`` bits; how often a row was sent on average), cell by cell."""
+    """((a, b, distance) of all pairs of ``n`` rows (idx, v) within ``most`` bits; how often a row was sent on average), cell by cell; ``idx`` as in ``all_pairs``."""
     dealt = cut(placed(reps, pivots, most)) if n else reps.select(F.lit(0).alias("cell"), F.lit(True).alias("home"), "idx", "v")
-    sizes = dealt.groupBy("cell", "home").count()
+    ids = F.lit(1) if _id_type(reps) == "bigint" else F.size("idx")
+    sizes = dealt.groupBy("cell", "home").agg(F.sum(ids).alias("count"))
     blocks = sizes.groupBy("cell").agg(*[F.ceil(F.sum(F.when(F.col("home") == h, F.col("count")).otherwise(0)) / cell_rows).cast("int").alias(x) for h, x in ((True, "own"), (False, "guests"))])
     sent = sizes.agg(F.sum("count")).first()[0] or 0
     block = lambda m: F.pmod(F.xxhash64("idx"), F.greatest(m, F.lit(1))).cast("int")
@@ -355,7 +410,7 @@ def _by_cells(reps: DataFrame, n: int, pivots: np.ndarray, most: int, cell_rows:
         same, both = kind == 0 and x == y, pa.Table.from_batches(stream)
         one = both.filter(both["one"])
         two = one if same else both.filter(pc.invert(both["one"]))
-        yield from _batches(_bit_pairs(matrix(one["v"]), matrix(two["v"]), most, same), one["idx"].to_numpy(), two["idx"].to_numpy())
+        yield from _met(_bit_pairs, matrix(one["v"]), matrix(two["v"]), most, same, one["idx"], two["idx"])
 
     tasks = first.withColumn("one", F.lit(True)).unionByName(second.unionByName(guests).withColumn("one", F.lit(False)))
     return tasks.groupBy(*keys).applyInArrow(compare, "a long, b long, distance long"), sent / max(1, n)

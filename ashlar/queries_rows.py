@@ -223,7 +223,7 @@ SELECT a, b, round(1 - distance / 10000.0::double, 6) AS similarity FROM d WHERE
 def similar_embeddings(spark, sf_dir):
     """All pairs of embeddings, as level codes, at least 0.94 similar."""
     codes = t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("idx"), V.thermometer(F.col("embedding"), -0.375, 0.375).alias("fp"))
-    return hamming.similarity_join(codes, 0.94, cell_rows=256)[0].select("a", "b", _r("similarity"))
+    return hamming.similarity_join(codes, 0.94, cell_rows=256, every_copy=True)[0].select("a", "b", _r("similarity"))
 
 
 SUP = f"v AS (SELECT s_suppkey::bigint AS idx, s_nationkey, s_name, {FP.format('s_name')} AS a FROM supplier)"

@@ -143,6 +143,45 @@ def test_equal_vectors_meet_their_least_row(spark):
     assert sorted((r.a, r.b, r.similarity) for r in found.collect()) == [(0, i, 1.0) for i in range(1, 30)]
 
 
+@pytest.mark.parametrize("way", ["cells", "blocks"])
+@pytest.mark.parametrize("copies", [256, 4])
+def test_every_copy_is_in_all_pairs_of_its_vector(spark, monkeypatch, way, copies):
+    monkeypatch.setattr(hamming, "COPIES", copies)
+    monkeypatch.setattr(hamming, "crowded", lambda *_: way == "blocks")
+    rng = np.random.default_rng(10)
+    if way == "cells":
+        centres = rng.integers(0, 2, (3, V.BITS), dtype=np.uint8)
+        x, threshold = words(np.stack([flipped(centres[i % 3], 150, rng) for i in range(60)])), 0.95
+    else:
+        x, threshold = level_codes(rng, 200), 0.94
+    x = np.concatenate([x, x[[0] * 40], x[[1] * 9], x[[3]], x[:5]])
+    ids = [*(int(i) for i in rng.permutation(1000)[: len(x) - 5])]
+    ids += [*ids[:3], *ids[5:7]]  # rows that come twice, and rows of one id with two vectors
+    found, _ = hamming.similarity_join(table(spark, x, ids).where("idx IS NOT NULL"), threshold, cell_rows=20, every_copy=True)
+    got = sorted((r.a, r.b, round((1 - r.similarity) * V.BITS)) for r in found.collect())
+    assert got == [p for p in pairs(x, ids, hamming._reach(threshold)) if p[0] < p[1]] and len(got) > 1000
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_similar_embeddings_pairs_equal_codes_as_its_sql_does(spark, tmp_path, odd):
+    import duckdb
+
+    from ashlar import queries
+
+    x = np.random.default_rng(11).normal(size=(120, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()
+    x += [[*x[0][:63], x[0][63] + 1e-9], x[0], x[0], x[1]]
+    if odd:
+        x += [None, [], [], *[[float(v), *x[2][1:]] for v in ("inf", "nan", "1e30", "-inf")]]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    want = sorted(con.sql(queries.ORACLES["similar_embeddings"]).fetchall())
+    assert sorted(map(tuple, queries.QUERIES["similar_embeddings"](spark, str(tmp_path)).collect())) == want
+    assert {(0, 120), (120, 121), (121, 122), *([(127, 128), (128, 129)] if odd else [])} <= {w[:2] for w in want}
+
+
 def test_join_of_nothing(spark):
     assert hamming.similarity_join(spark.createDataFrame([], "idx long, fp array<long>"), 0.9)[0].collect() == []
 
